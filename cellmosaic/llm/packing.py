@@ -119,44 +119,37 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
             at += w
         sequences += k
 
-    def fitting(room: int, but: int | None = None) -> int | None:
-        """Largest length of at most room; of length `but` one piece is spoken for."""
+    def fitting(room: int, *spoken_for: int) -> int | None:
+        """Largest length of at most room with a piece left beside those spoken for."""
         i = bisect_right(lengths, room) - 1
-        while i >= 0:
-            if lengths[i] != but or left[lengths[i]] > 1:
-                return lengths[i]
+        while i >= 0 and left[lengths[i]] <= spoken_for.count(lengths[i]):
             i -= 1
-        return None
+        return lengths[i] if i >= 0 else None
 
-    kept: dict[int, int] = {}
-    while lengths:
-        w = lengths[-1]
+    def dominating(w: int) -> list[int] | None:
+        """A set with one piece of length w that dominates every other set with it, if one is shown."""
         room = capacity - w
         best = fitting(room, w)
         if best is None:
-            fix([w], left[w])  # nothing fits beside it: alone
-            continue
+            return [w]
         some = _smallest(lengths, left, 4)
         some.remove(w) if w in some else some.pop()  # the smallest three beside this piece
         if best == room or sum(some[:2]) > room:
-            # a partner that fills it, or the largest where only one can join: this pair dominates
-            fix([w, best], left[w] // 2 if best == w else min(left[w], left[best]))
-            continue
-        if sum(some) > room and best < w:
-            # at most two can join
+            # a partner that fills it, or the largest where only one can join
+            return [w, best]
+        if sum(some) > room:
+            # at most two can join; a best partner no smaller than any two, or two that any other two fit under
             if best >= _best_pair(lengths, left, room, 0):
-                fix([w, best], min(left[w], left[best]))
-                continue
-            other = fitting(room - best, best)
+                return [w, best]
+            other = fitting(room - best, w, best)
             if other is not None and best >= _best_pair(lengths, left, room, other):
-                # any two that join are each no larger than these two, or together no larger than the first
-                fix([w, best, other], min(left[w], left[best] // 2 if other == best else min(left[best], left[other])))
-                continue
-        # no dominance shown: this length is left to best-fit
-        kept[w] = left.pop(w)
-        lengths.pop()
-
-    left, lengths = dict(kept), sorted(kept)
+                return [w, best, other]
+        return None
+
+    for w in reversed(list(lengths)):
+        while w in left and (members := dominating(w)):
+            fix(members, min(left[x] // members.count(x) for x in members))
+
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room: sequences from a first one, how many
     open_rooms: list[int] = []
     while lengths:
