@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, mixing, packing
+from cellmosaic.llm import exact_dedup, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_rule_ensemble": quality.op1,
         "op3_chunk_recipe_dedup": exact_dedup.op3,
         "op5_curriculum_mix": mixing.op5,
+        "op9_decoding_scan": secrets.op9,
         "op10_reduced_best_fit": packing.op10,
     }
 
