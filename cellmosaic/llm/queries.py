@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, mixing, packing, quality, secrets
+from cellmosaic.llm import exact_dedup, fingerprints, mixing, packing, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_rule_ensemble": quality.op1,
         "op3_chunk_recipe_dedup": exact_dedup.op3,
         "op5_curriculum_mix": mixing.op5,
+        "op7_multiset_hash": fingerprints.op7,
+        "op8_warc_source": warc.op8,
         "op9_decoding_scan": secrets.op9,
         "op10_reduced_best_fit": packing.op10,
     }
