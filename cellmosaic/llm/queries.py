@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, fingerprints, mixing, packing, quality, secrets, warc
+from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, packing, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_rule_ensemble": quality.op1,
         "op3_chunk_recipe_dedup": exact_dedup.op3,
         "op5_curriculum_mix": mixing.op5,
+        "op6_tree_scoring": html_text.op6,
         "op7_multiset_hash": fingerprints.op7,
         "op8_warc_source": warc.op8,
         "op9_decoding_scan": secrets.op9,
