@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, packing, quality, secrets, warc
+from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, ngram_join, packing, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_rule_ensemble": quality.op1,
         "op3_chunk_recipe_dedup": exact_dedup.op3,
+        "op4_vertical_join": ngram_join.op4,
         "op5_curriculum_mix": mixing.op5,
         "op6_tree_scoring": html_text.op6,
         "op7_multiset_hash": fingerprints.op7,
