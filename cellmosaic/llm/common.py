@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and U+0009 to U+000D.
@@ -128,22 +128,45 @@ def join_unique(left: DataFrame, right: DataFrame, key: list[str], size: str, to
     return left.join(hot, key).unionByName(left.join(hot.select(*key), key, "left_anti").join(even, key))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: each node beside the smallest it is connected with in this partition."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: rows (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star steps until every component is a star. Each step is two shuffled aggregations over
-    the edges; labels stay distributed and each step's edges are written to the shared folder. Empty edges give no rows.
+    Each partition's edges are first reduced to stars; then large-star and small-star steps alternate until nothing changes. A
+    step is two shuffled aggregations over the edges; labels stay distributed and each step's edges are written to the shared
+    folder. Empty edges give no rows.
     """
-    now = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct())
+    columns = ["u long", "v long"]
+    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").mapInArrow(_contracted, ", ".join(columns))
+    before = None
     while True:
+        seen = Observation()
+        now = cut(now.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")))
+        after = (seen.get["n"], seen.get["h"])
+        if after == before or not after[0]:
+            return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        before = after
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter("u <> v").distinct()
-        small = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(small, "u")
-        step = cut(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if step.select("v").distinct().count() == step.count() and step.join(step.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            stars = step.select(F.col("v").alias("node"), F.col("u").alias("component"))
-            return stars.union(step.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-        now = step
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        step = large.join(small, "u").select(F.col("m").alias("u"), F.col("v").alias("v")).union(small.select(F.col("m").alias("u"), F.col("u").alias("v")))
+        now = step.filter("u <> v").distinct()

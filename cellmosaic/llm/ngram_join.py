@@ -6,8 +6,9 @@ fragment of the shingle space, leaves the survivors. Their shingles are ordered
 classes are compared if they share one of the first quarter. Comparison cuts the shingles into fragments, counts each pair's
 overlap in each, and sums.
 
-Components don't need every pair: shingles' members are first compared with one hub each, a new hub every round; pairs within
-a component found so far are settled, and once few are open all of those are compared. No link between components is lost.
+Components don't need every pair: a shingle's members are first compared with a few of them, its hubs. Then only pairs of
+different components are open; all of those are held against an exact bound from bitmaps of their sets, in blocks, and what it
+lets through is compared. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import shingles
-from cellmosaic.llm.common import components, cut, join_unique
+from cellmosaic.llm.common import components, cut, join_unique, splitmix
 
 #: Documents link at this Jaccard similarity, in hundredths.
 PERCENT = 75
@@ -28,8 +29,8 @@ PERCENT = 75
 FRAGMENT = 1_000_000
 #: Parts that the overlap of a pair is counted in.
 PARTS = 4
-#: Rounds of hubs at most before all open pairs are compared, and open pairs per class at which that is done at once.
-ROUNDS, OPEN = 10, 4
+#: Hubs that each entry's members are first compared with, members of an entry that one task compares, and bits of a set's bitmap.
+HUBS, BLOCK, BITMAP = 3, 1000, 2048
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -139,6 +140,12 @@ def _shared_tokens(owners: int):
     return run
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """For each place whether an odd number of shingles fall on it; sets that differ in d places differ in d shingles at least."""
+    places = splitmix(tokens.view(np.uint64)) & np.uint64(BITMAP - 1)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=BITMAP) & 1).astype(bool)).tobytes()
+
+
 def _ordered(percent: int):
     """Of the classes in a part that share enough, the shared shingles rarest first and how many of them are in the prefix."""
 
@@ -157,13 +164,15 @@ def _ordered(percent: int):
             # shingles that no other class has come first in the order, and fill part of the prefix
             "prefix": pa.array((shared - need + 1)[kept], pa.int32()),
             "tokens": pa.array([tokens[begin[k] : begin[k] + shared[k]] for k in kept], pa.list_(pa.int64())),
+            "alone": pa.array((n - shared)[kept], pa.int64()),
+            "bits": pa.array([bitmap(tokens[begin[k] : begin[k] + shared[k]]) for k in kept], pa.binary()),
         })
 
     return run
 
 
 def survivors(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Classes that may have a partner: node, n, prefix, tokens (shared shingles, rarest first)."""
+    """Classes that may have a partner: node, n, prefix, tokens (shared shingles, rarest first), alone (how many others), bits."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     fragments = max(8, total // (2 * FRAGMENT))
     first = docs.select("text").mapInArrow(_dealt(fragments, percent, True), _DEALT).groupBy("fragment").applyInArrow(_count_shared, "node long, shared long")
@@ -177,7 +186,7 @@ def survivors(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     fragments, parts = max(8, left // FRAGMENT), max(8, left // FRAGMENT)
     dealt = texts.select("text").mapInArrow(_dealt(fragments, percent, False), _DEALT)
     shared = dealt.groupBy("fragment").applyInArrow(_shared_tokens(parts), "part long, tokens binary, nodes binary, sizes binary, have binary")
-    return cut(shared.groupBy("part").applyInArrow(_ordered(percent), "node long, n long, prefix int, tokens array<long>"))
+    return cut(shared.groupBy("part").applyInArrow(_ordered(percent), "node long, n long, prefix int, tokens array<long>, alone long, bits binary"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -191,41 +200,78 @@ def overlaps(pairs: DataFrame, sets: DataFrame, parts: int = PARTS) -> DataFrame
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Components (node, component) of the classes that link; None if none does."""
-    entries = cut(sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")))
-    many = sets.count()
-    found = labels = done = None
-    for turn in range(ROUNDS + 1):
-        now = entries.withColumn("component", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = now.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).filter("k * k > kk")
-        if turn:
-            spread = cut(spread)
-        open_pairs = spread.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        now = now.join(spread.select("token"), "token", "left_semi")
-        all_open = turn == ROUNDS or open_pairs <= OPEN * many
-        if all_open:
-            left = now.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            right = now.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            met = left.join(right, (left["token"] == right["token"]) & (F.col("ca") < F.col("cb")))
-        else:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")
-            hubs = now.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.node").alias("b"), F.col("h.n").alias("nb"), F.col("h.component").alias("cb"))
-            met = now.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(hubs, "token").filter("ca <> cb")
-        met = met.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            met = met.join(done, ["a", "b"], "left_anti")
-        measured = cut(overlaps(met, sets).select("a", "b", (F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).alias("linked")))
-        done = measured.select("a", "b") if done is None else done.union(measured.select("a", "b"))
-        links = measured.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            found = links if labels is None else links.union(labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-            labels = cut(components(found))
-        if all_open:
-            break
-    return labels
+def _close(percent: int):
+    """Of each unit's members, those pairs of different components whose sets may still be similar: node and its partners.
+
+    Sets whose bitmaps differ in d places differ in d shingles at least, beside those that only one class has. That bound is
+    exact, so no similar pair is left out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, node, component, n, alone = (table.column(c).to_numpy() for c in ("unit", "node", "component", "n", "alone"))
+        bits = np.frombuffer(b"".join(x.as_py() for x in table.column("bits")), np.uint8).reshape(len(unit), BITMAP // 8)
+        order = np.argsort(unit, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0, True]) if len(unit) else np.zeros(1, np.int64)
+        out_node, out_partners = [], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = order[a:b]
+            flags = np.unpackbits(bits[own], axis=1).astype(np.float32)
+            ones = flags.sum(axis=1)
+            for lo in range(0, len(own), 512):
+                some = own[lo : lo + 512]
+                apart = ones[lo : lo + 512, None] + ones[None, :] - 2 * (flags[lo : lo + 512] @ flags.T) + alone[some][:, None] + alone[own][None, :]
+                sizes = n[some][:, None] + n[own][None, :]
+                near = (apart * (100 + percent) <= sizes * (100 - percent)) & (component[some][:, None] != component[own][None, :]) & (node[some][:, None] < node[own][None, :])
+                for k in np.flatnonzero(near.any(axis=1)):
+                    out_node.append(node[some[k]])
+                    out_partners.append(node[own[near[k]]].tobytes())
+        return pa.table({"node": pa.array(out_node, pa.int64()), "partners": pa.array(out_partners, pa.binary())})
+
+    return run
+
+
+def _distinct_pairs(table: pa.Table) -> pa.Table:
+    node = table.column("node").to_numpy()
+    partners = [np.frombuffer(x.as_py(), np.int64) for x in table.column("partners")]
+    pairs = np.unique(np.stack([np.repeat(node, [len(x) for x in partners]), np.concatenate(partners)]), axis=1) if len(node) else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    similar = F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent
+    return cut(overlaps(pairs, sets).filter(similar).select("a", "b"))
+
+
+def linked_classes(sets: DataFrame, percent: int = PERCENT, entries: DataFrame | None = None) -> DataFrame | None:
+    """Components (node, component) of the classes (node, n, prefix, tokens, alone, bits) that link; None if none does.
+
+    Classes are compared if they share an entry (node, n, token); by default the entries are the shingles of the prefixes.
+    """
+    if entries is None:
+        entries = cut(sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")))
+    rank = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias(f"h{turn}")
+    hubs = entries.groupBy("token").agg(F.count("*").alias("k"), *[rank(t) for t in range(HUBS)]).filter("k > 1")
+    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{t}.node").alias("node"), F.col(f"h{t}.n").alias("n")) for t in range(HUBS)]))).alias("h"))
+    met = entries.join(hubs, "token").filter((F.col("node") != F.col("h.node")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
+    links = _links(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), sets, percent)
+    labels = cut(components(links))
+    # what hubs have not settled: entries whose members are in several components
+    now = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = now.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token", "k")
+    now = cut(now.join(spread, "token"))
+    many = now.count()
+    if not many:
+        return None if labels.isEmpty() else labels
+    # entries with many members are dealt out as pairs of blocks
+    block, count = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.when(F.col("k") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("k") / BLOCK))
+    units = now.withColumn("blocks", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.withColumn("unit", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).join(sets.select("node", "alone", "bits"), "node")
+    close = units.select("unit", "node", "component", "n", "alone", "bits").groupBy(F.pmod("unit", F.lit(max(32, many // 4000))).alias("part")).applyInArrow(_close(percent), "node long, partners binary")
+    pairs = close.groupBy(F.pmod(F.xxhash64("node"), F.lit(max(16, many // 4000))).alias("part")).applyInArrow(_distinct_pairs, "a long, b long")
+    more = _links(pairs, sets, percent)
+    if more.isEmpty():
+        return None if labels.isEmpty() else labels
+    return cut(components(more.union(labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))))
 
 
 def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
