@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, ngram_join, packing, quality, secrets, warc
+from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, ngram_join, packing, paragraphs, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_rule_ensemble": quality.op1,
+        "op2_paragraph_banding": paragraphs.op2,
         "op3_chunk_recipe_dedup": exact_dedup.op3,
         "op4_vertical_join": ngram_join.op4,
         "op5_curriculum_mix": mixing.op5,
