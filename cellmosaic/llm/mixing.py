@@ -65,7 +65,7 @@ def invert_curriculum(share: Column, knots: tuple[tuple[float, float], ...]) ->
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRICULA, doc_id: str = "doc_id", source: str = "source", text: str = "text", most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per document, range-sorted by its first position: doc_id, source, size, source_size, target, taken, positions.
+    """One row per document, range-sorted by its first position: doc_id, source, size, source_size, target, taken, copies, positions, text_key.
 
     A source's stream holds its documents by md5 of their id, over and over; the mix takes the first floor(target) words of
     it. taken is how many of a document's words that is, all copies together; the copy at the end may be cut. positions has
@@ -73,9 +73,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRI
     are ordered by size, and rows alike in both are interchangeable. Empty texts are never taken. An empty table gives no
     rows. Each stream's running sums come from sums of md5 buckets, so that a hot source is spread over many tasks.
     """
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")).withColumn("mark", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g"))))
+    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_key")).withColumn("mark", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g"))))
     n = rows.count()
-    buckets = min(1 << 16, max(16, n // BUCKET_ROWS * 4))
+    buckets = min(1 << 16, max(256, n // BUCKET_ROWS * 4))
     # buckets keep md5's order: its first four digits are 0 to 65535, and null ids follow
     rows = rows.withColumn("bucket", F.when(F.col("mark") == "g", buckets).otherwise(F.floor(F.conv(F.substring("mark", 1, 4), 16, 10).cast("long") * buckets / 65536)).cast("long"))
     parts = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("part")))
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRI
     begun = parts.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(F.col("p.source").alias("source"), "bucket", "place", "source_size", "target", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.alias("r").join(begun.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "place", (F.col("at") + F.col("base")).alias("begin"))
+    placed = placed.alias("r").join(begun.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select("doc_id", "text_key", F.col("r.source").alias("source"), "size", "source_size", "target", "place", (F.col("at") + F.col("base")).alias("begin"))
     demand = F.floor(F.col("target"))
     copies = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), demand - F.col("begin") - k * F.col("source_size"))))
     placed = placed.withColumn("copies", copies).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x))
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRI
 
     begins = F.transform(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.element_at("copies", k + 1) > 0), lambda k: (F.col("begin") + k * F.col("source_size")) / demand)
     placed = placed.withColumn("positions", F.transform(begins, when_reached)).withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions")
+    return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "text_key")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
