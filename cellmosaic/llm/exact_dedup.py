@@ -74,7 +74,7 @@ def _recipes(width: int, id_column: str, text_column: str):
                     first = int(cuts[r])
                     shas.append(hashlib.sha256(data[first : int(cuts[r + 1])]).hexdigest())
                     recipes.append(b"".join([name(data[a:b]) for a, b in zip([first, *ends], ends, strict=False)]))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), pa.array(points, pa.int64()), pa.array(shas, pa.string()), pa.array(recipes, pa.binary())], ["doc_id", "points", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), batch.column("text_key"), pa.array(points, pa.int64()), pa.array(shas, pa.string()), pa.array(recipes, pa.binary())], ["doc_id", "text_key", "points", "text_sha256", "recipe"])
 
     return run
 
@@ -102,7 +102,7 @@ def clashes(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
 
 
 def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first_width: int = 8) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key (a hash of the text as it is).
 
     Texts are equal when identical after deleting space and U+0009 to U+000D. Of equal texts the row with most code points,
     then smallest doc_id stays; of rows alike in both, one. Null texts count as empty, and all empty texts are one group;
@@ -112,16 +112,16 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fir
     for width in [w for w in _NAMES if w >= first_width]:
         if width == 32 or clashes(docs, width, text).isEmpty():
             break
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = cut(rows.mapInArrow(_recipes(width, "doc_id", "text"), "doc_id long, points long, text_sha256 string, recipe binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    made = cut(rows.mapInArrow(_recipes(width, "doc_id", "text"), "doc_id long, text_key long, points long, text_sha256 string, recipe binary").withColumn("row", F.monotonically_increasing_id()))
     best = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")
     groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size")).select("recipe", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
     groups = cut(groups)
-    return join_unique(made, groups, ["recipe"], "group_size", made.count()).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return join_unique(made, groups, ["recipe"], "group_size", made.count()).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "text_key")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return dedup_exact(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_exact(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 #: DuckDB's regexp class [ \t-\r] is the same white space.

@@ -275,7 +275,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, entries: DataFrame |
 
 
 def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, text_key (a hash of the text as it is).
 
     Documents link when their sets of distinct 5-word shingles have a Jaccard similarity of percent / 100 or more;
     component_id is the smallest doc_id reachable. Texts of fewer words have one shingle, null texts and texts without words
@@ -294,9 +294,9 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
         least = joined.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep_id").alias("least_id"))
         named = joined.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least_id")))
     named = cut(named.select("node", "check", "n", "copies", "component_id"))
-    full = join_unique(made.filter("n > 0"), named, ["node", "check", "n"], "copies", made.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(made.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = join_unique(made.filter("n > 0"), named, ["node", "check", "n"], "copies", made.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
+    return full.unionByName(made.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return join_ngrams(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_ngrams(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

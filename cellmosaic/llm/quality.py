@@ -102,16 +102,17 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the STATISTICS of each whole text; null texts count as empty."""
+    """doc_id, text_key (a hash of the text) and the STATISTICS of each whole text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = text_buffer(batch.column(1))
+            raw, at = text_buffer(batch.column(2))
             blocks = [statistics(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in row_blocks(at)]
             table = np.concatenate(blocks) if blocks else np.zeros((0, len(STATISTICS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["doc_id", "text_key", *STATISTICS])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -183,7 +184,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_TRAINING_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """One row per document: doc_id, text_key, held_out, score, predicted.
 
     Scores come from whole texts alone; empty and null texts have statistics of 0 and get a score like others. Labels of held-out rows, and
     null labels, are not used; of the rest at most `most_rows` are, those of smallest id hash. Repeated ids are scored
@@ -191,16 +192,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """
     table = cut(with_statistics(docs, doc_id, text))
     known = labels.filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).filter(~held_out())
-    training = cut(table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "log_points").limit(most_rows).drop("doc_id").coalesce(1))
-    scored = table.select("doc_id", held_out().alias("held_out"), fit(training).score().alias("score"))
+    training = cut(table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "log_points").limit(most_rows).drop("doc_id", "text_key").coalesce(1))
+    scored = table.select("doc_id", "text_key", held_out().alias("held_out"), fit(training).score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")
 
-
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents whose score reaches the threshold, all columns; rows are told apart by id, so a repeated id stays if its best text does."""
-    good = score_quality(docs, labels).groupBy("doc_id").agg(F.max("score").alias("best")).filter(F.col("best") >= threshold)
-    return docs.join(good.select(F.col("doc_id").alias("_good")), docs["doc_id"].cast("long").eqNullSafe(F.col("_good")), "left_semi")
