@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""Corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+A stage's operator returns its decisions by document id and a hash of the text; the stage applies them to whole rows, so that
+all columns of documents stay. Rows alike in both are the same document.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,60 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import exact_dedup, mixing, packing
+from cellmosaic.llm import exact_dedup, mixing, ngram_join, packing, quality
 from cellmosaic.llm.common import scratch_dir
 
-STAGES: list = []
+
+def _matched(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """docs joined with decisions (_id, _key, ...), one of each."""
+    return docs.join(decisions, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")), how)
+
+
+def _named(decisions: DataFrame, *more) -> DataFrame:
+    return decisions.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *more)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of sf_dir, scores at its threshold or more."""
+    scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _matched(docs, _named(scores.filter("predicted = 1")), "left_semi")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; repeated rows count as copies."""
+    kept = exact_dedup.dedup_exact(docs).filter("kept")
+    # a kept row may be repeated as a whole; nothing tells those apart, so such documents are taken once each
+    one = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_key")).agg(F.count("*").alias("n")).filter("n > 1")
+    out = _matched(docs, _named(kept), "left_semi")
+    return out if one.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each component of similar texts."""
+    joined = ngram_join.join_ngrams(docs)
+    return _matched(docs, _named(joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole: a copy that the mix cuts counts if at least half of it is taken."""
+    mixed = mixing.mix(docs)
+    copies = F.size(F.filter("copies", lambda words: (words > 0) & (words * 2 >= F.col("size"))))
+    decided = _named(mixed, copies.alias("_copies")).filter("_copies > 0")
+    return _matched(docs, decided, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; each copy of a document is packed on its own."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
