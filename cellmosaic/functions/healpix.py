@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 29
@@ -15,18 +16,13 @@ def _long(x) -> Column:
 
 
 def spread_bits(x: Column) -> Column:
-    """Put a zero bit above each of the low 32 bits."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(_long(mask))
-    return x
+    """Put a zero bit above each bit: the binary digits read as digits to base 4."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
 def gather_bits(x: Column) -> Column:
-    """Inverse of spread_bits."""
-    x = x.bitwiseAND(_long(0x5555555555555555))
-    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(_long(mask))
-    return x
+    """Every other bit, from the lowest: inverse of spread_bits."""
+    return F.conv(F.conv(x.bitwiseAND(_long(0x5555555555555555)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def indexable(lon: Column, lat: Column) -> Column:
@@ -56,6 +52,31 @@ def lonlat_to_cell(lon: Column, lat: Column, depth: int) -> Column:
     return F.when(indexable(lon, lat), pixel + 4 * n * n)
 
 
+_STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def with_cell(rows: DataFrame, depth: int, lon: str = "lon", lat: str = "lat", out: str = "cell") -> DataFrame:
+    """Adds lonlat_to_cell as a column, in steps that name what is used twice: generated code stays small, and is all arithmetic."""
+    if not 0 <= depth <= MAX_DEPTH:
+        return rows.withColumn(out, F.lit(None).cast("long"))
+    n = 1 << depth
+    c = F.col
+    at = rows.withColumns({"_z": F.sin(F.radians(c(lat))), "_t": F.pmod(c(lon), F.lit(360.0)) / 90.0})
+    at = at.withColumns({"_p": F.floor((c("_t") + 0.5) * n - c("_z") * (0.75 * n)), "_m": F.floor((c("_t") + 0.5) * n + c("_z") * (0.75 * n)), "_k": F.least(_long(3), F.floor("_t")), "_s": F.sqrt(F.greatest((1 - F.abs("_z")) * 3, F.lit(0.0))) * n, "_b": F.abs("_z") <= 2.0 / 3.0})
+    at = at.withColumns({"_fp": F.shiftright("_p", depth), "_fm": F.shiftright("_m", depth), "_cp": F.least(_long(n - 1), F.floor((c("_t") - c("_k")) * c("_s"))), "_cm": F.least(_long(n - 1), F.floor((1 - (c("_t") - c("_k"))) * c("_s")))})
+    band = F.when(c("_fp") == c("_fm"), F.when(c("_fp") == 4, _long(4)).otherwise(c("_fp") + 4)).when(c("_fp") < c("_fm"), c("_fp")).otherwise(c("_fm") + 8)
+    at = at.withColumns({
+        "_f": F.when(c("_b"), band).when(c("_z") >= 0, c("_k")).otherwise(c("_k") + 8),
+        "_x": F.when(c("_b"), c("_m").bitwiseAND(_long(n - 1))).when(c("_z") >= 0, (n - 1) - c("_cm")).otherwise(c("_cp")),
+        "_y": F.when(c("_b"), (n - 1) - c("_p").bitwiseAND(_long(n - 1))).when(c("_z") >= 0, (n - 1) - c("_cp")).otherwise(c("_cm")),
+    })
+    for shift, mask in _STEPS[max(0, 4 - max(depth - 1, 0).bit_length()) :]:
+        at = at.withColumns({v: c(v).bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(_long(mask)) for v in ("_x", "_y")})
+    cell = c("_f") * (n * n) + c("_x").bitwiseOR(F.shiftleft("_y", 1)) + 4 * n * n
+    done = at.withColumn(out, F.when(indexable(c(lon), c(lat)), cell))
+    return done.drop("_z", "_t", "_p", "_m", "_k", "_s", "_b", "_fp", "_fm", "_cp", "_cm", "_f", "_x", "_y")
+
+
 def resolution(cell: Column) -> Column:
     """Depth of a NUNIQ id, -1 if it is none."""
     # the highest set bit is 2 * depth + 2 or 2 * depth + 3
@@ -119,3 +140,42 @@ def mean_area_m2(depth: int) -> float:
 def radius_deg(depth: int) -> float:
     """No point of a cell is farther than this from its centre."""
     return min(90.0, math.degrees(math.sqrt(math.pi / 3) / (1 << depth)) * 1.5)
+
+
+def corners(cell: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of the south, east, north and west corner of cells, a row each."""
+    n = 1 << depth
+    p = cell.astype(np.int64) - 4 * n * n
+    face, within = p >> (2 * depth), p & (n * n - 1)
+    x, y = _even_bits(within), _even_bits(within >> 1)
+    dx, dy = np.array([0, 1, 1, 0]), np.array([0, 0, 1, 1])
+    fx, fy = (x[:, None] + dx) / n, (y[:, None] + dy) / n
+    ring = (face // 4 + 2)[:, None] - fx - fy
+    side = np.where(ring < 1, ring, np.where(ring > 3, 4 - ring, 1.0))
+    z = np.where(ring < 1, 1 - side**2 / 3, np.where(ring > 3, side**2 / 3 - 1, (2 - ring) * 2 / 3))
+    turn = np.where(face // 4 == 1, (face % 4) * 2, (face % 4) * 2 + 1)[:, None]
+    lon = np.where(side > 0, (turn * side + fx - fy) * 45.0 / np.where(side > 0, side, 1), turn * 45.0)
+    # at a pole the longitude is the cell's own, so that its outline stays narrow
+    return (lon + 180) % 360 - 180, np.degrees(np.arcsin(np.clip(z, -1, 1)))
+
+
+def _even_bits(v: np.ndarray) -> np.ndarray:
+    v = v & 0x5555555555555555
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        v = (v | (v >> shift)) & mask
+    return v
+
+
+def centers(cell: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as center(), over arrays."""
+    n = 1 << depth
+    p = cell.astype(np.int64) - 4 * n * n
+    face, within = p >> (2 * depth), p & (n * n - 1)
+    x, y = _even_bits(within), _even_bits(within >> 1)
+    ring = (face // 4 + 2) * n - x - y - 1
+    side = np.where(ring < n, ring, np.where(ring > 3 * n, 4 * n - ring, n))
+    third = side.astype(float) ** 2 / (3.0 * n * n)
+    z = np.where(ring < n, 1 - third, np.where(ring > 3 * n, third - 1, (2 * n - ring) * (2.0 / (3.0 * n))))
+    turn = np.where(face // 4 == 1, (face % 4) * 2, (face % 4) * 2 + 1)
+    lon = (turn * side + x - y) * 45.0 / side
+    return np.where(lon >= 180, lon - 360, lon), np.degrees(np.arcsin(z))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MAX_LEVEL = 30
 #: Hilbert curve, fixed values: place of quadrant 2*i+j in the curve, and change of orientation, by orientation.
-IJ_TO_POS = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 0, 1), (2, 1, 0, 3))
+IJ_TO_POS = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 1, 0), (2, 1, 3, 0))
 POS_TO_ORIENTATION = (1, 0, 0, 3)
 
 

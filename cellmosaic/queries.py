@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import crs, h3bits, healpix, s2
-from cellmosaic.operators import categorical, continuous, mosaic, pixels, quantiles, transfer
+from cellmosaic.functions import crs, h3bits, healpix, s2, wkb
+from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
 from cellmosaic.plans.options import parse_edges, parse_quantiles
+from cellmosaic.sources import formats, tiles
+from cellmosaic.sources.geotiff import write_geotiff
+from cellmosaic.sources.scratch import filesystem, scratch_path
+from cellmosaic.streaming import cells as stream
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 WIDTH, ORIGIN, SIZE = 100, (-122.45, 37.80), (0.05, 0.05)
@@ -38,12 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(x: Column) -> Column:
-    """Six decimals, so that sums taken in another order agree."""
-    return F.floor(x * 1e6 + 0.5) / 1e6
+    """Six decimals, so that sums taken in another order agree; the break is put where short decimals don't fall."""
+    return F.floor(x * 1e6 + 0.50037) / 1e6
 
 
 def R(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.5e0) / 1e6"
+    return f"floor(({x}) * 1e6 + 0.50037e0) / 1e6"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, depth: int = DEPTH, pattern: str = "center") -> DataFrame:
     at = pixels.located(events(spark, sf_dir), ORIGIN, SIZE, pixels.pattern(pattern))
-    return at.withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), depth))
+    return healpix.with_cell(at, depth)
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
@@ -148,12 +154,12 @@ def _global(spark, sf_dir) -> DataFrame:
 @query("bbox_antimeridian", f"WITH {EV}, {_GLOBAL}, {hp('g', 'c', 4)} {rsel(f'SELECT cell, {STATS} FROM c WHERE lat BETWEEN -40e0 AND 40e0 AND (lon >= 150e0 OR lon <= -150e0) GROUP BY cell', ['cell'], FIVE)}")
 def bbox_antimeridian(spark, sf_dir):
     s = _global(spark, sf_dir).filter(pixels.in_bbox(F.col("lon"), F.col("lat"), (150.0, -40.0, -150.0, 40.0)))
-    return rounded(continuous.unit_statistics(s.withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), 4)), ["cell"]))
+    return rounded(continuous.unit_statistics(healpix.with_cell(s, 4), ["cell"]))
 
 
 @query("global_polar_cells", f"WITH {EV}, {_GLOBAL}, {hp('g', 'c', 3)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")
 def global_polar_cells(spark, sf_dir):
-    return rounded(continuous.unit_statistics(_global(spark, sf_dir).withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), 3)), ["cell"]))
+    return rounded(continuous.unit_statistics(healpix.with_cell(_global(spark, sf_dir), 3), ["cell"]))
 
 
 @query("cell_filter_pushdown", f"WITH {HP}, one AS (SELECT min(cell >> 4) AS p FROM c) {rsel(f'SELECT cell, {STATS} FROM c, one WHERE cell >> 4 = p GROUP BY cell', ['cell'], FIVE)}")
@@ -224,7 +230,7 @@ def _dec(x: str) -> str:
     return f"sign({x} * 1e2) * floor(abs({x} * 1e2) + 0.5e0) / 1e2"
 
 
-@query("decimals_rounding", f"WITH {HP}, s AS (SELECT cell, {STATS} FROM c GROUP BY cell) SELECT cell, count, {', '.join(f'{_dec(f"floor({x} * 1e6 + 0.5e0) / 1e6")} AS {x}' for x in FIVE[1:])} FROM s")
+@query("decimals_rounding", f"WITH {HP}, s AS (SELECT cell, {STATS} FROM c GROUP BY cell) SELECT cell, count, {', '.join(f'{_dec(f"floor({x} * 1e6 + 0.50037e0) / 1e6")} AS {x}' for x in FIVE[1:])} FROM s")
 def decimals_rounding(spark, sf_dir):
     cells = rounded(continuous.unit_statistics(samples(spark, sf_dir), ["cell"]))
     return cells.select("cell", "count", *[continuous.rounded(F.col(c), 2).alias(c) for c in FIVE[1:]])
@@ -286,9 +292,7 @@ def _quantile_sql(value: str, targets: list[tuple[str, float | None]], depth: in
         f = f"greatest(least((total * {q!r}e0 - (cum - w)) / w, 1e0), 0e0)"
         v = f"CASE WHEN sg = 0 THEN 0e0 WHEN sg > 0 THEN exp(key * {lg!r}e0) * (1 + {f} * {g - 1!r}e0) ELSE -exp(key * {lg!r}e0) * ({g!r}e0 - {f} * {g - 1!r}e0) END"
         cols.append(f"arg_min(greatest(least({v}, most), least_), o) FILTER (WHERE cum >= total * {q!r}e0 * (1 - 1e-15)) AS {name}")
-    names = [n for n, _ in targets]
     pick = ", ".join(f"{R('greatest(_p75 - _p25, 0e0)' if q is None else n)} AS {n}" for n, q in targets)
-    del names
     return f"""WITH {EV}, v AS (SELECT lon, lat, {value} AS value FROM ev), {hp('v', 'c', depth)},
 b AS (SELECT cell, CASE WHEN abs(value) < 2.2250738585072014e-308 THEN 0 WHEN value > 0 THEN 1 ELSE -1 END AS sg, CASE WHEN abs(value) < 2.2250738585072014e-308 THEN 0 ELSE CAST(floor(ln(abs(value)) / {lg!r}e0) AS BIGINT) END AS key, CAST(count(*) AS DOUBLE) AS w, min(value) AS lo, max(value) AS hi FROM c GROUP BY ALL),
 s AS (SELECT *, sg * (key + 100000) AS o, sum(w) OVER (PARTITION BY cell ORDER BY sg * (key + 100000)) AS cum, sum(w) OVER (PARTITION BY cell) AS total, min(lo) OVER (PARTITION BY cell) AS least_, max(hi) OVER (PARTITION BY cell) AS most FROM b),
@@ -401,7 +405,7 @@ _EMB = "em AS (SELECT vec_id, vec_id % 25 AS col, vec_id // 25 AS row, (vec_id %
 
 def _embedded(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.pmod("vec_id", F.lit(25)).alias("col"), F.floor(F.col("vec_id") / 25).alias("row"), *[F.col("embedding")[b - 1].cast("double").alias(f"b{b}") for b in range(1, 7)])
-    return pixels.located(e, ORIGIN, (0.1, 0.1)).withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), DEPTH))
+    return healpix.with_cell(pixels.located(e, ORIGIN, (0.1, 0.1)), DEPTH)
 
 
 _BANDS = {"nir": "b4", "red": "b3", "green": "b2", "blue": "b1", "swir": "b6"}
@@ -484,7 +488,7 @@ _OWNER = {"first": f"CASE WHEN {_holds(0)} THEN 0 WHEN {_holds(1)} THEN 1 END",
 
 def _overlapped(rule: str):
     def run(spark, sf_dir):
-        s = mosaic.owned(_tiles(spark, sf_dir), _TILES, rule).withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), DEPTH))
+        s = healpix.with_cell(mosaic.owned(_tiles(spark, sf_dir), _TILES, rule), DEPTH)
         return rounded(continuous.unit_statistics(s, ["cell"]))
 
     return run
@@ -589,8 +593,7 @@ def healpix_scalars(spark, sf_dir):
 
 
 def _s2_sql(level: int) -> str:
-    steps, names = [], "* EXCLUDE (sx, sy, sz)"
-    del names
+    steps = []
     axis = "CASE WHEN abs(sx) >= abs(sy) AND abs(sx) >= abs(sz) THEN CASE WHEN sx < 0 THEN 3 ELSE 0 END WHEN abs(sy) >= abs(sz) THEN CASE WHEN sy < 0 THEN 4 ELSE 1 END ELSE CASE WHEN sz < 0 THEN 5 ELSE 2 END END"
     u = "CASE face WHEN 0 THEN sy / sx WHEN 1 THEN -sx / sy WHEN 2 THEN -sx / sz WHEN 3 THEN sz / sx WHEN 4 THEN sz / sy ELSE -sy / sz END"
     v = "CASE face WHEN 0 THEN sz / sx WHEN 1 THEN sz / sy WHEN 2 THEN -sy / sz WHEN 3 THEN sy / sx WHEN 4 THEN -sx / sy ELSE -sx / sz END"
@@ -649,7 +652,7 @@ def _metres(spark, sf_dir) -> DataFrame:
 def webmercator_inverse(spark, sf_dir):
     m = _metres(spark, sf_dir)
     lon, lat = crs.inverse(3857, F.col("x"), F.col("y"))
-    return rounded(continuous.unit_statistics(m.withColumn("cell", healpix.lonlat_to_cell(lon, lat, 5)), ["cell"]))
+    return rounded(continuous.unit_statistics(healpix.with_cell(m.withColumns({"lon": lon, "lat": lat}), 5), ["cell"]))
 
 
 def _albers_sql() -> str:
@@ -662,7 +665,7 @@ def _albers_sql() -> str:
 def albers_inverse(spark, sf_dir):
     m = _metres(spark, sf_dir)
     lon, lat = crs.inverse(5070, F.col("x"), F.col("y"))
-    return rounded(continuous.unit_statistics(m.withColumn("cell", healpix.lonlat_to_cell(lon, lat, 5)), ["cell"]))
+    return rounded(continuous.unit_statistics(healpix.with_cell(m.withColumns({"lon": lon, "lat": lat}), 5), ["cell"]))
 
 
 # --- cells and other tables ------------------------------------------------------------------------------------------
@@ -672,7 +675,7 @@ _TWO = f"{HP}, e AS (SELECT cell, count(*) AS n, sum(value) AS v FROM c GROUP BY
 
 def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = samples(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    o = _tiles(spark, sf_dir).filter("tile = 1").withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), DEPTH)).groupBy("cell").agg(F.count("*").alias("m"), F.sum("value").alias("p"))
+    o = healpix.with_cell(_tiles(spark, sf_dir).filter("tile = 1"), DEPTH).groupBy("cell").agg(F.count("*").alias("m"), F.sum("value").alias("p"))
     return e, o
 
 
@@ -726,4 +729,169 @@ def union_final_merged(spark, sf_dir):
 @query("load_points_by_cell", f"WITH li AS (SELECT l_extendedprice AS value, (l_orderkey * 37 % 36000) / 100e0 - 180.00037e0 AS lon, (l_partkey * 53 % 17000) / 100e0 - 85.00041e0 AS lat FROM lineitem), {hp('li', 'c', 6)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")
 def load_points_by_cell(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("value"), (F.pmod(F.col("l_orderkey") * 37, F.lit(36000)) / 100.0 - 180.00037).alias("lon"), (F.pmod(F.col("l_partkey") * 53, F.lit(17000)) / 100.0 - 85.00041).alias("lat"))
-    return rounded(continuous.unit_statistics(li.withColumn("cell", healpix.lonlat_to_cell(F.col("lon"), F.col("lat"), 6)), ["cell"]))
+    return rounded(continuous.unit_statistics(healpix.with_cell(li, 6), ["cell"]))
+
+
+# --- files, tiles, polygons, streams ---------------------------------------------------------------------------------
+
+
+def _assign_sql(where: str = "true") -> str:
+    return f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c WHERE {where} GROUP BY cell', ['cell'], FIVE)}"
+
+
+def _write_tiles(spark, sf_dir, **options) -> str:
+    """The events raster as a mosaic of GeoTIFF files of 50 rows each, one task a file."""
+    path = scratch_path(spark, "tiles")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * 50
+        values = np.full((int(pdf["row"].max()) - first + 1, WIDTH), -9999.0)
+        values[pdf["row"].to_numpy() - first, pdf["col"].to_numpy()] = pdf["value"].to_numpy()
+        store, folder = filesystem(path)
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/rows-{first:09d}.tif", compression=None) as f:
+            f.write(write_geotiff(values, (ORIGIN[0], ORIGIN[1] - first * SIZE[1]), SIZE, nodata=-9999.0, **options))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    events(spark, sf_dir).groupBy(F.floor(F.col("row") / 50).alias("block")).applyInPandas(run, "n long").count()
+    return path
+
+
+def _scanned(spark, path: str, **options) -> DataFrame:
+    formats.register(spark)
+    px = spark.read.format("raster_pixels").options(**options).load(path)
+    return px.withColumnsRenamed({"x": "lon", "y": "lat"})
+
+
+@query("geotiff_mosaic_scan", _assign_sql())
+def geotiff_mosaic_scan(spark, sf_dir):
+    """Written as tiled, compressed GeoTIFF files and scanned through the data source."""
+    path = _write_tiles(spark, sf_dir, tile=32, predictor=3)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path), DEPTH), ["cell"]))
+
+
+@query("geotiff_bbox_pruning", _assign_sql("lon >= -121e0 AND lon <= -118.5e0 AND lat >= 34e0 AND lat <= 36.9e0"))
+def geotiff_bbox_pruning(spark, sf_dir):
+    """Bounds on x and y reach the source, which leaves out chunks; Spark filters the rest."""
+    path = _write_tiles(spark, sf_dir, rows_per_strip=8, compression=1)
+    formats.register(spark)
+    px = spark.read.format("raster_pixels").load(path).filter("x >= -121.0 and x <= -118.5 and y >= 34.0 and y <= 36.9").withColumnsRenamed({"x": "lon", "y": "lat"})
+    return rounded(continuous.unit_statistics(healpix.with_cell(px, DEPTH), ["cell"]))
+
+
+@query("geoparquet_roundtrip", f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell', '93 AS wkb_bytes'], FIVE)}")
+def geoparquet_roundtrip(spark, sf_dir):
+    """Cells with outlines, written with GeoParquet metadata and read again; four corners make 93 bytes."""
+    path = scratch_path(spark, "geoparquet")
+    tiles.write_geoparquet(tiles.with_outline(continuous.unit_statistics(samples(spark, sf_dir), ["cell"]), DEPTH), path).count()
+    return rounded(spark.read.parquet(path).withColumn("wkb_bytes", F.length("wkb")).drop("wkb"))
+
+
+@query("jsonl_roundtrip", _assign_sql())
+def jsonl_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "jsonl")
+    tiles.write_jsonl(continuous.unit_statistics(samples(spark, sf_dir), ["cell"]), path)
+    return rounded(spark.read.schema("cell long, count double, sum double, mean double, stddev double, min double, max double").json(path))
+
+
+@query("pmtiles_tiles")
+def pmtiles_tiles(spark, sf_dir):
+    """Encoded tiles of zooms 5 to 7; coarse zooms take coarser cells from merged states."""
+    states = continuous.partial_states(samples(spark, sf_dir), ["cell"])
+    out = None
+    for zoom, depth in ((7, 8), (6, 7), (5, 6)):
+        level = continuous.finished(continuous.merge_states(states.withColumn("cell", healpix.cell_to_parent(F.col("cell"), DEPTH, depth)), ["cell"]))
+        one = tiles.encoded_tiles(level, depth, zoom, ["mean", "count"])
+        out = one if out is None else out.unionByName(one)
+    return out.select("tile_id", "zoom", "tile_x", "tile_y", "features", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query("tile_of_centre", f"WITH {EV} SELECT CAST(floor((lon + 180) / 360 * 512) AS BIGINT) AS tile_x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / {math.pi!r}e0) / 2 * 512) AS BIGINT) AS tile_y, count(*) AS n, {R('avg(value)')} AS mean FROM ev GROUP BY 1, 2")
+def tile_of_centre(spark, sf_dir):
+    at = pixels.located(events(spark, sf_dir), ORIGIN, SIZE)
+    x = F.floor((F.col("lon") + 180) / 360 * 512)
+    y = F.floor((1 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / math.pi) / 2 * 512)
+    return at.groupBy(x.alias("tile_x"), y.alias("tile_y")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+
+
+_NATIONS = "nb AS (SELECT n_nationkey AS key, -170.3e0 + n_nationkey * 12.7e0 AS west, -60.2e0 + (n_nationkey * 7 % 25) * 4.3e0 AS south FROM nation)"
+
+
+def _nation_boxes(spark, sf_dir) -> DataFrame:
+    """A box for each nation, as WKB built from its key."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k in pdf["key"]:
+                west, south = -170.3 + k * 12.7, -60.2 + (k * 7 % 25) * 4.3
+                rows.append(wkb.polygon([(west, south), (west + 20.0, south), (west + 20.0, south + 15.0), (west, south + 15.0)]))
+            yield pdf.assign(wkb=rows)
+
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key")).mapInPandas(run, "key long, wkb binary")
+
+
+def _centres_sql(depth: int) -> str:
+    n = 1 << depth
+    x = "list_reduce([(CAST(p AS BIGINT) >> (2 * i)) % 2 << i for i in range(0, 16)], lambda a, b: a + b)"
+    y = "list_reduce([(CAST(p AS BIGINT) >> (2 * i + 1)) % 2 << i for i in range(0, 16)], lambda a, b: a + b)"
+    return f"""pc AS (SELECT i + {4 * n * n} AS cell, i // {n * n} AS face, i % {n * n} AS p FROM range(0, {12 * n * n}) t(i)), pd AS (SELECT *, {x} AS x, {y} AS y FROM pc), pe AS (SELECT *, (face // 4 + 2) * {n} - x - y - 1 AS ring, CASE WHEN face // 4 = 1 THEN face % 4 * 2 ELSE face % 4 * 2 + 1 END AS turn FROM pd),
+pf AS (SELECT *, CASE WHEN ring < {n} THEN ring WHEN ring > {3 * n} THEN {4 * n} - ring ELSE {n} END AS side FROM pe),
+pg AS (SELECT cell, (turn * side + x - y) * 45e0 / side AS l, degrees(asin(CASE WHEN ring < {n} THEN 1 - side * side / {3.0 * n * n}e0 WHEN ring > {3 * n} THEN side * side / {3.0 * n * n}e0 - 1 ELSE ({2 * n} - ring) * {2.0 / (3.0 * n)!r}e0 END)) AS lat FROM pf), ph AS (SELECT cell, CASE WHEN l >= 180 THEN l - 360 ELSE l END AS lon, lat FROM pg)"""
+
+
+@query("polyfill_contains_centroid", f"WITH {_NATIONS}, {_centres_sql(5)} SELECT key, CAST(cell AS BIGINT) AS cell FROM nb JOIN ph ON lon > west AND lon < west + 20e0 AND lat > south AND lat < south + 15e0")
+def polyfill_contains_centroid(spark, sf_dir):
+    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5)
+
+
+@query("polyfill_covers")
+def polyfill_covers(spark, sf_dir):
+    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5, "covers")
+
+
+@query("polyfill_contains_boundary")
+def polyfill_contains_boundary(spark, sf_dir):
+    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5, "contains_boundary")
+
+
+@query("healpix_centres", f"WITH {HP}, u AS (SELECT DISTINCT cell >> 6 AS cell FROM c), {_centres_sql(5)} SELECT u.cell AS cell, {R('lon')} AS lng, {R('lat')} AS lat FROM u JOIN ph USING (cell)")
+def healpix_centres(spark, sf_dir):
+    u = samples(spark, sf_dir).select(healpix.cell_to_parent(F.col("cell"), DEPTH, 5).alias("cell")).distinct()
+    lon, lat = healpix.center(F.col("cell"), 5)
+    return u.select("cell", r6(lon).alias("lng"), r6(lat).alias("lat"))
+
+
+@query("stream_partial_states", f"WITH {HP} {_weighted_sql('c')}")
+def stream_partial_states(spark, sf_dir):
+    """The events table as a stream of files; micro-batches leave states that merge."""
+    path = scratch_path(spark, "stream")
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        px = batch.select(F.pmod("event_id", F.lit(WIDTH)).alias("col"), F.floor(F.col("event_id") / WIDTH).alias("row"), "value")
+        return healpix.with_cell(pixels.located(px, ORIGIN, SIZE), DEPTH)
+
+    stream.append_states(source, ["cell"], f"{path}/states", f"{path}/checkpoint", prepare)
+    return rounded(stream.merged_cells(spark, f"{path}/states", ["cell"]))
+
+
+@query("sql_cell_functions", f"WITH {HP}, u AS (SELECT cell, count(*) AS n FROM c GROUP BY cell) SELECT lower(to_hex(cell >> 4)) AS parent_hex, 6 AS parent_resolution, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL")
+def sql_cell_functions(spark, sf_dir):
+    """The registered SQL functions, as a user of SQL calls them."""
+    formats.register_sql(spark)
+    samples(spark, sf_dir).select("cell").createOrReplaceTempView("cell_samples")
+    return spark.sql("""
+        WITH p AS (SELECT healpix_cell_to_parent(cell, 6) AS parent, count(*) AS n FROM cell_samples GROUP BY cell HAVING healpix_is_valid(cell)),
+        h AS (SELECT healpix_to_string(parent) AS parent_hex, sum(n) AS n FROM p GROUP BY parent)
+        SELECT parent_hex, healpix_get_resolution(healpix_from_string(parent_hex)) AS parent_resolution, n FROM h""")
+
+
+@query("auto_resolution", "WITH n AS (SELECT max(event_id // 100) + 1 AS h FROM events), m AS (SELECT 5566e0 * 5566e0 * cos(radians(37.8e0 - 0.025e0 * h)) AS a FROM n), g AS (SELECT i AS depth, 5.100656217240886e14 / (12 * pow(4e0, i)) AS area FROM range(0, 30) t(i)) SELECT arg_min(depth, abs(ln(area / a))) AS depth FROM g, m")
+def auto_resolution(spark, sf_dir):
+    """The depth whose cells are nearest in area to a pixel at the raster's middle, by ratio."""
+    height = table(spark, sf_dir, "events").agg(F.max(F.floor(F.col("event_id") / WIDTH)) + 1).alias("h").toDF("h")
+    area = F.cos(F.radians(F.lit(37.8) - F.col("h") * 0.025)) * (5566.0 * 5566.0)
+    depths = F.array(*[F.struct(F.abs(F.log(F.lit(healpix.mean_area_m2(d)) / area)).alias("far"), F.lit(d).cast("long").alias("depth")) for d in range(30)])
+    return height.select(F.array_min(depths)["depth"].alias("depth"))
