@@ -115,11 +115,33 @@ def _groups(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.repeat(have, have)
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    tokens, nodes, _ = _gathered(table, np.uint32)
-    order, have = _groups(tokens, nodes)
-    ids, n = np.unique(nodes[order][have > 1], return_counts=True)
-    return pa.table({"node": pa.array(ids, pa.int64()), "shared": pa.array(n, pa.int64())})
+def _count_shared(owners: int):
+    """Of a fragment, how many shared shingles each class has, dealt to parts by class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, nodes, sizes = _gathered(table, np.uint32)
+        order, have = _groups(tokens, nodes)
+        kept = order[have > 1]
+        ids, first, n = np.unique(nodes[kept], return_index=True, return_counts=True)
+        size, part = sizes[kept][first], ids.view(np.uint64) % np.uint64(owners)
+        some = np.unique(part)
+        pick = [part == p for p in some]
+        return pa.table([pa.array(some.astype(np.int64)), *(pa.array([x[k].tobytes() for k in pick], pa.binary()) for x in (ids, size, n.astype(np.uint32)))], names=["part", "nodes", "sizes", "counts"])
+
+    return run
+
+
+def _enough(percent: int):
+    """Of a part, the classes that share as many shingles of their prefix as any with a partner would."""
+
+    def run(table: pa.Table) -> pa.Table:
+        read = lambda c, k: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), k)
+        nodes, sizes, counts = read("nodes", np.int64), read("sizes", np.uint32), read("counts", np.uint32)
+        ids, first, place = np.unique(nodes, return_index=True, return_inverse=True)
+        n, shared = sizes[first].astype(np.int64), np.bincount(place, weights=counts, minlength=len(ids))
+        return pa.table({"node": pa.array(ids[shared >= _extra(_needed(n, percent))], pa.int64())})
+
+    return run
 
 
 def _shared_tokens(owners: int):
@@ -175,14 +197,12 @@ def survivors(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Classes that may have a partner: node, n, prefix, tokens (shared shingles, rarest first), alone (how many others), bits."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     fragments = max(8, total // (2 * FRAGMENT))
-    first = docs.select("text").mapInArrow(_dealt(fragments, percent, True), _DEALT).groupBy("fragment").applyInArrow(_count_shared, "node long, shared long")
-    n = F.col("n")
-    least_partner = F.ceil(n * percent / 100)
-    asked = F.greatest(F.lit(1), F.floor(least_partner / 8))
-    maybe = cut(first.groupBy("node").agg(F.sum("shared").alias("shared")).join(classes, "node").filter(F.col("shared") >= asked).select("n", "rep_id", "rep_key"))
+    counted = docs.select("text").mapInArrow(_dealt(fragments, percent, True), _DEALT).groupBy("fragment").applyInArrow(_count_shared(fragments), "part long, nodes binary, sizes binary, counts binary")
+    enough = counted.groupBy("part").applyInArrow(_enough(percent), "node long")
+    maybe = cut(enough.join(classes, "node").select("n", "rep_id", "rep_key"))
     left = maybe.agg(F.sum("n")).first()[0] or 0
     same = F.col("d.doc_id").eqNullSafe(F.col("m.rep_id")) & (F.col("d.text_key") == F.col("m.rep_key"))
-    texts = docs.alias("d").join(maybe.alias("m"), same, "left_semi")
+    texts = docs.alias("d").join(maybe.hint("merge").alias("m"), same, "left_semi")  # grows with the documents: never broadcast
     fragments, parts = max(8, left // FRAGMENT), max(8, left // FRAGMENT)
     dealt = texts.select("text").mapInArrow(_dealt(fragments, percent, False), _DEALT)
     shared = dealt.groupBy("fragment").applyInArrow(_shared_tokens(parts), "part long, tokens binary, nodes binary, sizes binary, have binary")
@@ -192,14 +212,31 @@ def survivors(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def overlaps(pairs: DataFrame, sets: DataFrame, parts: int = PARTS) -> DataFrame:
     """Pairs (a, b) with the sizes na, nb and overlap of their sets (node, n, tokens): counted by fragment, then summed."""
     fragment = lambda k: F.filter("tokens", lambda t: F.pmod(t, F.lit(parts)) == k)
-    cuts = F.posexplode(F.array(*[fragment(k) for k in range(parts)])).alias("part", "tokens")
-    pieces = sets.select("node", "n", cuts)
-    one = pairs.join(pieces.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta")), "a")
-    two = one.join(pieces.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb")), ["b", "part"])
+    pieces = sets.select("node", "n", F.posexplode(F.array(*[fragment(k) for k in range(parts)])).alias("part", "tokens"))
+    # both joins deal the pieces alike, so that they are shuffled once
+    dealt = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    one = dealt.hint("merge").join(pieces.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta")), ["a", "part"])
+    two = one.hint("merge").join(pieces.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb")), ["b", "part"])
     partial = two.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the bitmaps of their sets don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, alone = (batch.column(k).to_numpy() for k in range(4))
+            one, two = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), np.uint8).reshape(len(a), BITMAP // 8) for k in (4, 5))
+            apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) + alone
+            near = apart * (100 + percent) <= n * (100 - percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
+
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("alone").alias(f"u{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", F.col("na") + F.col("nb"), F.col("ua") + F.col("ub"), "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def _close(percent: int):
     """Of each unit's members, those pairs of different components whose sets may still be similar: node and its partners.
 
@@ -253,7 +290,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, entries: DataFrame |
     hubs = entries.groupBy("token").agg(F.count("*").alias("k"), *[rank(t) for t in range(HUBS)]).filter("k > 1")
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{t}.node").alias("node"), F.col(f"h{t}.n").alias("n")) for t in range(HUBS)]))).alias("h"))
     met = entries.join(hubs, "token").filter((F.col("node") != F.col("h.node")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
-    links = _links(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), sets, percent)
+    links = _links(_bounded(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), sets, percent), sets, percent)
     labels = cut(components(links))
     # what hubs have not settled: entries whose members are in several components
     now = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
