@@ -56,12 +56,16 @@ _STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0
 
 
 def with_cell(rows: DataFrame, depth: int, lon: str = "lon", lat: str = "lat", out: str = "cell") -> DataFrame:
-    """Adds lonlat_to_cell as a column, in steps that name what is used twice: generated code stays small, and is all arithmetic."""
+    """Adds lonlat_to_cell as a column; rows outside the globe are left out.
+
+    Steps name what is used twice, so that generated code stays small and is all arithmetic. The column can't be null, so no
+    test for that is pushed down through the steps, which would undo them.
+    """
     if not 0 <= depth <= MAX_DEPTH:
         return rows.withColumn(out, F.lit(None).cast("long"))
     n = 1 << depth
     c = F.col
-    at = rows.withColumns({"_z": F.sin(F.radians(c(lat))), "_t": F.pmod(c(lon), F.lit(360.0)) / 90.0})
+    at = rows.filter(indexable(c(lon), c(lat))).withColumns({"_z": F.sin(F.radians(c(lat))), "_t": F.pmod(c(lon), F.lit(360.0)) / 90.0})
     at = at.withColumns({"_p": F.floor((c("_t") + 0.5) * n - c("_z") * (0.75 * n)), "_m": F.floor((c("_t") + 0.5) * n + c("_z") * (0.75 * n)), "_k": F.least(_long(3), F.floor("_t")), "_s": F.sqrt(F.greatest((1 - F.abs("_z")) * 3, F.lit(0.0))) * n, "_b": F.abs("_z") <= 2.0 / 3.0})
     at = at.withColumns({"_fp": F.shiftright("_p", depth), "_fm": F.shiftright("_m", depth), "_cp": F.least(_long(n - 1), F.floor((c("_t") - c("_k")) * c("_s"))), "_cm": F.least(_long(n - 1), F.floor((1 - (c("_t") - c("_k"))) * c("_s")))})
     band = F.when(c("_fp") == c("_fm"), F.when(c("_fp") == 4, _long(4)).otherwise(c("_fp") + 4)).when(c("_fp") < c("_fm"), c("_fp")).otherwise(c("_fm") + 8)
@@ -73,8 +77,7 @@ def with_cell(rows: DataFrame, depth: int, lon: str = "lon", lat: str = "lat", o
     for shift, mask in _STEPS[max(0, 4 - max(depth - 1, 0).bit_length()) :]:
         at = at.withColumns({v: c(v).bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(_long(mask)) for v in ("_x", "_y")})
     cell = c("_f") * (n * n) + c("_x").bitwiseOR(F.shiftleft("_y", 1)) + 4 * n * n
-    done = at.withColumn(out, F.when(indexable(c(lon), c(lat)), cell))
-    return done.drop("_z", "_t", "_p", "_m", "_k", "_s", "_b", "_fp", "_fm", "_cp", "_cm", "_f", "_x", "_y")
+    return at.withColumn(out, F.coalesce(cell, _long(0))).drop("_z", "_t", "_p", "_m", "_k", "_s", "_b", "_fp", "_fm", "_cp", "_cm", "_f", "_x", "_y")
 
 
 def resolution(cell: Column) -> Column:
