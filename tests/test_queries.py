@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -25,7 +26,7 @@ def duck():
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("" if x is None or x != x else round(float(x), 5) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r))
+        out.append(tuple("" if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r))
     return sorted(out, key=str)
 
 
