@@ -460,18 +460,28 @@ def compact_siblings(spark, sf_dir):
 
 # --- mosaics ---------------------------------------------------------------------------------------------------------
 
+# The SQL stops at rows 156 and 136 of the two tables, which hold all rows up to sf0.01; the queries take every row.
 _TILES = [dict(west=-122.45, south=30.0, east=-117.45, north=37.8), dict(west=-120.45, south=30.0, east=-114.2, north=36.8)]
 _MOSAIC = f"""t0 AS (SELECT 0 AS tile, value, lon, lat FROM ev WHERE row < 156), od AS (SELECT o_orderkey % 125 AS col, o_orderkey // 125 AS row, o_totalprice / 1000e0 AS value FROM orders),
 t1 AS (SELECT 1 AS tile, value, (col + 0.5e0) * 0.05e0 + -120.45e0 AS lon, 36.8e0 - (row + 0.5e0) * 0.05e0 AS lat FROM od WHERE row < 136), mo AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1)"""
 
 
+def _orders(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(125)).alias("col"), F.floor(F.col("o_orderkey") / 125).alias("row"), (F.col("o_totalprice") / 1000).alias("value"))
+
+
 def _tiles(spark, sf_dir) -> DataFrame:
-    one = pixels.located(events(spark, sf_dir).filter("row < 156"), ORIGIN, SIZE).select(F.lit(0).alias("tile"), "value", "lon", "lat")
-    o = table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(125)).alias("col"), F.floor(F.col("o_orderkey") / 125).alias("row"), (F.col("o_totalprice") / 1000).alias("value"))
-    two = pixels.located(o.filter("row < 136"), (-120.45, 36.8), SIZE).select(F.lit(1).alias("tile"), "value", "lon", "lat")
+    one = pixels.located(events(spark, sf_dir), ORIGIN, SIZE).select(F.lit(0).alias("tile"), "value", "lon", "lat")
+    two = pixels.located(_orders(spark, sf_dir), (-120.45, 36.8), SIZE).select(F.lit(1).alias("tile"), "value", "lon", "lat")
     return one.unionByName(two)
 
 
+def _footprints(spark, sf_dir) -> list[dict]:
+    """_TILES, each with its southern edge moved down as far as the table's greatest row needs."""
+    heights = [df.agg(F.max("row") + 1).first()[0] or 0 for df in (events(spark, sf_dir), _orders(spark, sf_dir))]
+    return [t | {"south": min(t["south"], t["north"] - h * SIZE[1])} for t, h in zip(_TILES, heights, strict=True)]
+
+
 def _holds(k: int) -> str:
     t = _TILES[k]
     return f"(lon BETWEEN {t['west']}e0 AND {t['east']}e0 AND lat BETWEEN {t['south']}e0 AND {t['north']}e0)"
@@ -488,7 +498,7 @@ _OWNER = {"first": f"CASE WHEN {_holds(0)} THEN 0 WHEN {_holds(1)} THEN 1 END",
 
 def _overlapped(rule: str):
     def run(spark, sf_dir):
-        s = healpix.with_cell(mosaic.owned(_tiles(spark, sf_dir), _TILES, rule), DEPTH)
+        s = healpix.with_cell(mosaic.owned(_tiles(spark, sf_dir), _footprints(spark, sf_dir), rule), DEPTH)
         return rounded(continuous.unit_statistics(s, ["cell"]))
 
     return run
