@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is scanned as it stands. Parts that look encoded (percent escapes, \\u escapes, base64, and base64 or hexadecimal
-of gzip or zlib streams) are decoded and put on a worklist as layers of their own, until nothing new decodes; a layer whose
-text was seen before in the same document is not scanned twice, so cycles end. A layer keeps for each of its characters the
-place in the original text that it came from, and findings are reported there.
+of gzip or zlib streams) are decoded and put on a worklist as layers of their own, until nothing new decodes. A layer keeps for each of its characters the place in the original text that it came from, and
+findings are reported there; a layer with the text and places of another is not scanned twice, so cycles end, while the same
+text from elsewhere in the document is.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ _BEFORE, _AFTER = re.compile(r"(?:\S+[^\S\n]+){0,2}\S*\Z"), re.compile(r"\S*")
 def layers(text: str) -> Iterator[Layer]:
     """The text's decoded layers. Each has the words around the decoded part too, for patterns that reach over its edges."""
     work: list[Layer] = [(text, range(len(text)), range(1, len(text) + 1), 0, len(text))]
-    seen = {text}
+    seen: set[tuple] = set()
     while work:
         parent, begins, ends, first, last = work.pop()
         for pattern, decode, sign in _CODECS:
@@ -151,12 +151,13 @@ def layers(text: str) -> Iterator[Layer]:
                 lo = m.start() - len(_BEFORE.search(parent[max(0, m.start() - 256) : m.start()])[0])
                 hi = _AFTER.match(parent, m.end()).end()
                 inner = parent[lo : m.start()] + got[0] + parent[m.end() : hi]
-                if inner in seen:
-                    continue
-                seen.add(inner)
                 b = [*begins[lo : m.start()], *(begins[m.start() + i] for i in got[1]), *begins[m.end() : hi]]
                 e = [*ends[lo : m.start()], *(ends[m.start() + i - 1] for i in got[2]), *ends[m.end() : hi]]
-                work.append((inner, b, e, m.start() - lo, m.start() - lo + len(got[0])))
+                at = m.start() - lo
+                if (key := (inner, tuple(b), tuple(e), at)) in seen:
+                    continue
+                seen.add(key)
+                work.append((inner, b, e, at, at + len(got[0])))
                 yield work[-1]
 
 

@@ -1,0 +1,30 @@
+"""Decoded layers that repeat, and layers of other than plain characters."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import urllib.parse
+import zlib
+
+import pytest
+
+from cellmosaic.llm import secrets
+
+SECRET = "secret: abcdefghijklmnop1234"
+
+
+def b64(x: bytes) -> str:
+    return base64.b64encode(x).decode()
+
+
+def assigned(text: str) -> list[tuple[int, int]]:
+    return [(s, t) for s, kind, t in secrets.find(text)[1] if kind == "assign"]
+
+
+@pytest.mark.parametrize("run", [b64(SECRET.encode()), b64(gzip.compress(SECRET.encode())), "%73ecret:abcdefghijklmnop1234", b64(b64(b"x " + SECRET.encode()).encode())])
+def test_every_place_of_a_repeated_layer(run):
+    line = f"see {run} end\n"
+    one = assigned(line)
+    assert len(one) == 1
+    assert assigned(line * 3) == [(k * len(line) + s, k * len(line) + t) for k in range(3) for s, t in one]
