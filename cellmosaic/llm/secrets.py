@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -32,6 +32,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+/=:&?-])*%[0-9A-Fa-f]{2
 _ESCAPES = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){18,}")
+_STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+_BROKEN = re.compile("[\udc80-\udcff]")
+#: Bare base64 counts as text if at least this share of its characters is readable.
+READABLE = 0.75
 
 #: Text; for each character where its origin begins and ends; where the decoded part begins and ends.
 Layer = tuple[str, Sequence[int], Sequence[int], int, int]
@@ -49,27 +53,34 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _text(data: bytes) -> str | None:
-    """Decoded bytes as text, if they are printable UTF-8."""
-    try:
-        out = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return out if out and all(c.isprintable() or c in "\t\n\r" for c in out) else None
+def _text(data: bytes) -> str:
+    """Bytes as text of UTF-8; each byte that is none is a lone surrogate."""
+    return data.decode("utf-8", "surrogateescape")
 
 
-def _inflated(data: bytes) -> str | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return _text(gzip.decompress(data))
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return _text(zlib.decompress(data))
-    except (OSError, EOFError, zlib.error):
-        pass
-    return None
+def _readable(text: str) -> bool:
+    """Whether most of a text is characters that texts have, so that words which only look like base64 are let be."""
+    return sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= READABLE * len(text)
+
 
+def _inflated(data: bytes | memoryview) -> tuple[str, int] | None:
+    """The text of the gzip or zlib stream that data begins with, and how many bytes the stream takes."""
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b" or (not out and rest[:1] == b"\x78" and len(rest) > 2 and (rest[0] << 8 | rest[1]) % 31 == 0):
+        stream = zlib.decompressobj(47)
+        try:
+            part = stream.decompress(rest)
+        except zlib.error:
+            break
+        if not stream.eof:
+            break
+        out.append(part)
+        rest = stream.unused_data
+    text = b"".join(out).decode("utf-8", "replace")
+    return (text, len(data) - len(rest)) if text else None
 
-def _percent(run: str) -> tuple[str, list[int], list[int]] | None:
+
+def _percent(run: str) -> tuple[str, list[int], list[int]]:
     data, begins, ends, i = bytearray(), [], [], 0
     while i < len(run):
         step = 3 if run[i] == "%" else 1
@@ -77,19 +88,30 @@ def _percent(run: str) -> tuple[str, list[int], list[int]] | None:
         begins.append(i)
         ends.append(i + step)
         i += step
-    out = _text(bytes(data))
-    return None if out is None else _by_bytes(out, begins, ends)
-
-
-def _by_bytes(text: str, begins: list[int], ends: list[int]) -> tuple[str, list[int], list[int]]:
-    """From the origin of each byte to that of each character."""
+    texts, b, e, at = [], [], [], 0
+    # compressed streams may begin after a name, as in ?data=%1F%8B
+    for m in _STREAM.finditer(data):
+        if m.start() < at or (got := _inflated(memoryview(data)[m.start() :])) is None:
+            continue
+        until = m.start() + got[1]
+        for text, bs, es in (_by_bytes(_text(bytes(data[at : m.start()])), begins[at : m.start()], ends[at : m.start()]), (got[0], [begins[m.start()]] * len(got[0]), [ends[until - 1]] * len(got[0]))):
+            texts.append(text)
+            b += bs
+            e += es
+        at = until
+    text, bs, es = _by_bytes(_text(bytes(data[at:])), begins[at:], ends[at:])
+    return "".join([*texts, text]), b + bs, e + es
+
+
+def _by_bytes(text: str, begins: Sequence[int], ends: Sequence[int]) -> tuple[str, list[int], list[int]]:
+    """From the origin of each byte to that of each character; bytes that are no text become U+FFFD."""
     b, e, at = [], [], 0
     for c in text:
-        n = len(c.encode())
+        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
         b.append(begins[at])
         e.append(ends[at + n - 1])
         at += n
-    return text, b, e
+    return _BROKEN.sub("\ufffd", text), b, e
 
 
 def _base64(run: str) -> tuple[str, list[int], list[int]] | None:
@@ -100,9 +122,9 @@ def _base64(run: str) -> tuple[str, list[int], list[int]] | None:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    if (out := _inflated(data)) is not None:
-        return out, [0] * len(out), [len(run)] * len(out)
-    if (out := _text(data)) is None:
+    if (got := _inflated(data)) is not None:
+        return got[0], [0] * len(got[0]), [len(run)] * len(got[0])
+    if not _readable(out := _text(data)):
         return None
     n = len(data)
     return _by_bytes(out, [k * 4 // 3 for k in range(n)], [min(len(body), -(-(k + 1) * 4 // 3)) for k in range(n)])
@@ -121,8 +143,8 @@ def _escapes(run: str) -> tuple[str, list[int], list[int]] | None:
 
 
 def _hex(run: str) -> tuple[str, list[int], list[int]] | None:
-    out = _inflated(bytes.fromhex(run))
-    return None if out is None else (out, [0] * len(out), [len(run)] * len(out))
+    got = _inflated(bytes.fromhex(run))
+    return None if got is None else (got[0], [0] * len(got[0]), [len(run)] * len(got[0]))
 
 
 def _dense(run: str) -> tuple[str, list[int], list[int]] | None:
@@ -130,7 +152,24 @@ def _dense(run: str) -> tuple[str, list[int], list[int]] | None:
 
 
 _CODECS = ((_PERCENT, _percent, "%"), (_ESCAPES, _escapes, "\\u"), (_BASE64, _dense, ""))
-_BEFORE, _AFTER = re.compile(r"(?:\S+[^\S\n]+){0,2}\S*\Z"), re.compile(r"\S*")
+_AFTER = re.compile(r"\S*")
+
+
+def _before(text: str, at: int) -> int:
+    """Where the word around that place begins, or up to two words before it in the same line."""
+    lo = at
+    while lo and not text[lo - 1].isspace():
+        lo -= 1
+    for _ in range(2):
+        gap = lo
+        while gap and text[gap - 1] != "\n" and text[gap - 1].isspace():
+            gap -= 1
+        if gap == lo or not gap or text[gap - 1] == "\n":
+            break
+        lo = gap
+        while lo and not text[lo - 1].isspace():
+            lo -= 1
+    return lo
 
 
 def layers(text: str) -> Iterator[Layer]:
@@ -148,7 +187,7 @@ def layers(text: str) -> Iterator[Layer]:
                 got = decode(m[0])
                 if got is None or got[0] == m[0]:
                     continue
-                lo = m.start() - len(_BEFORE.search(parent[max(0, m.start() - 256) : m.start()])[0])
+                lo = _before(parent, m.start())
                 hi = _AFTER.match(parent, m.end()).end()
                 inner = parent[lo : m.start()] + got[0] + parent[m.end() : hi]
                 b = [*begins[lo : m.start()], *(begins[m.start() + i] for i in got[1]), *begins[m.end() : hi]]
@@ -177,7 +216,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     The counts and base_sha256 are of the text as it stands; spans adds what decoded layers show. Null texts count as empty,
     with counts of 0 and empty spans. Rows are independent, so repeated and null ids change nothing; other columns are not
-    read. Nothing is capped: a stream that inflates to more than a worker's memory fails its task.
+    read. Bare base64 is taken for text if three quarters of its characters are readable; other layers have no such test. Nothing is
+    capped: a stream that inflates to more than a worker's memory fails its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

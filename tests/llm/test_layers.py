@@ -28,3 +28,34 @@ def test_every_place_of_a_repeated_layer(run):
     one = assigned(line)
     assert len(one) == 1
     assert assigned(line * 3) == [(k * len(line) + s, k * len(line) + t) for k in range(3) for s, t in one]
+
+
+ODD = [" ", "　", "‍", "­", "\0", "\f"]
+
+
+@pytest.mark.parametrize("odd", [*(c.encode() for c in ODD), b"\xe9"])
+def test_layers_of_other_characters(odd):
+    inner = "mot de passe 電 ".encode() + odd + b" " + SECRET.encode()
+    quoted = "".join(f"%{c:02X}" for c in inner)
+    for run in (b64(inner), b64(gzip.compress(inner)), b64(zlib.compress(inner)), gzip.compress(inner).hex(), quoted):
+        found = assigned(f"before {run} after")
+        assert found and all(7 <= s < t <= 7 + len(run) for s, t in found), run
+    # places stay exact after bytes that are no text
+    begin, end = 7 + 3 * inner.index(b"secret"), 7 + len(quoted)
+    assert assigned(f"before {quoted} after") == [(begin, end)]
+
+
+def test_compressed_bytes_in_percent_escapes():
+    for packed in (gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()), gzip.compress(b"x ") + gzip.compress(SECRET.encode())):
+        quoted = urllib.parse.quote(packed, safe="")
+        assert assigned(f"see {quoted} end") == [(4, 4 + len(quoted))]
+        assert assigned(f"see https://a.b/?data={quoted}&n=1 end") == [(22, 22 + len(quoted))]
+
+
+def test_a_span_begins_far_to_the_left():
+    text = "a b secret=" + "k" * 400 + "\\u0041\\u0042c d"
+    assert (4, len(text) - 2) in assigned(text)
+
+
+def test_words_that_look_like_base64_are_let_be():
+    assert secrets._base64("internationalization") is None and secrets.find("secret=abcdefghijkl.internationalization")[1] == [(0, "assign", 40)]
