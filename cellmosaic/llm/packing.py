@@ -8,11 +8,8 @@ within their length and looks each up in the plan's runs.
 
 from __future__ import annotations
 
-import base64
 import os
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,41 +22,29 @@ from pyspark.sql import functions as F
 from cellmosaic.llm.common import cut
 
 CAPACITY = 2048
-#: Texts on which a faster encoder of the same vocabulary must agree before it is used.
-_PROBES = ("", " ", "Plain words, and  two spaces.\n\n\tTabs", "naïve café don't 123abc!? ½", "日本語 \u3000 x\x1c y\x85z", "😀 e\u0301 a\u200bb", "http://x.y/?a=b&c=%20")
+#: Characters of text that are encoded at a time, or one longer text.
+ENCODED = 1 << 20
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer file decides the ids. If the same vocabulary lies beside it as ranks (.tiktoken), that library encodes,
-    which is four times as fast; it is used only if it agrees on the probes. Texts with a special token's string are always
-    encoded by the tokenizer itself.
-    """
+    """Ids of texts, each followed by id 0, as little-endian unsigned 32-bit integers; no special tokens are added."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks):
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            if all(fast.encode_ordinary(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in _PROBES):
-                self.fast = fast
-
-    def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(t in text for t in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= ENCODED):
+                size += len(texts[j])
+                j += 1
+            # without offsets, which nothing here needs
+            for found in self.tokenizer.encode_batch_fast(texts[i:j], add_special_tokens=False):
+                yield np.array([*found.ids, 0], dtype="<u4")
+            i = j
 
 
 _encoders: dict[str, Encoder] = {}
@@ -85,12 +70,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
         encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(value.as_py() or "") + b"\0\0\0\0"
-                n = len(ids) // 4
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for name, x in zip(out, (key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
+                    for name, x in zip(out, (key, k, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
@@ -237,6 +222,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of the documents (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Rows are independent: null ids stay null, repeated rows are packed once each, null and empty texts are one piece of one
+    token, other columns are not read, and an empty table gives no rows.
+    """
     return pack(cut_pieces(docs, tokenizer, capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -249,6 +249,30 @@ def test_packing(table):
     assert packing.pack_documents(table([])).count() == 0
 
 
+def test_odd_rows_packing(odd, empty, table):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    rows = odd.collect()
+    got = packing.pack_documents(odd).collect()
+    count = lambda pairs: sorted(pairs, key=str)
+    totals = defaultdict(int)
+    for r in rows:
+        totals[r["doc_id"]] += len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    found = defaultdict(int)
+    for r in got:
+        found[r["doc_id"]] += r["length"]
+    assert found == totals and count(r["doc_id"] for r in got if r["piece"] == 0) == count(r["doc_id"] for r in rows)
+    assert packing.pack_documents(empty).count() == 0
+    long = [" " * 1_000_000 + "x", "word" * 250_000, "\u3000" * 100_000]
+    got = packing.cut_pieces(table([(k, t, "a") for k, t in enumerate(long)])).collect()
+    for k, t in enumerate(long):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for r in (r for r in got if r["doc_id"] == k):
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        assert sum(r["length"] for r in got if r["doc_id"] == k) == len(ids)
+
+
 def test_packing_plan_against_the_optimum():
     rng = random.Random(1)
 
