@@ -1,21 +1,29 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned as it stands. Parts that look encoded (percent escapes, \\u escapes, base64, and base64 or hexadecimal
-of gzip or zlib streams) are decoded and put on a worklist as layers of their own, until nothing new decodes. A layer keeps for each of its characters the place in the original text that it came from, and
-findings are reported there; a layer with the text and places of another is not scanned twice, so cycles end, while the same
-text from elsewhere in the document is.
+Each text is scanned as it stands. Parts that look encoded (percent and \\u escapes, base64, and base64, hexadecimal or
+percent-coded bytes of compressed streams) are decoded, all parts of one kind into one layer, which goes on a worklist until
+nothing new decodes. A layer holds the decoded parts and the words around them, and for each character the place in the original
+text that it came from; findings are reported there. A layer with the text and places of another is not scanned twice, so cycles
+end, while the same text from elsewhere in the document is.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bz2
+import codecs
 import hashlib
+import itertools
+import lzma
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +36,47 @@ KINDS = {
 }
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 _WORDS = re.compile(r"(?ai:passw|secret|token|api_?key)")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+/=:&?-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+/=:&?-])*")
-_ESCAPES = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
+#: A percent sign that is itself escaped any number of times (%2525...) is unwrapped in one step.
+_PERCENT = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}")
+_URL = re.compile(r"[A-Za-z0-9._~+/=:&?%-]+")
+_ESCAPES = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2})+")
+_ESCAPE = re.compile(r"\\[ux]([0-9a-fA-F]+?)(?=\\|\Z)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){18,}")
-_STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+#: How compressed streams begin: gzip, zlib, bzip2, xz.
+_STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\0")
 _BROKEN = re.compile("[\udc80-\udcff]")
+_WORD = re.compile(r"\S*")
+_AFTER = re.compile(r"\S*(?:\x20+\S+){0,2}")
 #: Bare base64 counts as text if at least this share of its characters is readable.
 READABLE = 0.75
+#: Unpacked streams of more bytes are scanned in windows of as many characters, of which neighbours share OVERLAP.
+WINDOW, OVERLAP = 4 << 20, 1 << 16
+#: xz streams that ask for more memory are not unpacked.
+XZ_MEMORY = 256 << 20
 
-#: Text; for each character where its origin begins and ends; where the decoded part begins and ends.
-Layer = tuple[str, Sequence[int], Sequence[int], int, int]
+
+class Layer(NamedTuple):
+    """Text; where the origin of each character begins and ends (None: the text is the original); its decoded parts, ascending."""
+
+    text: str
+    begins: np.ndarray | None
+    ends: np.ndarray | None
+    fresh: list[tuple[int, int]]
+
+
+class Piece(NamedTuple):
+    """A decoded part of a layer: its place, its text, the place of each character from the part's begin, and kinds known to be in it.
+
+    Without places all characters come from the whole part.
+    """
+
+    start: int
+    end: int
+    text: str
+    begins: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    kinds: frozenset[str] = frozenset()
 
 
 def scan(text: str) -> list[tuple[int, str, int]]:
@@ -53,158 +91,362 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _text(data: bytes) -> str:
-    """Bytes as text of UTF-8; each byte that is none is a lone surrogate."""
-    return data.decode("utf-8", "surrogateescape")
-
-
 def _readable(text: str) -> bool:
     """Whether most of a text is characters that texts have, so that words which only look like base64 are let be."""
-    return sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= READABLE * len(text)
+    return text.isprintable() or sum(c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf" for c in text) >= READABLE * len(text)
 
 
-def _inflated(data: bytes | memoryview) -> tuple[str, int] | None:
-    """The text of the gzip or zlib stream that data begins with, and how many bytes the stream takes."""
-    out, rest = [], data
-    while rest[:2] == b"\x1f\x8b" or (not out and rest[:1] == b"\x78" and len(rest) > 2 and (rest[0] << 8 | rest[1]) % 31 == 0):
-        stream = zlib.decompressobj(47)
-        try:
-            part = stream.decompress(rest)
-        except zlib.error:
-            break
-        if not stream.eof:
+def _by_bytes(data: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Bytes as text of UTF-8, and from the origin of each byte that of each character; bytes that are no text become U+FFFD."""
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data):
+        return _BROKEN.sub("\ufffd", text), begins, ends
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.where((point < 0x80) | ((point >= 0xDC80) & (point <= 0xDCFF)), 1, np.where(point < 0x800, 2, np.where(point < 0x10000, 3, 4)))
+    until = np.cumsum(size)
+    return _BROKEN.sub("\ufffd", text), begins[until - size], ends[until - 1]
+
+
+# --- compressed streams ----------------------------------------------------------------------------------------------
+
+
+def _unpacker(head: bytes):
+    """What unpacks a stream that begins like this; None if it is none."""
+    if head[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if head[:1] == b"x" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh" and head[4:10] == b"1AY&SY":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+    return None
+
+
+class _Unpacked:
+    """The streams, one after the other, that chunks of bytes begin with, unpacked a bounded chunk at a time.
+
+    `used` counts the bytes of streams, `good` tells whether they count: zlib's head of two bytes is weak, so such a stream must
+    come to its end; of the others what there is counts.
+    """
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.used, self.good, self.fed = source, 0, False, 0
+
+    def _more(self) -> bytes:
+        more = next(self.source, b"")
+        self.fed += len(more)
+        return more
+
+    def __iter__(self) -> Iterator[bytes]:
+        held = b""
+        while True:
+            while len(held) < 10 and (more := self._more()):
+                held += more
+            if (stream := _unpacker(held)) is None:
+                return
+            self.good |= held[:1] != b"x"
+            try:
+                while not stream.eof:
+                    part = stream.decompress(held, 1 << 20)
+                    held = getattr(stream, "unconsumed_tail", b"")
+                    if part:
+                        yield part
+                    elif not held and getattr(stream, "needs_input", True) and not (held := self._more()):
+                        self.used = self.fed
+                        return
+            except (zlib.error, lzma.LZMAError, OSError, EOFError):
+                self.used = self.used or self.fed
+                return
+            held = stream.unused_data
+            self.good, self.used = True, self.fed - len(held)
+
+
+def _in_windows(chunks: Iterator[bytes]) -> tuple[str, frozenset[str]]:
+    """Head and tail of a long stream's text, and the kinds found in it, streams in it included. Equal windows are scanned once."""
+    first = next(chunks, b"")
+    while _unpacker(first[:10]) and next(iter(_Unpacked(iter([first]))), b""):
+        chunks = iter(_Unpacked(itertools.chain([first], chunks)))
+        first = next(chunks, b"")
+    decoder, head, held, kinds, seen = codecs.getincrementaldecoder("utf-8")("replace"), "", "", set(), set()
+    for part in itertools.chain([first], chunks):
+        held += decoder.decode(part)
+        head = head or held[:OVERLAP]
+        if len(held) >= WINDOW:
+            if (key := hashlib.blake2b(held.encode("utf-8", "replace"), digest_size=16).digest()) not in seen:
+                seen.add(key)
+                kinds |= {kind for _, kind, _ in find(held)[1]}
+            held = held[-OVERLAP:]
+    kinds |= {kind for _, kind, _ in find(held)[1]}
+    return f"{head}\n{held[-OVERLAP:]}", frozenset(kinds)
+
+
+def _unpacked(data: bytes, start: int = 0) -> tuple[str, frozenset[str], int] | None:
+    """The text in the streams that data has from a place on, streams in streams unwrapped; kinds in it if it is long; bytes used."""
+    seen, used = set(), 0
+    while _unpacker(data[start : start + 10]):
+        stream = _Unpacked(data[k : k + (1 << 16)] for k in range(start, len(data), 1 << 16))
+        chunks, parts, size = iter(stream), [], 0
+        for part in chunks:
+            parts.append(part)
+            size += len(part)
+            if size > WINDOW:
+                text, kinds = _in_windows(itertools.chain(parts, chunks))
+                return text, kinds, used or stream.used or len(data) - start
+        if not parts or not stream.good:
             break
-        out.append(part)
-        rest = stream.unused_data
-    text = b"".join(out).decode("utf-8", "replace")
-    return (text, len(data) - len(rest)) if text else None
-
-
-def _percent(run: str) -> tuple[str, list[int], list[int]]:
-    data, begins, ends, i = bytearray(), [], [], 0
-    while i < len(run):
-        step = 3 if run[i] == "%" else 1
-        data += bytes([int(run[i + 1 : i + 3], 16)]) if step == 3 else run[i].encode()
-        begins.append(i)
-        ends.append(i + step)
-        i += step
-    texts, b, e, at = [], [], [], 0
-    # compressed streams may begin after a name, as in ?data=%1F%8B
-    for m in _STREAM.finditer(data):
-        if m.start() < at or (got := _inflated(memoryview(data)[m.start() :])) is None:
-            continue
-        until = m.start() + got[1]
-        for text, bs, es in (_by_bytes(_text(bytes(data[at : m.start()])), begins[at : m.start()], ends[at : m.start()]), (got[0], [begins[m.start()]] * len(got[0]), [ends[until - 1]] * len(got[0]))):
-            texts.append(text)
-            b += bs
-            e += es
-        at = until
-    text, bs, es = _by_bytes(_text(bytes(data[at:])), begins[at:], ends[at:])
-    return "".join([*texts, text]), b + bs, e + es
-
-
-def _by_bytes(text: str, begins: Sequence[int], ends: Sequence[int]) -> tuple[str, list[int], list[int]]:
-    """From the origin of each byte to that of each character; bytes that are no text become U+FFFD."""
-    b, e, at = [], [], 0
-    for c in text:
-        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-        b.append(begins[at])
-        e.append(ends[at + n - 1])
-        at += n
-    return _BROKEN.sub("\ufffd", text), b, e
-
-
-def _base64(run: str) -> tuple[str, list[int], list[int]] | None:
-    body = run.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return None
+        used, start, data = used or stream.used, 0, b"".join(parts)
+        if (key := hashlib.blake2b(data, digest_size=16).digest()) in seen:
+            break  # a stream that unpacks to itself
+        seen.add(key)
+    return (data.decode("utf-8", "replace"), frozenset(), used) if used else None
+
+
+def _deflated(data: bytes) -> tuple[str, frozenset[str]] | None:
+    """The text of a deflate stream without head; as that could be anything, it must fill data and be readable."""
+
+    def chunks(stream) -> Iterator[bytes]:
+        held = data
+        while not stream.eof and (part := stream.decompress(held, 1 << 20)):
+            yield part
+            held = stream.unconsumed_tail
+
+    stream, first, size = zlib.decompressobj(-15), b"", 0
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
+        for part in chunks(stream):
+            first, size = first or part, size + len(part)
+    except zlib.error:
         return None
-    if (got := _inflated(data)) is not None:
-        return got[0], [0] * len(got[0]), [len(run)] * len(got[0])
-    if not _readable(out := _text(data)):
+    if not stream.eof or stream.unused_data or size < 8 or not _readable(first.decode("utf-8", "surrogateescape")):
         return None
-    n = len(data)
-    return _by_bytes(out, [k * 4 // 3 for k in range(n)], [min(len(body), -(-(k + 1) * 4 // 3)) for k in range(n)])
+    if size > WINDOW:
+        return _in_windows(chunks(zlib.decompressobj(-15)))
+    return b"".join(chunks(zlib.decompressobj(-15))).decode("utf-8", "replace"), frozenset()
 
 
-def _escapes(run: str) -> tuple[str, list[int], list[int]] | None:
-    units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
-    out, b, e, i = [], [], [], 0
-    while i < len(units):
-        pair = 0xD800 <= units[i] < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000
-        out.append(chr(0x10000 + (units[i] - 0xD800 << 10) + units[i + 1] - 0xDC00) if pair else chr(units[i]))
-        b.append(6 * i)
-        i += 1 + pair
-        e.append(6 * i)
-    return "".join(out), b, e
+# --- codecs: pieces of a layer that decode ---------------------------------------------------------------------------
 
 
-def _hex(run: str) -> tuple[str, list[int], list[int]] | None:
-    got = _inflated(bytes.fromhex(run))
-    return None if got is None else (got[0], [0] * len(got[0]), [len(run)] * len(got[0]))
+def _touches(fresh: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a stretch overlaps one of the ascending parts."""
+    k = bisect_left(fresh, (end,)) - 1
+    return k >= 0 and fresh[k][1] > start
 
 
-def _dense(run: str) -> tuple[str, list[int], list[int]] | None:
-    return (_HEX.fullmatch(run) and _hex(run)) or _base64(run)
-
-
-_CODECS = ((_PERCENT, _percent, "%"), (_ESCAPES, _escapes, "\\u"), (_BASE64, _dense, ""))
-_AFTER = re.compile(r"\S*")
+def _percent(layer: Layer) -> Iterator[Piece]:
+    """Streams in percent-coded bytes, which may begin after a name, as in ?data=%1F%8B, and other escapes side by side."""
+    for run in _URL.finditer(layer.text):
+        if "%" not in run[0] or not _touches(layer.fresh, run.start(), run.end()):
+            continue
+        marks = [(m.start(), m.end(), int(m[0][-2:], 16)) for m in _PERCENT.finditer(run[0])]
+        if not marks:
+            continue
+        begin, end, value = (np.array(x, dtype=np.int64) for x in zip(*marks, strict=True))
+        taken = 0
+        if (value >= 0x80).any():
+            # one byte for each escape and each other character
+            starts = np.ones(len(run[0]), dtype=bool)
+            inside = np.zeros(len(run[0]) + 1, dtype=np.int64)
+            np.add.at(inside, begin + 1, 1)
+            np.add.at(inside, end, -1)
+            starts[np.cumsum(inside)[:-1] > 0] = False
+            at = np.flatnonzero(starts)
+            data = np.frombuffer(run[0].encode(), np.uint8)[at].copy()
+            data[np.searchsorted(at, begin)] = value
+            until = np.r_[at[1:], len(run[0])]
+            data = data.tobytes()
+            tried = 0
+            for m in _STREAM.finditer(data):
+                if m.start() < tried or at[m.start()] < taken or (got := _unpacked(data, m.start())) is None:
+                    continue
+                tried = m.start() + got[2]
+                yield from _groups(layer, run.start(), begin, end, value, taken, int(at[m.start()]))
+                taken = int(until[tried - 1])
+                yield Piece(run.start() + int(at[m.start()]), run.start() + taken, got[0], kinds=got[1])
+        yield from _groups(layer, run.start(), begin, end, value, taken, len(run[0]))
+
+
+def _groups(layer: Layer, base: int, begin: np.ndarray, end: np.ndarray, value: np.ndarray, low: int, high: int) -> Iterator[Piece]:
+    """Escapes side by side between two places of a run, as text."""
+    a, b = np.searchsorted(begin, [low, high])
+    if a == b:
+        return
+    cuts = [a, *(a + 1 + np.flatnonzero(begin[a + 1 : b] != end[a : b - 1])), b]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        start, stop = base + int(begin[i]), base + int(end[j - 1])
+        if _touches(layer.fresh, start, stop):
+            yield Piece(start, stop, *_by_bytes(value[i:j].astype(np.uint8).tobytes(), begin[i:j] - begin[i], end[i:j] - begin[i]))
+
+
+def _escaped(layer: Layer) -> Iterator[Piece]:
+    for m in _ESCAPES.finditer(layer.text):
+        if not _touches(layer.fresh, m.start(), m.end()):
+            continue
+        units = [(int(u[1], 16), u.start(), u.end()) for u in _ESCAPE.finditer(m[0])]
+        out, b, e, i = [], [], [], 0
+        while i < len(units):
+            value, begin, end = units[i]
+            i += 1
+            if 0xD800 <= value < 0xDC00 and i < len(units) and 0xDC00 <= units[i][0] < 0xE000:
+                value, end = 0x10000 + (value - 0xD800 << 10) + units[i][0] - 0xDC00, units[i][2]
+                i += 1
+            out.append("\ufffd" if 0xD800 <= value < 0xE000 else chr(value))
+            b.append(begin)
+            e.append(end)
+        yield Piece(m.start(), m.end(), "".join(out), np.array(b), np.array(e))
+
+
+def _bytes64(body: str) -> bytes | None:
+    body = body.translate({45: 43, 95: 47})
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
 
 
-def _before(text: str, at: int) -> int:
-    """Where the word around that place begins, or up to two words before it in the same line."""
-    lo = at
-    while lo and not text[lo - 1].isspace():
-        lo -= 1
+def _base64(run: str) -> Piece | None:
+    """A run of base64 as text or as a stream."""
+    body = run.rstrip("=")
+    if (data := _bytes64(body)) is None:
+        return None
+    if (got := _unpacked(data)) is not None:
+        return Piece(0, len(run), got[0], kinds=got[1])
+    plain = data.decode("utf-8", "surrogateescape")
+    if not plain.isprintable() and (inflated := _deflated(data)) is not None:
+        return Piece(0, len(run), inflated[0], kinds=inflated[1])
+    if not _readable(plain):
+        return None
+    k = np.arange(len(data))
+    return Piece(0, len(run), *_by_bytes(data, k * 4 // 3, np.minimum(len(body), -(-(k + 1) * 4 // 3))))
+
+
+def _promising(run: str, at: int) -> bool:
+    """Whether the first bytes from a place on look like text or a stream."""
+    some = run[at : at + 24].rstrip("=")
+    data = _bytes64(some[: len(some) // 4 * 4]) if len(some) >= 16 else None
+    return data is not None and (_unpacker(data[:10]) is not None or _readable(data.decode("utf-8", "surrogateescape")))
+
+
+def _dense(layer: Layer) -> Iterator[Piece]:
+    """Whole runs of base64 or hexadecimal digits."""
+    for m in _BASE64.finditer(layer.text):
+        if _touches(layer.fresh, m.start(), m.end()):
+            piece = _base64(m[0])
+            if _HEX.fullmatch(m[0]) and (got := _unpacked(bytes.fromhex(m[0]))) is not None:
+                piece = Piece(0, len(m[0]), got[0], kinds=got[1])
+            if piece is not None:
+                yield piece._replace(start=m.start(), end=m.end())
+
+
+def _behind(layer: Layer) -> Iterator[Piece]:
+    """Base64 behind a name: as / - _ + are its digits too, what follows each of those is tried, to the run's end or to the next."""
+    for m in _BASE64.finditer(layer.text):
+        run = m[0]
+        breaks = [k + 1 for k, c in enumerate(run) if c in "/-_+"]
+        if not breaks or not _touches(layer.fresh, m.start(), m.end()):
+            continue
+        tried, done = set(), 0  # places alike modulo 4 have the same bytes behind them: one try to the run's end will do
+        for at, stop in zip(breaks, [*(k - 1 for k in breaks[1:]), len(run)], strict=True):
+            if at < done or not _promising(run, at):
+                continue
+            for until in ([stop] if at % 4 in tried or stop == len(run) else [len(run), stop]):
+                if until - at >= 16 and (piece := _base64(run[at:until])) is not None:
+                    yield piece._replace(start=m.start() + at, end=m.start() + until)
+                    done = until
+                    break
+            tried.add(at % 4)
+
+
+def _around(text: str, start: int, low: int) -> int:
+    """Where the word around a place begins, or up to two words before it in the same line; not under `low`."""
+    at = start
+    while at > low and not text[at - 1].isspace():
+        at -= 1
     for _ in range(2):
-        gap = lo
-        while gap and text[gap - 1] != "\n" and text[gap - 1].isspace():
+        gap = at
+        while gap > low and text[gap - 1] != "\n" and text[gap - 1].isspace():
             gap -= 1
-        if gap == lo or not gap or text[gap - 1] == "\n":
+        if gap == at or gap == low or text[gap - 1] == "\n":
             break
-        lo = gap
-        while lo and not text[lo - 1].isspace():
-            lo -= 1
-    return lo
-
-
-def layers(text: str) -> Iterator[Layer]:
-    """The text's decoded layers. Each has the words around the decoded part too, for patterns that reach over its edges."""
-    work: list[Layer] = [(text, range(len(text)), range(1, len(text) + 1), 0, len(text))]
-    seen: set[tuple] = set()
+        at = gap
+        while at > low and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _child(parent: Layer, pieces: list[Piece]) -> Layer:
+    """The pieces' texts in place, with the words around them; windows that don't meet are apart by a line break."""
+    text = parent.text
+    windows: list[tuple[int, int, list[Piece]]] = []
+    word_end = hi = -1
+    for piece in pieces:
+        if piece.end > word_end:
+            word_end, hi = _WORD.match(text, piece.end).end(), _AFTER.match(text, piece.end).end()
+        low = windows[-1][1] if windows else 0
+        lo = piece.start if windows and piece.start <= low else _around(text, piece.start, low)
+        if windows and lo <= low:
+            windows[-1] = (windows[-1][0], max(hi, low), windows[-1][2])
+            windows[-1][2].append(piece)
+        else:
+            windows.append((lo, hi, [piece]))
+    spot = np.arange(len(text), dtype=np.int64)
+    begins, ends = (spot, spot + 1) if parent.begins is None else (parent.begins, parent.ends)
+    out, b, e, fresh, size = [], [], [], [], 0
+    for lo, hi, own in windows:
+        at = lo
+        for piece in own:
+            out += [text[at : piece.start], piece.text]
+            size += piece.start - at
+            fresh.append((size, size + len(piece.text)))
+            size += len(piece.text)
+            b.append(begins[at : piece.start])
+            e.append(ends[at : piece.start])
+            if piece.begins is None:
+                b.append(np.full(len(piece.text), begins[piece.start]))
+                e.append(np.full(len(piece.text), ends[piece.end - 1]))
+            else:
+                b.append(begins[piece.start + piece.begins])
+                e.append(ends[piece.start + piece.ends - 1])
+            at = piece.end
+        out += [text[at:hi], "\n"]
+        b += [begins[at:hi], begins[hi - 1 : hi]]
+        e += [ends[at:hi], ends[hi - 1 : hi]]
+        size += hi - at + 1
+    return Layer("".join(out), np.concatenate(b), np.concatenate(e), fresh)
+
+
+def layers(text: str) -> Iterator[tuple[Layer, list[tuple[int, str, int]]]]:
+    """The text's decoded layers, and findings (in the text's places) of streams that a layer holds only in part."""
+    work = [Layer(text, None, None, [(0, len(text))])]
+    seen: set[bytes] = set()
     while work:
-        parent, begins, ends, first, last = work.pop()
-        for pattern, decode, sign in _CODECS:
-            if sign not in parent:
+        parent = work.pop()
+        for codec, sign in ((_percent, "%"), (_escaped, "\\"), (_dense, ""), (_behind, "")):
+            if sign not in parent.text or not (pieces := list(codec(parent))):
                 continue
-            for m in pattern.finditer(parent):
-                if m.end() <= first or m.start() >= last:
-                    continue  # around the decoded part: its own layer has it
-                got = decode(m[0])
-                if got is None or got[0] == m[0]:
-                    continue
-                lo = _before(parent, m.start())
-                hi = _AFTER.match(parent, m.end()).end()
-                inner = parent[lo : m.start()] + got[0] + parent[m.end() : hi]
-                b = [*begins[lo : m.start()], *(begins[m.start() + i] for i in got[1]), *begins[m.end() : hi]]
-                e = [*ends[lo : m.start()], *(ends[m.start() + i - 1] for i in got[2]), *ends[m.end() : hi]]
-                at = m.start() - lo
-                if (key := (inner, tuple(b), tuple(e), at)) in seen:
-                    continue
-                seen.add(key)
-                work.append((inner, b, e, at, at + len(got[0])))
-                yield work[-1]
+            child = _child(parent, pieces)
+            key = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16)
+            key.update(child.begins.tobytes())
+            key.update(child.ends.tobytes())
+            key.update(repr(child.fresh).encode())
+            if key.digest() in seen:
+                continue
+            seen.add(key.digest())
+            at = (lambda k: k, lambda k: k + 1) if parent.begins is None else (lambda k: int(parent.begins[k]), lambda k: int(parent.ends[k]))
+            work.append(child)
+            yield child, [(at[0](p.start), kind, at[1](p.end - 1)) for p in pieces for kind in p.kinds]
 
 
 def find(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Findings of the text itself and all findings, both sorted by start, then kind; spans are code points of the text."""
     base = sorted(scan(text), key=lambda f: (f[0], _ORDER[f[1]]))
-    more = {(b[s], kind, e[t - 1]) for inner, b, e, first, last in layers(text) for s, kind, t in scan(inner) if s < last and t > first}
-    return base, sorted({*base, *more}, key=lambda f: (f[0], _ORDER[f[1]], f[2]))
+    more = set(base)
+    for layer, known in layers(text):
+        more.update(known)
+        more.update((int(layer.begins[s]), kind, int(layer.ends[t - 1])) for s, kind, t in scan(layer.text) if _touches(layer.fresh, s, t))
+    return base, sorted(more, key=lambda f: (f[0], _ORDER[f[1]], f[2]))
 
 
 def _joined(found: list[tuple[int, str, int]]) -> str:
@@ -216,8 +458,10 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     The counts and base_sha256 are of the text as it stands; spans adds what decoded layers show. Null texts count as empty,
     with counts of 0 and empty spans. Rows are independent, so repeated and null ids change nothing; other columns are not
-    read. Bare base64 is taken for text if three quarters of its characters are readable; other layers have no such test. Nothing is
-    capped: a stream that inflates to more than a worker's memory fails its task.
+    read, and an empty table gives no rows. Bare base64 and deflate streams without a head are taken for text if three quarters of
+    its characters are readable; other layers have no such test. Work is in proportion to a text's length for each layer of nesting. Nothing is capped: streams that unpack to more than
+    WINDOW bytes are unpacked and scanned in overlapping windows, as their findings' places are the whole stream anyway; an
+    encoded part inside such a stream that is longer than a window is decoded window by window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
