@@ -8,11 +8,13 @@ within their length and looks each up in the plan's runs.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,33 @@ from cellmosaic.llm.common import cut
 CAPACITY = 2048
 #: Characters of text that are encoded at a time, or one longer text.
 ENCODED = 1 << 20
+#: Longest word whose ids a worker remembers, and how many it remembers before it forgets the later half of them.
+WORD, WORDS = 48, 1_000_000
 
 
 class Encoder:
-    """Ids of texts, each followed by id 0, as little-endian unsigned 32-bit integers; no special tokens are added."""
+    """Ids of texts, each followed by id 0, as little-endian unsigned 32-bit integers; no special tokens are added.
+
+    The tokenizer encodes everything. If it is byte-level, it cuts texts wherever white space follows another character, around a
+    line break between two others, and between a letter or digit and signs behind it, and encodes the parts on their own; so texts
+    are cut there beforehand and the ids of parts that come again are remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        cutter = made["pre_tokenizer"] or {}
+        spaced = any(not t["content"].isprintable() or " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
+        self.cuts = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"] and made["normalizer"] is None and not spaced
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that begin with a space, as byte-level names them
+        if self.cuts:
+            self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
+            self.line = np.frombuffer(self._encoded(["\n"])[0], dtype="<u4")
+            self.signs = {c: self._encoded([c])[0] for c in ",.!?;:)"}
+        self.known: dict[str, bytes] = {}  # ids of a word with a space in front
+        self.first: dict[str, bytes] = {}  # and without
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         i = 0
@@ -41,11 +61,83 @@ class Encoder:
             while j < len(texts) and (j == i or size + len(texts[j]) <= ENCODED):
                 size += len(texts[j])
                 j += 1
-            # without offsets, which nothing here needs
-            for found in self.tokenizer.encode_batch_fast(texts[i:j], add_special_tokens=False):
-                yield np.array([*found.ids, 0], dtype="<u4")
+            for ids in self._cut(texts[i:j]) if self.cuts else self._encoded(texts[i:j]):
+                yield np.frombuffer(ids + b"\0\0\0\0", dtype="<u4")
             i = j
 
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        # without offsets, which nothing here needs
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str], between: str) -> Iterator[bytes]:
+        """Parts encoded as one text. With a space in front and no other, a part's first token is its one that begins with a space;
+        without white space they are put apart by line breaks."""
+        for k in range(0, len(parts), 1000):
+            some = parts[k : k + 1000]
+            ids = np.frombuffer(self._encoded([between.join(some)])[0], dtype="<u4")
+            marks = np.flatnonzero(self.begins[ids] if not between else ids == self.line[0])
+            begin, end = (marks, np.r_[marks[1:], len(ids)]) if not between else (np.r_[0, marks + 1], np.r_[marks, len(ids)])
+            if len(begin) != len(some):
+                yield from self._encoded(some)
+            else:
+                raw = ids.tobytes()
+                yield from map(raw.__getitem__, map(slice, (4 * begin).tolist(), (4 * end).tolist()))
+
+    def _cut(self, texts: list[str]) -> Iterator[bytes]:
+        """The same, part by part; a part begins with its space, but for the first of a line, and ends in what is no white space."""
+        known, first, line_break = self.known, self.first, self.line.tobytes()
+        rows: list[list] = []
+        new: dict[str, bytes | None] = {}
+        missing: list[tuple[list, int, str]] = []
+        for text in texts:
+            lines = text.split("\n")
+            if len(lines) > 1 and not (all(map(_ends_well, lines)) and all(_ends_well(x[:1]) for x in lines[1:])):
+                lines = [text]
+            row: list = []
+            for line in lines:
+                if row:
+                    row.append(line_break)
+                words, at = line.split(" "), len(row)
+                row += map(known.get, words)
+                row[at], done = first.get(words[0]) if _ends_well(words[0]) else None, 0
+                if None not in row[at:]:
+                    continue
+                for i in [i for i, x in enumerate(row[at:]) if x is None]:
+                    if i < done:
+                        continue
+                    j, word = i, words[i]
+                    while j + 1 < len(words) and not _ends_well(words[j]):
+                        j += 1
+                        row[at + j] = b""
+                    if i != j:
+                        word = " ".join(words[i : j + 1])
+                    elif i and (ids := known.get(word[:-1])) and word[-1] in self.signs and word[-2] < "\u0250" and word[-2].isalnum():
+                        row[at + i] = known[word] = ids + self.signs[word[-1]]
+                        continue
+                    word = " " + word if i else word
+                    new[word] = None
+                    missing.append((row, at + i, word))
+                    done = j + 1
+            rows.append(row)
+        spaced = [x for x in new if x[:1] == " " and len(x) > 1 and x.isprintable() and " " not in x[1:]]
+        bare = [x for x in new if x[:1] != " " and x and x.isprintable() and " " not in x]
+        other = list(new.keys() - set(spaced) - set(bare))
+        for some, ids in ((spaced, self._joined(spaced, "")), (bare, self._joined(bare, "\n")), (other, self._encoded(other))):
+            new.update(zip(some, ids, strict=True))
+        known.update((x[1:], new[x]) for x in spaced if len(x) <= WORD)
+        first.update((x, new[x]) for x in bare if len(x) <= WORD)
+        for row, i, word in missing:
+            row[i] = new[word]
+        yield from map(b"".join, rows)
+        if len(known) + len(first) > WORDS:  # common words come early
+            self.known, self.first = (dict(islice(d.items(), len(d) // 2)) for d in (known, first))
+
+
+def _ends_well(word: str) -> bool:
+    """Whether a word ends in what is surely not white space, so that a space behind it begins another part."""
+    last = word[-1:]
+    return "!" <= last <= "~" or (last > " " and last.isprintable())
+
 
 _encoders: dict[str, Encoder] = {}
 
