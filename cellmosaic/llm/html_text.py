@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; menus, forms, adverts and the like are taken out by what they are called. Each paragraph passes points
-for its length and commas to its ancestors, less the further up; points are discounted by the share of text that is links. The
-container with the most points is the article; siblings that score well or read like prose stay with it.
+A page becomes a tree without scripts, menus, forms and the like. Each paragraph passes points for its length and commas to the
+element it is in, and each element passes on a share of its points to the one around it; points are discounted by the share of
+text that is links, and by names that say comments, adverts or sidebars. The container with the most points is the article,
+where tags and names that say so count double; siblings that score well or read like prose stay with it. Parts of the article
+that are named as beside it are left out.
 """
 
 from __future__ import annotations
@@ -31,17 +33,21 @@ _DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "selec
 _BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|breadcrumbs?|comments?|commentlist|respond|disqus|replies|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|alert|disclaimer|pager|pagination|popup|modal|overlay|promo|promotion|related|recommended|share|sharing|sidebar|side|rail|skip|social|sponsor|sponsored|subscribe|subscription|signup|login|search|tags|toolbar|widgets?|complementary|contentinfo|dialog)(?:$|[\s_-])"
 )
-_START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "th": -5.0}
+#: Share of an element's points that the one around it gets, and what is left of them if its name says that it is beside the article.
+PASSED, BESIDE = 0.75, 0.25
+#: By how much points count more in containers of these tags, and of names that say article.
+_WEIGHT = {"article": 2.0, "main": 1.8, "section": 1.1, "ol": 0.7, "ul": 0.7, "dl": 0.7, "li": 0.7, "table": 0.9, "tr": 0.7, "html": 0.0, "p": 0.5}
+_NAMED = 1.5
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "mark", "dropped", "points", "chars", "link_chars", "paragraph")
+    __slots__ = ("tag", "parent", "parts", "mark", "dropped", "beside", "points", "chars", "link_chars", "paragraph")
 
     def __init__(self, tag: str, parent: Node | None, mark: str = ""):
         self.tag, self.parent, self.mark = tag, parent, mark
         self.parts: list[Node | str] = []
-        self.dropped, self.points, self.chars, self.link_chars, self.paragraph = False, 0.0, 0, 0, False
+        self.dropped, self.beside, self.points, self.chars, self.link_chars, self.paragraph = False, False, 0.0, 0, 0, False
 
 
 def _open(attributes: str) -> tuple[str, bool]:
@@ -56,10 +62,20 @@ def _open(attributes: str) -> tuple[str, bool]:
     return mark, hidden
 
 
+def _left(here: Node, up: Node, opened: dict[str, int]) -> Node:
+    """The element around `up`, which ends here with all that is open in it."""
+    while True:
+        opened[here.tag] -= 1
+        if here is up:
+            return up.parent
+        here = here.parent
+
+
 def parse(page: str) -> list[Node]:
     """The page's elements in page order, parents first; the first is the root."""
     root = Node("html", None)
     nodes, at, here = [root], 0, root
+    opened: dict[str, int] = {}  # at least as many of each tag are open, so that no end without a begin walks up the tree
     while True:
         m = _TOKEN.search(page, at)
         if text := page[at : m.start() if m else len(page)]:
@@ -71,30 +87,32 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened.get(tag):
+                continue
             up: Node | None = here
             while up is not root and up.tag != tag and not (up.tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html")):
                 up = up.parent
             if up is not root and up.tag == tag:
-                here = up.parent
+                here = _left(here, up, opened)
             continue
         if tag in ("html",):
             continue
-        if tag in _BLOCK:  # an open paragraph ends where a block begins
+        if tag in _BLOCK and opened.get("p"):  # an open paragraph ends where a block begins
             up = here
             while up is not root and up.tag not in ("p", "button", "table", "td") and (up.tag not in _BLOCK):
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
-        if tag in _CLOSES:
+                here = _left(here, up, opened)
+        if tag in _CLOSES and any(opened.get(t) for t in _CLOSES[tag][0]):
             ends, stops = _CLOSES[tag]
             up = here
             while up is not root and up.tag not in ends and up.tag not in stops:
                 up = up.parent
             if up.tag in ends:
-                here = up.parent
+                here = _left(here, up, opened)
         mark, hidden = _open(m[3]) if m[3].strip(" /") else ("", False)
         if tag == "body" and here.tag == "head":
-            here = root
+            here = _left(here, here, opened)
         node = Node(tag, here, mark)
         node.dropped = hidden or tag in _DROPPED
         here.parts.append(node)
@@ -106,21 +124,37 @@ def parse(page: str) -> list[Node]:
             at = end.end() if end else len(page)
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             here = node
+            opened[tag] = opened.get(tag, 0) + 1
 
 
-def _prune(nodes: list[Node]) -> None:
-    """Drop parts that are named as beside the article, unless the article is in them."""
+def _drop(nodes: list[Node]) -> None:
+    """Drop what is inside dropped elements too; mark those whose names say beside the article, unless the article is in them."""
+    for node in nodes:
+        node.dropped |= node.parent is not None and node.parent.dropped
     holds = set()
     for node in reversed(nodes):
         named = node.mark and _BESIDE.search(node.mark)
         if named and node.tag not in ("html", "body", "main", "h1") and id(node) not in holds and not (node.tag == "article" and not re.search(r"comment|repl|related|promo|ad|sponsor", node.mark)):
-            node.dropped = True
+            node.beside = True
         elif not node.dropped and (node.tag in ("main", "h1", "article") or id(node) in holds) and node.parent:
             holds.add(id(node.parent))
 
 
+def paragraph_points(node: Node) -> float:
+    """What a paragraph passes to the element it is in; under 20 characters a share of it."""
+    if node.dropped or not node.paragraph or not node.chars:
+        return 0.0
+    commas = sum(p.count(",") + p.count("،") + p.count("、") for p in _strings(node))
+    return (1 + commas + min(node.chars / 100, 3)) * (1 - node.link_chars / node.chars) * min(node.chars / 20, 1)
+
+
+def _own(node: Node) -> bool:
+    """Whether a paragraph is itself the container of its text."""
+    return node.tag in ("div", "section", "article", "main", "body", "td")
+
+
 def _measure(nodes: list[Node]) -> None:
-    """Characters, link characters and points, children before parents."""
+    """Characters, link characters and points, children before parents; every element passes its points on once."""
     for node in reversed(nodes):
         if node.dropped:
             continue
@@ -136,19 +170,21 @@ def _measure(nodes: list[Node]) -> None:
             node.link_chars = own
         blocks = any(not isinstance(p, str) and not p.dropped and p.tag in _BLOCK for p in node.parts)
         node.paragraph = node.tag in ("p", "pre", "td", "blockquote", "li", "dd", "figcaption") or (node.tag in ("div", "section", "article", "main", "body") and (not blocks or any(isinstance(p, str) and len(p.strip()) > 40 for p in node.parts)))
-    for node in nodes:
-        if node.dropped or not node.paragraph or node.chars < 20:
-            continue
-        commas = sum(p.count(",") + p.count("،") + p.count("、") for p in _strings(node))
-        points = (1 + commas + min(node.chars / 100, 3)) * (1 - node.link_chars / node.chars)
-        up, depth = (node if node.tag in ("div", "section", "article", "main", "body", "td") else node.parent), 0
-        while up is not None:
-            up.points += points if depth == 0 else points / 2 if depth == 1 else points / (3 * depth)
-            up, depth = up.parent, depth + 1
-    for node in nodes:
-        if node.points:
-            node.points += _START.get(node.tag, 0.0) + (25 if node.mark and _GOOD.search(node.mark) else 0)
-            node.points *= 1 - node.link_chars / max(node.chars, 1)
+        given = paragraph_points(node)
+        if _own(node):
+            node.points += given
+            given = 0.0
+        if node.beside:
+            node.points *= BESIDE
+            given *= BESIDE
+        if node.parent is not None:
+            node.parent.points += given + PASSED * node.points
+
+
+def score(node: Node) -> float:
+    """A container's points, less for links and more for tags and names that say article."""
+    named = _NAMED if node.mark and not node.beside and _GOOD.search(node.mark) else 1.0
+    return node.points * (1 - node.link_chars / max(node.chars, 1)) * _WEIGHT.get(node.tag, 1.0) * named
 
 
 def _strings(node: Node) -> Iterator[str]:
@@ -186,7 +222,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             held.append(part)
         elif part.tag == "br":
             held.append(" ")
-        elif not part.dropped:
+        elif not part.dropped and not part.beside:
             work.append((part, 0))
     flush()
 
@@ -194,35 +230,28 @@ def _blocks(node: Node, out: list[str]) -> None:
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if the page has no text beside its boilerplate."""
     nodes = parse(page)
-    _prune(nodes)
-    dead: set[int] = set()
-    for node in nodes:
-        if node.dropped or (node.parent is not None and id(node.parent) in dead):
-            node.dropped = True
-            dead.add(id(node))
+    _drop(nodes)
     _measure(nodes)
     alive = [n for n in nodes if not n.dropped]
-    best = max((n for n in alive if n.points > 0 and n.tag != "html"), key=lambda n: n.points, default=None)
+    best = max((n for n in alive if n.points > 0 and n.tag != "html"), key=score, default=None)
     if best is None:
         best = next((n for t in ("article", "main", "body", "html") for n in alive if n.tag == t and n.chars), None)
         if best is None:
             return ""
-    up = best
-    while up.parent is not None:  # an article that holds the best container is the article
+    up: Node | None = best
+    while up is not None:  # what the article is in stays, whatever it is called
+        up.beside = False
         up = up.parent
-        if up.tag in ("article", "main") and not up.dropped:
-            best = up
-            break
     chosen = [best]
     if best.parent is not None and best.tag not in ("body", "article", "main"):
-        least = max(10.0, best.points * 0.2)
+        least = max(5.0, best.points * 0.2)
         chosen = []
         for part in best.parent.parts:
-            if isinstance(part, str) or part.dropped:
+            if isinstance(part, str) or part.dropped or part.beside:
                 continue
             density = part.link_chars / max(part.chars, 1)
             prose = part.tag in ("p", "pre", "blockquote") and (part.chars > 80 and density < 0.25 or 0 < part.chars <= 80 and density == 0)
-            if part is best or part.points >= least or prose or (part.tag in ("h1", "h2", "h3", "h4") and density == 0):
+            if part is best or part.points * (1 - density) >= least or prose or (part.tag in ("h1", "h2", "h3", "h4") and density == 0):
                 chosen.append(part)
     out: list[str] = []
     for node in chosen:
