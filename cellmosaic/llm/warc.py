@@ -24,7 +24,7 @@ from cellmosaic.llm.common import join_unique, scratch_dir
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 0
-READ_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+READ_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary, truncated boolean"
 WRITE_SCHEMA = "record_id string, target_uri string, payload binary, refers_to string"
 _HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: A revisit has no payload; this header keeps the length of the one it stands for.
@@ -32,7 +32,8 @@ _LENGTH = "WARC-Revisited-Payload-Length"
 #: Tells a payload's length without decoding the block.
 _HTTP = "WARC-HTTP-Header-Length"
 _DATE = "2024-01-01T00:00:00Z"
-_BLOCK = 4 << 20
+#: Bytes that are read at a time: at first and behind a skip, and at most.
+_LEAST_BLOCK, _BLOCK = 8 << 10, 4 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -95,75 +96,110 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class _Bytes:
-    """A file read in blocks, with skips."""
+    """A file read in blocks, with skips. Blocks grow while it is read on and are small again behind a skip over unread bytes."""
 
     def __init__(self, stream):
-        self.stream, self.held = stream, b""
+        self.stream, self.size = stream, stream.size()
+        self.held, self.at, self.block, self.fetched = b"", 0, _LEAST_BLOCK, 0
+
+    def tell(self) -> int:
+        return self.stream.tell() - len(self.held) + self.at
 
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and (more := self.stream.read(max(_BLOCK, n - len(self.held)))):
-            self.held += more
-        return self.held[:n]
+        """The next n bytes, fewer at the end of the file."""
+        while len(self.held) - self.at < n and (more := self.stream.read(max(self.block, n - len(self.held) + self.at))):
+            self.held, self.at = self.held[self.at :] + more, 0
+            self.fetched += len(more)
+            self.block = min(2 * self.block, _BLOCK)
+        return self.held[self.at : self.at + n]
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        if n <= len(self.held) - self.at:
+            self.at += n
         else:
-            self.stream.seek(self.stream.tell() + n - len(self.held))
-            self.held = b""
+            self.stream.seek(min(self.tell() + n, self.size))
+            self.held, self.at, self.block = b"", 0, _LEAST_BLOCK
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def records(data: _Bytes, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers, and if asked for the block, of records whose headers are wanted."""
-    while start := data.peek(18):
+def _length(headers: dict[str, str], name: str = "content-length", default: int = 0) -> int:
+    value = headers.get(name, "")
+    return int(value) if value.isdecimal() else default
+
+
+class _Member:
+    """A gzip member inflated a bounded piece at a time; `cut` tells that the file ends before it does."""
+
+    def __init__(self, data: _Bytes, end: int | None):
+        self.data, self.end, self.inflate, self.cut = data, end, zlib.decompressobj(31), False
+
+    def more(self) -> bytes:
+        """Some plain bytes; none at the member's end."""
+        while not self.inflate.eof:
+            left = _LEAST_BLOCK if self.end is None else min(_LEAST_BLOCK, self.end - self.data.tell())
+            piece = self.data.peek(left)
+            out = self.inflate.decompress(piece, 8 * _LEAST_BLOCK)
+            used = len(piece) - len(self.inflate.unconsumed_tail) - len(self.inflate.unused_data)
+            self.data.skip(used)
+            if out:
+                return out
+            if not used and not self.inflate.eof:
+                self.cut = True
+                break
+        return b""
+
+
+def records(data: _Bytes, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None, bool]]:
+    """Headers, if asked for the block, and whether the file is cut off within it, of records whose headers are wanted.
+
+    A record that is cut off within its headers has none; a damaged member is an error.
+    """
+    while start := data.peek(20):
+        place = data.tell()
         if start[:2] == b"\x1f\x8b":
-            size = struct.unpack("<I", data.peek(20)[16:20])[0] if start[3] & 4 and start[12:14] == b"sl" else 0
-            inflate, plain, fed = zlib.decompressobj(31), b"", 0
-            source = data.peek(size) if size else b""
-            while b"\r\n\r\n" not in plain and not inflate.eof:
-                if size:
-                    plain += inflate.decompress(inflate.unconsumed_tail or source, 2048)
+            size = struct.unpack("<I", start[16:20])[0] if len(start) == 20 and start[3] & 4 and start[12:14] == b"sl" else 0
+            member, plain = _Member(data, place + size if size else None), bytearray()
+            try:
+                while (end := plain.find(b"\r\n\r\n", max(0, len(plain) - 8 * _LEAST_BLOCK - 3))) < 0 and (more := member.more()):
+                    plain += more
+                headers = parse_headers(bytes(plain[:end])) if end >= 0 else {}
+                keep, length = wanted(headers), _length(headers)
+                rest, cut = plain[end + 4 :] if end >= 0 else b"", end < 0
+                if size and not (keep and payloads):
+                    cut |= place + size > data.size
+                    data.skip(max(0, place + size - data.tell()))
                 else:
-                    source = data.peek(64 << 10)
-                    plain += inflate.decompress(source)
-                    data.skip(len(source) - len(inflate.unused_data))
-                    fed += len(source)
-            head, _, rest = plain.partition(b"\r\n\r\n")
-            headers = parse_headers(head)
-            keep = wanted(headers)
-            if size:
-                if keep and payloads:
-                    rest += inflate.decompress(inflate.unconsumed_tail)
-                data.skip(size)
-            else:
-                parts = [rest]
-                while not inflate.eof and (source := data.peek(64 << 10)):
-                    more = inflate.decompress(source)
-                    if keep and payloads:
-                        parts.append(more)
-                    data.skip(len(source) - len(inflate.unused_data))
-                rest = b"".join(parts)
-            if keep:
-                yield headers, rest[: int(headers.get("content-length", 0))] if payloads else None
+                    while more := member.more():
+                        if keep and payloads and len(rest) < length:
+                            rest += more
+                    cut |= member.cut
+            except zlib.error as e:
+                raise ValueError(f"damaged gzip member at byte {place}: {e}") from e
+            if data.tell() <= place or (cut and size and place + size <= data.size):
+                raise ValueError(f"damaged gzip member at byte {place}")
+            block = bytes(rest[:length]) if payloads else None
         else:
             n = 4096
-            while b"\r\n\r\n" not in data.peek(n) and len(data.held) >= n:
+            while (end := data.peek(n).find(b"\r\n\r\n")) < 0 and len(data.peek(n)) == n:
                 n *= 2
-            head, _, _ = data.peek(n).partition(b"\r\n\r\n")
-            headers = parse_headers(head)
-            data.skip(len(head) + 4)
-            length = int(headers.get("content-length", 0))
+            if end < 0:
+                headers, length, cut = {}, 0, True
+                data.skip(data.size - data.tell())
+            else:
+                headers = parse_headers(data.peek(end))
+                data.skip(end + 4)
+                length = _length(headers)
+                cut = data.tell() + length > data.size
             keep = wanted(headers)
             block = data.peek(length) if keep and payloads else None
             data.skip(length)
-            while data.peek(2) == b"\r\n":
-                data.skip(2)
-            if keep:
-                yield headers, block
+            while (two := data.peek(2)) in (b"\r\n", b"\r"):  # the latter at the end of a cut file
+                data.skip(len(two))
+        if keep:
+            yield headers, block, cut
 
 
 class WarcReader(DataSourceReader):
@@ -201,8 +237,8 @@ class WarcReader(DataSourceReader):
         store, _ = _filesystem(self.path)
         rows, held = [], 0
         with store.open_input_file(partition.value) as stream:
-            for headers, block in records(_Bytes(stream), self._wanted, self.payloads):
-                rows.append(self._row(headers, block))
+            for headers, block, cut in records(_Bytes(stream), self._wanted, self.payloads):
+                rows.append((*self._row(headers, block), cut))
                 held += len(block or b"")
                 if len(rows) >= 5000 or held > _BLOCK:
                     yield _batch(rows)
@@ -211,17 +247,17 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
     def _row(self, headers: dict[str, str], block: bytes | None) -> tuple:
-        kind, length = headers.get("warc-type"), int(headers.get("content-length", 0))
+        kind, length = headers.get("warc-type"), _length(headers)
         payload = None
         if kind in ("response", "revisit"):
-            http = int(headers.get(_HTTP.lower(), -1))
+            http = _length(headers, _HTTP.lower(), -1)
             if block is not None:
                 head, _, payload = block.partition(b"\r\n\r\n")
                 length = len(payload)
             elif http >= 0:
                 length -= http
         if kind == "revisit":
-            payload, length = None, int(headers.get(_LENGTH.lower(), length))
+            payload, length = None, _length(headers, _LENGTH.lower(), length)
         return (*(_plain(headers.get(_HEADER_OF[c])) for c in ("record_id", "record_type", "target_uri", "payload_digest")), length, _plain(headers.get("warc-refers-to")), payload)
 
 
@@ -231,13 +267,17 @@ def _plain(value: str | None) -> str | None:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+    names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload", "truncated"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class WarcSource(DataSource):
-    """format("warc"): path; option payload=false leaves payloads undecoded and null."""
+    """format("warc"): path; option payload=false leaves payloads undecoded and null.
+
+    A file that ends within a record gives a last row with truncated true and what there is of its payload; one that ends within
+    a record's headers gives a last row whose other columns are null but for payload_bytes, which is 0. Damaged bytes are an error.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -275,10 +315,10 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -
 
 
 def read_pages(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Page records of an archive: page_id, url, payload_bytes, payload_digest, record_type, refers_to (a page_id), payload."""
+    """Page records of an archive: page_id, url, payload_bytes, payload_digest, record_type, refers_to (a page_id), payload, truncated."""
     rows = spark.read.format("warc").option("payload", str(payload).lower()).load(path).filter(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
-    return rows.select(number("record_id").alias("page_id"), F.col("target_uri").alias("url"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "payload")
+    return rows.select(number("record_id").alias("page_id"), F.col("target_uri").alias("url"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "payload", "truncated")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

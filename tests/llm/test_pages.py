@@ -37,6 +37,92 @@ def test_main_text_without_article():
     assert len(got) == 2 and got[0].startswith("Some words") and got[1].startswith("Second part")
 
 
+def plain_score(nodes):
+    """Scores by the definition: every paragraph's points to each element around it, less by a share at each step."""
+    found = {}
+    for node in (n for n in nodes if not n.dropped):
+        at, points = node, html_text.paragraph_points(node)
+        if html_text._own(node):
+            found[id(node)] = found.get(id(node), 0.0) + points * (html_text.BESIDE if node.beside else 1)
+        elif node.beside:
+            points *= html_text.BESIDE
+        share = points
+        first = not html_text._own(node)
+        while at.parent is not None:
+            if not first:
+                share *= html_text.PASSED * (html_text.BESIDE if at.beside else 1)
+            first, at = False, at.parent
+            found[id(at)] = found.get(id(at), 0.0) + share * (html_text.BESIDE if at.beside else 1)
+    return found
+
+
+def test_points_against_the_definition():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(60):
+        depth, page = 0, "<body>"
+        for _ in range(rng.randint(1, 60)):
+            kind = rng.random()
+            if kind < 0.35:
+                page += rng.choice(["<div>", "<section>", "<div class=comments>", "<article>", "<div class=story>", "<ul><li>"])
+                depth += 1
+            elif kind < 0.5:
+                page += "</div>"
+            else:
+                page += f"<p>{', '.join(['words and more'] * rng.randint(0, 9))} {'<a href=x>a link</a>' if rng.random() < 0.3 else ''}</p>"
+        nodes = html_text.parse(page)
+        html_text._drop(nodes)
+        html_text._measure(nodes)
+        want = plain_score(nodes)
+        for node in nodes:
+            if not node.dropped:
+                assert node.points == pytest.approx(want.get(id(node), 0.0)), page
+
+
+SENTENCE = "Some words follow here, and then there are more of them, so that it reads like prose. "
+
+
+@pytest.mark.parametrize("box", ["div", "section", "td"])
+def test_points_choose_without_names(box):
+    """Pages without tags or names that tell the article: it is found by its points alone."""
+    wrap = (lambda x: f"<table><tr><td>{x}</td></tr></table>") if box == "td" else (lambda x: f"<{box}>{x}</{box}>")
+    links = "".join(f"<li><a href=/{k}>link number {k}</a></li>" for k in range(30))
+    story = "".join(f"<p>{SENTENCE * 3}part {k}.</p>" for k in range(6))
+    page = f"<body>{wrap(f'<ul>{links}</ul>')}{wrap(story)}{wrap('<p>Short note.</p>')}</body>"
+    assert html_text.main_text(page).split("\n") == [f"{SENTENCE * 3}part {k}." for k in range(6)]
+
+
+def test_a_name_is_a_discount_and_no_veto():
+    story = "".join(f"<p>{SENTENCE * 4}part {k}.</p>" for k in range(6))
+    note = f"<div class=box><p>{SENTENCE}</p></div>"
+    assert "part 5." in html_text.main_text(f"<body><div class='social-widget'>{story}</div>{note}</body>")
+    # the same name beside a longer text is left out, as are comments inside the article
+    page = f"<body><div class=box>{story}{story}</div><div class='social-widget'><p>{SENTENCE}</p></div></body>"
+    assert "part 5." in html_text.main_text(page) and html_text.main_text(page).count("part 5.") == 2
+    inside = f"<body><div class=post>{story}<div class=comments><p>{SENTENCE}I think.</p></div></div></body>"
+    assert "I think" not in html_text.main_text(inside) and "part 5." in html_text.main_text(inside)
+
+
+def test_points_choose_between_articles():
+    """A teaser in an article of its own doesn't win over the text, wherever it stands."""
+    story = "".join(f"<p>{SENTENCE * 3}part {k}.</p>" for k in range(6))
+    page = f"<body><article><p>Teaser, read on.</p></article><div><div class=x>{story}</div></div></body>"
+    assert html_text.main_text(page).startswith(SENTENCE) and "Teaser" not in html_text.main_text(page)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    deep = lambda n: "<div>" * n + f"<p>{SENTENCE}</p>" * n + "</div>" * n
+    assert took(deep(20_000)) < 5 and took("<b>" * 20_000 + "<div>x</div></zz></p>" * 20_000) < 5
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep text, here" + "</div>" * 3000
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a href=x>only menu</a></nav>"), (None, "u", "just text & more"), (4, "u", deep), (5, "u", "<p>" + "long, " * 100_000), (5, "u", "<p>x<"), (6, "u", "<script>never closed")]
@@ -106,3 +192,70 @@ def test_least_bytes_and_empty(spark, tmp_path):
     assert {r["record_type"] for r in warc.read_pages(spark, str(tmp_path / "y")).collect()} == {"response"}
     warc.archive_pages(pages(spark, []), str(tmp_path / "z"))
     assert warc.read_pages(spark, str(tmp_path / "z")).count() == 0
+
+
+def read_bytes(data: bytes, payloads: bool = True, wanted=lambda h: True):
+    import pyarrow as pa
+
+    source = warc._Bytes(pa.BufferReader(data))
+    return list(warc.records(source, wanted, payloads)), source.fetched
+
+
+@pytest.mark.parametrize("kind", ["plain", "gzip", "sized"])
+def test_files_cut_anywhere(kind):
+    made = [warc.page_record(f"urn:page:{k}", f"http://x/{k}", bytes((k * j * 7919) % 251 for j in range(900 * k)), None) for k in range(4)]
+    if kind == "plain":
+        made = [gzip.decompress(x) for x in made]
+    elif kind == "gzip":
+        made = [gzip.compress(gzip.decompress(x)) for x in made]
+    whole, _ = read_bytes(b"".join(made))
+    assert len(whole) == 4 and not any(cut for _, _, cut in whole)
+    ends = [sum(map(len, made[: k + 1])) for k in range(4)]
+    for at in range(0, ends[-1], 100):
+        for payloads in (True, False):
+            got, _ = read_bytes(b"".join(made)[:at], payloads)
+            done = sum(e <= at for e in ends)
+            assert [h for h, _, _ in got[:done]] == [h for h, _, _ in whole[:done]] and not any(cut for _, _, cut in got[:done])
+            begun = at > (ends[done - 1] if done else 0)
+            # of a plain record only the line breaks behind its block may be lacking
+            assert len(got) == done + begun and (not begun or got[-1][2] or (kind == "plain" and at >= ends[done] - 4))
+            if payloads and begun and got[-1][0]:
+                assert whole[done][1].startswith(got[-1][1])
+
+
+def test_unwanted_bytes_are_not_read():
+    import random
+
+    noise = random.Random(3).randbytes(400_000)
+    made = [warc.page_record(f"urn:page:{k}", f"http://x/{k}", noise, None) for k in range(6)]
+    for data in (b"".join(made), b"".join(gzip.decompress(x) for x in made)):
+        got, fetched = read_bytes(data, wanted=lambda h: h["warc-target-uri"].endswith("/5"))
+        assert [b.endswith(noise) for _, b, _ in got] == [True] and fetched < 0.3 * len(data)
+        got, fetched = read_bytes(data, payloads=False)
+        assert len(got) == 6 and fetched < 0.1 * len(data)
+
+
+def test_damaged_members_are_errors():
+    one = bytearray(warc.page_record("urn:page:1", "http://x", b"payload " * 5000, None))
+    one[len(one) // 2] ^= 0xFF
+    with pytest.raises(ValueError, match="damaged"):
+        read_bytes(bytes(one))
+    with pytest.raises(ValueError, match="damaged"):
+        read_bytes(b"\x1f\x8b\x08\x04" + bytes(6) + b"\x0c\0sl\x08\0" + b"\x01\0\0\0" + bytes(40))
+
+
+def test_truncated_rows(spark, tmp_path):
+    made = [warc.page_record(f"urn:page:{k}", f"http://x/{k}", b"payload %d" % k * 9000, None) for k in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(made)[:-50])
+    warc.register(spark)
+    for payload in (True, False):
+        got = warc.read_pages(spark, str(tmp_path / "a.warc.gz"), payload).collect()
+        assert [(r["page_id"], r["truncated"]) for r in got] == [(0, False), (1, False), (2, True)]
+
+
+def test_repeated_page_ids(spark, tmp_path):
+    rows = [(7, "a", "<p>x</p>"), (7, "a", "<p>x</p>"), (7, "b", "<p>y</p>"), (3, "c", "<p>x</p>"), (None, "d", "<p>x</p>")]
+    warc.register(spark)
+    warc.archive_pages(pages(spark, rows), str(tmp_path / "r"))
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.read_pages(spark, str(tmp_path / "r")).collect())
+    assert got == [("3", "revisit", 7), ("7", "response", None), ("7", "response", None), ("7", "response", None), ("None", "revisit", 7)]
