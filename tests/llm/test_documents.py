@@ -346,6 +346,81 @@ def test_likeness_tracks_shared_sentences(table):
     assert got[3]["near_next"] == pytest.approx(2 / 3, abs=0.25) and got[2]["near_next"] < 0.3 and got[2]["near_edited"] > 0.4
 
 
+def text_pieces(text):
+    """The multiset of pieces by its definition: four words each, from the begin of each sentence of each line."""
+    found = Counter()
+    for sentence in re.split(r"[.!?][\x20\x09]+|\n", text):
+        w = SPLIT.findall(sentence)
+        found.update(tuple(w[k : k + 4]) for k in range(0, len(w), 4))
+    return found
+
+
+def cosine(a, b):
+    dot = sum(n * b[k] for k, n in a.items())
+    size = sum(n * n for n in a.values()) * sum(n * n for n in b.values())
+    return 1.0 if a == b else dot / size**0.5 if size else 0.0
+
+
+def test_fingerprint_values_against_plain_hashing(table):
+    import xxhash
+
+    four, eight = (lambda x, seed: xxhash.xxh64_intdigest((x).to_bytes(4, "little"), seed)), (lambda x, seed: xxhash.xxh64_intdigest((x).to_bytes(8, "little"), seed))
+    texts = [t for _, t, _ in corpus(12, 30)] + ["one. two three four five six! seven", "é ü\n\n \t\nzwei drei", "a b c d " * 2000]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(table([(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    for k, text in enumerate(texts):
+        wide = []
+        for seed in fingerprints.SEEDS:
+            hashes = [xxhash.xxh64_intdigest(p.encode(), four(seed, 42)) for p in text.split("\n") if SPLIT.search(p)]
+            wide += [sum(h & 0xFFFFFFFF for h in hashes) % 2**32, sum(h >> 32 for h in hashes) % 2**32]
+        assert got[k]["wide"] == wide
+        counts = [0] * 315
+        for piece, n in text_pieces(text).items():
+            h = 42
+            for word in piece:
+                h = xxhash.xxh64_intdigest(word.encode(), h)
+            for j in range(5):
+                own = four(j, eight(h, 42)) if j else h
+                for bit in range(63):
+                    counts[63 * j + bit] += n * (own >> bit & 1)
+        found = [v >> 21 * f & (1 << 21) - 1 for j in range(5) for f in range(3) for v in got[k]["votes"][1 + 21 * j : 22 + 21 * j]]
+        assert found == counts and got[k]["votes"][0] == sum(text_pieces(text).values())
+
+
+def test_likeness_is_near_the_truth(spark):
+    """Over all documents of a given table: errors at the 95th percentile, and edited texts that keep two thirds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got, ids = fingerprints.compare_edited(docs).collect(), sorted(texts, reverse=True)
+    after = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    errors = defaultdict(list)
+    for r in got:
+        t, n = texts[r["doc_id"]], texts[after[r["doc_id"]]]
+        m = len(t) // 3
+        own = text_pieces(t)
+        errors["edited"].append(abs(r["near_edited"] - cosine(own, text_pieces(t[: len(t) - m] + n[:m]))))
+        errors["next"].append(abs(r["near_next"] - cosine(own, text_pieces(n))))
+    assert len(got) == len(texts) and all(np.quantile(e, 0.95) < 0.1 for e in errors.values())
+    assert np.quantile([r["near_edited"] for r in got if len(texts[r["doc_id"]]) > 200], 0.05) > 0.4
+
+
+def test_votes_beyond_their_bits(spark):
+    """Counts are known modulo 2^21; more pieces than that are told from half of the votes."""
+    n = 5_000_000
+    counts = np.random.default_rng(1).binomial(n, 0.5, 315)
+    pack = lambda c, n: [int(n), *[sum(int(c[63 * j + 21 * f + k]) << 21 * f for f in range(3)) - (1 << 64 if sum(int(c[63 * j + 21 * f + k]) << 21 * f for f in range(3)) >= 1 << 63 else 0) for j in range(5) for k in range(21)]]
+    one = pack(counts, n)
+    two = pack(counts + np.random.default_rng(2).binomial(1, 0.5, 315), n + 1)
+    got = spark.createDataFrame([(one, two)], "a array<long>, b array<long>").select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert got > 0.99
+
+
+def test_neighbours_of_repeated_rows(table):
+    rows = [(5, "aaaaaa", "s"), (5, "aaaaaa", "s"), (3, "bbb", "s"), (None, "cccccc", "s"), (None, "cccccc", "s"), (0, "cccccc", "s")]
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.compare_edited(table(rows)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter({(5, sha("aaaaaa")): 1, (5, sha("aaaabb")): 1, (3, sha("bbc")): 1, (0, sha("cccccc")): 1, (None, sha("cccccc")): 1, (None, sha("ccccaa")): 1})
+
+
 def test_odd_rows_fingerprints(odd, empty, table):
     assert fingerprints.compare_edited(odd).count() == 12
     assert fingerprints.compare_edited(empty).count() == 0
