@@ -65,11 +65,11 @@ def invert_curriculum(share: Column, knots: tuple[tuple[float, float], ...]) ->
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRICULA, doc_id: str = "doc_id", source: str = "source", text: str = "text", most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per document, range-sorted by its first position: doc_id, source, size, source_size, target, taken, copies, positions, text_key.
+    """One row per document, range-sorted by its first position: doc_id, source, size, source_size, target, taken, copies, positions, first_position, text_key.
 
     A source's stream holds its documents by md5 of their id, over and over; the mix takes the first floor(target) words of
-    it. taken is how many of a document's words that is, all copies together; the copy at the end may be cut. positions has
-    the time of each copy in training, 0 to 1. Null texts have size 0 and null ids come last in the stream; rows alike in id
+    it: a copy is taken if its source's demand reaches it, which gives it a training position, 0 to 1, in positions, and its words up to
+    the end of the demand in copies. taken is their sum, so a source's taken words are its target rounded down. Null texts have size 0 and null ids come last in the stream; rows alike in id
     are ordered by size, and rows alike in both are interchangeable. Empty texts are never taken. An empty table gives no
     rows. Each stream's running sums come from sums of md5 buckets, so that a hot source is spread over many tasks.
     """
@@ -85,9 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRI
     within = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.alias("r").join(begun.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select("doc_id", "text_key", F.col("r.source").alias("source"), "size", "source_size", "target", "place", (F.col("at") + F.col("base")).alias("begin"))
-    demand = F.floor(F.col("target"))
-    copies = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), demand - F.col("begin") - k * F.col("source_size"))))
-    placed = placed.withColumn("copies", copies).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x))
+    demand, each = F.floor(F.col("target")), F.sequence(F.lit(0), F.lit(most - 1))
 
     def when_reached(share: Column) -> Column:
         by_shape = [invert_curriculum(share, knots) for knots in curricula]
@@ -96,9 +94,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), curricula=CURRI
             out = F.when(F.col("place") % len(curricula) == k, by_shape[k]).otherwise(out)
         return out
 
-    begins = F.transform(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.element_at("copies", k + 1) > 0), lambda k: (F.col("begin") + k * F.col("source_size")) / demand)
-    placed = placed.withColumn("positions", F.transform(begins, when_reached)).withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "text_key")
+    begins = lambda k: F.col("begin") + k * F.col("source_size")
+    reached = lambda k: F.when((F.col("size") > 0) & (begins(k) < demand), when_reached(begins(k) / demand))
+    placed = placed.withColumn("times", F.transform(each, reached))
+    words = lambda t, k: F.when(t.isNotNull(), F.least(F.col("size"), demand - begins(k))).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("copies", F.transform("times", words)).withColumn("positions", F.array_compact("times"))
+    placed = placed.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("first_position", F.try_element_at("positions", F.lit(1)))
+    return placed.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "first_position", "text_key")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -108,7 +110,10 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix, with the number of copies and the positions of the first and the last, to nine decimals."""
+    nine = lambda x: F.floor(x * 1e9 + 0.50037) / 1e9
+    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), nine(F.col("first_position")).alias("first_position"), nine(F.try_element_at("positions", F.lit(-1))).alias("last_position"))
 
 
 OP5_SQL = r"""
@@ -119,9 +124,13 @@ w AS (SELECT *, CAST(1 + place % 3 AS DOUBLE) AS weight, source_size * 3 AS lim
 o AS (SELECT *, row_number() OVER (ORDER BY lim / weight, place) AS turn FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 f AS (SELECT *, min(CASE WHEN lim > level * weight THEN turn END) OVER () AS first_open FROM l),
-g AS (SELECT source, source_size, CASE WHEN first_open IS NULL OR turn < first_open THEN CAST(lim AS DOUBLE) ELSE max(CASE WHEN turn = first_open THEN level END) OVER () * weight END AS target FROM f),
-b AS (SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(CAST(d.doc_id AS VARCHAR)), 'g'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+g AS (SELECT source, place, source_size, CASE WHEN first_open IS NULL OR turn < first_open THEN CAST(lim AS DOUBLE) ELSE max(CASE WHEN turn = first_open THEN level END) OVER () * weight END AS target FROM f),
+b AS (SELECT d.doc_id, d.size, g.place, g.source_size, g.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(CAST(d.doc_id AS VARCHAR)), 'g'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE (CASE WHEN at_word < floor(target) THEN 1 ELSE 0 END) + (CASE WHEN at_word + source_size < floor(target) THEN 1 ELSE 0 END) + (CASE WHEN at_word + 2 * source_size < floor(target) THEN 1 ELSE 0 END) END AS copies FROM b),
+e AS (SELECT *, at_word / floor(target) AS share0, (at_word + (copies - 1) * source_size) / floor(target) AS share1 FROM c)
 SELECT doc_id, size, source_size, target, CAST(
-  greatest(0, least(size, floor(target) - at_word)) + greatest(0, least(size, floor(target) - at_word - source_size)) + greatest(0, least(size, floor(target) - at_word - 2 * source_size)) AS BIGINT) AS taken FROM b
+  greatest(0, least(size, floor(target) - at_word)) + greatest(0, least(size, floor(target) - at_word - source_size)) + greatest(0, least(size, floor(target) - at_word - 2 * source_size)) AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies,
+  CASE WHEN copies > 0 THEN floor((CASE place % 3 WHEN 0 THEN share0 WHEN 1 THEN 1.5e0 - sqrt(2.25e0 - 2 * share0) ELSE sqrt(0.25e0 + 2 * share0) - 0.5e0 END) * 1e9 + 0.50037e0) / 1e9 END AS first_position,
+  CASE WHEN copies > 0 THEN floor((CASE place % 3 WHEN 0 THEN share1 WHEN 1 THEN 1.5e0 - sqrt(2.25e0 - 2 * share1) ELSE sqrt(0.25e0 + 2 * share1) - 0.5e0 END) * 1e9 + 0.50037e0) / 1e9 END AS last_position FROM e
 """
