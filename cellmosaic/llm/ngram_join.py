@@ -3,12 +3,13 @@
 Documents with equal shingle sets are one class. Most classes have no partner: a partner would share all but a quarter of
 their shingles, so among the first few of each class in a global order enough must occur elsewhere; counting that, fragment by
 fragment of the shingle space, leaves the survivors. Their shingles are ordered by document frequency, rarest first, and two
-classes are compared if they share one of the first quarter. Comparison cuts the shingles into fragments, counts each pair's
-overlap in each, and sums.
+classes are compared if they share one of the first quarter. Comparison cuts that global order into ranges that hold about
+equally many shingles, counts each pair's overlap in each range, and sums.
 
 Components don't need every pair: a shingle's members are first compared with a few of them, its hubs. Then only pairs of
-different components are open; all of those are held against an exact bound from bitmaps of their sets, in blocks, and what it
-lets through is compared. No link between components is lost.
+different components are open; while those are too many, members outside a shingle's largest component become hubs in turn. What
+is still open is held, pair by pair, against an exact bound from bitmaps of the sets, in blocks, and what it lets through is
+compared. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from cellmosaic.llm.common import components, cut, join_unique, splitmix
 PERCENT = 75
 #: Shingles that one task of a fragment should hold about.
 FRAGMENT = 1_000_000
-#: Parts that the overlap of a pair is counted in.
-PARTS = 4
+#: Fewest ranges of the global order that the overlap of a pair is counted in, and shingles of a set that a range should hold at most.
+PARTS, RANGE = 4, 100_000
+#: Rows of blocks for each open entry up to which no more hubs are tried, and most turns of hubs.
+OPEN, TURNS = 4, 6
 #: Hubs that each entry's members are first compared with, members of an entry that one task compares, and bits of a set's bitmap.
 HUBS, BLOCK, BITMAP = 3, 1000, 2048
 
@@ -174,8 +177,9 @@ def _ordered(percent: int):
     def run(table: pa.Table) -> pa.Table:
         read = lambda c, k: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), k)
         tokens, nodes, sizes, have = read("tokens", np.int64), read("nodes", np.int64), read("sizes", np.uint32), read("have", np.uint32)
-        order = np.lexsort((tokens, have, nodes))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order].astype(np.int64)
+        have = np.minimum(have, MOST_HAVE)
+        order = np.lexsort((tokens.view(np.uint64), have, nodes))
+        tokens, nodes, sizes, have = tokens[order], nodes[order], sizes[order].astype(np.int64), have[order].astype(np.int32)
         begin = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]]) if len(nodes) else np.zeros(0, np.int64)
         shared = np.diff(np.r_[begin, len(nodes)])
         n = sizes[begin]
@@ -186,6 +190,7 @@ def _ordered(percent: int):
             # shingles that no other class has come first in the order, and fill part of the prefix
             "prefix": pa.array((shared - need + 1)[kept], pa.int32()),
             "tokens": pa.array([tokens[begin[k] : begin[k] + shared[k]] for k in kept], pa.list_(pa.int64())),
+            "have": pa.array([have[begin[k] : begin[k] + shared[k]] for k in kept], pa.list_(pa.int32())),
             "alone": pa.array((n - shared)[kept], pa.int64()),
             "bits": pa.array([bitmap(tokens[begin[k] : begin[k] + shared[k]]) for k in kept], pa.binary()),
         })
@@ -206,15 +211,60 @@ def survivors(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     fragments, parts = max(8, left // FRAGMENT), max(8, left // FRAGMENT)
     dealt = texts.select("text").mapInArrow(_dealt(fragments, percent, False), _DEALT)
     shared = dealt.groupBy("fragment").applyInArrow(_shared_tokens(parts), "part long, tokens binary, nodes binary, sizes binary, have binary")
-    return cut(shared.groupBy("part").applyInArrow(_ordered(percent), "node long, n long, prefix int, tokens array<long>, alone long, bits binary"))
+    return cut(shared.groupBy("part").applyInArrow(_ordered(percent), "node long, n long, prefix int, tokens array<long>, have array<int>, alone long, bits binary"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b) with the sizes na, nb and overlap of their sets (node, n, tokens): counted by fragment, then summed."""
-    fragment = lambda k: F.filter("tokens", lambda t: F.pmod(t, F.lit(parts)) == k)
-    pieces = sets.select("node", "n", F.posexplode(F.array(*[fragment(k) for k in range(parts)])).alias("part", "tokens"))
+#: The global order tells apart shingles of up to so many classes; beyond, only their bits count.
+MOST_HAVE = (1 << 19) - 1
+
+
+def order_keys(tokens: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Places in the global order: first by how many classes have a shingle, then by its bits."""
+    return ((np.minimum(have, MOST_HAVE).astype(np.uint64) << np.uint64(44)) | (tokens.view(np.uint64) >> np.uint64(20))).view(np.int64)
+
+
+def _set_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and place in the order of a batch's sets (.., tokens, have)."""
+    tokens, have = batch.column(2), batch.column(3)
+    row = np.repeat(np.arange(len(batch)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+    flat = tokens.flatten().to_numpy()
+    return row, flat, order_keys(flat, have.flatten().to_numpy())
+
+
+def _quantiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, _, keys = _set_keys(batch)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(np.quantile(keys, np.linspace(0, 1, 65), method="nearest"))], ["key"])
+
+
+def pivots(sets: DataFrame, parts: int) -> list[int]:
+    """Places that cut the global order into ranges of about as many shingles; only balance depends on them."""
+    found = sets.mapInArrow(_quantiles, "key long").agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 1000)).first()[0]
+    return sorted(set(found or []))
+
+
+def _ranges(cuts: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, tokens, keys = _set_keys(batch)
+            part = np.searchsorted(np.array(cuts, dtype=np.int64), keys, "right")
+            begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.zeros(0, np.int64)
+            offsets = pa.array(np.r_[begin, len(row)].astype(np.int32))
+            own = pa.array(row[begin])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(part[begin].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(tokens))], ["node", "n", "part", "tokens"])
+
+    return run
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, cuts: list[int]) -> DataFrame:
+    """Pairs (a, b) with the sizes na, nb and overlap of their sets (node, n, tokens, have): counted by range, then summed.
+
+    Tokens are in the global order; pairs without any range in common are left out.
+    """
+    pieces = sets.select("node", "n", "tokens", "have").mapInArrow(_ranges(cuts), "node long, n long, part int, tokens array<long>")
     # both joins deal the pieces alike, so that they are shuffled once
-    dealt = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
     one = dealt.hint("merge").join(pieces.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta")), ["a", "part"])
     two = one.hint("merge").join(pieces.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb")), ["b", "part"])
     partial = two.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
@@ -274,41 +324,83 @@ def _distinct_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    similar = F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent
-    return cut(overlaps(pairs, sets).filter(similar).select("a", "b"))
+class _Comparison:
+    """Comparison of classes (node, n, tokens, have, alone, bits) that share entries (node, n, token), until all links between components are known."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.cuts = pivots(sets.select("node", "n", "tokens", "have"), max(PARTS, -(-(sets.agg(F.max("n")).first()[0] or 0) // RANGE)))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        similar = F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * self.percent
+        return cut(overlaps(pairs, self.sets, self.cuts).filter(similar).select("a", "b"))
+
+    def with_hubs(self, entries: DataFrame, hubs: DataFrame, total: int) -> DataFrame:
+        """Links of entries' nodes with the hubs (token, k, hubs) of their tokens; a token that many entries have is not dealt to one task."""
+        met = join_unique(entries, hubs, ["token"], "k", total).withColumn("h", F.explode("hubs"))
+        met = met.filter((F.col("node") != F.col("h.node")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * self.percent))
+        if "component" in entries.columns:
+            met = met.filter(F.col("component") != F.col("h.component"))
+        pairs = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        return self.links(_bounded(pairs, self.sets, self.percent))
+
+    def in_blocks(self, now: DataFrame, many: int) -> DataFrame:
+        """Links of all pairs of different components that share a token; tokens with many entries are dealt out as pairs of blocks."""
+        block, count = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.when(F.col("k") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("k") / BLOCK))
+        units = now.withColumn("blocks", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        units = units.withColumn("unit", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).join(self.sets.select("node", "alone", "bits"), "node")
+        close = units.select("unit", "node", "component", "n", "alone", "bits").groupBy(F.pmod("unit", F.lit(max(32, many // 4000))).alias("part")).applyInArrow(_close(self.percent), "node long, partners binary")
+        return self.links(close.groupBy(F.pmod(F.xxhash64("node"), F.lit(max(16, many // 4000))).alias("part")).applyInArrow(_distinct_pairs, "a long, b long"))
+
+
+def _picked(*order) -> list:
+    """HUBS members of a group, by an order that differs from turn to turn."""
+    return [F.min(F.struct(F.xxhash64("node", F.lit(t)), *order)).alias(f"h{t}") for t in range(HUBS)]
+
+
+def _as_hubs(found: DataFrame, *fields: str) -> DataFrame:
+    return found.select("token", "k", F.array_distinct(F.array(*[F.struct(*[F.col(f"h{t}")[f].alias(f) for f in fields]) for t in range(HUBS)])).alias("hubs"))
+
+
+def _open(entries: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Entries of tokens whose members are in several components, with the component and how many the token has (k)."""
+    now = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = now.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token", "k")
+    return cut(join_unique(now, spread, ["token"], "k", total))
 
 
 def linked_classes(sets: DataFrame, percent: int = PERCENT, entries: DataFrame | None = None) -> DataFrame | None:
-    """Components (node, component) of the classes (node, n, prefix, tokens, alone, bits) that link; None if none does.
+    """Components (node, component) of the classes (node, n, prefix, tokens, have, alone, bits) that link; None if none does.
 
     Classes are compared if they share an entry (node, n, token); by default the entries are the shingles of the prefixes.
     """
     if entries is None:
         entries = cut(sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")))
-    rank = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias(f"h{turn}")
-    hubs = entries.groupBy("token").agg(F.count("*").alias("k"), *[rank(t) for t in range(HUBS)]).filter("k > 1")
-    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{t}.node").alias("node"), F.col(f"h{t}.n").alias("n")) for t in range(HUBS)]))).alias("h"))
-    met = entries.join(hubs, "token").filter((F.col("node") != F.col("h.node")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
-    links = _links(_bounded(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), sets, percent), sets, percent)
-    labels = cut(components(links))
-    # what hubs have not settled: entries whose members are in several components
-    now = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = now.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token", "k")
-    now = cut(now.join(spread, "token"))
-    many = now.count()
-    if not many:
-        return None if labels.isEmpty() else labels
-    # entries with many members are dealt out as pairs of blocks
-    block, count = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.when(F.col("k") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("k") / BLOCK))
-    units = now.withColumn("blocks", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.withColumn("unit", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).join(sets.select("node", "alone", "bits"), "node")
-    close = units.select("unit", "node", "component", "n", "alone", "bits").groupBy(F.pmod("unit", F.lit(max(32, many // 4000))).alias("part")).applyInArrow(_close(percent), "node long, partners binary")
-    pairs = close.groupBy(F.pmod(F.xxhash64("node"), F.lit(max(16, many // 4000))).alias("part")).applyInArrow(_distinct_pairs, "a long, b long")
-    more = _links(pairs, sets, percent)
-    if more.isEmpty():
-        return None if labels.isEmpty() else labels
-    return cut(components(more.union(labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))))
+    total, compare = entries.count(), _Comparison(sets, percent)
+    hubs = _as_hubs(entries.groupBy("token").agg(F.count("*").alias("k"), *_picked("node", "n")).filter("k > 1"), "node", "n")
+    labels = cut(components(compare.with_hubs(entries, hubs, total)))
+    as_edges = lambda x: x.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    now = _open(entries, labels, total)
+    for turn in range(TURNS + 1):
+        size = now.agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("k") / BLOCK))).alias("rows")).first()
+        if not size["n"]:
+            break
+        last = turn == TURNS or size["rows"] <= OPEN * size["n"]
+        if last:
+            more = compare.in_blocks(now, size["rows"])
+        else:
+            # hubs outside the largest component: where all others are hubs, nothing stays open
+            largest = now.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("k"))
+            outside = join_unique(now.drop("k"), largest, ["token"], "k", size["n"]).filter("component <> largest")
+            hubs = cut(_as_hubs(outside.groupBy("token", "k").agg(*_picked("node", "n", "component")), "node", "n", "component"))
+            more = compare.with_hubs(now.drop("k"), hubs, size["n"])
+        if not more.isEmpty():
+            labels = cut(components(more.union(as_edges(labels))))
+        if last:
+            break
+        done = hubs.select("token", F.explode("hubs").alias("h")).select("token", "h.node")  # compared with all members
+        now = _open(now.select("node", "n", "token").join(done, ["token", "node"], "left_anti"), labels, size["n"])
+    return None if labels.isEmpty() else labels
 
 
 def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -328,8 +420,11 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
         named = classes.withColumn("component_id", F.col("rep_id"))
     else:
         joined = classes.join(labels, "node", "left")
-        least = joined.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep_id").alias("least_id"))
-        named = joined.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("rep_id")).otherwise(F.col("least_id")))
+        linked = joined.filter(F.col("component").isNotNull())
+        least = linked.groupBy("component").agg(F.min("rep_id").alias("component_id"), F.count("*").alias("members"))
+        linked = join_unique(linked, least, ["component"], "members", labels.count())
+        columns = ["node", "check", "n", "copies", "component_id"]
+        named = linked.select(*columns).unionByName(joined.filter(F.col("component").isNull()).withColumn("component_id", F.col("rep_id")).select(*columns))
     named = cut(named.select("node", "check", "n", "copies", "component_id"))
     full = join_unique(made.filter("n > 0"), named, ["node", "check", "n"], "copies", made.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
     return full.unionByName(made.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))

@@ -179,7 +179,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     wanted = classes.join(nodes, "node", "left_semi").select(F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_key")).distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("m.rep_id")) & (F.col("d.text_key") == F.col("m.rep_key"))
     sets = rows.alias("d").join(wanted.alias("m"), same, "left_semi").select("text").mapInArrow(_tokens(least_words, passage_words), "node long, n long, tokens array<long>, bits binary")
-    sets = cut(sets.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("alone", F.lit(0).cast("long")))
+    sets = cut(sets.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("have", F.transform("tokens", lambda x: F.lit(0))).withColumn("alone", F.lit(0).cast("long")))
     labels = linked_classes(sets, percent, entries)
     named = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("all_copies"), F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.min("ends").alias("ends"), F.max("begins").alias("begins"))
