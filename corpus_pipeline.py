@@ -25,13 +25,19 @@ def _named(decisions: DataFrame, *more) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of sf_dir, scores at its threshold or more."""
+    """Documents that the classifier, fitted on the labels of sf_dir, scores at its threshold or more.
+
+    Null and empty texts are scored like others; repeated rows stay repeated. Texts of any length are scored whole.
+    """
     scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _matched(docs, _named(scores.filter("predicted = 1")), "left_semi")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; repeated rows count as copies."""
+    """One document of each group of equal texts: the longest as it stands, then of smallest id; null texts are empty ones.
+
+    Rows that are alike in id and text count as copies too.
+    """
     kept = exact_dedup.dedup_exact(docs).filter("kept")
     # a kept row may be repeated as a whole; nothing tells those apart, so such documents are taken once each
     one = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_key")).agg(F.count("*").alias("n")).filter("n > 1")
@@ -40,21 +46,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of similar texts."""
+    """The document of smallest id of each component of similar texts; those without words are similar to none and stay.
+
+    A null id is the smallest only in a component of null ids.
+    """
     joined = ngram_join.join_ngrams(docs)
     return _matched(docs, _named(joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole: a copy that the mix cuts counts if at least half of it is taken."""
+    """Each document as often as the mix takes it, whole, range-sorted by the training position of each copy.
+
+    A copy that the mix cuts counts if at least half of it is taken. Only the copy at the end of a source's demand is cut, so a
+    source's words differ from its target by at most half of that one document.
+    """
     mixed = mixing.mix(docs)
-    copies = F.size(F.filter("copies", lambda words: (words > 0) & (words * 2 >= F.col("size"))))
-    decided = _named(mixed, copies.alias("_copies")).filter("_copies > 0")
-    return _matched(docs, decided, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = F.arrays_zip(F.filter("copies", lambda words: words > 0).alias("words"), F.col("positions").alias("position"))
+    whole = F.transform(F.filter(taken, lambda c: c["words"] * 2 >= F.col("size")), lambda c: c["position"])
+    decided = _named(mixed, whole.alias("_at")).filter(F.size("_at") > 0)
+    return _matched(docs, decided, "inner").withColumn("_at", F.explode("_at")).repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; each copy of a document is packed on its own."""
+    """Pieces of token sequences; each copy of a document is packed on its own, and a null text is one piece of one token."""
     return packing.pack_documents(docs)
 
 
