@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.operators.pixels import finite
@@ -25,22 +25,33 @@ def unit_statistics(samples: DataFrame, by: list[str], value: str = "value") ->
     )
 
 
-def partial_states(samples: DataFrame, by: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
-    """A mergeable state per group. M2 is taken about the group's own mean from a shift near it, so little cancels."""
-    x, w = F.col(value), F.col(weight)
-    kept = samples.filter(finite(x) & (w > 0))
-    moments = kept.groupBy(*by).agg(F.sum(w).alias("count"), F.sum(w * x).alias("sum"), F.sum(w * w).alias("sum_w2"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(w * x * x).alias("_q"))
-    return moments.withColumn("m2", F.greatest(F.col("_q") - F.col("sum") * F.col("sum") / F.col("count"), F.lit(0.0))).drop("_q")
+def partial_states(samples: DataFrame, by: list[str], value: str = "value", weight: str | None = "weight") -> DataFrame:
+    """A mergeable state per group; weight None: every sample weighs 1.
+
+    M2 is Spark's own running variance among samples of equal weight, so nothing cancels whatever the mean; samples of the
+    same group but other weights are states that are merged.
+    """
+    x = F.col(value)
+    moments = [F.count("*").cast("double").alias("_n"), F.sum(x).alias("_s"), F.var_pop(x).alias("_v"), F.min(x).alias("min"), F.max(x).alias("max")]
+    w = F.lit(1.0) if weight is None else F.col("_w")
+    state = [(w * F.col("_n")).alias("count"), (w * F.col("_s")).alias("sum"), (w * w * F.col("_n")).alias("sum_w2"), "min", "max", (w * F.col("_n") * F.col("_v")).alias("m2")]
+    if weight is None:
+        return samples.filter(finite(x)).groupBy(*by).agg(*moments).select(*by, *state)
+    kept = samples.filter(finite(x) & (F.col(weight) > 0)).withColumn("_w", F.col(weight).cast("double"))
+    return merge_states(kept.groupBy(*by, "_w").agg(*moments).select(*by, *state), by)
 
 
 def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
-    """States of the same group in one, by Chan, Golub and LeVeque; null states are skipped."""
+    """States of the same group in one, by Chan, Golub and LeVeque; null and empty states are skipped.
+
+    What lies between states is taken about the merged mean, which a window over the group's states gives: one shuffle of states.
+    """
     n, s = F.col("count"), F.col("sum")
-    merged = states.filter(n > 0).groupBy(*by).agg(
-        F.sum(n).alias("count"), F.sum(s).alias("sum"), F.sum("sum_w2").alias("sum_w2"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("m2").alias("_m2"), F.sum(s * s / n).alias("_between")
+    group = Window.partitionBy(*by)
+    about = states.filter(n > 0).withColumn("_apart", s / n - F.sum(s).over(group) / F.sum(n).over(group))
+    return about.groupBy(*by).agg(
+        F.sum(n).alias("count"), F.sum(s).alias("sum"), F.sum("sum_w2").alias("sum_w2"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum(F.col("m2") + n * F.col("_apart") * F.col("_apart")).alias("m2")
     )
-    m2 = F.col("_m2") + F.greatest(F.col("_between") - s * s / n, F.lit(0.0))
-    return merged.withColumn("m2", m2).drop("_m2", "_between")
 
 
 def finished(states: DataFrame) -> DataFrame:
@@ -48,7 +59,7 @@ def finished(states: DataFrame) -> DataFrame:
     return states.withColumns({"mean": F.col("sum") / F.col("count"), "stddev": deviation(F.col("m2"), F.col("count"), F.col("sum_w2"))}).drop("m2", "sum_w2")
 
 
-def weighted_statistics(samples: DataFrame, by: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
+def weighted_statistics(samples: DataFrame, by: list[str], value: str = "value", weight: str | None = "weight") -> DataFrame:
     return finished(partial_states(samples, by, value, weight))
 
 

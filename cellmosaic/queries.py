@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import crs, h3bits, healpix, s2, wkb
+from cellmosaic.functions import crs, h3, h3bits, healpix, s2, wkb
 from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
 from cellmosaic.plans.options import parse_edges, parse_quantiles
-from cellmosaic.sources import formats, tiles
+from cellmosaic.sources import formats, geotiff, tiles
 from cellmosaic.sources.geotiff import write_geotiff
 from cellmosaic.sources.scratch import filesystem, scratch_path
 from cellmosaic.streaming import cells as stream
@@ -129,7 +129,7 @@ def multi_resolution(spark, sf_dir):
 @query("multi_resolution_by_parent", _MULTI_SQL)
 def multi_resolution_by_parent(spark, sf_dir):
     """Coarser levels from finished states instead of pixels."""
-    states = continuous.partial_states(samples(spark, sf_dir), ["cell"])
+    states = continuous.partial_states(samples(spark, sf_dir), ["cell"], weight=None)
     levels = F.array(*[F.struct(F.lit(d).alias("resolution"), healpix.cell_to_parent(F.col("cell"), DEPTH, d).alias("parent")) for d in (4, 6, 8)])
     up = states.withColumn("l", F.explode(levels)).select("l.resolution", F.col("l.parent").alias("cell"), *continuous.STATE)
     return rounded(continuous.finished(continuous.merge_states(up, ["resolution", "cell"])))
@@ -254,9 +254,10 @@ def alpha_mask(spark, sf_dir):
 
 
 def _weighted_sql(source: str, keys: str = "cell") -> str:
-    """Statistics of rows value, weight; M2 about the mean from moments."""
-    inner = f"SELECT {keys}, sum(weight) AS count, sum(weight * value) AS sum, sum(weight * weight) AS w2, min(value) AS min, max(value) AS max, sum(weight * value * value) AS q FROM {source} WHERE weight > 0 GROUP BY {keys}"
-    outer = f"SELECT {keys}, count, sum, sum / count AS mean, CASE WHEN count - w2 / count > count * 1e-12 THEN sqrt(greatest(q - sum * sum / count, 0e0) / (count - w2 / count)) ELSE 0e0 END AS stddev, min, max FROM ({inner})"
+    """Statistics of rows value, weight; M2 in a second pass about the mean."""
+    about = f"SELECT *, sum(weight * value) OVER (PARTITION BY {keys}) / sum(weight) OVER (PARTITION BY {keys}) AS mu FROM {source} WHERE weight > 0"
+    inner = f"SELECT {keys}, sum(weight) AS count, sum(weight * value) AS sum, sum(weight * weight) AS w2, min(value) AS min, max(value) AS max, sum(weight * (value - mu) * (value - mu)) AS m2 FROM ({about}) GROUP BY {keys}"
+    outer = f"SELECT {keys}, count, sum, sum / count AS mean, CASE WHEN count - w2 / count > count * 1e-12 THEN sqrt(m2 / (count - w2 / count)) ELSE 0e0 END AS stddev, min, max FROM ({inner})"
     return rsel(outer, keys.split(", "), FIVE)
 
 
@@ -440,7 +441,7 @@ def multiband_wide(spark, sf_dir):
 def partitioned_merge_continuous(spark, sf_dir):
     """States of eight blocks of rows, merged."""
     parts = samples(spark, sf_dir).withColumn("block", F.pmod("row", F.lit(8)))
-    return rounded(continuous.finished(continuous.merge_states(continuous.partial_states(parts, ["cell", "block"]), ["cell"])))
+    return rounded(continuous.finished(continuous.merge_states(continuous.partial_states(parts, ["cell", "block"], weight=None), ["cell"])))
 
 
 @query("partitioned_merge_categorical", f"{_classes_sql()}, {_WIDE}")
@@ -454,10 +455,38 @@ def partitioned_merge_categorical(spark, sf_dir):
 m AS (SELECT CASE WHEN parent IS NULL THEN c.cell ELSE parent END AS cell, CASE WHEN parent IS NULL THEN 8 ELSE 7 END AS resolution, value, 1e0 AS weight FROM c JOIN s USING (cell) LEFT JOIN f ON c.cell >> 2 = parent) {_weighted_sql('m', 'cell, resolution')}""")
 def compact_siblings(spark, sf_dir):
     """The minimum count holds for the children; parents of four children stand in for them."""
-    states = continuous.having(continuous.partial_states(samples(spark, sf_dir), ["cell"]), min_count=15).withColumn("resolution", F.lit(DEPTH))
+    states = continuous.having(continuous.partial_states(samples(spark, sf_dir), ["cell"], weight=None), min_count=15).withColumn("resolution", F.lit(DEPTH))
     return rounded(continuous.finished(continuous.compacted(states, healpix.cell_to_parent(F.col("cell"), DEPTH, DEPTH - 1))))
 
 
+_LARGE = "l AS (SELECT cell, 1e9 + k AS value, (1 + k % 3) * 0.25e0 AS weight, row % 8 AS block FROM c)"
+
+
+def _spread(cells: DataFrame) -> DataFrame:
+    """Deviations to four decimals: means of 1e9 leave about eight."""
+    return cells.select("cell", "count", (F.floor(F.col("stddev") * 1e4 + 0.50037) / 1e4).alias("stddev"), "min", "max")
+
+
+def _spread_sql(keys: str) -> str:
+    return f"WITH {HP}, {_LARGE}, m AS (SELECT *, sum(weight * value) OVER (PARTITION BY {keys}) / sum(weight) OVER (PARTITION BY {keys}) AS mu FROM l), s AS (SELECT {keys}, sum(weight) AS count, sum(weight * weight) AS w2, sum(weight * (value - mu) * (value - mu)) AS m2, min(value) AS min, max(value) AS max FROM m GROUP BY {keys}) SELECT cell, count, floor((CASE WHEN count - w2 / count > count * 1e-12 THEN sqrt(m2 / (count - w2 / count)) ELSE 0e0 END) * 1e4 + 0.50037e0) / 1e4 AS stddev, min, max FROM s"
+
+
+def _large(spark, sf_dir) -> DataFrame:
+    """Values far from zero with little between them, of three weights."""
+    return samples(spark, sf_dir).withColumns({"value": F.col("k") + 1e9, "weight": (1 + F.pmod("k", F.lit(3))) * 0.25, "block": F.pmod("row", F.lit(8))})
+
+
+@query("weighted_large_mean", _spread_sql("cell"))
+def weighted_large_mean(spark, sf_dir):
+    return _spread(continuous.weighted_statistics(_large(spark, sf_dir), ["cell"]))
+
+
+@query("merged_large_mean", _spread_sql("cell"))
+def merged_large_mean(spark, sf_dir):
+    """The same from states of eight blocks."""
+    return _spread(continuous.finished(continuous.merge_states(continuous.partial_states(_large(spark, sf_dir), ["cell", "block"]), ["cell"])))
+
+
 # --- mosaics ---------------------------------------------------------------------------------------------------------
 
 # The SQL stops at rows 156 and 136 of the two tables, which hold all rows up to sf0.01; the queries take every row.
@@ -651,6 +680,56 @@ def h3_bit_scalars(spark, sf_dir):
     return u.select(c, healpix.to_string(c).alias("hex"), h3bits.is_valid(c).alias("valid"), h3bits.resolution(c).alias("resolution"), h3bits.cell_to_parent(c, 3).alias("parent"), h3bits.base_cell(c).alias("base"))
 
 
+def _h3_sql(source: str, out: str, resolution: int) -> str:
+    """CTEs that add `cell` to rows with lon and lat: nearest face, place in its plane, digits from the finest lattice up.
+
+    Base cells and turns are looked up in a table of faces and coordinates; cells of pentagons are not turned, so this holds for
+    points outside the twelve pentagons' base cells, as the events raster's are up to sf0.1.
+    """
+    faces = ", ".join(f"({k}, {lat!r}e0, {lng!r}e0, {axis!r}e0)" for k, (lat, lng, axis) in enumerate(h3.FACES))
+    cell, turns, _ = h3.base_cell_table()
+    bases = ", ".join(f"({f}, {i}, {j}, {k}, {cell[f, i, j, k]}, {turns[f, i, j, k]})" for f, i, j, k in np.ndindex(20, 3, 3, 3) if min(i, j, k) == 0)
+    turn, scale = (h3.TURN if resolution % 2 else 0.0), math.sqrt(7.0) ** resolution
+    # a step along the first axis and one along the second stand for these digits, rows and columns from -1 to 1
+    digit = "[[1, 3, 0], [5, 0, 2], [0, 4, 6]]"
+    steps = []
+    for level in range(resolution, 0, -1):
+        n = resolution - level
+        up = ("(3 * a - b) / 7e0", "(a + 2 * b) / 7e0") if level % 2 else ("(2 * a + b) / 7e0", "(3 * b - a) / 7e0")
+        back = ("2 * ua + ub", "3 * ub - ua") if level % 2 else ("3 * ua - ub", "ua + 2 * ub")
+        steps.append(f"{out}_u{n} AS (SELECT *, CAST(round({up[0]}) AS BIGINT) AS ua, CAST(round({up[1]}) AS BIGINT) AS ub FROM {out}_d{n}), {out}_d{n + 1} AS (SELECT * EXCLUDE (a, b, ua, ub, ds), ua AS a, ub AS b, list_prepend({digit}[a - ({back[0]}) + 2][b - ({back[1]}) + 2], ds) AS ds FROM {out}_u{n})")
+    turned = str([[int(h3.TURNED[k, d]) for d in range(7)] for k in range(6)])
+    bits = " + ".join(f"(CAST({turned}[turns + 1][ds[{k + 1}] + 1] AS BIGINT) << {3 * (14 - k)})" for k in range(resolution)) or "0"
+    return f"""{out}_f AS (SELECT * FROM (VALUES {faces}) t(face, fla, flo, axis)), {out}_n AS (SELECT *, row_number() OVER () AS rn FROM {source}),
+{out}_g AS (SELECT *, radians(lat) AS la, radians(lon) AS lo FROM {out}_n), {out}_h AS (SELECT g.*, f.*, row_number() OVER (PARTITION BY rn ORDER BY sin(la) * sin(fla) + cos(la) * cos(fla) * cos(lo - flo) DESC) AS near FROM {out}_g g, {out}_f f),
+{out}_i AS (SELECT *, acos(sin(la) * sin(fla) + cos(la) * cos(fla) * cos(lo - flo)) AS away, axis - atan2(cos(la) * sin(lo - flo), cos(fla) * sin(la) - sin(fla) * cos(la) * cos(lo - flo)) - {turn!r}e0 AS angle FROM {out}_h WHERE near = 1),
+{out}_j AS (SELECT *, tan(away) / {h3.UNIT!r}e0 * {scale!r}e0 * cos(angle) AS x, tan(away) / {h3.UNIT!r}e0 * {scale!r}e0 * sin(angle) AS y FROM {out}_i),
+{out}_k AS (SELECT *, x - y / sqrt(3e0) AS q, y * 2 / sqrt(3e0) AS r FROM {out}_j), {out}_l AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM {out}_k),
+{out}_m AS (SELECT *, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r) THEN -rr - rs ELSE rq END AS cq, CASE WHEN NOT (abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r)) AND abs(rr - r) > abs(rs + q + r) THEN -rq - rs ELSE rr END AS cr FROM {out}_l),
+{out}_d0 AS (SELECT * EXCLUDE (rn, la, lo, fla, flo, axis, near, away, angle, x, y, q, r, rq, rr, rs, cq, cr), CAST(cq + cr AS BIGINT) AS a, CAST(cr AS BIGINT) AS b, CAST([] AS INTEGER[]) AS ds FROM {out}_m), {', '.join(steps)},
+{out}_b AS (SELECT * FROM (VALUES {bases}) t(face, bi, bj, bk, base, turns)),
+{out} AS (SELECT d.* EXCLUDE (face, a, b, ds), (CAST(1 AS BIGINT) << 59) + (CAST({resolution} AS BIGINT) << 52) + (CAST(base AS BIGINT) << 45) + {(1 << 3 * (15 - resolution)) - 1} + {bits} AS cell FROM {out}_d{resolution} d JOIN {out}_b t ON d.face = t.face AND d.a - least(d.a, d.b, 0) = bi AND d.b - least(d.a, d.b, 0) = bj AND -least(d.a, d.b, 0) = bk)"""
+
+
+def _h3_samples(spark, sf_dir, resolution: int) -> DataFrame:
+    at = pixels.located(events(spark, sf_dir), ORIGIN, SIZE)
+    return at.withColumn("cell", h3.lonlat_to_cell(F.col("lon"), F.col("lat"), resolution))
+
+
+@query("h3_assign_continuous", f"WITH {EV}, {_h3_sql('ev', 'c', 6)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell', 'lower(to_hex(cell)) AS hex'], FIVE)}")
+def h3_assign_continuous(spark, sf_dir):
+    cells = continuous.unit_statistics(_h3_samples(spark, sf_dir, 6), ["cell"])
+    return rounded(cells.withColumn("hex", healpix.to_string(F.col("cell"))))
+
+
+@query("h3_rollup", f"WITH {EV}, {_h3_sql('ev', 'f', 7)}, p AS (SELECT (cell & ~(CAST(15 AS BIGINT) << 52)) | (CAST(5 AS BIGINT) << 52) | {(1 << 30) - 1} AS cell FROM f) SELECT cell, count(*) AS n, true AS valid, 5 AS resolution FROM p GROUP BY cell")
+def h3_rollup(spark, sf_dir):
+    """Counts of parents at resolution 5 of cells of resolution 7."""
+    fine = _h3_samples(spark, sf_dir, 7).groupBy("cell").agg(F.count("*").alias("n"))
+    up = fine.groupBy(h3bits.cell_to_parent(F.col("cell"), 5).alias("cell")).agg(F.sum("n").alias("n"))
+    return up.select("cell", "n", h3bits.is_valid(F.col("cell")).alias("valid"), h3bits.resolution(F.col("cell")).alias("resolution"))
+
+
 _METRES = "m AS (SELECT value, (col - 50) * 20000e0 + 137e0 AS x, (row % 100 - 50) * 20000e0 + 211e0 AS y FROM px)"
 
 
@@ -728,7 +807,7 @@ def distinct_cells(spark, sf_dir):
 @query("union_final_merged", f"WITH {HP} {_weighted_sql('c')}")
 def union_final_merged(spark, sf_dir):
     """Cells that only one block touches are final; boundary cells are merged; both are united."""
-    states = continuous.partial_states(samples(spark, sf_dir).withColumn("block", F.floor(F.col("row") / 7)), ["cell", "block"])
+    states = continuous.partial_states(samples(spark, sf_dir).withColumn("block", F.floor(F.col("row") / 7)), ["cell", "block"], weight=None)
     blocks = states.groupBy("cell").agg(F.count("*").alias("blocks"))
     marked = states.join(blocks, "cell")
     final = marked.filter("blocks = 1").select("cell", *continuous.STATE)
@@ -749,18 +828,30 @@ def _assign_sql(where: str = "true") -> str:
     return f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c WHERE {where} GROUP BY cell', ['cell'], FIVE)}"
 
 
-def _write_tiles(spark, sf_dir, **options) -> str:
-    """The events raster as a mosaic of GeoTIFF files of 50 rows each, one task a file."""
+def _write_tiles(spark, sf_dir, fill: float = -9999.0, hidden: str | None = None, codecs: tuple[int, ...] = (), **options) -> str:
+    """The events raster as a mosaic of GeoTIFF files of 50 rows each, one task a file.
+
+    hidden: an "alpha" band or internal "mask" hides pixels by their k; codecs: each file's compression in turn.
+    """
     path = scratch_path(spark, "tiles")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * 50
-        values = np.full((int(pdf["row"].max()) - first + 1, WIDTH), -9999.0)
-        values[pdf["row"].to_numpy() - first, pdf["col"].to_numpy()] = pdf["value"].to_numpy()
+        at = pdf["row"].to_numpy() - first, pdf["col"].to_numpy()
+        values = np.full((int(pdf["row"].max()) - first + 1, WIDTH), fill)
+        values[at] = pdf["value"].to_numpy()
+        own = dict(options, compression=codecs[int(key[0]) % len(codecs)]) if codecs else dict(options)
+        if hidden:
+            shown = np.zeros(values.shape, dtype=bool)
+            shown[at] = pdf["k"].to_numpy() * 7 % 256 >= 64
+            if hidden == "mask":
+                own["mask"] = shown
+            else:
+                values, own["alpha"] = np.dstack([values, np.where(shown, 255.0, 0.0)]), True
         store, folder = filesystem(path)
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/rows-{first:09d}.tif", compression=None) as f:
-            f.write(write_geotiff(values, (ORIGIN[0], ORIGIN[1] - first * SIZE[1]), SIZE, nodata=-9999.0, **options))
+            f.write(write_geotiff(values, (ORIGIN[0], ORIGIN[1] - first * SIZE[1]), SIZE, nodata=fill, **own))
         return pd.DataFrame({"n": [len(pdf)]})
 
     events(spark, sf_dir).groupBy(F.floor(F.col("row") / 50).alias("block")).applyInPandas(run, "n long").count()
@@ -789,6 +880,44 @@ def geotiff_bbox_pruning(spark, sf_dir):
     return rounded(continuous.unit_statistics(healpix.with_cell(px, DEPTH), ["cell"]))
 
 
+_SHOWN = "(k * 7) % 256 >= 64"
+
+
+@query("geotiff_alpha_band", _assign_sql(_SHOWN))
+def geotiff_alpha_band(spark, sf_dir):
+    """Pixels that the files' alpha band hides are no samples."""
+    path = _write_tiles(spark, sf_dir, hidden="alpha", tile=32)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path), DEPTH), ["cell"]))
+
+
+@query("geotiff_internal_mask", _assign_sql(_SHOWN))
+def geotiff_internal_mask(spark, sf_dir):
+    """Nor are those that a mask of one bit a pixel hides."""
+    path = _write_tiles(spark, sf_dir, hidden="mask", tile=16)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path), DEPTH), ["cell"]))
+
+
+@query("geotiff_scale_offset", f"WITH {HP}, k2 AS (SELECT cell, value * 0.25e0 + -40e0 AS value FROM c WHERE NOT abs(value - 12.5e0) <= 12.5e-6) {rsel(f'SELECT cell, {STATS} FROM k2 GROUP BY cell', ['cell'], FIVE)}")
+def geotiff_scale_offset(spark, sf_dir):
+    """NoData, scale and offset from the files' own tags."""
+    path = _write_tiles(spark, sf_dir, fill=12.5, scale={1: (0.25, -40.0)}, rows_per_strip=16)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path), DEPTH), ["cell"]))
+
+
+@query("geotiff_codecs", _assign_sql())
+def geotiff_codecs(spark, sf_dir):
+    """Files of every compression, with planes apart."""
+    path = _write_tiles(spark, sf_dir, codecs=(geotiff.LZW, geotiff.ZSTD, geotiff.PACKBITS, geotiff.DEFLATE, geotiff.NONE), planar=True, tile=64)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path), DEPTH), ["cell"]))
+
+
+@query("geotiff_bbox_option", _assign_sql("lon >= -121.0004e0 AND lon <= -118.4996e0 AND lat >= 34.0004e0 AND lat <= 36.9004e0"))
+def geotiff_bbox_option(spark, sf_dir):
+    """The source's own bbox leaves out chunks and clips pixels."""
+    path = _write_tiles(spark, sf_dir, tile=16)
+    return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path, bbox="-121.0004,34.0004,-118.4996,36.9004"), DEPTH), ["cell"]))
+
+
 @query("geoparquet_roundtrip", f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell', '93 AS wkb_bytes'], FIVE)}")
 def geoparquet_roundtrip(spark, sf_dir):
     """Cells with outlines, written with GeoParquet metadata and read again; four corners make 93 bytes."""
@@ -807,7 +936,7 @@ def jsonl_roundtrip(spark, sf_dir):
 @query("pmtiles_tiles")
 def pmtiles_tiles(spark, sf_dir):
     """Encoded tiles of zooms 5 to 7; coarse zooms take coarser cells from merged states."""
-    states = continuous.partial_states(samples(spark, sf_dir), ["cell"])
+    states = continuous.partial_states(samples(spark, sf_dir), ["cell"], weight=None)
     out = None
     for zoom, depth in ((7, 8), (6, 7), (5, 6)):
         level = continuous.finished(continuous.merge_states(states.withColumn("cell", healpix.cell_to_parent(F.col("cell"), DEPTH, depth)), ["cell"]))

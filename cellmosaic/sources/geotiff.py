@@ -1,7 +1,8 @@
 """GeoTIFF files: decoding of chunks, writing, and a PySpark data source of pixel rows.
 
 Classic and BigTIFF; strips and tiles; interleaved and separate bands; no compression, Deflate, LZW, ZSTD and PackBits;
-predictors 1 to 3; GDAL NoData, scale and offset; sparse chunks; alpha bands. Chunks are read one at a time by byte range.
+predictors 1 to 3; GDAL NoData, scale and offset; sparse chunks; alpha bands and internal masks. Chunks are read one at a time by
+byte range.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from cellmosaic.sources.scratch import filesystem
 
@@ -144,14 +146,16 @@ class TiffInfo:
     tiled: bool
     chunk_width: int
     chunk_height: int
-    offsets: list[int]
-    sizes: list[int]
+    offsets: list[int] | dict[int, int]
+    sizes: list[int] | dict[int, int]
     origin: tuple[float, float]
     pixel: tuple[float, float]
     epsg: int | None
     nodata: float | None
     scale: dict[int, tuple[float, float]] = field(default_factory=dict)
     alpha: int | None = None
+    bits: int = 0  # 1 for masks of one bit a pixel
+    mask: TiffInfo | None = None
 
     @property
     def across(self) -> int:
@@ -167,31 +171,63 @@ class TiffInfo:
         col, row = c * self.chunk_width, r * self.chunk_height
         return col, row, min(self.chunk_width, self.width - col), min(self.chunk_height, self.height - row)
 
+    def chunks_in(self, col: int, row: int, width: int, height: int) -> list[int]:
+        """Chunks that a box of pixels meets."""
+        across = range(col // self.chunk_width, (col + width - 1) // self.chunk_width + 1)
+        return [r * self.across + c for r in range(row // self.chunk_height, (row + height - 1) // self.chunk_height + 1) for c in across]
+
+    def only(self, chunks: list[int], bands: list[int]) -> TiffInfo:
+        """The same with the places of those chunks and bands alone, so that a partition carries no more than it reads."""
+        keys = {c + (b - 1) * self.chunks for c in chunks for b in bands} if self.planar else set(chunks)
+        mask = self.mask and self.mask.only(sorted({m for c in chunks for m in self.mask.chunks_in(*self.box(c))}), [1])
+        return replace(self, offsets={k: self.offsets[k] for k in keys}, sizes={k: self.sizes[k] for k in keys}, mask=mask)
+
+
+def _directory(f, order: str, big: bool, at: int) -> tuple[dict[int, object], int]:
+    """Tags of the image whose directory is there, and where the next directory is (0: none)."""
+    word = "Q" if big else "I"
+    n = struct.unpack(order + ("Q" if big else "H"), f.read_at(8 if big else 2, at))[0]
+    at += 8 if big else 2
+    size, inline = (20, 8) if big else (12, 4)
+    raw = f.read_at(n * size + inline, at)
+    tags: dict[int, object] = {}
+    for k in range(n):
+        entry = raw[k * size : (k + 1) * size]
+        tag, kind = struct.unpack(order + "HH", entry[:4])
+        count = struct.unpack(order + word, entry[4 : 12 if big else 8])[0]
+        code = _TYPES.get(kind, "B")
+        length = count * struct.calcsize(order + code)
+        value = entry[-inline:][:length] if length <= inline else f.read_at(length, struct.unpack(order + word, entry[-inline:])[0])
+        tags[tag] = value.rstrip(b"\0").decode("latin-1") if code == "s" else list(struct.unpack(f"{order}{count * len(code)}{code[0]}", value))
+    return tags, struct.unpack(order + word, raw[n * size :].ljust(inline, b"\0"))[0]
+
 
 def read_info(path: str) -> TiffInfo:
-    """The first image's tags; an invalid scale is an error."""
+    """The first image's tags and those of its internal mask; an invalid scale is an error."""
     store, name = filesystem(path)
     with store.open_input_file(name) as f:
         head = f.read_at(16, 0)
         order = {b"II": "<", b"MM": ">"}[head[:2]]
         big = struct.unpack(order + "H", head[2:4])[0] == 43
         at = struct.unpack(order + "Q", head[8:16])[0] if big else struct.unpack(order + "I", head[4:8])[0]
-        n = struct.unpack(order + ("Q" if big else "H"), f.read_at(8 if big else 2, at))[0]
-        at += 8 if big else 2
-        size, inline = (20, 8) if big else (12, 4)
-        raw = f.read_at(n * size, at)
-        tags: dict[int, object] = {}
-        for k in range(n):
-            entry = raw[k * size : (k + 1) * size]
-            tag, kind = struct.unpack(order + "HH", entry[:4])
-            count = struct.unpack(order + ("Q" if big else "I"), entry[4 : 12 if big else 8])[0]
-            code = _TYPES.get(kind, "B")
-            length = count * struct.calcsize(order + code)
-            value = entry[-inline:][:length] if length <= inline else f.read_at(length, struct.unpack(order + ("Q" if big else "I"), entry[-inline:])[0])
-            tags[tag] = value.rstrip(b"\0").decode("latin-1") if code == "s" else list(struct.unpack(f"{order}{count * len(code)}{code[0]}", value))
+        tags, at = _directory(f, order, big, at)
+        info, seen = _image(path, order, tags), set()
+        while at and at not in seen:
+            seen.add(at)
+            more, at = _directory(f, order, big, at)
+            # a transparency mask of this image, not of one of its overviews
+            if more.get(254, [0])[0] & 4 and (more[256][0], more[257][0]) == (info.width, info.height):
+                info.mask = _image(path, order, more)
+                break
+    return info
+
+
+def _image(path: str, order: str, tags: dict[int, object]) -> TiffInfo:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-    bands, tiled = one(277, 1), 322 in tags
-    dtype = np.dtype(f"{order}{_KINDS[one(339, 1)]}{one(258, 8) // 8}")
+    bands, tiled, bits = one(277, 1), 322 in tags, one(258, 1)
+    if bits not in (1, 8, 16, 32, 64):
+        raise ValueError(f"{path}: samples of {bits} bits are not supported")
+    dtype = np.dtype(f"{order}{_KINDS[one(339, 1)]}{max(bits // 8, 1)}")
     keys = tags.get(34735, [])
     epsg = next((keys[k + 3] for want in (3072, 2048) for k in range(4, len(keys), 4) if keys[k] == want and keys[k + 1] == 0 and keys[k + 3] != 32767), None)
     tie, pixel = tags.get(33922, [0.0] * 6), tags.get(33550, [1.0, 1.0, 0.0])
@@ -206,7 +242,7 @@ def read_info(path: str) -> TiffInfo:
     return TiffInfo(
         path, one(256), one(257), bands, dtype, order, one(259, 1), one(317, 1), one(284, 1) == 2, tiled, one(322) if tiled else one(256), one(323) if tiled else min(one(278, one(257)), one(257)),
         tags.get(324 if tiled else 273), tags.get(325 if tiled else 279), (tie[3] - tie[0] * pixel[0], tie[4] + tie[1] * pixel[1]), (pixel[0], pixel[1]), epsg,
-        float(tags[42113]) if 42113 in tags else None, {b: tuple(v) for b, v in scale.items()}, alpha,
+        float(tags[42113]) if 42113 in tags else None, {b: tuple(v) for b, v in scale.items()}, alpha, 1 if bits == 1 else 0,
     )
 
 
@@ -219,17 +255,36 @@ def read_chunk(f, info: TiffInfo, chunk: int, bands: list[int]) -> np.ndarray |
         if not info.sizes[k]:
             return None
         samples = 1 if info.planar else info.bands
+        if info.bits:
+            packed = -(-info.chunk_width * samples // 8)
+            data = decompress(f.read_at(info.sizes[k], info.offsets[k]), info.compression, full_h * packed)
+            bits = np.unpackbits(np.frombuffer(data, np.uint8)[: full_h * packed].reshape(full_h, packed), axis=1)
+            planes.append(bits[:, : info.chunk_width * samples].reshape(full_h, info.chunk_width, samples)[:h, :w])
+            continue
         size = full_h * info.chunk_width * samples * info.dtype.itemsize
         data = decompress(f.read_at(info.sizes[k], info.offsets[k]), info.compression, size)
         planes.append(unpredict(data, info.predictor, info.dtype, full_h, info.chunk_width, samples)[:h, :w])
     return np.concatenate(planes, axis=2) if info.planar else planes[0][:, :, [b - 1 for b in bands]]
 
 
+def read_mask(f, info: TiffInfo, chunk: int) -> np.ndarray:
+    """Whether the internal mask lets each pixel of a chunk count; absent chunks of the mask count as zeros, which hide."""
+    col, row, w, h = info.box(chunk)
+    out = np.zeros((h, w), dtype=bool)
+    for k in info.mask.chunks_in(col, row, w, h):
+        got = read_chunk(f, info.mask, k, [1])
+        if got is not None:
+            c, r, cw, ch = info.mask.box(k)
+            c0, c1, r0, r1 = max(c, col), min(c + cw, col + w), max(r, row), min(r + ch, row + h)
+            out[r0 - row : r1 - row, c0 - col : c1 - col] = got[r0 - r : r1 - r, c0 - c : c1 - c, 0] != 0
+    return out
+
+
 def write_geotiff(
     values: np.ndarray, origin: tuple[float, float], pixel: tuple[float, float], epsg: int = 4326, tile: int | None = None, compression: int = DEFLATE, predictor: int = 1,
-    planar: bool = False, nodata: float | None = None, scale: dict[int, tuple[float, float]] | None = None, alpha: bool = False, rows_per_strip: int = 64, big: bool = False, sparse: frozenset[int] = frozenset(),
+    planar: bool = False, nodata: float | None = None, scale: dict[int, tuple[float, float]] | None = None, alpha: bool = False, rows_per_strip: int = 64, big: bool = False, sparse: frozenset[int] = frozenset(), mask: np.ndarray | None = None,
 ) -> bytes:
-    """A little-endian GeoTIFF of (row, column[, band]) samples."""
+    """A little-endian GeoTIFF of (row, column[, band]) samples; a mask (row, column) becomes a second image of one bit a pixel."""
     values = values[:, :, None] if values.ndim == 2 else values
     height, width, bands = values.shape
     dtype = values.dtype.newbyteorder("<")
@@ -278,28 +333,36 @@ def write_geotiff(
     if scale:
         items = "".join(f'<Item name="{n.upper()}" sample="{b - 1}" role="{n}">{v!r}</Item>' for b, pair in scale.items() for n, v in zip(("scale", "offset"), pair, strict=True))
         tags[42112] = (2, f"<GDALMetadata>{items}</GDALMetadata>\0".encode())
-    word = "Q" if big else "I"
-    start, where = 16 if big else 8, []
-    body = bytearray()
-    for data in chunks:
-        where.append(start + len(body) if data else 0)
-        body += data
-    tags[324 if tile else 273] = (16 if big else 4, where)
-    tags[325 if tile else 279] = (16 if big else 4, [len(d) for d in chunks])
-    directory = start + len(body)
-    entries, extra = b"", bytearray()
-    after = directory + (8 + 20 * len(tags) + 8 if big else 2 + 12 * len(tags) + 4)
-    for tag, (code, value) in sorted(tags.items()):
-        data = value if code == 2 else struct.pack(f"<{len(value)}{_TYPES[code]}", *value)
-        count, room = len(value), 8 if big else 4
-        if len(data) > room:
-            place = struct.pack("<" + word, after + len(extra))
-            extra += data
-        else:
-            place = data.ljust(room, b"\0")
-        entries += struct.pack("<HH" + word, tag, code, count) + place
-    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, directory) if big else struct.pack("<2sHI", b"II", 42, directory)
-    return bytes(head) + bytes(body) + struct.pack("<Q" if big else "<H", len(tags)) + entries + struct.pack("<" + word, 0) + bytes(extra)
+    images = [(tags, chunks, 324 if tile else 273)]
+    if mask is not None:
+        strips = [zlib.compress(np.packbits(mask[row : row + rows_per_strip].astype(bool), axis=1).tobytes()) for row in range(0, height, rows_per_strip)]
+        images.append(({254: (4, [4]), 256: (4, [width]), 257: (4, [height]), 258: (3, [1]), 259: (3, [DEFLATE]), 262: (3, [4]), 277: (3, [1]), 278: (4, [rows_per_strip])}, strips, 273))
+    word, start = "Q" if big else "I", 16 if big else 8
+    body, directories = bytearray(), []
+    for own, data, places in images:
+        where = []
+        for x in data:
+            where.append(start + len(body) if x else 0)
+            body += x
+        directories.append(own | {places: (16 if big else 4, where), (325 if places == 324 else 279): (16 if big else 4, [len(x) for x in data])})
+    at = first = start + len(body)
+    out = b""
+    for k, own in enumerate(directories):
+        entries, extra = b"", bytearray()
+        after = at + (8 + 20 * len(own) + 8 if big else 2 + 12 * len(own) + 4)
+        for tag, (code, value) in sorted(own.items()):
+            data = value if code == 2 else struct.pack(f"<{len(value)}{_TYPES[code]}", *value)
+            count, room = len(value), 8 if big else 4
+            if len(data) > room:
+                place = struct.pack("<" + word, after + len(extra))
+                extra += data
+            else:
+                place = data.ljust(room, b"\0")
+            entries += struct.pack("<HH" + word, tag, code, count) + place
+        at = after + len(extra)
+        out += struct.pack("<Q" if big else "<H", len(own)) + entries + struct.pack("<" + word, at if k + 1 < len(directories) else 0) + bytes(extra)
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, first) if big else struct.pack("<2sHI", b"II", 42, first)
+    return bytes(head) + bytes(body) + out
 
 
 def resolve(path: str) -> list[str]:
@@ -327,6 +390,10 @@ def resolve(path: str) -> list[str]:
     return out
 
 
+#: Up to so many files are opened while planning; beyond, planning needs only their sizes, and tasks read the headers.
+MOST_OPENED = 256
+
+
 @dataclass
 class ChunkRun(InputPartition):
     tile: int
@@ -338,67 +405,107 @@ class ChunkRun(InputPartition):
         super().__init__((self.tile, self.first))
 
 
+@dataclass
+class FileShare(InputPartition):
+    """The part-th of so many equal runs of a file's chunks."""
+
+    tile: int
+    path: str
+    part: int
+    parts: int
+
+    def __post_init__(self):
+        super().__init__((self.tile, self.part))
+
+
 class PixelReader(DataSourceReader):
     """Chunks that miss a pushed-down or given bbox are not read; partitions are runs of chunks of one file."""
 
     def __init__(self, options):
         self.options = options
         self.window = {"x": [-np.inf, np.inf], "y": [-np.inf, np.inf]}
+        self.boxes = None
         if "bbox" in options:
             west, south, east, north = (float(v) for v in options["bbox"].split(","))
-            self.window = {"x": [west, east], "y": [south, north]}
+            # a box whose west is over its east lies across the antimeridian
+            self.boxes = [(west, south, east, north)] if west <= east else [(west, south, np.inf, north), (-np.inf, south, east, north)]
         self.bands = [int(b) for b in options.get("bands", options.get("band", "1")).split(",")]
 
     def pushFilters(self, filters):
         for f in filters:
             axis = f.attribute[0] if len(f.attribute) == 1 else None
-            if axis in self.window and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual, EqualTo)):
+            if axis in self.window and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, EqualTo)):
                 low, high = self.window[axis]
-                if not isinstance(f, LessThanOrEqual):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
                     low = max(low, float(f.value))
-                if not isinstance(f, GreaterThanOrEqual):
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     high = min(high, float(f.value))
                 self.window[axis] = [low, high]
             yield f  # chunks are pruned here, rows by Spark
 
     def partitions(self):
+        paths = resolve(self.options["path"])
+        if len(paths) > MOST_OPENED:
+            return [FileShare(tile, path, part, parts) for tile, (path, parts) in enumerate(zip(paths, self._shares(paths), strict=True)) for part in range(parts)]
         target = int(self.options.get("target_chunks", "16"))
         out = []
-        for tile, path in enumerate(resolve(self.options["path"])):
-            info = read_info(path)
-            if max(self.bands) > info.bands:
-                raise ValueError(f"{path} has {info.bands} bands")
-            kept = [k for k in range(info.chunks) if self._meets(info, k)]
-            for at in range(0, len(kept), target):
-                run = kept[at : at + target]
-                cuts = [0, *(k for k in range(1, len(run)) if run[k] != run[k - 1] + 1), len(run)]
-                out += [ChunkRun(tile, info, run[a], run[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        with ThreadPoolExecutor(16) as pool:
+            for tile, info in enumerate(pool.map(self._opened, paths)):
+                kept = [k for k in range(info.chunks) if self._meets(info, k)]
+                for at in range(0, len(kept), target):
+                    run = kept[at : at + target]
+                    cuts = [0, *(k for k in range(1, len(run)) if run[k] != run[k - 1] + 1), len(run)]
+                    out += [ChunkRun(tile, info.only(run[a:b], self._wanted(info)), run[a], run[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
         return out or [InputPartition(None)]
 
+    def _shares(self, paths: list[str]) -> Iterator[int]:
+        """Into how many parts each file is cut, by its size."""
+        bytes_each = int(self.options.get("split_bytes", str(64 << 20)))
+        with ThreadPoolExecutor(16) as pool:
+            yield from pool.map(lambda path: max(1, -(-(lambda at: at[0].get_file_info(at[1]).size or 0)(filesystem(path)) // bytes_each)), paths)
+
+    def _opened(self, path: str) -> TiffInfo:
+        info = read_info(path)
+        if max(self.bands) > info.bands:
+            raise ValueError(f"{path} has {info.bands} bands")
+        return info
+
+    def _wanted(self, info: TiffInfo) -> list[int]:
+        return self.bands + ([info.alpha] if info.alpha and info.alpha not in self.bands else [])
+
     def _meets(self, info: TiffInfo, chunk: int) -> bool:
         col, row, w, h = info.box(chunk)
         x0, y1 = info.origin[0] + col * info.pixel[0], info.origin[1] - row * info.pixel[1]
+        x1, y0 = x0 + w * info.pixel[0], y1 - h * info.pixel[1]
         (west, east), (south, north) = self.window["x"], self.window["y"]
-        return x0 <= east and x0 + w * info.pixel[0] >= west and y1 >= south and y1 - h * info.pixel[1] <= north
+        meets = lambda west, south, east, north: x0 <= east and x1 >= west and y1 >= south and y0 <= north
+        return meets(west, south, east, north) and (self.boxes is None or any(meets(*box) for box in self.boxes))
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
-        if not isinstance(part, ChunkRun):
+        if isinstance(part, FileShare):
+            info = self._opened(part.path)
+            chunks = [k for k in range(info.chunks * part.part // part.parts, info.chunks * (part.part + 1) // part.parts) if self._meets(info, k)]
+        elif isinstance(part, ChunkRun):
+            info, chunks = part.info, range(part.first, part.last + 1)
+        else:
             return
-        info = part.info
         store, name = filesystem(info.path)
         nodata = float(self.options["nodata"]) if "nodata" in self.options else info.nodata
         calibrate = self.options.get("scale_offset", "true").lower() != "false"
-        wanted = self.bands + ([info.alpha] if info.alpha and info.alpha not in self.bands else [])
+        wanted = self._wanted(info)
         with store.open_input_file(name) as f:
-            for chunk in range(part.first, part.last + 1):
+            for chunk in chunks:
                 got = read_chunk(f, info, chunk, wanted)
                 if got is None:
                     continue
                 col, row, w, h = info.box(chunk)
                 valid = got[:, :, wanted.index(info.alpha)] != 0 if info.alpha else np.ones((h, w), dtype=bool)
-                cols, rows = np.meshgrid(np.arange(col, col + w), np.arange(row, row + h))
-                arrays = [pa.array(np.full(w * h, part.tile, np.int32)), pa.array(cols.ravel().astype(np.int64)), pa.array(rows.ravel().astype(np.int64))]
-                arrays += [pa.array(info.origin[0] + (cols.ravel() + 0.5) * info.pixel[0]), pa.array(info.origin[1] - (rows.ravel() + 0.5) * info.pixel[1])]
+                if info.mask:
+                    valid = valid & read_mask(f, info, chunk)
+                cols, rows = (v.ravel().astype(np.int64) for v in np.meshgrid(np.arange(col, col + w), np.arange(row, row + h)))
+                x, y = info.origin[0] + (cols + 0.5) * info.pixel[0], info.origin[1] - (rows + 0.5) * info.pixel[1]
+                kept = np.ones(w * h, dtype=bool) if self.boxes is None else np.logical_or.reduce([(x >= west) & (x <= east) & (y >= south) & (y <= north) for west, south, east, north in self.boxes])
+                arrays = [pa.array(np.full(kept.sum(), part.tile, np.int32)), *(pa.array(v[kept]) for v in (cols, rows, x, y))]
                 for k, band in enumerate(self.bands):
                     stored = got[:, :, k].astype(np.float64)
                     missing = ~valid
@@ -406,7 +513,7 @@ class PixelReader(DataSourceReader):
                         close = np.isnan(stored) if np.isnan(nodata) else np.abs(stored - nodata) <= (1e-6 * max(1.0, abs(nodata)) if info.dtype.kind == "f" else 0)
                         missing = missing | close
                     scale, offset = info.scale.get(band, (1.0, 0.0)) if calibrate else (1.0, 0.0)
-                    arrays.append(pa.array((stored * scale + offset).ravel(), mask=missing.ravel()))
+                    arrays.append(pa.array((stored * scale + offset).ravel()[kept], mask=missing.ravel()[kept]))
                 yield pa.RecordBatch.from_arrays(arrays, ["tile", "col", "row", "x", "y", *self._names()])
 
     def _names(self) -> list[str]:
@@ -416,7 +523,8 @@ class PixelReader(DataSourceReader):
 class PixelSource(DataSource):
     """format("raster_pixels"): a row per pixel with tile, col, row, x, y of its centre, and value or band_N; NoData is null.
 
-    Options: path, band or bands, nodata, scale_offset, bbox (in the file's CRS), target_chunks.
+    Pixels that an alpha band or an internal mask hides are null too. Options: path, band or bands, nodata, scale_offset, bbox (of
+    pixel centres in the file's CRS, edges included; west over east: across the antimeridian), target_chunks, split_bytes.
     """
 
     @classmethod

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import crs, h3bits, healpix, s2, wkb
+from cellmosaic.functions import crs, h3, h3bits, healpix, s2, wkb
 
 LON, LAT = -122.4194, 37.7749
 
@@ -73,3 +73,44 @@ def test_outlines():
             assert (ring[0] == ring[-1]).all() and np.abs(ring[:, 0]).max() <= 180 + 1e-9
             x, y = ring[:, 0], ring[:, 1]
             assert (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() > 0
+
+
+def h3_ids(points, resolution):
+    lat, lng = np.radians(np.array(points, dtype=float)).T
+    return [f"{x:x}" for x in h3.cells(lat, lng, resolution)]
+
+
+def test_h3_known_ids():
+    """Ids that are public for these points."""
+    assert h3_ids([(37.7752702151959, -122.418307270836)], 9) == ["8928308280fffff"] and h3_ids([(37.7752702151959, -122.418307270836)], 8) == ["8828308281fffff"]
+    assert h3_ids([(37.3615593, -122.0553238)], 5) == ["85283473fffffff"] and h3_ids([(0, 0)], 5) == ["85754e67fffffff"]
+
+
+def test_h3_table_follows_from_geometry():
+    cell, _, back = h3.base_cell_table()
+    assert list(h3.pentagons()) == [4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117]
+    # faces from which a pentagon's deleted axis is turned back, fixed values of the grid
+    turned_back = {14: [2, 6], 24: [1, 5], 38: [3, 7], 49: [0, 9], 58: [4, 8], 63: [11, 15], 72: [12, 16], 83: [10, 19], 97: [13, 17], 107: [14, 18], 4: [], 117: []}
+    assert {int(p): [f for f in range(20) if cell[f, 0, 2, 0] == p and back[f, 0, 2, 0]] for p in h3.pentagons()} == turned_back
+
+
+def test_h3_cells_cover_the_globe():
+    """Every cell of a resolution is met, each is small, and no pentagon has a first digit of the deleted axis."""
+    rng = np.random.default_rng(1)
+    lat, lng = np.arcsin(rng.uniform(-1, 1, 600_000)), rng.uniform(-np.pi, np.pi, 600_000)
+    xyz = np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
+    for resolution, count, radius in ((0, 122, 0.23), (1, 842, 0.09), (2, 5882, 0.035)):
+        ids = h3.cells(lat, lng, resolution)
+        found, place = np.unique(ids, return_inverse=True)
+        centre = np.stack([np.bincount(place, weights=xyz[:, k]) for k in range(3)], axis=1)
+        centre /= np.linalg.norm(centre, axis=1)[:, None]
+        assert len(found) == count and np.arccos(np.clip((xyz * centre[place]).sum(axis=1), -1, 1)).max() < radius
+        base, first = found >> 45 & 127, found >> 42 & 7
+        assert not (np.isin(base, h3.pentagons()) & (first == 1)).any()
+
+
+def test_h3_column(spark):
+    rows = [(-122.418307270836, 37.7752702151959), (None, 1.0), (float("nan"), 1.0), (10.0, 91.0), (370.0, 0.0), (10.0, 0.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "lon double, lat double").select(h3.lonlat_to_cell(F.col("lon"), F.col("lat"), 9)).collect()]
+    assert got[0] == 0x8928308280FFFFF and got[1:4] == [None, None, None] and got[4] == got[5]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in got], "c long").select(h3bits.is_valid(F.col("c"))).collect()][0]

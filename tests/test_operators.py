@@ -31,6 +31,26 @@ def test_merging_equals_one_pass(spark):
         assert all(parts[c][k] == pytest.approx(whole[c][k], rel=1e-9) for k in ("count", "sum", "mean", "stddev", "min", "max"))
 
 
+@pytest.mark.parametrize("weights", [(1.0, 1.0), (0.25, 0.75)])
+def test_deviation_far_from_zero(spark, weights):
+    """Weighted, merged, compacted and streamed forms of values that hardly differ beside their mean."""
+    rng = np.random.default_rng(5)
+    values, w = 1e9 + rng.integers(0, 2, 1000), rng.choice(weights, 1000)
+    mean = np.average(values - 1e9, weights=w)
+    want = np.sqrt((w * (values - 1e9 - mean) ** 2).sum() / (w.sum() - (w**2).sum() / w.sum()))
+    s = samples(spark, [(k % 4, float(v), float(x)) for k, (v, x) in enumerate(zip(values, w, strict=True))])
+    whole = s.withColumn("cell", F.lit(0))
+    assert continuous.weighted_statistics(whole, ["cell"]).first()["stddev"] == pytest.approx(want, rel=1e-6)
+    parts = continuous.partial_states(whole.withColumn("part", F.pmod(F.xxhash64("value", "weight", F.monotonically_increasing_id()), F.lit(7))), ["cell", "part"])
+    assert continuous.finished(continuous.merge_states(parts, ["cell"])).first()["stddev"] == pytest.approx(want, rel=1e-6)
+    four = continuous.partial_states(s, ["cell"]).withColumn("resolution", F.lit(3))
+    up = continuous.finished(continuous.compacted(four, F.lit(9).cast("long"))).collect()
+    assert len(up) == 1 and up[0]["stddev"] == pytest.approx(want, rel=1e-6)
+    if weights == (1.0, 1.0):
+        unit = continuous.finished(continuous.partial_states(whole, ["cell"], weight=None)).first()
+        assert unit["stddev"] == pytest.approx(continuous.unit_statistics(whole, ["cell"]).first()["stddev"], rel=1e-6)
+
+
 def test_rounding(spark):
     got = spark.createDataFrame([(1.23456,), (2.5,), (-2.5,), (1.005,), (6e15,)], "v double").select(continuous.rounded(F.col("v"), 2), continuous.rounded(F.col("v"), 0)).collect()
     assert [r[0] for r in got] == [1.23, 2.5, -2.5, 1.0, 6e15]

@@ -69,6 +69,44 @@ def test_sparse_chunks_and_pruning(spark, tmp_path):
     assert read(spark, tmp_path / "t.tif").filter("x >= 20 and x <= 30 and y >= -10").count() == 10 * 10
 
 
+def test_bbox_clips_pixels_and_wraps(spark, tmp_path):
+    (tmp_path / "w.tif").write_bytes(geotiff.write_geotiff(gradient("f4", 18, 36), (-180, 90), (10, 10), tile=16))
+    got = {(r["x"], r["y"]) for r in read(spark, tmp_path / "w.tif", bbox="-20,-20,25,15").collect()}
+    assert got == {(x, y) for x in (-15.0, -5.0, 5.0, 15.0, 25.0) for y in (-15.0, -5.0, 5.0, 15.0)}
+    got = {(r["x"], r["y"]) for r in read(spark, tmp_path / "w.tif", bbox="165,0,-170,10").collect()}
+    assert got == {(165.0, 5.0), (175.0, 5.0), (-175.0, 5.0)}
+    assert read(spark, tmp_path / "w.tif", bbox="500,0,600,10").count() == 0
+
+
+@pytest.mark.parametrize("tile, big", [(None, False), (16, True)])
+def test_internal_masks(spark, tmp_path, tile, big):
+    mask = np.random.default_rng(2).random((48, 61)) < 0.6
+    values = gradient("i2", 48, 61)
+    (tmp_path / "m.tif").write_bytes(geotiff.write_geotiff(values, (0, 0), (1, 1), tile=tile, big=big, rows_per_strip=7, mask=mask))
+    got = {(r["row"], r["col"]): r["value"] for r in read(spark, tmp_path / "m.tif", target_chunks="2").collect()}
+    assert got == {(r, c): float(values[r, c]) if mask[r, c] else None for r in range(48) for c in range(61)}
+
+
+def test_partitions_carry_their_own_chunks(tmp_path):
+    (tmp_path / "t.tif").write_bytes(geotiff.write_geotiff(np.dstack([gradient("u1", 256, 256)] * 3), (0, 0), (1, 1), tile=16, planar=True))
+    reader = geotiff.PixelReader({"path": str(tmp_path / "t.tif"), "bands": "3,1", "target_chunks": "4"})
+    parts = reader.partitions()
+    assert len(parts) == 64 and all(len(p.info.offsets) == len(p.info.sizes) == 8 for p in parts)
+
+
+def test_many_files_are_opened_in_tasks(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"{k}.tif").write_bytes(geotiff.write_geotiff(gradient("u1"), (k * 64, 0), (1, 1), tile=16))
+    options = {"path": str(tmp_path), "split_bytes": "1000", "bbox": "60,-20,70,-10"}
+    eager = geotiff.PixelReader(options)
+    rows = lambda r: sorted(tuple(x.values()) for p in r.partitions() for b in r.read(p) for x in b.to_pylist())
+    want = rows(eager)
+    monkeypatch.setattr(geotiff, "MOST_OPENED", 1)
+    lazy = geotiff.PixelReader(options)
+    assert all(isinstance(p, geotiff.FileShare) for p in lazy.partitions()) and len(lazy.partitions()) > 3
+    assert rows(lazy) == want and len(want) == 100
+
+
 def test_mosaic_sources(tmp_path):
     for n in "ba":
         (tmp_path / f"{n}.tif").write_bytes(geotiff.write_geotiff(gradient("u1"), (0, 0), (1, 1)))
