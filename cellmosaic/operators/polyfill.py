@@ -7,34 +7,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cellmosaic.functions import healpix, wkb
 
 #: Containment modes and their other names.
 MODES = {"contains_centroid": "centroid", "centroid": "centroid", "contains_boundary": "inside", "covers": "covers", "intersects_boundary": "covers", "intersects": "covers"}
-MOST_CELLS = 10_000_000
+#: Levels of the tree that one task descends from a cell before the cells it leaves are dealt out again.
+LEVELS = 6
 
 
-def polygon_cells(data: bytes, depth: int, mode: str = "contains_centroid") -> np.ndarray:
-    """Sorted ids of the cells whose centre the polygon holds, that it holds whole, or that it touches."""
+def _mode(mode: str) -> str:
     how = MODES.get(mode.lower().replace("-", "_"))
     if how is None:
         raise ValueError(f"unknown containment {mode!r}")
-    rings = wkb.read_rings(data)
+    return how
+
+
+def _descended(rings: list, cells: np.ndarray, at: int, until: int) -> np.ndarray:
+    """Cells at a finer depth under the given ones that may meet the polygon's box."""
     points = np.concatenate([r for poly in rings for r in poly])
     west, south, east, north = points[:, 0].min(), points[:, 1].min(), points[:, 0].max(), points[:, 1].max()
-    cells, at = np.arange(4, 16, dtype=np.int64), 0
     while True:
         lon, lat = healpix.centers(cells, at)
         reach = healpix.radius_deg(at)
         wide = reach / np.maximum(np.cos(np.radians(np.minimum(np.abs(lat) + reach, 89.9))), 0.01)
         near = (lat >= south - reach) & (lat <= north + reach) & np.logical_or.reduce([(lon + turn >= west - wide) & (lon + turn <= east + wide) for turn in (-360, 0, 360)])
         cells = cells[near]
-        if at == depth or not len(cells):
-            break
-        if len(cells) > MOST_CELLS:
-            raise ValueError("polygon covers too many cells")
+        if at == until or not len(cells):
+            return cells
         cells, at = (cells[:, None] * 4 + np.arange(4)).ravel(), at + 1
+
+
+def _held(rings: list, cells: np.ndarray, depth: int, how: str) -> np.ndarray:
+    """Those cells whose centre the polygon holds, that it holds whole, or that it touches."""
     if not len(cells):
         return cells
     lon, lat = healpix.centers(cells, depth)
@@ -45,17 +51,41 @@ def polygon_cells(data: bytes, depth: int, mode: str = "contains_centroid") -> n
         crossed = wkb.crosses(rings, cx, cy)
         corners_in = np.stack([wkb.contains(rings, cx[:, k], cy[:, k]) for k in range(4)], axis=1)
         held = corners_in.all(axis=1) & ~crossed if how == "inside" else held | crossed | corners_in.any(axis=1)
-    return np.sort(cells[held])
+    return cells[held]
 
 
-def polygons_to_cells(polygons: DataFrame, depth: int, mode: str = "contains_centroid", key: str = "key", geometry: str = "wkb") -> DataFrame:
-    """(key, cell) of each polygon's cells; null and empty geometries give none."""
+def polygon_cells(data: bytes, depth: int, mode: str = "contains_centroid") -> np.ndarray:
+    """Sorted ids of one polygon's cells, in one go."""
+    how, rings = _mode(mode), wkb.read_rings(data)
+    return np.sort(_held(rings, _descended(rings, np.arange(4, 16, dtype=np.int64), 0, depth), depth, how))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if g:
-                    cells = polygon_cells(g, depth, mode)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(cells), pa.int64()), pa.array(cells)], ["key", "cell"])
 
-    return polygons.selectExpr(f"cast({key} as long) as key", f"{geometry} as wkb").mapInArrow(run, "key long, cell long")
+def polygons_to_cells(polygons: DataFrame, depth: int, mode: str = "contains_centroid", key: str = "key", geometry: str = "wkb", levels: int = LEVELS) -> DataFrame:
+    """(key, cell) of each polygon's cells; null and empty geometries give none.
+
+    Each round takes the cells that are left some levels down, in tasks of their own, so that one large polygon spreads over
+    tasks and none holds more than a few thousand cells for each cell that it began with.
+    """
+    how, at = _mode(mode), 0
+    front = polygons.select(F.col(key).cast("long").alias("key"), F.col(geometry).alias("wkb")).filter(F.length("wkb") > 0).withColumn("cell", F.explode(F.sequence(F.lit(4), F.lit(15)).cast("array<long>")))
+
+    def step(at: int, until: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                last = rings = None
+                for k, g, c in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                    if g != last:
+                        last, rings = g, wkb.read_rings(g)
+                    cells = _descended(rings, np.array([c], dtype=np.int64), at, until)
+                    if until == depth:
+                        cells = _held(rings, cells, depth, how)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(cells), pa.int64()), *([] if until == depth else [pa.array([g] * len(cells), pa.binary())]), pa.array(cells)], ["key", "cell"] if until == depth else ["key", "wkb", "cell"])
+
+        return run
+
+    while True:
+        until = min(depth, at + levels)
+        if until == depth:
+            return front.mapInArrow(step(at, until), "key long, cell long")
+        front = front.mapInArrow(step(at, until), "key long, wkb binary, cell long").repartition("key", "cell")
+        at = until

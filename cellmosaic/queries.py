@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from cellmosaic.functions import crs, h3, h3bits, healpix, s2, wkb
 from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
-from cellmosaic.plans.options import parse_edges, parse_quantiles
-from cellmosaic.sources import formats, geotiff, tiles
+from cellmosaic.plans.options import ScanOptions, parse_edges, parse_quantiles
+from cellmosaic.sources import formats, geotiff, scan, tiles
 from cellmosaic.sources.geotiff import write_geotiff
 from cellmosaic.sources.scratch import filesystem, scratch_path
 from cellmosaic.streaming import cells as stream
@@ -111,19 +111,18 @@ def assign_centers_continuous(spark, sf_dir):
     return rounded(cells.withColumn("hex", healpix.to_string(F.col("cell"))))
 
 
-def _multi(spark, sf_dir) -> DataFrame:
-    """One pass over pixels: HEALPix nests, so coarser cells are shifts of the finest."""
-    fine = samples(spark, sf_dir)
-    levels = F.array(*[F.struct(F.lit(d).alias("resolution"), healpix.cell_to_parent(F.col("cell"), DEPTH, d).alias("cell")) for d in (4, 6, 8)])
-    return fine.select("value", F.explode(levels).alias("l")).select("value", "l.*")
-
-
 _MULTI_SQL = f"WITH {HP}, m AS (SELECT value, cell, 8 AS resolution FROM c UNION ALL SELECT value, cell >> 4, 6 FROM c UNION ALL SELECT value, cell >> 8, 4 FROM c) {rsel(f'SELECT resolution, cell, {STATS} FROM m GROUP BY resolution, cell', ['resolution', 'cell'], FIVE)}"
 
 
 @query("multi_resolution", _MULTI_SQL)
 def multi_resolution(spark, sf_dir):
-    return rounded(continuous.unit_statistics(_multi(spark, sf_dir), ["resolution", "cell"]))
+    """One pass over pixels: HEALPix nests, so each coarser level is merged from the states of the one before."""
+    level = continuous.partial_states(samples(spark, sf_dir), ["cell"], weight=None)
+    out = level.withColumn("resolution", F.lit(8))
+    for fine, coarse in ((8, 6), (6, 4)):
+        level = continuous.merge_states(level.withColumn("cell", healpix.cell_to_parent(F.col("cell"), fine, coarse)), ["cell"])
+        out = out.unionByName(level.withColumn("resolution", F.lit(coarse)))
+    return rounded(continuous.finished(out))
 
 
 @query("multi_resolution_by_parent", _MULTI_SQL)
@@ -166,9 +165,8 @@ def global_polar_cells(spark, sf_dir):
 def cell_filter_pushdown(spark, sf_dir):
     """Cells under one ancestor: as a range of ids, filtered before aggregation."""
     s = samples(spark, sf_dir)
-    least = s.agg(F.min(healpix.cell_to_parent(F.col("cell"), DEPTH, DEPTH - 2)).alias("p"))
-    s = s.join(F.broadcast(least), (F.col("cell") >= F.shiftleft("p", 4)) & (F.col("cell") < F.shiftleft(F.col("p") + 1, 4)), "inner")
-    return rounded(continuous.unit_statistics(s, ["cell"]))
+    least = s.agg(F.min(healpix.cell_to_parent(F.col("cell"), DEPTH, DEPTH - 2))).first()[0] or 0
+    return rounded(continuous.unit_statistics(s.filter((F.col("cell") >= least << 4) & (F.col("cell") < least + 1 << 4)), ["cell"]))
 
 
 @query("having_min_count", f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell HAVING count(*) >= 20', ['cell'], FIVE)}")
@@ -489,10 +487,9 @@ def merged_large_mean(spark, sf_dir):
 
 # --- mosaics ---------------------------------------------------------------------------------------------------------
 
-# The SQL stops at rows 156 and 136 of the two tables, which hold all rows up to sf0.01; the queries take every row.
 _TILES = [dict(west=-122.45, south=30.0, east=-117.45, north=37.8), dict(west=-120.45, south=30.0, east=-114.2, north=36.8)]
-_MOSAIC = f"""t0 AS (SELECT 0 AS tile, value, lon, lat FROM ev WHERE row < 156), od AS (SELECT o_orderkey % 125 AS col, o_orderkey // 125 AS row, o_totalprice / 1000e0 AS value FROM orders),
-t1 AS (SELECT 1 AS tile, value, (col + 0.5e0) * 0.05e0 + -120.45e0 AS lon, 36.8e0 - (row + 0.5e0) * 0.05e0 AS lat FROM od WHERE row < 136), mo AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1)"""
+_MOSAIC = f"""t0 AS (SELECT 0 AS tile, value, lon, lat FROM ev), od AS (SELECT o_orderkey % 125 AS col, o_orderkey // 125 AS row, o_totalprice / 1000e0 AS value FROM orders),
+t1 AS (SELECT 1 AS tile, value, (col + 0.5e0) * 0.05e0 + -120.45e0 AS lon, 36.8e0 - (row + 0.5e0) * 0.05e0 AS lat FROM od), mo AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1)"""
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -511,14 +508,17 @@ def _footprints(spark, sf_dir) -> list[dict]:
     return [t | {"south": min(t["south"], t["north"] - h * SIZE[1])} for t, h in zip(_TILES, heights, strict=True)]
 
 
+_EDGES = "ed AS (SELECT least(30e0, 37.8e0 - (SELECT max(row) + 1 FROM px) * 0.05e0) AS south0, least(30e0, 36.8e0 - (SELECT max(row) + 1 FROM od) * 0.05e0) AS south1)"
+
+
 def _holds(k: int) -> str:
     t = _TILES[k]
-    return f"(lon BETWEEN {t['west']}e0 AND {t['east']}e0 AND lat BETWEEN {t['south']}e0 AND {t['north']}e0)"
+    return f"(lon BETWEEN {t['west']}e0 AND {t['east']}e0 AND lat BETWEEN south{k} AND {t['north']}e0)"
 
 
 def _chord(k: int) -> str:
-    lon, lat = (_TILES[k]["west"] + _TILES[k]["east"]) / 2, (_TILES[k]["south"] + _TILES[k]["north"]) / 2
-    a, b, c, d = "radians(lon)", "radians(lat)", f"radians({lon!r}e0)", f"radians({lat!r}e0)"
+    lon = (_TILES[k]["west"] + _TILES[k]["east"]) / 2
+    a, b, c, d = "radians(lon)", "radians(lat)", f"radians({lon!r}e0)", f"radians((south{k} + {_TILES[k]['north']}e0) / 2)"
     return f"((cos({b}) * cos({a}) - cos({d}) * cos({c})) ** 2 + (cos({b}) * sin({a}) - cos({d}) * sin({c})) ** 2 + (sin({b}) - sin({d})) ** 2)"
 
 
@@ -534,7 +534,7 @@ def _overlapped(rule: str):
 
 
 for _name, _owner in _OWNER.items():
-    query(f"overlap_{_name}", f"WITH {EV}, {_MOSAIC}, ow AS (SELECT * FROM mo WHERE tile = {_owner}), {hp('ow', 'c', DEPTH)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")(_overlapped(_name))
+    query(f"overlap_{_name}", f"WITH {EV}, {_MOSAIC}, {_EDGES}, ow AS (SELECT mo.* FROM mo, ed WHERE tile = {_owner}), {hp('ow', 'c', DEPTH)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")(_overlapped(_name))
 
 
 @query("plan_partitions", "WITH n AS (SELECT max(event_id // 100) + 1 AS h FROM events), ch AS (SELECT i AS chunk, CAST(((h + 15) // 16) * 7 AS BIGINT) AS chunks FROM n, range(((SELECT h FROM n) + 15) // 16 * 7) t(i)), p AS (SELECT chunk, CAST(floor(chunk * greatest(1, (chunks + 7) // 8) / chunks) AS BIGINT) AS partition_index, greatest(1, (chunks + 7) // 8) AS partition_count FROM ch) SELECT partition_index, partition_count, min(chunk) AS first_chunk, count(*) AS chunks FROM p GROUP BY ALL")
@@ -757,6 +757,49 @@ def albers_inverse(spark, sf_dir):
     return rounded(continuous.unit_statistics(healpix.with_cell(m.withColumns({"lon": lon, "lat": lat}), 5), ["cell"]))
 
 
+_PLACED = {"laea": (3035, 4321000, 3210000), "cea": (6933, 0, 0), "lcc": (2154, 700000, 6600000)}
+
+
+def _crs_sql(name: str) -> str:
+    """lon and lat of _METRES moved to the false origin, from the projections' closed forms or bisection-free fixed steps."""
+    f = crs.GRS80_F if name != "cea" else crs.ELLIPSOIDS["WGS84"][1]
+    e2 = 2 * f - f * f
+    e, a = math.sqrt(e2), crs.WGS84_A
+    q = lambda phi: (1 - e2) * (math.sin(phi) / (1 - e2 * math.sin(phi) ** 2) - math.log((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) / (2 * e))
+    qp = q(math.pi / 2)
+    series = f"be + sin(2 * be) * {e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040!r} + sin(4 * be) * {23 * e2**2 / 360 + 251 * e2**3 / 3780!r} + sin(6 * be) * {761 * e2**3 / 45360!r}"
+    if name == "cea":
+        k0 = math.cos(math.pi / 6) / math.sqrt(1 - e2 / 4)
+        return f"b AS (SELECT value, x, asin(CASE WHEN abs(y * {2 * k0 / (a * qp)!r}) <= 1 THEN y * {2 * k0 / (a * qp)!r} END) AS be FROM m), p AS (SELECT value, degrees(x / {a * k0!r}e0) AS lon, degrees({series}) AS lat FROM b WHERE be IS NOT NULL)"
+    if name == "laea":
+        phi0 = math.radians(52.0)
+        b0, rq = math.asin(q(phi0) / qp), a * math.sqrt(qp / 2)
+        d = a * math.cos(phi0) / math.sqrt(1 - e2 * math.sin(phi0) ** 2) / (rq * math.cos(b0))
+        return f"""b0 AS (SELECT value, x, y, sqrt((x / {d!r}e0) ** 2 + (y * {d!r}e0) ** 2) AS r FROM m), b1 AS (SELECT *, 2 * asin(r / {2 * rq!r}e0) AS c FROM b0 WHERE r <= {2 * rq!r}e0),
+b AS (SELECT *, asin(cos(c) * {math.sin(b0)!r}e0 + y * {d!r}e0 * sin(c) * {math.cos(b0)!r}e0 / r) AS be FROM b1), p AS (SELECT value, 10e0 + degrees(atan2(x * sin(c), r * {d * math.cos(b0)!r}e0 * cos(c) - y * {d * d * math.sin(b0)!r}e0 * sin(c))) AS lon, degrees({series}) AS lat FROM b)"""
+    t = lambda phi: math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
+    m = lambda phi: math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+    one, two, origin = (math.radians(v) for v in (49.0, 44.0, 46.5))
+    n = (math.log(m(one)) - math.log(m(two))) / (math.log(t(one)) - math.log(t(two)))
+    c = m(one) / (n * t(one) ** n)
+    rho0 = a * c * t(origin) ** n
+    steps = ", ".join(f"s{k + 1} AS (SELECT value, x, y, t, {math.pi / 2!r}e0 - 2 * atan(t * pow((1 - {e!r}e0 * sin(f)) / (1 + {e!r}e0 * sin(f)), {e / 2!r}e0)) AS f FROM s{k})" for k in range(6))
+    return f"s AS (SELECT value, x, y, pow(sqrt(x * x + ({rho0!r}e0 - y) ** 2) / {a * c!r}e0, {1 / n!r}e0) AS t FROM m), s0 AS (SELECT *, {math.pi / 2!r}e0 - 2 * atan(t) AS f FROM s), {steps}, p AS (SELECT value, 3e0 + degrees(atan2(x, {rho0!r}e0 - y) / {n!r}e0) AS lon, degrees(f) AS lat FROM s6)"
+
+
+def _unprojected(name: str):
+    def run(spark, sf_dir):
+        code, east, north = _PLACED[name]
+        at = _metres(spark, sf_dir).withColumns({"x": F.col("x") + east, "y": F.col("y") + north})
+        return rounded(continuous.unit_statistics(healpix.with_cell(crs.with_lonlat(at, code).filter("lat is not null"), 5), ["cell"]))
+
+    return run
+
+
+for _name in _PLACED:
+    query(f"{_name}_inverse", f"WITH {EV}, {_METRES}, {_crs_sql(_name)}, {hp('p', 'c', 5)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")(_unprojected(_name))
+
+
 # --- cells and other tables ------------------------------------------------------------------------------------------
 
 _TWO = f"{HP}, e AS (SELECT cell, count(*) AS n, sum(value) AS v FROM c GROUP BY cell), {_MOSAIC}, {hp('t1', 'oc', DEPTH)}, o AS (SELECT cell, count(*) AS m, sum(value) AS p FROM oc GROUP BY cell)"
@@ -918,6 +961,26 @@ def geotiff_bbox_option(spark, sf_dir):
     return rounded(continuous.unit_statistics(healpix.with_cell(_scanned(spark, path, bbox="-121.0004,34.0004,-118.4996,36.9004"), DEPTH), ["cell"]))
 
 
+@query("scan_cells", _MULTI_SQL)
+def scan_cells(spark, sf_dir):
+    """A whole scan from a path and options."""
+    path = _write_tiles(spark, sf_dir, tile=64)
+    return rounded(scan.scan_cells(spark, path, ScanOptions(grid="healpix", resolutions=(4, 6, 8))))
+
+
+@query("scan_cells_h3", f"WITH {EV}, {_h3_sql('ev', 'c', 6)} {rsel(f'SELECT 6 AS resolution, cell, {STATS} FROM c WHERE lon BETWEEN -121e0 AND -118.5e0 AND lat BETWEEN 34e0 AND 36.9e0 GROUP BY cell HAVING count(*) >= 2', ['resolution', 'cell'], FIVE)}")
+def scan_cells_h3(spark, sf_dir):
+    path = _write_tiles(spark, sf_dir, tile=64)
+    return rounded(scan.scan_cells(spark, path, ScanOptions(grid="h3", resolutions=(6,), bbox=_BOX, min_count=2)))
+
+
+@query("scan_cells_rgss", _sampling_sql("rgss"))
+def scan_cells_rgss(spark, sf_dir):
+    """Four samples a pixel, through files."""
+    path = _write_tiles(spark, sf_dir, tile=64)
+    return rounded(scan.scan_cells(spark, path, ScanOptions(grid="healpix", resolutions=(8,), sampling="rgss", overlap_rule="average")).drop("resolution"))
+
+
 @query("geoparquet_roundtrip", f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell', '93 AS wkb_bytes'], FIVE)}")
 def geoparquet_roundtrip(spark, sf_dir):
     """Cells with outlines, written with GeoParquet metadata and read again; four corners make 93 bytes."""
@@ -953,21 +1016,21 @@ def tile_of_centre(spark, sf_dir):
     return at.groupBy(x.alias("tile_x"), y.alias("tile_y")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-_NATIONS = "nb AS (SELECT n_nationkey AS key, -170.3e0 + n_nationkey * 12.7e0 AS west, -60.2e0 + (n_nationkey * 7 % 25) * 4.3e0 AS south FROM nation)"
+_BOXED = "nb AS (SELECT s_suppkey AS key, -170.3e0 + (s_suppkey % 25) * 12.7e0 AS west, -60.2e0 + (s_suppkey * 7 % 25) * 4.3e0 + (s_suppkey % 11) * 0.0131e0 AS south FROM supplier)"
 
 
-def _nation_boxes(spark, sf_dir) -> DataFrame:
-    """A box for each nation, as WKB built from its key."""
+def _supplier_boxes(spark, sf_dir) -> DataFrame:
+    """A box for each supplier, as WKB built from its key."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k in pdf["key"]:
-                west, south = -170.3 + k * 12.7, -60.2 + (k * 7 % 25) * 4.3
+                west, south = -170.3 + k % 25 * 12.7, -60.2 + k * 7 % 25 * 4.3 + k % 11 * 0.0131
                 rows.append(wkb.polygon([(west, south), (west + 20.0, south), (west + 20.0, south + 15.0), (west, south + 15.0)]))
             yield pdf.assign(wkb=rows)
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key")).mapInPandas(run, "key long, wkb binary")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("key")).mapInPandas(run, "key long, wkb binary")
 
 
 def _centres_sql(depth: int) -> str:
@@ -979,19 +1042,19 @@ pf AS (SELECT *, CASE WHEN ring < {n} THEN ring WHEN ring > {3 * n} THEN {4 * n}
 pg AS (SELECT cell, (turn * side + x - y) * 45e0 / side AS l, degrees(asin(CASE WHEN ring < {n} THEN 1 - side * side / {3.0 * n * n}e0 WHEN ring > {3 * n} THEN side * side / {3.0 * n * n}e0 - 1 ELSE ({2 * n} - ring) * {2.0 / (3.0 * n)!r}e0 END)) AS lat FROM pf), ph AS (SELECT cell, CASE WHEN l >= 180 THEN l - 360 ELSE l END AS lon, lat FROM pg)"""
 
 
-@query("polyfill_contains_centroid", f"WITH {_NATIONS}, {_centres_sql(5)} SELECT key, CAST(cell AS BIGINT) AS cell FROM nb JOIN ph ON lon > west AND lon < west + 20e0 AND lat > south AND lat < south + 15e0")
+@query("polyfill_contains_centroid", f"WITH {_BOXED}, {_centres_sql(5)} SELECT key, CAST(cell AS BIGINT) AS cell FROM nb JOIN ph ON lon > west AND lon < west + 20e0 AND lat > south AND lat < south + 15e0")
 def polyfill_contains_centroid(spark, sf_dir):
-    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5)
+    return polyfill.polygons_to_cells(_supplier_boxes(spark, sf_dir), 5)
 
 
 @query("polyfill_covers")
 def polyfill_covers(spark, sf_dir):
-    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5, "covers")
+    return polyfill.polygons_to_cells(_supplier_boxes(spark, sf_dir), 5, "covers")
 
 
 @query("polyfill_contains_boundary")
 def polyfill_contains_boundary(spark, sf_dir):
-    return polyfill.polygons_to_cells(_nation_boxes(spark, sf_dir), 5, "contains_boundary")
+    return polyfill.polygons_to_cells(_supplier_boxes(spark, sf_dir), 5, "contains_boundary")
 
 
 @query("healpix_centres", f"WITH {HP}, u AS (SELECT DISTINCT cell >> 6 AS cell FROM c), {_centres_sql(5)} SELECT u.cell AS cell, {R('lon')} AS lng, {R('lat')} AS lat FROM u JOIN ph USING (cell)")

@@ -514,17 +514,23 @@ class PixelReader(DataSourceReader):
                         missing = missing | close
                     scale, offset = info.scale.get(band, (1.0, 0.0)) if calibrate else (1.0, 0.0)
                     arrays.append(pa.array((stored * scale + offset).ravel()[kept], mask=missing.ravel()[kept]))
+                if self._sized():
+                    arrays += [pa.array(np.full(kept.sum(), info.pixel[k])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(arrays, ["tile", "col", "row", "x", "y", *self._names()])
 
+    def _sized(self) -> bool:
+        return self.options.get("pixel_size", "false").lower() == "true"
+
     def _names(self) -> list[str]:
-        return ["value"] if len(self.bands) == 1 else [f"band_{b}" for b in self.bands]
+        return (["value"] if len(self.bands) == 1 else [f"band_{b}" for b in self.bands]) + (["px", "py"] if self._sized() else [])
 
 
 class PixelSource(DataSource):
     """format("raster_pixels"): a row per pixel with tile, col, row, x, y of its centre, and value or band_N; NoData is null.
 
     Pixels that an alpha band or an internal mask hides are null too. Options: path, band or bands, nodata, scale_offset, bbox (of
-    pixel centres in the file's CRS, edges included; west over east: across the antimeridian), target_chunks, split_bytes.
+    pixel centres in the file's CRS, edges included; west over east: across the antimeridian), pixel_size (adds px, py),
+    target_chunks, split_bytes.
     """
 
     @classmethod

@@ -27,8 +27,8 @@ def mercator(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (lon + 180) / 360, (1 - np.log(np.tan(phi) + 1 / np.cos(phi)) / math.pi) / 2
 
 
-def tile_cover(cells: DataFrame, depth: int, zoom: int, most: int = 4096) -> DataFrame:
-    """Adds tile_x and tile_y for every tile that the bounding box of a cell's outline touches; a cell over more than `most` is left out."""
+def tile_cover(cells: DataFrame, depth: int, zoom: int) -> DataFrame:
+    """Adds tile_x and tile_y for every tile that the bounding box of a cell's outline touches, however many."""
     n = 1 << zoom
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,22 +38,14 @@ def tile_cover(cells: DataFrame, depth: int, zoom: int, most: int = 4096) -> Dat
             mid, _ = healpix.centers(ids, depth)
             lon = np.where(lon - mid[:, None] > 180, lon - 360, np.where(lon - mid[:, None] < -180, lon + 360, lon))
             x, y = mercator(lon, lat)
-            x0, x1 = (np.floor(v * n).astype(int) for v in (x.min(axis=1), x.max(axis=1)))
-            y0, y1 = (np.clip(np.floor(v * n), 0, n - 1).astype(int) for v in (y.min(axis=1), y.max(axis=1)))
-            rows, xs, ys = [], [], []
-            for k in range(len(ids)):
-                if (x1[k] - x0[k] + 1) * (y1[k] - y0[k] + 1) > most:
-                    continue
-                for tx in range(x0[k], x1[k] + 1):
-                    for ty in range(y0[k], y1[k] + 1):
-                        rows.append(k)
-                        xs.append(tx % n)
-                        ys.append(ty)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], [*batch.schema.names, "tile_x", "tile_y"])
+            reach = [np.floor(v * n).astype(np.int64) for v in (x.min(axis=1), x.max(axis=1))] + [np.clip(np.floor(v * n), 0, n - 1).astype(np.int64) for v in (y.min(axis=1), y.max(axis=1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, reach)], [*batch.schema.names, "_x0", "_x1", "_y0", "_y1"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in cells.dtypes)
-    return cells.mapInArrow(run, f"{fields}, tile_x long, tile_y long")
+    boxes = cells.mapInArrow(run, f"{fields}, _x0 long, _x1 long, _y0 long, _y1 long")
+    # one after the other, so that no row holds all tiles of a wide cell
+    rows = boxes.withColumn("tile_x", F.explode(F.sequence("_x0", F.least("_x1", F.col("_x0") + n - 1)))).withColumn("tile_y", F.explode(F.sequence("_y0", "_y1")))
+    return rows.withColumn("tile_x", F.pmod("tile_x", F.lit(n))).drop("_x0", "_x1", "_y0", "_y1")
 
 
 def _varint(n: int) -> bytes:

@@ -64,6 +64,37 @@ def test_projections_invert(spark):
         crs.inverse(1, F.lit(0.0), F.lit(0.0))
 
 
+# Points of published examples: EPSG code, easting, northing, longitude, latitude, degrees of tolerance.
+PUBLISHED = [
+    (2154, 648237.3, 6862271.7, 2.2945, 48.8583, 2e-4),
+    (3035, 3962799.45, 2999718.85, 5.0, 50.0, 1e-7),
+    (3035, 4321000.0, 3210000.0, 10.0, 52.0, 1e-8),
+    (6933, 0.0, 0.0, 0.0, 0.0, 1e-9),
+    (28992, 155000.0, 463000.0, 5.387204, 52.155174, 4e-6),
+    (27700, 651409.903, 313177.270, 1.716074, 52.657977, 1e-4),
+    (25832, 500000.0, 5538630.703, 9.0, 50.0, 1e-6),
+    (7855, 500000.0, 10000000.0, 147.0, 0.0, 1e-9),
+]
+
+
+@pytest.mark.parametrize("code, x, y, lon, lat, near", PUBLISHED)
+def test_published_points(spark, code, x, y, lon, lat, near):
+    row = crs.with_lonlat(spark.createDataFrame([(x, y)], "x double, y double"), code).first()
+    assert row["lon"] == pytest.approx(lon, abs=near) and row["lat"] == pytest.approx(lat, abs=near)
+
+
+def test_transform_failures_are_counted_or_errors(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import Observation
+
+    rows = spark.createDataFrame([(4321000.0, 3210000.0), (5e7, 0.0), (None, 1.0), (float("nan"), 1.0)], "x double, y double")
+    seen = Observation()
+    got = crs.with_lonlat(rows, 3035, failures=seen).collect()
+    assert [r["lat"] is None for r in got] == [False, True, True, True] and seen.get["failed"] == 2 and got[0].asDict().keys() == {"x", "y", "lon", "lat"}
+    with pytest.raises(PySparkException, match="EPSG:3035"):
+        crs.with_lonlat(rows, 3035, strict=True).collect()
+
+
 def test_outlines():
     lon, lat = healpix.corners(np.arange(4 * 64, 16 * 64), 3)
     for a, b in zip(lon, lat, strict=True):

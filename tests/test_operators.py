@@ -107,6 +107,16 @@ def test_overlap_rules(spark):
     assert kept("cutline") == {(0, x) for x in np.arange(0.5, 8)} | {(1, x) for x in np.arange(8.5, 16)}
 
 
+@pytest.mark.parametrize("rule", ["first", "cutline"])
+def test_many_tiles_own_as_few_do(spark, rule, monkeypatch):
+    rng = np.random.default_rng(4)
+    tiles = [dict(west=x, south=y, east=x + w, north=y + h) for x, y, w, h in zip(rng.uniform(-20, 20, 30), rng.uniform(-20, 20, 30), rng.uniform(1, 9, 30), rng.uniform(1, 9, 30), strict=True)]
+    s = spark.createDataFrame([(int(rng.integers(30)), float(x), float(y)) for x, y in rng.uniform(-25, 30, (4000, 2))], "tile int, lon double, lat double")
+    kept = sorted(map(tuple, mosaic.owned(s, tiles, rule).collect()))
+    monkeypatch.setattr(mosaic, "FEW_TILES", 100)
+    assert kept == sorted(map(tuple, mosaic.owned(s, tiles, rule).collect())) and kept
+
+
 def test_interpolation_reproduces_a_plane(spark):
     px = spark.createDataFrame([(c, r, 3.0 * c - 2.0 * r) for c in range(12) for r in range(10)], "col long, row long, value double")
     centres = spark.createDataFrame([(1, 4.3, 5.2), (2, 6.9, 3.7)], "cell long, lon double, lat double")
@@ -121,6 +131,27 @@ def test_mass_is_preserved(spark):
     assert all(r["t"] == pytest.approx(1) for r in w.groupBy("col", "row").agg(F.sum("weight").alias("t")).collect())
 
 
+def test_polyfill_against_fine_cells(spark):
+    """Modes against the centres of cells 16 times as fine: what any of them holds, and what all do."""
+    from cellmosaic.functions import healpix
+
+    star = [(12 * np.cos(t) * (1 if k % 2 else 0.4) - 60, 9 * np.sin(t) * (1 if k % 2 else 0.4) + 20) for k, t in enumerate(np.linspace(0, 2 * np.pi, 10, endpoint=False))]
+    fine = np.arange(4 << 18, 16 << 18, dtype=np.int64)
+    lon, lat = healpix.centers(fine, 9)
+    near = (np.abs(lon + 60) < 16) & (np.abs(lat - 20) < 13)
+    fine, held = fine[near], wkb.contains(wkb.read_rings(wkb.polygon(star)), lon[near], lat[near])
+    up = fine >> 8
+    some, counts = np.unique(up[held], return_counts=True)
+    whole = set(some[counts == 256].tolist())
+    data = spark.createDataFrame([(1, bytearray(wkb.polygon(star)))], "key long, wkb binary")
+    got = {m: {r["cell"] for r in polyfill.polygons_to_cells(data, 5, m).collect()} for m in ("centroid", "covers", "contains_boundary")}
+    assert got["covers"] >= set(some.tolist()) and got["contains_boundary"] <= whole and whole - got["contains_boundary"] <= got["covers"]
+    assert len(got["covers"] - set(some.tolist())) <= 3 and len(whole - got["contains_boundary"]) <= 3
+    for m in got:
+        deep = polyfill.polygons_to_cells(data, 5, m, levels=1)
+        assert {r["cell"] for r in deep.collect()} == got[m] and deep.count() == len(got[m])
+
+
 def test_polyfill_modes_nest(spark):
     shape = wkb.polygon([(-10.0, -8.0), (14.0, -8.0), (14.0, 11.0), (-10.0, 11.0)])
     inside, centre, covers = (set(polyfill.polygon_cells(shape, 4, m).tolist()) for m in ("contains_boundary", "contains-centroid", "covers"))

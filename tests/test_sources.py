@@ -128,6 +128,13 @@ def test_tiles_and_archive(spark, tmp_path):
     assert all(f[2] == {"mean": f[0] / 7} and len(f[1]) == 4 for f in features)
 
 
+def test_wide_cells_cover_all_their_tiles(spark):
+    cells = spark.createDataFrame([(4,), (15,)], "cell long")
+    got = tiles.tile_cover(cells, 0, 9).groupBy("cell").count().collect()
+    assert all(r["count"] > 10_000 for r in got) and len(got) == 2
+    assert tiles.tile_cover(cells, 0, 2).distinct().count() == tiles.tile_cover(cells, 0, 2).count()
+
+
 def test_tile_ids():
     assert [tiles.tile_id(0, 0, 0), tiles.tile_id(1, 0, 0), tiles.tile_id(1, 0, 1), tiles.tile_id(1, 1, 1), tiles.tile_id(1, 1, 0), tiles.tile_id(2, 0, 0)] == [0, 1, 2, 3, 4, 5]
     assert sorted(tiles.tile_id(4, x, y) for x in range(16) for y in range(16)) == list(range(85, 341))
@@ -137,3 +144,40 @@ def test_jsonl(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), bytearray(b"\x01\xff"))], "b long, a double, wkb binary")
     tiles.write_jsonl(df, str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a":null,"b":1,"wkb":"01ff"}'
+
+
+def test_scan_from_a_path_and_options(spark, tmp_path):
+    from cellmosaic.plans.options import ScanOptions
+    from cellmosaic.sources import scan
+
+    values = np.where(np.arange(40 * 60).reshape(40, 60) % 7 == 0, -1.0, np.arange(40 * 60).reshape(40, 60) % 50)
+    (tmp_path / "a.tif").write_bytes(geotiff.write_geotiff(values, (10, 50), (0.05, 0.05), tile=16, nodata=-1.0))
+    rows = lambda **o: {(r["resolution"], r["cell"]): r for r in scan.scan_cells(spark, str(tmp_path / "a.tif"), ScanOptions(**o)).collect()}
+    for grid, low, high in (("healpix", 6, 8), ("s2", 6, 8), ("h3", 4, 5)):
+        got = rows(grid=grid, resolutions=(low, high), quantiles="p50")
+        for r in (low, high):
+            assert sum(x["count"] for (k, _), x in got.items() if k == r) == (values >= 0).sum() and sum(x["sum"] for (k, _), x in got.items() if k == r) == pytest.approx(values[values >= 0].sum())
+        assert all(x["min"] - 1 <= x["p50"] <= x["max"] + 1 for x in got.values())
+        few = rows(grid=grid, resolutions=(high,), min_count=20, max_mean=24)
+        assert set(few) == {k for k, x in got.items() if k[0] == high and x["count"] >= 20 and x["mean"] <= 24}
+    every = rows(grid="healpix", resolutions=(12,), nodata_policy="emit", emit_nodata_value=-5.0)
+    assert {x["mean"] for x in every.values() if x["count"] == 0} == {-5.0}
+    classes = scan.scan_classes(spark, str(tmp_path / "a.tif"), ScanOptions(grid="h3", resolutions=(4,), remap="0..24: 1, else -> 2")).collect()
+    assert sum(r["total_count"] for r in classes) == (values >= 0).sum() and all(r["majority_class"] in (1, 2) for r in classes)
+    with pytest.raises(ValueError, match="a5"):
+        rows(grid="a5", resolutions=(4,))
+    plan = scan.scan_cells(spark, str(tmp_path / "a.tif"), ScanOptions(grid="healpix", resolutions=(6,))).filter("cell = 5")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")  # below the aggregation
+
+
+def test_scan_of_a_projected_raster(spark, tmp_path):
+    from cellmosaic.functions import crs
+    from cellmosaic.plans.options import ScanOptions
+    from cellmosaic.sources import scan
+
+    (tmp_path / "l.tif").write_bytes(geotiff.write_geotiff(gradient("f4"), (4_000_000, 3_000_000), (1000, 1000), epsg=3035))
+    got = scan.samples(spark, str(tmp_path / "l.tif"), ScanOptions(grid="h3")).collect()
+    want = crs.with_lonlat(spark.createDataFrame([(4_000_500.0, 2_999_500.0)], "x double, y double"), 3035).first()
+    assert len(got) == 48 * 64
+    first = next(r for r in got if (r["col"], r["row"]) == (0, 0))
+    assert (first["lon"], first["lat"]) == (pytest.approx(want["lon"]), pytest.approx(want["lat"]))
