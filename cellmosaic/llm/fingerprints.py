@@ -1,7 +1,7 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector and vectors are added modulo powers of
-two: eight sums modulo 2^32 of hashes of the whole paragraph, which tell equal multisets, and 315 counts modulo 2^21, of how many of
+two: eight sums modulo 2^32 of hashes of the whole paragraph, which tell equal multisets, and 320 counts modulo 2^32, of how many of
 the paragraph's pieces of four words have a hash bit set, from which likeness is estimated. Sums don't depend on order, and
 adding or subtracting a paragraph's vector inserts or deletes it.
 """
@@ -15,12 +15,11 @@ from cellmosaic.llm.common import cut
 
 #: Words of the wide vector: two from each of these seeds.
 SEEDS = (1, 2, 3, 4)
-#: Words of a piece; hashes of a piece; bits of a count, of which three share a number: 63 counts a hash.
-WORDS, HASHES, BITS = 4, 5, 21
+#: Words of a piece; hashes of a piece; bits of a count, of which two share a number: 64 counts a hash.
+WORDS, HASHES, BITS = 4, 5, 32
 #: Documents whose order one task finds, about.
 ORDERED = 500_000
-_LOW, _FIELD = 0xFFFFFFFF, (1 << BITS) - 1
-_THREE = 1 | 1 << BITS | 1 << 2 * BITS
+_LOW, _TWO = 0xFFFFFFFF, 1 | 1 << BITS
 
 
 def paragraphs(text: Column) -> Column:
@@ -42,17 +41,21 @@ def wide_sum(parts: Column) -> Column:
     return F.aggregate(hashes, zero, lambda a, h: F.array(*[(a[i] + x).bitwiseAND(F.lit(_LOW)) for i, x in enumerate(both(h))]))
 
 
-def with_votes(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the number of pieces of a text, then the counts of set hash bits, three to a number.
+def votes_by(rows: DataFrame, keys: list[str], text: str, name: str, copies: str | None = None) -> DataFrame:
+    """(keys, name): the number of pieces of a text, then the counts of set hash bits, two to a number.
 
-    A count that runs over its bits adds one to its neighbour; `likeness` reckons with counts modulo 2^21.
+    Pieces become rows that an aggregation over built-in sums counts, partly before any shuffle. Rows alike in keys have the same
+    text; if there may be several, `copies` names a column that tells how many.
     """
-    h = [f"_h{j}" for j in range(HASHES)]
-    again = lambda j: lambda x: F.xxhash64(x, F.lit(j))
-    # each hash is a column of its own, so that it is made once and not for every count
-    out = rows.withColumn(h[0], pieces(F.col(text))).withColumns({h[j]: F.transform(h[0], again(j)) for j in range(1, HASHES)})
-    count = lambda j, k: F.aggregate(h[j], F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_THREE)))
-    return out.withColumn(name, F.array(F.size(h[0]).cast("long"), *[count(j, k) for j in range(HASHES) for k in range(BITS)])).drop(*h)
+    carried = [*keys, *([copies] if copies else [])]
+    out = rows.select(*carried, pieces(F.col(text)).alias("_p")).select(*carried, F.explode_outer("_p").alias("_h0"))
+    out = out.withColumns({f"_h{j}": F.xxhash64("_h0", F.lit(j)) for j in range(1, HASHES)})
+    vote = lambda j, k: F.shiftrightunsigned(f"_h{j}", k).bitwiseAND(F.lit(_TWO))
+    counts = [F.coalesce(F.sum(F.when(F.col("_h0").isNotNull(), vote(j, k))), F.lit(0).cast("long")).alias(f"_v{j}_{k}") for j in range(HASHES) for k in range(BITS)]
+    found = out.groupBy(*carried).agg(F.count("_h0").alias("_n"), *counts)
+    every = [F.col("_n"), *[F.col(f"_v{j}_{k}") for j in range(HASHES) for k in range(BITS)]]
+    # both counts in a number are multiples of the copies
+    return found.select(*keys, F.array(*[F.call_function("div", c, F.col(copies)) if copies else c for c in every]).alias(name))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -66,26 +69,19 @@ def add_votes(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def _leanings(x: Column, n: Column) -> list[Column]:
-    """Votes for less votes against of the three counts in a number, of n votes each.
-
-    Counts are known modulo 2^21; of the numbers they could stand for the one nearest to half of the votes is taken.
-    """
-    out = []
-    for k in range(3):
-        count = F.shiftrightunsigned(x, BITS * k).bitwiseAND(F.lit(_FIELD)).cast("double")
-        out.append(2.0 * F.when(n <= _FIELD, count).otherwise(count + F.round((n / 2.0 - count) / (_FIELD + 1.0)) * (_FIELD + 1.0)) - n)
-    return out
+    """Votes for less votes against of the two counts in a number, of n votes each."""
+    return [2.0 * F.shiftrightunsigned(x, BITS * k).bitwiseAND(F.lit(_LOW)).cast("double") - n for k in range(2)]
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated cosine (0 to 1) of two texts' multisets of pieces from their votes; 1 if these are equal, also if both are empty.
 
-    The standard error is (1 - cosine^2) / sqrt(315): 0.056 at most.
+    The standard error is (1 - cosine^2) / sqrt(320): 0.056 at most.
     """
 
     def products(x: Column, y: Column) -> Column:
         u, v = _leanings(x, a[0]), _leanings(y, b[0])
-        total = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+        total = lambda p, q: p[0] * q[0] + p[1] * q[1]
         return F.struct(total(u, v).alias("ab"), total(u, u).alias("aa"), total(v, v).alias("bb"))
 
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("ab", "aa", "bb")])
@@ -106,26 +102,24 @@ _KEY = ["id", "void", "text_key"]
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """For each distinct document (id, void, text_key) its next one by descending id, as n_*, and the one before, as p_* with p_chars.
+    """For each distinct document (id, void, text_key) how many copies it has, and the one before by descending id, as p_* with p_chars.
 
-    The first follows the last. Null ids (void) come last, documents alike in id are ordered by the hash of their text. Only keys
+    The last comes before the first. Null ids (void) come last, documents alike in id are ordered by the hash of their text. Only keys
     and lengths are moved: they are range-sorted into parts, in each of which neighbours are found by a window; what lies
     beyond a part's edges comes from a table with one row per part.
     """
     seen = Observation()
-    keys = cut(rows.groupBy(*_KEY).agg(F.max("n_chars").alias("chars")).observe(seen, F.count("*").alias("n")))
+    keys = cut(rows.groupBy(*_KEY).agg(F.max("n_chars").alias("chars"), F.count("*").alias("copies")).observe(seen, F.count("*").alias("n")))
     many = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), seen.get["n"] // ORDERED)
     spot = F.struct("void", F.bitwise_not("id").alias("down"), "text_key", "id", "chars")
-    parts = cut(keys.select(*_KEY, spot.alias("spot")).repartitionByRange(many, "void", F.desc("id"), "text_key").withColumn("part", F.spark_partition_id()))
+    parts = cut(keys.select(*_KEY, "copies", spot.alias("spot")).repartitionByRange(many, "void", F.desc("id"), "text_key").withColumn("part", F.spark_partition_id()))
     by_part = Window.orderBy("part")  # one row per part
     whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first("first").over(whole), F.last("last").over(whole)
-    edges = parts.groupBy("part").agg(F.min("spot").alias("first"), F.max("spot").alias("last"))
-    edges = edges.select("part", F.coalesce(F.lead("first").over(by_part), first).alias("after"), F.coalesce(F.lag("last").over(by_part), last).alias("before"))
-    inside = Window.partitionBy("part").orderBy("spot")
-    found = parts.withColumns({"next": F.lead("spot").over(inside), "prior": F.lag("spot").over(inside)}).join(edges, "part")
-    n, p = F.coalesce("next", "after"), F.coalesce("prior", "before")
-    return cut(found.select(*_KEY, *[n[k].alias(f"n_{k}") for k in _KEY], *[p[k].alias(f"p_{k}") for k in _KEY], p["chars"].alias("p_chars")))
+    last = F.last("last").over(whole)
+    edges = parts.groupBy("part").agg(F.max("spot").alias("last")).select("part", F.coalesce(F.lag("last").over(by_part), last).alias("before"))
+    found = parts.withColumn("prior", F.lag("spot").over(Window.partitionBy("part").orderBy("spot"))).join(edges, "part")
+    p = F.coalesce("prior", "before")
+    return cut(found.select(*_KEY, "copies", *[p[k].alias(f"p_{k}") for k in _KEY], p["chars"].alias("p_chars")))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -135,9 +129,11 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, wide, votes, fingerprint; null texts count as empty, and an empty text has sums of 0."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_votes(rows.withColumn("wide", wide_sum(paragraphs(F.col("text")))), "text", "votes")
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "wide", "votes", printed(F.col("wide"), F.col("votes")).alias("fingerprint"))
+    rows = _keyed(docs, doc_id, text)
+    copies = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"))
+    votes = votes_by(rows.join(copies, _KEY), _KEY, "text", "votes", "copies")
+    out = rows.withColumn("wide", wide_sum(paragraphs(F.col("text")))).join(votes, _KEY)
+    return out.select(F.when(~F.col("void"), F.col("id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "wide", "votes", printed(F.col("wide"), F.col("votes")).alias("fingerprint"))
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,19 +146,24 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = _keyed(docs, doc_id, text)
     order = links(rows.withColumn("n_chars", F.length("text").cast("long")))
+    # counts of all copies together are as many times those of one
+    counted = votes_by(rows, _KEY, "text", "all_votes").hint("merge").join(order, _KEY)
+    counted = counted.select(*_KEY, "p_id", "p_void", "p_text_key", "p_chars", F.transform("all_votes", lambda x: F.call_function("div", x, F.col("copies"))).alias("votes"))
     # both uses of these rows read the same shuffled files
-    placed = with_votes(rows, "text", "votes").hint("merge").join(order.select(*_KEY, "p_id", "p_void", "p_text_key", "p_chars"), _KEY)
-    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
+    placed = rows.hint("merge").join(counted, _KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
     third = lambda chars: F.floor(chars / 3).cast("int")
     heads = placed.filter("copy = 1").select(F.col("p_id").alias("id"), F.col("p_void").alias("void"), F.col("p_text_key").alias("text_key"), F.substring("text", F.lit(1), third(F.col("p_chars"))).alias("head"), F.col("votes").alias("next_votes"))
     both = placed.select(*_KEY, "text", "votes", "copy").hint("merge").join(heads, _KEY)
     n, own = F.length("text"), F.col("copy") > 1  # of copies all but one come before a copy
     both = both.withColumns({"n_chars": n.cast("long"), "head": F.when(own, F.substring("text", F.lit(1), third(n))).otherwise(F.col("head")), "next_votes": F.when(own, F.col("votes")).otherwise(F.col("next_votes"))})
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third(n)), F.col("head")))
-    both = with_votes(both, "edited", "edited_votes").withColumns({"wide": wide_sum(paragraphs(F.col("text"))), "edited_wide": wide_sum(paragraphs(F.col("edited")))})
-    return both.select(
-        F.when(~F.col("void"), F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("wide"), F.col("votes")).alias("fingerprint"), printed(F.col("edited_wide"), F.col("edited_votes")).alias("edited_fingerprint"),
-        likeness(F.col("votes"), F.col("edited_votes")).alias("near_edited"), likeness(F.col("votes"), F.col("next_votes")).alias("near_next"),
+    # what is known of a row beside its edited text's counts, small enough to be the key of their aggregation
+    both = both.withColumns({"wide": wide_sum(paragraphs(F.col("text"))), "edited_wide": wide_sum(paragraphs(F.col("edited"))), "edited_sha256": F.sha2("edited", 256), "near_next": likeness(F.col("votes"), F.col("next_votes"))})
+    both = both.withColumn("fingerprint", printed(F.col("wide"), F.col("votes")))
+    done = votes_by(both, [*_KEY, "copy", "n_chars", "edited_sha256", "fingerprint", "edited_wide", "near_next", "votes"], "edited", "edited_votes")
+    return done.select(
+        F.when(~F.col("void"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", printed(F.col("edited_wide"), F.col("edited_votes")).alias("edited_fingerprint"),
+        likeness(F.col("votes"), F.col("edited_votes")).alias("near_edited"), "near_next",
     )
 
 
