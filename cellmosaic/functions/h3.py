@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellmosaic.functions import h3bits
+
 # Fixed values of the grid: latitude and longitude of the faces' centres and azimuth of their first axis, in radians.
 FACES = (
     (0.803582649718989942, 1.248397419617396099, 5.619958268523939882), (1.307747883455638156, 2.536945009877921159, 5.760339081714187279),
@@ -157,6 +159,60 @@ def cells(lat: np.ndarray, lng: np.ndarray, resolution: int) -> np.ndarray:
     return out
 
 
+@cache
+def _crossings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each face and edge (that opposite corner 0, 1 or 2): the face beyond, and turn and shift of the plane into its own."""
+    corner = 2 * np.exp(2j * np.pi * np.arange(3) / 3)
+    places = np.array([[_on_sphere(c.real, c.imag, f) for c in corner] for f in range(20)])
+    xyz = np.stack([np.cos(places[..., 0]) * np.cos(places[..., 1]), np.cos(places[..., 0]) * np.sin(places[..., 1]), np.sin(places[..., 0])], axis=-1)
+    same = np.einsum("fix,gjx->fgij", xyz, xyz) > 1 - 1e-6  # corners of two faces that are one point
+    beyond, turn, shift = np.zeros((20, 3), dtype=np.int64), np.zeros((20, 3), dtype=complex), np.zeros((20, 3), dtype=complex)
+    for f in range(20):
+        for k in range(3):
+            p, q = (k + 1) % 3, (k + 2) % 3
+            g = next(g for g in range(20) if g != f and same[f, g, p].any() and same[f, g, q].any())
+            m, n = int(np.argmax(same[f, g, p])), int(np.argmax(same[f, g, q]))
+            beyond[f, k], turn[f, k] = g, (corner[n] - corner[m]) / (corner[q] - corner[p])
+            shift[f, k] = corner[m] - turn[f, k] * corner[p]
+    return beyond, turn, shift
+
+
+def centres(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes in radians of valid cells' centres.
+
+    Digits lead from the base cell's centre to a place in its home face's plane, which is unfolded: a place beyond an edge is
+    carried into the plane of the face there, until it is inside one. Around a pentagon's corner a sixth of the plane is
+    missing; what the digits put behind the gap is turned to its other side, and the rest is reached the other way round.
+    """
+    ids = ids.astype(np.int64)
+    level, base = ids >> 52 & 15, ids >> 45 & 127
+    home = np.array([(int(f), int(c[0]) - int(c[2]), int(c[1]) - int(c[2])) for f, c in (x.split() for x in BASE_CELLS.split(", "))])
+    face, a, b = (home[base, k].copy() for k in range(3))
+    digits = np.stack([np.where(level > k, ids >> (3 * (MOST_RESOLUTION - 1 - k)) & 7, 0) for k in range(MOST_RESOLUTION)])
+    own = np.isin(base, pentagons())
+    first = np.where(own, _leading(digits), 0)
+    digits = np.where(first == 5, TURNED[5, digits], digits)
+    steps = np.zeros((7, 2), dtype=np.int64)
+    for step, digit in _DIGITS.items():
+        steps[digit] = step
+    for k in range(int(level.max(initial=0))):
+        down = (2 * a + b, 3 * b - a) if k % 2 == 0 else (3 * a - b, a + 2 * b)
+        more = level > k
+        a, b = np.where(more, down[0] + steps[digits[k], 0], a), np.where(more, down[1] + steps[digits[k], 1], b)
+    z = (a - b / 2 + 1j * b * np.sqrt(0.75)) / np.sqrt(7.0) ** level * np.exp(1j * np.where(level % 2 == 1, TURN, 0.0))
+    beyond, turn, shift = _crossings()
+    normals = -np.exp(-2j * np.pi * np.arange(3) / 3)
+    for turns in range(8):
+        out = (z[:, None] * normals).real
+        edge, crossed = np.argmax(out, axis=1), out.max(axis=1) > 1 + 1e-9
+        if turns == 0:
+            edge = np.where(np.isin(first, (2, 4, 6)), 2, edge)
+        if not crossed.any():
+            break
+        z, face = np.where(crossed, turn[face, edge] * z + shift[face, edge], z), np.where(crossed, beyond[face, edge], face)
+    return _on_sphere(z.real, z.imag, face)
+
+
 @cache
 def pentagons() -> np.ndarray:
     return np.flatnonzero([x.endswith(" 200") for x in BASE_CELLS.split(", ")])
@@ -188,3 +244,26 @@ def lonlat_to_cell(lon: Column, lat: Column, resolution: int) -> Column:
         return pd.Series(out)
 
     return cell(lon.cast("double"), lat.cast("double"))
+
+
+def _centre(part: int):
+    @F.pandas_udf("double")
+    def degrees(cell: pd.Series) -> pd.Series:
+        known = cell.notna().to_numpy()
+        out = np.full(len(cell), np.nan)
+        if known.any():
+            got = np.degrees(centres(cell[known].to_numpy(dtype=np.int64))[part])
+            out[known] = (got + 180) % 360 - 180 if part else got
+        return pd.Series(out).where(known, None)
+
+    return degrees
+
+
+def cell_to_lat(cell: Column) -> Column:
+    """Latitude of a valid cell's centre in degrees; null for null and invalid ids."""
+    return _centre(0)(F.when(h3bits.is_valid(cell), cell))
+
+
+def cell_to_lng(cell: Column) -> Column:
+    """Longitude of a valid cell's centre in degrees, -180 to 180."""
+    return _centre(1)(F.when(h3bits.is_valid(cell), cell))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmosaic.functions import healpix
+
 
 def _cubic(t: Column) -> list[Column]:
     """Catmull-Rom weights of the taps at -1, 0, 1 and 2."""
@@ -65,6 +70,72 @@ def rectangle_overlaps(cells: DataFrame, width: int, height: int, origin: tuple[
     return rows.select(key, "col", "row", area.alias("area")).filter("area > 1e-12")
 
 
+def _under(lo: np.ndarray, hi: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Mean of the lesser of y and a height that goes evenly from lo to hi."""
+    part = np.clip((y - lo) / np.where(hi > lo, hi - lo, 1.0), 0.0, 1.0)
+    crossing = part * (lo + y) / 2 + (1 - part) * y
+    return np.where(y >= hi, (lo + hi) / 2, np.where(y <= lo, y, crossing))
+
+
+def pixel_areas(x: np.ndarray, y: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Area of a polygon (x, y in pixels, its last corner joined to the first) in each pixel of the given consecutive columns and rows.
+
+    By Green's theorem the area left of one line and below another is an integral along the outline of its height, cut off at
+    both; a pixel's area is a difference of four such.
+    """
+    right, below = np.r_[columns, columns[-1] + 1].astype(float), np.r_[rows, rows[-1] + 1].astype(float)
+    total = np.zeros((len(below), len(right)))
+    for x0, y0, x1, y1 in zip(x, y, np.roll(x, -1), np.roll(y, -1), strict=True):
+        if x0 == x1:
+            continue
+        sign = 1.0 if x1 > x0 else -1.0
+        (a, ya), (b, yb) = ((x0, y0), (x1, y1)) if x1 > x0 else ((x1, y1), (x0, y0))
+        until = np.clip(right, a, b)
+        y_until = ya + (yb - ya) * (until - a) / (b - a)
+        lo, hi = np.minimum(ya, y_until), np.maximum(ya, y_until)
+        total += sign * (until - a) * _under(lo[None, :], hi[None, :], below[:, None])
+    return np.abs(np.diff(np.diff(total, axis=0), axis=1))
+
+
+#: Cells that may be wider than this take whole pixels by their centres.
+COARSE_KM = 500.0
+
+
+def cell_overlaps(cells: DataFrame, depth: int, width: int, height: int, origin: tuple[float, float], size: tuple[float, float]) -> DataFrame:
+    """(cell, col, row, area) of the pixels that each HEALPix cell's outline touches; area as a share of the pixel, over 1e-12.
+
+    Outlines are straight between a cell's corners in degrees, so neighbours share their edges and areas add up to whole pixels.
+    Cells across the antimeridian are taken on the raster's side. At depths whose cells may be over 500 km wide a pixel belongs
+    whole to the cell of its centre.
+    """
+    if 2 * healpix.radius_deg(depth) * 111.2 > COARSE_KM:
+        pixels = cells.sparkSession.range(width * height).select((F.col("id") % width).alias("col"), F.floor(F.col("id") / width).alias("row"))
+        at = pixels.withColumns({"lon": (F.col("col") + 0.5) * size[0] + origin[0], "lat": F.lit(origin[1]) - (F.col("row") + 0.5) * size[1]})
+        return healpix.with_cell(at, depth).join(cells.select("cell"), "cell").select("cell", "col", "row", F.lit(1.0).alias("area"))
+    middle = origin[0] + width * size[0] / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lon, lat = healpix.corners(ids, depth)
+            centre, _ = healpix.centers(ids, depth)
+            lon = lon + 360 * np.round((centre[:, None] - lon) / 360)
+            lon = lon + 360 * np.round((middle - lon.mean(axis=1, keepdims=True)) / 360)
+            x, y = (lon - origin[0]) / size[0], (origin[1] - lat) / size[1]
+            c0, c1 = np.maximum(np.floor(x.min(axis=1)), 0).astype(int), np.minimum(np.ceil(x.max(axis=1)), width).astype(int)
+            r0, r1 = np.maximum(np.floor(y.min(axis=1)), 0).astype(int), np.minimum(np.ceil(y.max(axis=1)), height).astype(int)
+            for k in np.flatnonzero((c0 < c1) & (r0 < r1)):
+                columns = np.arange(c0[k], c1[k])
+                step = max(1, 200_000 // len(columns))
+                for first in range(r0[k], r1[k], step):
+                    rows = np.arange(first, min(first + step, r1[k]))
+                    area = pixel_areas(x[k], y[k], columns, rows)
+                    at = np.nonzero(area > 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[0]), ids[k])), pa.array(columns[at[1]]), pa.array(rows[at[0]]), pa.array(area[at])], ["cell", "col", "row", "area"])
+
+    return cells.select("cell").mapInArrow(run, "cell long, col long, row long, area double")
+
+
 def overlay_weights(overlaps: DataFrame, weighted: bool = True, mass_preserve: bool = False, key: str = "cell") -> DataFrame:
     """Adds weight: the area, 1 if unweighted, or the cell's share of all area of the pixel that cells cover."""
     if not weighted:

@@ -621,6 +621,42 @@ def overlay_coverage(spark, sf_dir):
     return rounded(transfer.coverage(weighed, _valid(events(spark, sf_dir))).filter("coverage >= 0.9"))
 
 
+def _cells_over(spark, sf_dir) -> tuple[DataFrame, int]:
+    """All cells of depth DEPTH around the events raster's pixels, and its height."""
+    height = table(spark, sf_dir, "events").agg(F.max(F.floor(F.col("event_id") / WIDTH)) + 1).first()[0]
+    wide = pixels.located(events(spark, sf_dir), ORIGIN, SIZE, pixels.pattern("16point"))
+    coarse = healpix.with_cell(wide, DEPTH - 3).select("cell").distinct()
+    return coarse.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63)))).select((F.shiftleft("cell", 6) + F.col("k")).alias("cell")), height
+
+
+@query("overlay_cells_cover", f"WITH {EV} SELECT col, row, 1e0 AS covered FROM px WHERE col BETWEEN 1 AND 98 AND row BETWEEN 1 AND (SELECT max(row) - 1 FROM px)")
+def overlay_cells_cover(spark, sf_dir):
+    """Areas of real cell outlines in a pixel add up to the pixel, inside the raster."""
+    cells, height = _cells_over(spark, sf_dir)
+    inner = transfer.cell_overlaps(cells, DEPTH, WIDTH, height, ORIGIN, SIZE).filter(F.col("col").between(1, 98) & F.col("row").between(1, height - 2))
+    whole = inner.groupBy("col", "row").agg(r6(F.sum("area")).alias("covered"))
+    return events(spark, sf_dir).select("col", "row").join(whole, ["col", "row"]).select("col", "row", "covered")
+
+
+@query("overlay_cells_mass", f"WITH {EV} SELECT {R('sum(value)')} AS total, CAST(count(*) AS DOUBLE) AS pixels FROM px WHERE k % 17 <> 0 AND col BETWEEN 1 AND 98 AND row BETWEEN 1 AND (SELECT max(row) - 1 FROM px)")
+def overlay_cells_mass(spark, sf_dir):
+    """Sums of cells, weighted by areas that preserve mass, add up to the pixels' sum."""
+    cells, height = _cells_over(spark, sf_dir)
+    weighed = transfer.overlay_weights(transfer.cell_overlaps(cells, DEPTH, WIDTH, height, ORIGIN, SIZE), mass_preserve=True)
+    inner = _valid(events(spark, sf_dir)).filter(F.col("col").between(1, 98) & F.col("row").between(1, height - 2))
+    stats = continuous.weighted_statistics(weighed.join(inner, ["col", "row"]), ["cell"])
+    return stats.agg(r6(F.sum("sum")).alias("total"), r6(F.sum("count")).alias("pixels"))
+
+
+@query("overlay_coarse", f"WITH {EV}, {hp('ev', 'c', 2)} {rsel(f'SELECT cell, {STATS} FROM c WHERE k % 17 <> 0 GROUP BY cell', ['cell'], FIVE)}")
+def overlay_coarse(spark, sf_dir):
+    """Cells over 500 km wide take pixels whole, by their centres."""
+    height = table(spark, sf_dir, "events").agg(F.max(F.floor(F.col("event_id") / WIDTH)) + 1).first()[0]
+    overlaps = transfer.cell_overlaps(spark.range(4 << 4, 16 << 4).toDF("cell"), 2, WIDTH, height, ORIGIN, SIZE)
+    joined = transfer.overlay_weights(overlaps).join(_valid(events(spark, sf_dir)), ["col", "row"])
+    return rounded(continuous.weighted_statistics(joined, ["cell"]))
+
+
 # --- scalars ---------------------------------------------------------------------------------------------------------
 
 
@@ -730,6 +766,13 @@ def h3_rollup(spark, sf_dir):
     return up.select("cell", "n", h3bits.is_valid(F.col("cell")).alias("valid"), h3bits.resolution(F.col("cell")).alias("resolution"))
 
 
+@query("h3_centres")
+def h3_centres(spark, sf_dir):
+    """Centres of the raster's cells of resolution 6."""
+    c = F.col("cell")
+    return _h3_samples(spark, sf_dir, 6).select(c).distinct().select(c, r6(h3.cell_to_lat(c)).alias("lat"), r6(h3.cell_to_lng(c)).alias("lng"))
+
+
 _METRES = "m AS (SELECT value, (col - 50) * 20000e0 + 137e0 AS x, (row % 100 - 50) * 20000e0 + 211e0 AS y FROM px)"
 
 

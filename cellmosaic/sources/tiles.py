@@ -6,10 +6,12 @@ import gzip
 import json
 import math
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,21 +146,37 @@ def _directory(entries: list[tuple[int, int, int, int]]) -> bytes:
 def write_pmtiles(tiles: DataFrame, path: str, metadata: dict | None = None) -> int:
     """Write encoded tiles to one PMTiles v3 archive in order of tile id; returns how many.
 
-    A PMTiles archive is a single file, so tiles stream through the driver one partition at a time; the directory is all
-    that it holds. Tile bodies go to the file's end first and are copied after the directory once that is known.
+    Tasks write the tile bodies, sorted, to files beside the archive and return places and lengths, of which the directory is
+    made; then those files are copied behind it one after the other, as an archive is a single file.
     """
-    entries, sizes, zooms = [], 0, []
     store, name = filesystem(path)
-    body = f"{name}.body"
-    ordered = tiles.repartitionByRange(max(1, tiles.sparkSession.sparkContext.defaultParallelism), "tile_id").sortWithinPartitions("tile_id").select("tile_id", "zoom", "data")
-    with store.open_output_stream(body, compression=None) as out:
-        for row in ordered.toLocalIterator():
-            if entries and entries[-1][0] == row["tile_id"]:
-                raise ValueError(f"tile {row['tile_id']} occurs twice")
-            entries.append((row["tile_id"], 1, len(row["data"]), sizes))
-            zooms.append(row["zoom"])
-            sizes += len(row["data"])
-            out.write(bytes(row["data"]))
+    store.create_dir(f"{name}.parts", recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = filesystem(f"{path}.parts")
+        part, out = f"{folder}/{uuid.uuid4().hex}", None
+        for batch in batches:
+            out = out or store.open_output_stream(part, compression=None)
+            data = batch.column(2)
+            for body in data:
+                out.write(body.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(batch)), batch.column(0), batch.column(1), pc.binary_length(data).cast(pa.int64())], ["part", "tile_id", "zoom", "length"])
+        if out:
+            out.close()
+
+    ordered = tiles.repartitionByRange("tile_id").sortWithinPartitions("tile_id").select(F.col("tile_id").cast("long"), F.col("zoom").cast("int"), "data")
+    written = ordered.mapInArrow(run, "part string, tile_id long, zoom int, length long").toArrow()
+    parts, zooms = written.column("part").to_pylist(), written.column("zoom").to_pylist()
+    number, length = written.column("tile_id").to_pylist(), written.column("length").to_pylist()
+    first = {}
+    for p, t in zip(parts, number, strict=True):
+        first[p] = min(first.get(p, t), t)
+    entries, sizes = [], 0
+    for k in sorted(range(len(parts)), key=lambda k: (first[parts[k]], number[k])):
+        if entries and entries[-1][0] >= number[k]:
+            raise ValueError(f"tile {number[k]} occurs twice")
+        entries.append((number[k], 1, length[k], sizes))
+        sizes += length[k]
     root, leaves, step = _directory(entries), b"", 4096
     while len(root) > 16384 - 127:
         leaves, upper = b"", []
@@ -176,10 +194,11 @@ def write_pmtiles(tiles: DataFrame, path: str, metadata: dict | None = None) ->
     head += bytes([1, 2, 2, 1, min(zooms, default=0), max(zooms, default=0)]) + degrees(-180, -MAX_LATITUDE, 180, MAX_LATITUDE) + bytes([min(zooms, default=0)]) + degrees(0, 0)
     with store.open_output_stream(name, compression=None) as out:
         out.write(head + root + about + leaves)
-        with store.open_input_stream(body, compression=None) as f:
-            while block := f.read(1 << 22):
-                out.write(block)
-    store.delete_file(body)
+        for part in sorted(first, key=first.get):
+            with store.open_input_stream(part, compression=None) as f:
+                while block := f.read(1 << 22):
+                    out.write(block)
+    store.delete_dir(f"{name}.parts")
     return len(entries)
 
 
@@ -292,8 +311,6 @@ def write_geoparquet(cells: DataFrame, path: str, files: int | None = None) -> D
     geo = json.dumps({"version": "1.1.0", "primary_column": "wkb", "columns": {"wkb": {"encoding": "WKB", "geometry_types": ["Polygon", "MultiPolygon"], "edges": "planar"}}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         from pyarrow import parquet
 
         store, folder = filesystem(path)

@@ -140,6 +140,19 @@ def test_h3_cells_cover_the_globe():
         assert not (np.isin(base, h3.pentagons()) & (first == 1)).any()
 
 
+def test_h3_centres_lie_in_their_cells():
+    """Centres of cells all over the globe, those of pentagons and around them, fall into their own cells again."""
+    rng = np.random.default_rng(2)
+    lat, lng = np.arcsin(rng.uniform(-1, 1, 20_000)), rng.uniform(-np.pi, np.pi, 20_000)
+    corners = [(*np.degrees(h3._on_sphere(2, 0, int(x.split()[0]))),) for x in h3.BASE_CELLS.split(", ") if x.endswith(" 200")]
+    near = np.radians(np.repeat(corners, 500, axis=0) + rng.normal(0, 3, (6000, 2)) * np.array([1, 1]))
+    near[:, 0] = np.clip(near[:, 0], -np.pi / 2, np.pi / 2)
+    lat, lng = np.r_[lat, near[:, 0]], np.r_[lng, near[:, 1]]
+    for resolution in range(16):
+        ids = np.unique(h3.cells(lat, lng, resolution))
+        assert (h3.cells(*h3.centres(ids), resolution) == ids).all(), resolution
+
+
 def test_h3_column(spark):
     rows = [(-122.418307270836, 37.7752702151959), (None, 1.0), (float("nan"), 1.0), (10.0, 91.0), (370.0, 0.0), (10.0, 0.0)]
     got = [r[0] for r in spark.createDataFrame(rows, "lon double, lat double").select(h3.lonlat_to_cell(F.col("lon"), F.col("lat"), 9)).collect()]

@@ -125,6 +125,20 @@ def test_interpolation_reproduces_a_plane(spark):
         assert got[1] == pytest.approx(3 * 3.8 - 2 * 4.3) and got[2] == pytest.approx(3 * 6.4 - 2 * 5.8)
 
 
+def test_polygon_areas_against_sampling():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 8)))
+        x, y = 5 + rng.uniform(1, 4) * np.cos(angle), 4 + rng.uniform(1, 3) * np.sin(angle)
+        if rng.random() < 0.5:
+            x, y = x[::-1], y[::-1]
+        area = transfer.pixel_areas(x, y, np.arange(0, 11), np.arange(0, 9))
+        assert area.sum() == pytest.approx(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
+        gx, gy = np.meshgrid((np.arange(11 * 40) + 0.5) / 40, (np.arange(9 * 40) + 0.5) / 40)
+        inside = wkb.contains([[np.c_[np.r_[x, x[0]], np.r_[y, y[0]]]]], gx.ravel(), gy.ravel()).reshape(gx.shape)
+        assert np.abs(inside.reshape(9, 40, 11, 40).mean(axis=(1, 3)) - area).max() < 0.05
+
+
 def test_mass_is_preserved(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.5, 3.0), (2, 2.5, 0.0, 4.0, 3.0)], "cell long, west double, south double, east double, north double")
     w = transfer.overlay_weights(transfer.rectangle_overlaps(boxes, 4, 3, (0.0, 3.0), (1.0, 1.0)), mass_preserve=True)
