@@ -75,6 +75,7 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     hashed = span_hashes(LOWER[raw], begin, end)
     same = np.zeros(len(hashed), dtype=bool)
     same[1:] = hashed[1:] == hashed[:-1]
+    same[first[:-1][n > 0]] = False  # a text's first word has none before it
     lines = _sums(raw == 10, at)
     out = np.zeros((len(size), len(STATISTICS)))
     distinct, top, repeated, longest, twice = (np.zeros(len(size)) for _ in range(5))
