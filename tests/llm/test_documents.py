@@ -166,6 +166,34 @@ def test_paragraphs(table):
     assert all(len(r["text"].split("\n")) == 4 - sum(found[k]["removed"] for k in found if k[0] == i) and r["n_chars"] == len(r["text"]) for i, r in clean.items() if i != 50)
 
 
+def test_paragraph_clusters_against_all_pairs(table):
+    """Every line with words against every other: the bands' recall, measured, and nothing that isn't linked."""
+    rng = random.Random(11)
+    words = ["w%d" % k for k in range(200)]
+    lines = [" ".join(rng.choices(words, k=rng.choice([1, 2, 4, 7, 12, 25, 60]))) for _ in range(60)]
+    texts = []
+    for _ in range(160):
+        own = []
+        for _ in range(rng.randint(1, 5)):
+            w = rng.choice(lines).split(" ")
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = rng.choice(words)
+            own.append(" ".join(w))
+        texts.append("\n".join(own))
+    sets = {(k, n): shingles(line) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n"))}
+    root = brute_components(sets)
+    clusters = defaultdict(set)
+    for place, r in root.items():
+        clusters[r].add(place)
+    want = {frozenset(c) for c in clusters.values() if len(c) > 1}
+    found = defaultdict(set)
+    for r in paragraphs.repeated_paragraphs(table([(k, t, "s") for k, t in enumerate(texts)]), least_words=1).collect():
+        found[r["cluster_id"]].add((r["doc_id"], r["paragraph"]))
+    pairs = lambda groups: {(a, b) for g in groups for a in g for b in g if a < b}
+    have, wanted = pairs(found.values()), pairs(want)
+    assert not have - wanted and len(have) >= 0.99 * len(wanted) and len(wanted) > 200
+
+
 def test_odd_rows_paragraphs(odd, empty, table):
     assert paragraphs.repeated_paragraphs(odd).count() == 0
     line = " ".join("w%d" % k for k in range(40))
@@ -437,6 +465,72 @@ def test_quality(spark, table):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics by their definitions, word by word."""
+    raw, w = text.encode(), SPLIT.findall(text)
+    size, n, lines = len(raw), len(w), text.count("\n")
+    per_byte, per_word = 1 / max(size, 1), 1 / max(n, 1)
+    lower = [x.translate(LOWER) for x in w]
+    triples = [tuple(lower[k : k + 3]) for k in range(n - 2)]
+    is_upper = lambda c: "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de"
+    count = lambda chars: sum(text.count(c) for c in chars) * per_byte
+    shouts = [sum(map(is_upper, x)) >= 2 and not re.search("[a-z]", x) for x in w]
+    return {
+        "log_points": np.log1p(len(text)), "log_words": np.log1p(n), "word_mean": sum(len(x.encode()) for x in w) * per_word, "word_longest": max((len(x.encode()) for x in w), default=0),
+        "words_distinct": len(set(lower)) * per_word, "word_top_share": max(Counter(lower).values(), default=0) * per_word, "adjacent_same": sum(a == b for a, b in zip(lower, lower[1:], strict=False)) * per_word,
+        "shingles_repeated": 1 - len(set(triples)) / len(triples) if n >= 6 else 0.0, "lines": lines, "line_mean": size / (lines + 1), "lines_repeated": 1 - len(set(text.split("\n"))) / (lines + 1) if n and lines else 0.0,
+        "upper": sum(map(is_upper, text)) * per_byte, "digit": count("0123456789"), "mark": count(".,;:!?'\"()-"), "symbol": count("#$%&*+/<=>@[\\]^_`{|}~"), "bang": count("!"), "non_ascii": sum(b >= 128 for b in raw) * per_byte,
+        "space": count(" \t\n\v\f\r"), "end_marked": sum(x[-1] in ".!?" for x in w) * per_word, "bang_words": sum(x[-1] == "!" for x in w) * per_word, "capital_words": sum(is_upper(x[0]) for x in w) * per_word,
+        "shout_words": sum(shouts) * per_word, "short_words": sum(len(x.encode()) <= 2 for x in w) * per_word, "vowels": count("aeiouyAEIOUY"),
+    }
+
+
+def test_quality_statistics_against_plain_python(odd):
+    texts = [t for _, t, _ in corpus(9, 60)] + ["", "ÀB ÉT été x!", "A a a B! 12 #\n\nA a a B! 12 #\n", "WORDS! \t\v more; words? (yes)", "one"]
+    rows = odd.sparkSession.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.with_statistics(rows).collect()}
+    for k, t in enumerate(texts):
+        for name, value in plain_statistics(t).items():
+            assert got[k][name] == pytest.approx(value), (name, t)
+
+
+def test_rules_and_scores_against_plain_evaluation(spark):
+    """Rules are the paths of the trees that they are read from, and the compiled column scores as the rules do one by one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(3)
+    values = rng.uniform(0, 1, (300, len(quality.STATISTICS)))
+    label = (values[:, 2] + 0.3 * values[:, 5] > 0.6).astype(int)
+    rows = spark.createDataFrame([(int(k), int(y), *map(float, v)) for k, (y, v) in enumerate(zip(label, values, strict=True))], ["k", "label", *quality.STATISTICS])
+    forest = RandomForestClassifier(numTrees=4, maxDepth=3, seed=5).fit(VectorAssembler(inputCols=list(quality.STATISTICS), outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double"))))
+    holds = lambda rule, v: all(over < v[quality.STATISTICS.index(name)] <= most for name, over, most in rule.bounds)
+
+    def leaf_paths(node, v):
+        """Bounds met on the way down, walked in the tree itself."""
+        met = []
+        while node.numDescendants() > 0:
+            split = node.split()
+            name, at = quality.STATISTICS[split.featureIndex()], split.threshold()
+            left = v[split.featureIndex()] <= at
+            met.append((name, "<=" if left else ">", at))
+            node = node.leftChild() if left else node.rightChild()
+        return met
+
+    for tree in forest.trees:
+        rules = quality.tree_rules(tree.toDebugString)
+        assert len(rules) == tree.numNodes - 1
+        for v in values[:40]:
+            # the rules that hold are the nodes on the way to the leaf
+            assert sum(holds(r, v) for r in rules) == len(leaf_paths(tree._java_obj.rootNode(), v))
+    model = quality.fit(rows.drop("k"))
+    assert model.rules
+    for r in rows.select("k", model.score().alias("score")).collect():
+        v = values[r["k"]]
+        margin = model.intercept + sum(w for rule, w in model.rules if holds(rule, v)) + sum(min(max(v[quality.STATISTICS.index(s)], lo), hi) * w for s, lo, hi, w in model.linear)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 BASE = {
     "assign": (re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18),
