@@ -48,14 +48,17 @@ def votes_by(rows: DataFrame, keys: list[str], text: str, name: str, copies: str
     text; if there may be several, `copies` names a column that tells how many.
     """
     carried = [*keys, *([copies] if copies else [])]
-    out = rows.select(*carried, pieces(F.col(text)).alias("_p")).select(*carried, F.explode_outer("_p").alias("_h0"))
-    out = out.withColumns({f"_h{j}": F.xxhash64("_h0", F.lit(j)) for j in range(1, HASHES)})
-    vote = lambda j, k: F.shiftrightunsigned(f"_h{j}", k).bitwiseAND(F.lit(_TWO))
-    counts = [F.coalesce(F.sum(F.when(F.col("_h0").isNotNull(), vote(j, k))), F.lit(0).cast("long")).alias(f"_v{j}_{k}") for j in range(HASHES) for k in range(BITS)]
-    found = out.groupBy(*carried).agg(F.count("_h0").alias("_n"), *counts)
-    every = [F.col("_n"), *[F.col(f"_v{j}_{k}") for j in range(HASHES) for k in range(BITS)]]
+    out = rows.select(*carried, pieces(F.col(text)).alias("_p")).select(*carried, F.explode_outer("_p").alias("_h"))
+    # a row for each hash, so that one aggregation has few enough sums to be generated code
+    out = out.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(HASHES)])))
+    out = out.withColumn("_x", F.when(F.col("_h").isNotNull(), F.when(F.col("_j") == 0, F.col("_h")).otherwise(F.xxhash64("_h", "_j"))))
+    counts = [F.sum(F.shiftrightunsigned("_x", k).bitwiseAND(F.lit(_TWO))).alias(f"_v{k}") for k in range(BITS)]
+    found = out.groupBy(*carried, "_j").agg(F.count("_x").alias("_n"), *counts)
+    filled = F.array(*[F.coalesce(f"_v{k}", F.lit(0).cast("long")) for k in range(BITS)])
+    whole = found.groupBy(*carried).agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_j", filled.alias("v")))).alias("_parts"))
+    every = F.concat(F.array("_n"), F.flatten(F.col("_parts.v")))
     # both counts in a number are multiples of the copies
-    return found.select(*keys, F.array(*[F.call_function("div", c, F.col(copies)) if copies else c for c in every]).alias(name))
+    return whole.select(*keys, (F.transform(every, lambda x: F.call_function("div", x, F.col(copies))) if copies else every).alias(name))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -146,11 +149,11 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = _keyed(docs, doc_id, text)
     order = links(rows.withColumn("n_chars", F.length("text").cast("long")))
-    # counts of all copies together are as many times those of one
-    counted = votes_by(rows, _KEY, "text", "all_votes").hint("merge").join(order, _KEY)
-    counted = counted.select(*_KEY, "p_id", "p_void", "p_text_key", "p_chars", F.transform("all_votes", lambda x: F.call_function("div", x, F.col("copies"))).alias("votes"))
-    # both uses of these rows read the same shuffled files
-    placed = rows.hint("merge").join(counted, _KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
+    # texts are dealt by key once, and counts, heads and edited texts all read those shuffled files: counting thrice moves less
+    # than counts that are shuffled on their own
+    counted = votes_by(rows.hint("merge").join(order.select(*_KEY, "copies"), _KEY), _KEY, "text", "votes", "copies")
+    placed = rows.hint("merge").join(order.drop("copies"), _KEY).hint("merge").join(counted, _KEY)
+    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
     third = lambda chars: F.floor(chars / 3).cast("int")
     heads = placed.filter("copy = 1").select(F.col("p_id").alias("id"), F.col("p_void").alias("void"), F.col("p_text_key").alias("text_key"), F.substring("text", F.lit(1), third(F.col("p_chars"))).alias("head"), F.col("votes").alias("next_votes"))
     both = placed.select(*_KEY, "text", "votes", "copy").hint("merge").join(heads, _KEY)
@@ -160,7 +163,8 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # what is known of a row beside its edited text's counts, small enough to be the key of their aggregation
     both = both.withColumns({"wide": wide_sum(paragraphs(F.col("text"))), "edited_wide": wide_sum(paragraphs(F.col("edited"))), "edited_sha256": F.sha2("edited", 256), "near_next": likeness(F.col("votes"), F.col("next_votes"))})
     both = both.withColumn("fingerprint", printed(F.col("wide"), F.col("votes")))
-    done = votes_by(both, [*_KEY, "copy", "n_chars", "edited_sha256", "fingerprint", "edited_wide", "near_next", "votes"], "edited", "edited_votes")
+    done = votes_by(both, [*_KEY, "copy", "n_chars", "edited_sha256", "fingerprint", "edited_wide", "near_next"], "edited", "edited_votes")
+    done = done.hint("merge").join(counted, _KEY)
     return done.select(
         F.when(~F.col("void"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", printed(F.col("edited_wide"), F.col("edited_votes")).alias("edited_fingerprint"),
         likeness(F.col("votes"), F.col("edited_votes")).alias("near_edited"), "near_next",
