@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, fingerprints, html_text, mixing, ngram_join, packing, paragraphs, quality, secrets, warc
+from cellmosaic.llm import exact_dedup, fingerprints, html_text, merkle, mixing, ngram_join, packing, paragraphs, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_source": warc.op8,
         "op9_decoding_scan": secrets.op9,
         "op10_reduced_best_fit": packing.op10,
+        "op11_time_forward_manifest": merkle.op11,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_chunk_recipe_dedup": exact_dedup.OP3_SQL,
         "op5_curriculum_mix": mixing.OP5_SQL,
+        "op11_time_forward_manifest": merkle.OP11_SQL,
     }
