@@ -75,9 +75,9 @@ def row_blocks(at: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word in raw, and for each row the place of its first word (one more entry than rows)."""
-    inside = ~SPACE[raw]
+    inside = ~between[raw]
     begin, end = inside.copy(), inside.copy()
     if len(raw):
         begin[1:] &= ~inside[:-1]

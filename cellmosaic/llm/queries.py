@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmosaic.llm import exact_dedup, fingerprints, html_text, merkle, mixing, ngram_join, packing, paragraphs, quality, secrets, warc
+from cellmosaic.llm import exact_dedup, fingerprints, html_text, importance, merkle, mixing, ngram_join, packing, paragraphs, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_decoding_scan": secrets.op9,
         "op10_reduced_best_fit": packing.op10,
         "op11_time_forward_manifest": merkle.op11,
+        "op12_regular_sampling": importance.op12,
+        "op13_pivot_simhash": simhash.op13,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chunk_recipe_dedup": exact_dedup.OP3_SQL,
         "op5_curriculum_mix": mixing.OP5_SQL,
         "op11_time_forward_manifest": merkle.OP11_SQL,
+        "op12_regular_sampling": importance.OP12_SQL,
     }
