@@ -142,7 +142,8 @@ class _Member:
             left = _LEAST_BLOCK if self.end is None else min(_LEAST_BLOCK, self.end - self.data.tell())
             piece = self.data.peek(left)
             out = self.inflate.decompress(piece, 8 * _LEAST_BLOCK)
-            used = len(piece) - len(self.inflate.unconsumed_tail) - len(self.inflate.unused_data)
+            # at the member's end zlib reports what is left as unused, and if it met the bound then, as unconsumed once more
+            used = len(piece) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
             self.data.skip(used)
             if out:
                 return out
