@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_HEAD = re.compile(r"<(/?)([a-zA-Z])")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -71,22 +74,81 @@ def _left(here: Node, up: Node, opened: dict[str, int]) -> Node:
         here = here.parent
 
 
+class _Tokens:
+    """Comments, declarations and tags of a page, found in time linear in its length.
+
+    A tag that isn't closed is text. Pages without such tags are matched by one pattern. In others the search for a tag's end goes
+    from one > or quote outside quotes to the next, and those from which no end was found are never passed again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.marks: list[int] | None = None
+        self.dead: set[int] = set()
+        self.name_end = 0
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash, name and attributes of the next token; comments and declarations have no name."""
+        while (at := self.page.find("<", at)) >= 0:
+            if found := self._token(at):
+                return found
+            at += 1
+        return None
+
+    def _token(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, end + 3 if end >= 0 else len(page), "", "", ""
+        if at > self.last[">"]:
+            return None
+        if page.startswith(("<!", "<?"), at):
+            return at, page.find(">", at) + 1, "", "", ""
+        if (head := _HEAD.match(page, at)) is None:
+            return None
+        if self.marks is None:
+            if m := _TAG.match(page, at):
+                return at, m.end(), m[1], m[2], m[3]
+            self.marks = [m.start() for m in re.finditer("[>\"']", page)]
+        if self.name_end < head.end():
+            found = _NAME_END.search(page, head.end())
+            self.name_end = found.start() if found else len(page)
+        name_end = self.name_end
+        if (end := self._end(name_end)) is None:
+            return None
+        return at, end + 1, head[1], page[head.start(2) : name_end], page[name_end:end]
+
+    def _end(self, at: int) -> int | None:
+        """Place of the > that closes a tag whose attributes begin here."""
+        passed = []
+        while (k := bisect_left(self.marks, at)) < len(self.marks) and (mark := self.marks[k]) not in self.dead:
+            if (c := self.page[mark]) == ">":
+                return mark
+            passed.append(mark)
+            if mark >= self.last[c]:
+                break
+            at = self.page.find(c, mark + 1) + 1
+        self.dead.update(passed)
+        return None
+
+
 def parse(page: str) -> list[Node]:
     """The page's elements in page order, parents first; the first is the root."""
     root = Node("html", None)
-    nodes, at, here = [root], 0, root
+    nodes, at, here, tokens = [root], 0, root, _Tokens(page)
+    endless: set[str] = set()  # tags of which no end follows
     opened: dict[str, int] = {}  # at least as many of each tag are open, so that no end without a begin walks up the tree
     while True:
-        m = _TOKEN.search(page, at)
-        if text := page[at : m.start() if m else len(page)]:
+        token = tokens.after(at)
+        if text := page[at : token[0] if token else len(page)]:
             here.parts.append(text)
-        if not m:
+        if not token:
             return nodes
-        at = m.end()
-        if not m[2]:
+        _, at, slash, name, attributes = token
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if not opened.get(tag):
                 continue
             up: Node | None = here
@@ -110,7 +172,7 @@ def parse(page: str) -> list[Node]:
                 up = up.parent
             if up.tag in ends:
                 here = _left(here, up, opened)
-        mark, hidden = _open(m[3]) if m[3].strip(" /") else ("", False)
+        mark, hidden = _open(attributes) if attributes.strip(" /") else ("", False)
         if tag == "body" and here.tag == "head":
             here = _left(here, here, opened)
         node = Node(tag, here, mark)
@@ -118,11 +180,12 @@ def parse(page: str) -> list[Node]:
         here.parts.append(node)
         nodes.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if not end and tag == "title":
+                endless.add(tag)
                 continue
             at = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID and not attributes.rstrip().endswith("/"):
             here = node
             opened[tag] = opened.get(tag, 0) + 1
 
