@@ -50,10 +50,10 @@ _WORD = re.compile(r"\S*")
 _AFTER = re.compile(r"\S*(?:\x20+\S+){0,2}")
 #: Bare base64 counts as text if at least this share of its characters is readable.
 READABLE = 0.75
-#: Unpacked streams of more bytes are scanned in windows of as many characters, of which neighbours share OVERLAP.
-WINDOW, OVERLAP = 4 << 20, 1 << 16
-#: xz streams that ask for more memory are not unpacked.
-XZ_MEMORY = 256 << 20
+#: Unpacked streams of more bytes are scanned in windows of about as many characters, of which neighbours share SHARED whole words; of
+#: a stream's text, OVERLAP characters or as many words from its begin and end stand in the layer.
+WINDOW, OVERLAP, SHARED = 4 << 20, 1 << 16, 16
+_FIRST_WORDS = re.compile(rf"(?:[^ \t\n\r]*+[ \t\n\r]++){{{SHARED}}}")
 
 
 class Layer(NamedTuple):
@@ -119,7 +119,7 @@ def _unpacker(head: bytes):
     if head[:3] == b"BZh" and head[4:10] == b"1AY&SY":
         return bz2.BZ2Decompressor()
     if head[:6] == b"\xfd7zXZ\0":
-        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+        return lzma.LZMADecompressor()
     return None
 
 
@@ -168,17 +168,38 @@ def _in_windows(chunks: Iterator[bytes]) -> tuple[str, frozenset[str]]:
     while _unpacker(first[:10]) and next(iter(_Unpacked(iter([first]))), b""):
         chunks = iter(_Unpacked(itertools.chain([first], chunks)))
         first = next(chunks, b"")
-    decoder, head, held, kinds, seen = codecs.getincrementaldecoder("utf-8")("replace"), "", "", set(), set()
+    decoder, head, held, kinds, seen, enough = codecs.getincrementaldecoder("utf-8")("replace"), None, "", set(), set(), WINDOW
     for part in itertools.chain([first], chunks):
         held += decoder.decode(part)
-        head = head or held[:OVERLAP]
-        if len(held) >= WINDOW:
-            if (key := hashlib.blake2b(held.encode("utf-8", "replace"), digest_size=16).digest()) not in seen:
-                seen.add(key)
-                kinds |= {kind for _, kind, _ in find(held)[1]}
-            held = held[-OVERLAP:]
+        if len(held) < enough:
+            continue
+        end = _last_space(held, len(held))
+        start = end
+        for _ in range(SHARED):
+            start = _last_space(held, start)
+        if start < len(held) // 2:  # words as long as that are kept whole
+            enough = 2 * len(held)
+            continue
+        head = _first_words(held) if head is None else head
+        window, held, enough = held[:end], held[start:], WINDOW
+        if (key := hashlib.blake2b(window.encode("utf-8", "replace"), digest_size=16).digest()) not in seen:
+            seen.add(key)
+            kinds |= {kind for _, kind, _ in find(window)[1]}
     kinds |= {kind for _, kind, _ in find(held)[1]}
-    return f"{head}\n{held[-OVERLAP:]}", frozenset(kinds)
+    start = len(held)
+    for _ in range(SHARED):
+        start = _last_space(held, start)
+    return f"{_first_words(held) if head is None else head}\n{held[min(start, max(0, len(held) - OVERLAP)):]}", frozenset(kinds)
+
+
+def _last_space(text: str, until: int) -> int:
+    """Place of the last space before one; 0 if there is none. No finding and no encoded part goes over more than a few words."""
+    return max(0, *(text.rfind(c, 0, until) for c in " \t\n\r"))
+
+
+def _first_words(text: str) -> str:
+    words = _FIRST_WORDS.match(text)
+    return text[: max(OVERLAP, words.end() if words else len(text))]
 
 
 def _unpacked(data: bytes, start: int = 0) -> tuple[str, frozenset[str], int] | None:
@@ -460,8 +481,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     with counts of 0 and empty spans. Rows are independent, so repeated and null ids change nothing; other columns are not
     read, and an empty table gives no rows. Bare base64 and deflate streams without a head are taken for text if three quarters of
     its characters are readable; other layers have no such test. Work is in proportion to a text's length for each layer of nesting. Nothing is capped: streams that unpack to more than
-    WINDOW bytes are unpacked and scanned in overlapping windows, as their findings' places are the whole stream anyway; an
-    encoded part inside such a stream that is longer than a window is decoded window by window.
+    WINDOW bytes are unpacked and scanned in windows that share whole words, as their findings' places are the whole stream anyway; a
+    window grows until it holds enough words, so that no encoded part is cut. xz streams get the memory that they ask for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
