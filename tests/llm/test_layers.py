@@ -151,3 +151,27 @@ def test_odd_rows_secrets(odd, empty):
     long = "plain words and more " * 50_000
     text = f"{long}{b64(SECRET.encode())} end"
     assert len(assigned(text)) == 1 and assigned(text)[0][0] == len(long)
+
+
+@pytest.mark.parametrize("shift", [-60_000, -30_000, -10_000, -9_000, -100, 0, 100])
+def test_no_encoded_part_is_cut_at_a_window(monkeypatch, shift):
+    """A part longer than what windows share in characters is decoded whole wherever it lies across a window's edge."""
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 17)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    inner = gzip.compress(random.Random(3).randbytes(30_000) + b" " + SECRET.encode())
+    filler = lambda n: ("lorem ipsum " * (n // 12 + 1))[:n]
+    stream = filler((1 << 17) + shift) + " " + b64(inner) + " " + filler(200_000) + f" {shift}"
+    text = "data " + b64(gzip.compress(stream.encode())) + " end"
+    assert assigned(text) == [(5, len(text) - 4)]
+    # and an assignment with spaces around its sign
+    stream = filler((1 << 17) + shift % 50 - 25) + " password : 'abcdefghijklmnop1234' " + filler(200_000)
+    text = "data " + b64(gzip.compress(stream.encode())) + " end"
+    assert assigned(text) == [(5, len(text) - 4)]
+
+
+def test_long_streams_without_spaces(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    for stream in ("a/" * 200_000 + "," + SECRET, b64(random.Random(4).randbytes(200_000)) + "," + SECRET, SECRET + "," + "z" * 300_000):
+        text = "data " + b64(gzip.compress(stream.encode())) + " end"
+        assert assigned(text) == [(5, len(text) - 4)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import time
 from collections import defaultdict
 
 import pytest
@@ -259,3 +260,39 @@ def test_repeated_page_ids(spark, tmp_path):
     warc.archive_pages(pages(spark, rows), str(tmp_path / "r"))
     got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.read_pages(spark, str(tmp_path / "r")).collect())
     assert got == [("3", "revisit", 7), ("7", "response", None), ("7", "response", None), ("7", "response", None), ("None", "revisit", 7)]
+
+
+def test_dense_and_sparse_members_follow_one_another():
+    """Records that inflate much or little, of sizes about the reader's blocks, with and without lengths in the header: all are found whole."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(60):
+        payloads = []
+        for _ in range(rng.randint(1, 8)):
+            size = max(0, rng.choice((0, 10, 8 << 10, 64 << 10, 65 << 10, 200_000)) + rng.randint(-40, 40))
+            dense = rng.random()
+            payloads.append(rng.randbytes(size) if dense < 0.3 else b"<td>%d</td>" % rng.randint(0, 9) * (size // 9) if dense < 0.8 else rng.randbytes(size // 3) + b"a" * size)
+        made = [warc.page_record(f"urn:page:{k}", f"http://x/{k}", p, None) for k, p in enumerate(payloads)]
+        foreign = [m if rng.random() < 0.3 else gzip.compress(gzip.decompress(m), rng.choice((1, 6, 9))) for m in made]
+        for whole in (True, False):
+            got, _ = read_bytes(b"".join(foreign), whole)
+            assert [h["warc-target-uri"] for h, _, _ in got] == [f"http://x/{k}" for k in range(len(made))] and not any(cut for _, _, cut in got)
+            assert not whole or [b.partition(b"\r\n\r\n")[2] for _, b, _ in got] == payloads
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="', "<a x='", "<a", "<a/", "<!", '<a "<a ', "<a '\"<b ", "<title>", "<script", "<textarea", "</a ", '<p class="x" <'])
+@pytest.mark.parametrize("end", ["", '"', "'", ">", '">', "'\"", "' \" '"])
+def test_unclosed_tags_take_linear_time(part, end):
+    page = "<p>" + "begin of a text, with words. " * 4 + "</p>" + part * (1_000_000 // len(part)) + end
+    began = time.time()
+    html_text.parse(page)
+    assert time.time() - began < 4
+
+
+def test_tokens_of_broken_tags():
+    """What is behind a tag that isn't closed is found as in a page without it, and the tag itself is text."""
+    tags = lambda page: [(n.tag, [p for p in n.parts if isinstance(p, str)]) for n in html_text.parse(page)]
+    assert tags("a <b x=\"1>2\" y='>'>c</b> < d <3 <p")[1:] == [("b", ["c"])]
+    assert tags("a <b x=\"1 <i>c</i>") == [("html", ["a <b x=\"1 "]), ("i", ["c"])]
+    assert tags('<b x="<i>c</i> <s>d</s>') == [("html", ['<b x="', " "]), ("i", ["c"]), ("s", ["d"])]
