@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -251,10 +252,12 @@ def with_lonlat(rows: DataFrame, code: int, x: str = "x", y: str = "y", strict:
     Where the inverse is not finite or off the globe both are null; such rows are counted in `failures` (as `failed`), if given,
     and with strict they are an error. Missing coordinates are no failure.
     """
+    staged = False
     try:
         lon, lat = inverse(code, F.col(x), F.col(y))
         out = rows.withColumns({"_lon": lon, "_lat": lat})
     except ValueError:
+        staged = True
         method, p, ellipsoid, shift = definition(code)
         a, f = ELLIPSOIDS[ellipsoid]
         out = _unprojected(rows.withColumns({"_e": F.col(x) - p["x"], "_n": F.col(y) - p["y"]}), method, p, a, f)
@@ -266,6 +269,8 @@ def with_lonlat(rows: DataFrame, code: int, x: str = "x", y: str = "y", strict:
     lon = F.when(good, F.pmod(F.col("_lon") + 180, F.lit(360.0)) - 180)
     if strict:
         lon = F.when(failed, F.raise_error(F.concat(F.lit(f"EPSG:{code} has no point at "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))).cast("double")).otherwise(lon)
-    if failures is not None:
-        out = out.withColumn("_failed", failed).observe(failures, F.count_if("_failed").alias("failed"))
+    if failures is not None or staged:
+        # counted in any case where stages follow one another: a filter on the result would otherwise be put before the first stage, and
+        # with it an expression that doubles with each
+        out = out.withColumn("_failed", failed).observe(failures or f"failed-{uuid.uuid4().hex}", F.count_if("_failed").alias("failed"))
     return out.withColumns({"lon": lon, "lat": F.when(good, F.col("_lat"))}).select(*[c for c in rows.columns if c not in ("lon", "lat")], "lon", "lat")

@@ -32,14 +32,20 @@ FACES = (
 )
 # Fixed values of the grid: face and coordinates i, j, k of each base cell's centre; those at 2 0 0 are the pentagons.
 BASE_CELLS = (
-    "1 100, 2 110, 1 000, 2 100, 0 200, 1 110, 1 001, 2 000, 0 100, 2 010, 1 010, 1 011, 3 100, 3 110, 11 200, 4 100, 0 000, 6 010, 0 001, 2 011, "
-    "7 001, 2 001, 0 110, 6 001, 10 200, 6 000, 3 000, 11 100, 4 110, 3 010, 0 011, 4 000, 5 010, 0 010, 7 010, 11 110, 7 000, 10 100, 12 200, 6 101, "
-    "7 101, 4 001, 3 001, 3 011, 4 010, 6 100, 11 000, 8 001, 5 001, 14 200, 5 000, 12 100, 10 110, 4 011, 12 110, 7 100, 11 010, 10 000, 13 200, 10 001, "
-    "11 001, 9 010, 8 010, 6 200, 8 000, 9 001, 14 100, 5 101, 16 011, 8 101, 5 100, 12 000, 7 200, 12 010, 10 010, 9 000, 13 100, 16 001, 15 011, 15 010, "
-    "16 010, 14 110, 13 110, 5 200, 8 100, 14 000, 9 101, 14 001, 17 001, 12 001, 16 000, 17 011, 15 001, 16 101, 9 100, 15 000, 13 000, 8 200, 13 010, 17 101, "
-    "19 010, 14 010, 19 011, 17 010, 13 001, 17 000, 16 100, 9 200, 15 101, 15 100, 18 011, 18 001, 19 001, 17 100, 19 000, 18 010, 18 101, 19 200, 19 100, 18 000, "
-    "19 101, 18 100"
-)
+    (1, 1, 0, 0), (2, 1, 1, 0), (1, 0, 0, 0), (2, 1, 0, 0), (0, 2, 0, 0), (1, 1, 1, 0), (1, 0, 0, 1), (2, 0, 0, 0), (0, 1, 0, 0), (2, 0, 1, 0),
+    (1, 0, 1, 0), (1, 0, 1, 1), (3, 1, 0, 0), (3, 1, 1, 0), (11, 2, 0, 0), (4, 1, 0, 0), (0, 0, 0, 0), (6, 0, 1, 0), (0, 0, 0, 1), (2, 0, 1, 1),
+    (7, 0, 0, 1), (2, 0, 0, 1), (0, 1, 1, 0), (6, 0, 0, 1), (10, 2, 0, 0), (6, 0, 0, 0), (3, 0, 0, 0), (11, 1, 0, 0), (4, 1, 1, 0), (3, 0, 1, 0),
+    (0, 0, 1, 1), (4, 0, 0, 0), (5, 0, 1, 0), (0, 0, 1, 0), (7, 0, 1, 0), (11, 1, 1, 0), (7, 0, 0, 0), (10, 1, 0, 0), (12, 2, 0, 0), (6, 1, 0, 1),
+    (7, 1, 0, 1), (4, 0, 0, 1), (3, 0, 0, 1), (3, 0, 1, 1), (4, 0, 1, 0), (6, 1, 0, 0), (11, 0, 0, 0), (8, 0, 0, 1), (5, 0, 0, 1), (14, 2, 0, 0),
+    (5, 0, 0, 0), (12, 1, 0, 0), (10, 1, 1, 0), (4, 0, 1, 1), (12, 1, 1, 0), (7, 1, 0, 0), (11, 0, 1, 0), (10, 0, 0, 0), (13, 2, 0, 0), (10, 0, 0, 1),
+    (11, 0, 0, 1), (9, 0, 1, 0), (8, 0, 1, 0), (6, 2, 0, 0), (8, 0, 0, 0), (9, 0, 0, 1), (14, 1, 0, 0), (5, 1, 0, 1), (16, 0, 1, 1), (8, 1, 0, 1),
+    (5, 1, 0, 0), (12, 0, 0, 0), (7, 2, 0, 0), (12, 0, 1, 0), (10, 0, 1, 0), (9, 0, 0, 0), (13, 1, 0, 0), (16, 0, 0, 1), (15, 0, 1, 1), (15, 0, 1, 0),
+    (16, 0, 1, 0), (14, 1, 1, 0), (13, 1, 1, 0), (5, 2, 0, 0), (8, 1, 0, 0), (14, 0, 0, 0), (9, 1, 0, 1), (14, 0, 0, 1), (17, 0, 0, 1), (12, 0, 0, 1),
+    (16, 0, 0, 0), (17, 0, 1, 1), (15, 0, 0, 1), (16, 1, 0, 1), (9, 1, 0, 0), (15, 0, 0, 0), (13, 0, 0, 0), (8, 2, 0, 0), (13, 0, 1, 0), (17, 1, 0, 1),
+    (19, 0, 1, 0), (14, 0, 1, 0), (19, 0, 1, 1), (17, 0, 1, 0), (13, 0, 0, 1), (17, 0, 0, 0), (16, 1, 0, 0), (9, 2, 0, 0), (15, 1, 0, 1), (15, 1, 0, 0),
+    (18, 0, 1, 1), (18, 0, 0, 1), (19, 0, 0, 1), (17, 1, 0, 0), (19, 0, 0, 0), (18, 0, 1, 0), (18, 1, 0, 1), (19, 2, 0, 0), (19, 1, 0, 0), (18, 0, 0, 0),
+    (19, 1, 0, 1), (18, 1, 0, 0),
+)
 #: Edge of a hexagon's cell of resolution 0 in the plane of a face, and the turn between lattices of even and odd resolutions.
 UNIT, TURN = 0.38196601125010500003, float(np.arctan(np.sqrt(3) / 5))
 MOST_RESOLUTION = 15
@@ -90,7 +96,7 @@ def base_cell_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     and the home face's first axis, seen at that centre. Around a pentagon five faces meet, of which each next one against the
     clock is one more turn; a face that has the pentagon on its second axis counts from the next slot on and turns back.
     """
-    homes = [(int(face), *map(int, ijk)) for face, ijk in (x.split() for x in BASE_CELLS.split(", "))]
+    homes = BASE_CELLS
     centres = np.array([_on_sphere(*_plane(*ijk), face) for face, *ijk in homes])
     xyz = np.stack([np.cos(centres[:, 0]) * np.cos(centres[:, 1]), np.cos(centres[:, 0]) * np.sin(centres[:, 1]), np.sin(centres[:, 0])], axis=1)
     cell, turns, back = (np.zeros((20, 3, 3, 3), dtype=np.int64) for _ in range(3))
@@ -177,8 +183,17 @@ def _crossings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return beyond, turn, shift
 
 
-def centres(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes in radians of valid cells' centres.
+_INWARD = -np.exp(-2j * np.pi * np.arange(3) / 3)
+
+
+def _across(z: np.ndarray, face: np.ndarray, edge: np.ndarray, crossed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places beyond an edge of their face, carried into the plane of the face there."""
+    beyond, turn, shift = _crossings()
+    return np.where(crossed, turn[face, edge] * z + shift[face, edge], z), np.where(crossed, beyond[face, edge], face)
+
+
+def _folded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of valid cells the centre in the plane of the face that it is on, that face, the resolution, and whether it is a pentagon.
 
     Digits lead from the base cell's centre to a place in its home face's plane, which is unfolded: a place beyond an edge is
     carried into the plane of the face there, until it is inside one. Around a pentagon's corner a sixth of the plane is
@@ -186,10 +201,11 @@ def centres(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     ids = ids.astype(np.int64)
     level, base = ids >> 52 & 15, ids >> 45 & 127
-    home = np.array([(int(f), int(c[0]) - int(c[2]), int(c[1]) - int(c[2])) for f, c in (x.split() for x in BASE_CELLS.split(", "))])
+    home = np.array([(f, i - k, j - k) for f, i, j, k in BASE_CELLS])
     face, a, b = (home[base, k].copy() for k in range(3))
     digits = np.stack([np.where(level > k, ids >> (3 * (MOST_RESOLUTION - 1 - k)) & 7, 0) for k in range(MOST_RESOLUTION)])
     own = np.isin(base, pentagons())
+    pentagon = own & ~digits.any(axis=0)
     first = np.where(own, _leading(digits), 0)
     digits = np.where(first == 5, TURNED[5, digits], digits)
     steps = np.zeros((7, 2), dtype=np.int64)
@@ -200,22 +216,102 @@ def centres(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         more = level > k
         a, b = np.where(more, down[0] + steps[digits[k], 0], a), np.where(more, down[1] + steps[digits[k], 1], b)
     z = (a - b / 2 + 1j * b * np.sqrt(0.75)) / np.sqrt(7.0) ** level * np.exp(1j * np.where(level % 2 == 1, TURN, 0.0))
-    beyond, turn, shift = _crossings()
-    normals = -np.exp(-2j * np.pi * np.arange(3) / 3)
     for turns in range(8):
-        out = (z[:, None] * normals).real
+        out = (z[:, None] * _INWARD).real
         edge, crossed = np.argmax(out, axis=1), out.max(axis=1) > 1 + 1e-9
         if turns == 0:
             edge = np.where(np.isin(first, (2, 4, 6)), 2, edge)
         if not crossed.any():
             break
-        z, face = np.where(crossed, turn[face, edge] * z + shift[face, edge], z), np.where(crossed, beyond[face, edge], face)
+        z, face = _across(z, face, edge, crossed)
+    return z, face, level, pentagon
+
+
+def centres(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes in radians of valid cells' centres."""
+    z, face, _, _ = _folded(ids)
     return _on_sphere(z.real, z.imag, face)
 
 
+def outlines(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latitudes and longitudes in radians of valid cells' vertices against the clock, a row each, and how many there are; rows are filled up with the last.
+
+    A hexagon's vertices lie around its centre in the plane of the centre's face; those beyond an edge are carried over. At odd
+    resolutions sides may cross an edge of the icosahedron between their ends, where the outline has a bend: one more vertex.
+    Around a pentagon each of five faces has one vertex, and at odd resolutions each edge between them one.
+    """
+    z, face, level, pentagon = _folded(ids)
+    reach, lean = 1 / np.sqrt(3.0) / np.sqrt(7.0) ** level, np.where(level % 2 == 1, TURN, 0.0)
+    around = z[:, None] + reach[:, None] * np.exp(1j * (np.pi / 6 + np.pi / 3 * np.arange(6) + lean[:, None]))
+    lat, lng = np.full((len(z), 12), np.nan), np.full((len(z), 12), np.nan)
+    out = (around[:, :, None] * _INWARD).real
+    edge, beyond = np.argmax(out, axis=2), out.max(axis=2) > 1 + 1e-9
+    for k in range(6):
+        place, on = around[:, k], face
+        for _ in range(2):
+            over = (place[:, None] * _INWARD).real
+            place, on = _across(place, on, np.argmax(over, axis=1), over.max(axis=1) > 1 + 1e-9)
+        lat[:, 2 * k], lng[:, 2 * k] = _on_sphere(place.real, place.imag, on)
+        n = (k + 1) % 6
+        # a side with one end beyond an edge, neither on it, bends there
+        e = np.where(beyond[:, k], edge[:, k], edge[:, n])
+        here, there = (around[:, k] * _INWARD[e]).real, (around[:, n] * _INWARD[e]).real
+        bent = (beyond[:, k] != beyond[:, n]) & (level % 2 == 1) & (np.abs(here - 1) > 1e-9) & (np.abs(there - 1) > 1e-9)
+        part = np.where(bent, (1 - here) / np.where(there != here, there - here, 1), 0)
+        at = around[:, k] + part * (around[:, n] - around[:, k])
+        y, x = _on_sphere(at.real, at.imag, face)
+        lat[bent, 2 * k + 1], lng[bent, 2 * k + 1] = y[bent], x[bent]
+    for row in np.flatnonzero(pentagon):
+        lat[row], lng[row] = _pentagon(z[row], int(face[row]), int(level[row]))
+    count = np.isfinite(lat).sum(axis=1)
+    order = np.argsort(~np.isfinite(lat), axis=1, kind="stable")
+    last = np.minimum(np.arange(12), count[:, None] - 1)
+    rows = np.arange(len(z))[:, None]
+    return lat[rows, order[rows, last]], lng[rows, order[rows, last]], count
+
+
+def base_cells() -> np.ndarray:
+    """The 122 cells of resolution 0."""
+    return (1 << 59) | np.arange(122, dtype=np.int64) << 45 | ((1 << 45) - 1)
+
+
+def children(ids: np.ndarray) -> np.ndarray:
+    """Cells of the next resolution under each cell, one after the other: seven, or six under a pentagon."""
+    ids = ids.astype(np.int64)
+    shift = 3 * (MOST_RESOLUTION - 1 - (ids >> 52 & 15))
+    below = (ids + (1 << 52) & ~(np.int64(7) << shift))[:, None] | np.arange(7) << shift[:, None]
+    digits = ids & (1 << 45) - 1
+    zeros = digits == (np.int64(1) << shift + 3) - 1  # no digit but 0 so far
+    kept = np.ones(below.shape, dtype=bool)
+    kept[np.isin(ids >> 45 & 127, pentagons()) & zeros, 1] = False
+    return below[kept]
+
+
+def _pentagon(z: complex, face: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices around a corner of a face: those in each of the five faces that meet there, and where sides cross from face to face."""
+    corner = 2 * np.exp(2j * np.pi * np.arange(3) / 3)
+    lat0, lng0 = _on_sphere(z.real, z.imag, face)
+    reach, odd = 1 / np.sqrt(3.0) / np.sqrt(7.0) ** level, level % 2 == 1
+    places = []
+    for g in range(20):
+        for c in corner:
+            lat1, lng1 = _on_sphere(c.real, c.imag, g)
+            if np.sin(lat0) * np.sin(lat1) + np.cos(lat0) * np.cos(lat1) * np.cos(lng1 - lng0) < 1 - 1e-9:
+                continue
+            inward, lean = np.angle(-c), np.pi / 6 - TURN if odd else np.pi / 6
+            places.append((g, c + reach * np.exp(1j * (inward - lean))))
+            if odd:
+                places.append((g, c + reach * np.cos(np.pi / 6) / np.cos(lean) * np.exp(1j * (inward - np.pi / 6))))
+    found = [_on_sphere(p.real, p.imag, g) for g, p in places]
+    found.sort(key=lambda f: -float(_azimuth(lat0, lng0, *f)))
+    out = np.full((2, 12), np.nan)
+    out[:, : len(found)] = np.array(found).T
+    return out[0], out[1]
+
+
 @cache
 def pentagons() -> np.ndarray:
-    return np.flatnonzero([x.endswith(" 200") for x in BASE_CELLS.split(", ")])
+    return np.flatnonzero([c[1:] == (2, 0, 0) for c in BASE_CELLS])
 
 
 def _leading(digits: np.ndarray) -> np.ndarray:

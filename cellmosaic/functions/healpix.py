@@ -182,3 +182,25 @@ def centers(cell: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     turn = np.where(face // 4 == 1, (face % 4) * 2, (face % 4) * 2 + 1)
     lon = (turn * side + x - y) * 45.0 / side
     return np.where(lon >= 180, lon - 360, lon), np.degrees(np.arcsin(z))
+
+
+def _spread_bits(v: np.ndarray) -> np.ndarray:
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = (v | (v << shift)) & mask
+    return v
+
+
+def cells(lon: np.ndarray, lat: np.ndarray, depth: int) -> np.ndarray:
+    """The same as lonlat_to_cell(), over arrays of points on the globe."""
+    n = 1 << depth
+    z, turn = np.sin(np.radians(lat)), np.mod(lon, 360.0) / 90.0
+    across = np.floor((turn + 0.5) * n - z * (0.75 * n)).astype(np.int64), np.floor((turn + 0.5) * n + z * (0.75 * n)).astype(np.int64)
+    before, after = across[0] // n, across[1] // n
+    quarter = np.minimum(3, np.floor(turn)).astype(np.int64)
+    tall = np.sqrt(np.maximum(0.0, (1 - np.abs(z)) * 3)) * n
+    one, two = (np.minimum(n - 1, np.floor(w * tall)).astype(np.int64) for w in (turn - quarter, 1 - (turn - quarter)))
+    band, north = np.abs(z) <= 2 / 3, z >= 0
+    face = np.where(band, np.where(before == after, np.where(before == 4, 4, before + 4), np.where(before < after, before, after + 8)), np.where(north, quarter, quarter + 8))
+    x = np.where(band, across[1] & (n - 1), np.where(north, n - 1 - two, one))
+    y = np.where(band, n - 1 - (across[0] & (n - 1)), np.where(north, n - 1 - one, two))
+    return 4 * n * n + face * n * n + (_spread_bits(x) | _spread_bits(y) << 1)

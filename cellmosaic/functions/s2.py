@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +87,85 @@ def cell_to_parent(cell: Column, parent: int) -> Column:
 
 def mean_area_m2(at: int) -> float:
     return 5.100656217240886e14 / (6 * 4**at)
+
+
+# --- over arrays -----------------------------------------------------------------------------------------------------
+
+
+def levels(ids: np.ndarray) -> np.ndarray:
+    """Levels of valid ids."""
+    u = ids.astype(np.int64).view(np.uint64)
+    low = u & (~u + np.uint64(1))
+    return 30 - (np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 1)
+
+
+def face_ij(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Face, column and row of valid cells among those of their level, and the level: the curve is followed back."""
+    u = ids.astype(np.int64).view(np.uint64)
+    face, level = (u >> np.uint64(61)).astype(np.int64), levels(ids)
+    back = np.argsort(np.array(IJ_TO_POS), axis=1)
+    turns, turned = np.array(POS_TO_ORIENTATION), face & 1
+    i, j = np.zeros_like(face), np.zeros_like(face)
+    for k in range(int(level.max(initial=0))):
+        more = level > k
+        place = (u >> np.uint64(59 - 2 * k) & np.uint64(3)).astype(np.int64)
+        quadrant = back[turned, place]
+        i, j = np.where(more, 2 * i + (quadrant >> 1), i), np.where(more, 2 * j + (quadrant & 1), j)
+        turned = np.where(more, turned ^ turns[place], turned)
+    return face, i, j, level
+
+
+def _on_sphere(face: np.ndarray, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude in degrees of places (0 to 1) on cube faces."""
+    u, v = (np.where(w >= 0.5, (4 * w * w - 1) / 3, (1 - 4 * (1 - w) * (1 - w)) / 3) for w in (s, t))
+    one = np.ones_like(u)
+    x = np.choose(face, [one, -u, -u, -one, v, v])
+    y = np.choose(face, [u, one, -v, -v, -one, u])
+    z = np.choose(face, [v, v, one, -u, -u, -one])
+    return np.degrees(np.arctan2(y, x)), np.degrees(np.arctan2(z, np.hypot(x, y)))
+
+
+def centers(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes in degrees of valid cells' centres."""
+    face, i, j, level = face_ij(ids)
+    side = 2.0**level
+    return _on_sphere(face, (i + 0.5) / side, (j + 0.5) / side)
+
+
+def corners(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of the four corners of valid cells against the clock, a row each."""
+    face, i, j, level = face_ij(ids)
+    side, di, dj = 2.0 ** level[:, None], np.array([0, 1, 1, 0]), np.array([0, 0, 1, 1])
+    return _on_sphere(np.broadcast_to(face[:, None], (len(face), 4)), (i[:, None] + di) / side, (j[:, None] + dj) / side)
+
+
+def children(ids: np.ndarray) -> np.ndarray:
+    """The four cells of the next level of each cell, a row each."""
+    u = ids.astype(np.int64).view(np.uint64)
+    low = (u & (~u + np.uint64(1)))[:, None]
+    quarter = low >> np.uint64(2)
+    return (u[:, None] - low + quarter * np.array([1, 3, 5, 7], dtype=np.uint64)).view(np.int64)
+
+
+def faces() -> np.ndarray:
+    """The six cells of level 0."""
+    return (np.arange(6, dtype=np.uint64) << np.uint64(61) | np.uint64(1 << 60)).view(np.int64)
+
+
+def cells(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
+    """The same as lonlat_to_cell(), over arrays of points on the globe."""
+    phi, theta = np.radians(lat), np.radians(lon)
+    x, y, z = np.cos(phi) * np.cos(theta), np.cos(phi) * np.sin(theta), np.sin(phi)
+    ax, ay, az = np.abs(x), np.abs(y), np.abs(z)
+    axis = np.where((ax >= ay) & (ax >= az), 0, np.where(ay >= az, 1, 2))
+    face = np.where(np.choose(axis, [x, y, z]) < 0, axis + 3, axis)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u = np.choose(face, [y / x, -x / y, -x / z, z / x, z / y, -y / z])
+        v = np.choose(face, [z / x, z / y, -y / z, y / x, -x / y, -x / z])
+    side = 1 << 30
+    i, j = (np.clip(np.floor(np.where(w >= 0, np.sqrt(1 + 3 * np.maximum(w, 0)) * 0.5, 1 - np.sqrt(1 - 3 * np.minimum(w, 0)) * 0.5) * side).astype(np.int64), 0, side - 1) for w in (u, v))
+    places, turns, turned, place = np.array(IJ_TO_POS), np.array(POS_TO_ORIENTATION), face & 1, np.zeros(len(face), dtype=np.uint64)
+    for k in range(level):
+        own = places[turned, (i >> 29 - k & 1) * 2 + (j >> 29 - k & 1)]
+        place, turned = place << np.uint64(2) | own.astype(np.uint64), turned ^ turns[own]
+    return (face.astype(np.uint64) << np.uint64(61) | place << np.uint64(61 - 2 * level) | np.uint64(1 << 60 - 2 * level)).view(np.int64)

@@ -27,9 +27,33 @@ def _area(ring: list[tuple[float, float]]) -> float:
     return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True)) / 2
 
 
+def _unpoled(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """A corner on a pole has no longitude: it becomes two, at those of its neighbours."""
+    out = []
+    for k, (x, y) in enumerate(ring):
+        if abs(y) > 90 - 1e-9:
+            out += [(ring[k - 1][0], y), (ring[(k + 1) % len(ring)][0], y)]
+        else:
+            out.append((x, y))
+    return out
+
+
 def cell_outline(lons, lats) -> bytes:
-    """A counter-clockwise polygon; over the antimeridian a multipolygon, its western part first."""
+    """A counter-clockwise polygon; over the antimeridian a multipolygon, its western part first.
+
+    A ring that goes once around a pole is closed along the antimeridian and the pole.
+    """
     ring = list(zip(map(float, lons), map(float, lats), strict=True))
+    if any(abs(y) > 90 - 1e-9 for _, y in ring) and max(x for x, _ in ring) - min(x for x, _ in ring) > 1e-9:
+        ring = _unpoled(ring)
+    steps = [(b - a + 180) % 360 - 180 for (a, _), (b, _) in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    if abs(around := sum(steps)) > 180:
+        pole = 90.0 if around > 0 else -90.0
+        ring = sorted(ring)
+        (x0, y0), (x1, y1) = ring[-1], ring[0]
+        edge = y0 + (y1 - y0) * (180 - x0) / (x1 + 360 - x0)
+        ring = [(-180.0, edge), *ring, (180.0, edge), (180.0, pole), (-180.0, pole)]
+        return polygon(ring if _area(ring) >= 0 else ring[::-1])
     if max(x for x, _ in ring) - min(x for x, _ in ring) > 180:
         first = ring[0][0]
         ring = [(x + 360 if x < first - 180 else x - 360 if x > first + 180 else x, y) for x, y in ring]

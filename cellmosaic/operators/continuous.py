@@ -41,11 +41,15 @@ def partial_states(samples: DataFrame, by: list[str], value: str = "value", weig
     return merge_states(kept.groupBy(*by, "_w").agg(*moments).select(*by, *state), by)
 
 
-def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
+def merge_states(states: DataFrame, by: list[str], salts: int = 1) -> DataFrame:
     """States of the same group in one, by Chan, Golub and LeVeque; null and empty states are skipped.
 
     What lies between states is taken about the merged mean, which a window over the group's states gives: one shuffle of states.
+    Where a group may have very many, `salts` merges them in as many parts first, since merging merged states is the same.
     """
+    if salts > 1:
+        dealt = states.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+        states = merge_states(dealt, [*by, "_salt"]).drop("_salt")
     n, s = F.col("count"), F.col("sum")
     group = Window.partitionBy(*by)
     about = states.filter(n > 0).withColumn("_apart", s / n - F.sum(s).over(group) / F.sum(n).over(group))

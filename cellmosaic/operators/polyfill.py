@@ -1,4 +1,8 @@
-"""Polygon to cells by descent of the HEALPix tree, over rows of polygons."""
+"""Polygon to cells by descent of a grid's hierarchy, over rows of polygons.
+
+Tests are in the plane of longitude and latitude, as cells' outlines are given. H3's cells aren't made up of their children, so the
+descent goes by how far any descendant lies from a cell's centre, which holds for every grid.
+"""
 
 from __future__ import annotations
 
@@ -9,76 +13,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import healpix, wkb
+from cellmosaic.functions import grids, wkb
 
-#: Containment modes and their other names.
-MODES = {"contains_centroid": "centroid", "centroid": "centroid", "contains_boundary": "inside", "covers": "covers", "intersects_boundary": "covers", "intersects": "covers"}
-#: Levels of the tree that one task descends from a cell before the cells it leaves are dealt out again.
-LEVELS = 6
+#: Containment modes and their other names: cells whose centre the polygon holds, that it holds whole, that lie in it or cross its
+#: boundary, and that share any point with it. The last two differ by cells that hold the whole polygon; of grids that nest, both are the last.
+MODES = {"contains_centroid": "centroid", "centroid": "centroid", "contains_boundary": "inside", "intersects_boundary": "crosses", "intersects": "covers", "covers": "covers", "overlapping": "covers"}
 
 
-def _mode(mode: str) -> str:
+def _mode(mode: str, grid: str) -> str:
     how = MODES.get(mode.lower().replace("-", "_"))
     if how is None:
         raise ValueError(f"unknown containment {mode!r}")
-    return how
+    return "covers" if how == "crosses" and grid != "h3" else how
 
 
-def _descended(rings: list, cells: np.ndarray, at: int, until: int) -> np.ndarray:
-    """Cells at a finer depth under the given ones that may meet the polygon's box."""
+def _box(rings: list) -> tuple[float, float, float, float]:
     points = np.concatenate([r for poly in rings for r in poly])
-    west, south, east, north = points[:, 0].min(), points[:, 1].min(), points[:, 0].max(), points[:, 1].max()
+    return points[:, 0].min(), points[:, 1].min(), points[:, 0].max(), points[:, 1].max()
+
+
+def _descended(grid: grids.Grid, rings: list, cells: np.ndarray, at: int, until: int) -> np.ndarray:
+    """Cells at a finer resolution under the given ones that may meet the polygon's box."""
+    west, south, east, north = _box(rings)
     while True:
-        lon, lat = healpix.centers(cells, at)
-        reach = healpix.radius_deg(at)
-        wide = reach / np.maximum(np.cos(np.radians(np.minimum(np.abs(lat) + reach, 89.9))), 0.01)
+        lon, lat = grid.centers(cells)
+        reach = grid.reach(at)
+        wide = reach / np.maximum(np.cos(np.radians(np.minimum(np.abs(lat) + reach, 89.9))), 0.001)
         near = (lat >= south - reach) & (lat <= north + reach) & np.logical_or.reduce([(lon + turn >= west - wide) & (lon + turn <= east + wide) for turn in (-360, 0, 360)])
         cells = cells[near]
         if at == until or not len(cells):
             return cells
-        cells, at = (cells[:, None] * 4 + np.arange(4)).ravel(), at + 1
+        cells, at = grid.children(cells), at + 1
+
 
+def _holds(x: np.ndarray, y: np.ndarray, px: float, py: float) -> np.ndarray:
+    """Whether each ring (a row) holds a point."""
+    nx, ny = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+    across = (y > py) != (ny > py)
+    return (across & (px < x + (py - y) / np.where(ny != y, ny - y, 1) * (nx - x))).sum(axis=1) % 2 == 1
 
-def _held(rings: list, cells: np.ndarray, depth: int, how: str) -> np.ndarray:
-    """Those cells whose centre the polygon holds, that it holds whole, or that it touches."""
+
+def _held(grid: grids.Grid, rings: list, cells: np.ndarray, how: str) -> np.ndarray:
+    """Those cells that the polygon holds or meets in the way asked for. A cell is tested on every turn of the globe that the polygon's longitudes reach."""
     if not len(cells):
         return cells
-    lon, lat = healpix.centers(cells, depth)
-    held = wkb.contains(rings, lon, lat)
-    if how != "centroid":
-        cx, cy = healpix.corners(cells, depth)
-        cx = np.where(cx - lon[:, None] > 180, cx - 360, np.where(cx - lon[:, None] < -180, cx + 360, cx))
+    west, south, east, north = _box(rings)
+    kept = np.zeros(len(cells), dtype=bool)
+    if how == "centroid":
+        lon, lat = grid.centers(cells)
+        for turn in (-360, 0, 360):
+            some = (lon + turn >= west) & (lon + turn <= east)
+            kept[some] |= wkb.contains(rings, lon[some] + turn, lat[some])
+        return cells[kept]
+    x, y = grid.planar(cells)
+    for turn in (-360, 0, 360):
+        some = np.flatnonzero((x.max(axis=1) + turn >= west) & (x.min(axis=1) + turn <= east) & (y.max(axis=1) >= south) & (y.min(axis=1) <= north))
+        if not len(some):
+            continue
+        cx, cy = x[some] + turn, y[some]
         crossed = wkb.crosses(rings, cx, cy)
-        corners_in = np.stack([wkb.contains(rings, cx[:, k], cy[:, k]) for k in range(4)], axis=1)
-        held = corners_in.all(axis=1) & ~crossed if how == "inside" else held | crossed | corners_in.any(axis=1)
-    return cells[held]
-
-
-def polygon_cells(data: bytes, depth: int, mode: str = "contains_centroid") -> np.ndarray:
+        inside = np.stack([wkb.contains(rings, cx[:, k], cy[:, k]) for k in range(cx.shape[1])], axis=1)
+        # a ring that lies in the cell without crossing it: a hole in it, or the whole polygon
+        swallowed = [[_holds(cx, cy, *ring[0]) for ring in poly] for poly in rings]
+        if how == "inside":
+            kept[some] |= inside.all(axis=1) & ~crossed & ~np.logical_or.reduce([s for poly in swallowed for s in poly])
+        else:
+            kept[some] |= inside.any(axis=1) | crossed
+            if how == "covers":
+                kept[some] |= np.logical_or.reduce([poly[0] for poly in swallowed])
+    return cells[kept]
+
+
+def polygon_cells(data: bytes, depth: int, mode: str = "contains_centroid", grid: str = "healpix") -> np.ndarray:
     """Sorted ids of one polygon's cells, in one go."""
-    how, rings = _mode(mode), wkb.read_rings(data)
-    return np.sort(_held(rings, _descended(rings, np.arange(4, 16, dtype=np.int64), 0, depth), depth, how))
+    own, rings = grids.grid(grid), wkb.read_rings(data)
+    return np.sort(_held(own, rings, _descended(own, rings, own.roots(), 0, depth), _mode(mode, grid)))
 
 
-def polygons_to_cells(polygons: DataFrame, depth: int, mode: str = "contains_centroid", key: str = "key", geometry: str = "wkb", levels: int = LEVELS) -> DataFrame:
+def polygons_to_cells(polygons: DataFrame, depth: int, mode: str = "contains_centroid", key: str = "key", geometry: str = "wkb", levels: int | None = None, grid: str = "healpix") -> DataFrame:
     """(key, cell) of each polygon's cells; null and empty geometries give none.
 
     Each round takes the cells that are left some levels down, in tasks of their own, so that one large polygon spreads over
     tasks and none holds more than a few thousand cells for each cell that it began with.
     """
-    how, at = _mode(mode), 0
-    front = polygons.select(F.col(key).cast("long").alias("key"), F.col(geometry).alias("wkb")).filter(F.length("wkb") > 0).withColumn("cell", F.explode(F.sequence(F.lit(4), F.lit(15)).cast("array<long>")))
+    own, how, at = grids.grid(grid), _mode(mode, grid), 0
+    if not 0 <= depth <= own.most:
+        raise ValueError(f"resolutions of {grid} are 0 to {own.most}")
+    if levels is None:
+        levels = 4 if grid == "h3" else 6
+    roots = F.array(*[F.lit(c) for c in own.roots().tolist()])
+    front = polygons.select(F.col(key).cast("long").alias("key"), F.col(geometry).alias("wkb")).filter(F.length("wkb") > 0).withColumn("cell", F.explode(roots))
 
     def step(at: int, until: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = grids.grid(grid)
             for batch in batches:
                 last = rings = None
                 for k, g, c in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
                     if g != last:
                         last, rings = g, wkb.read_rings(g)
-                    cells = _descended(rings, np.array([c], dtype=np.int64), at, until)
+                    cells = _descended(tree, rings, np.array([c], dtype=np.int64), at, until)
                     if until == depth:
-                        cells = _held(rings, cells, depth, how)
+                        cells = _held(tree, rings, cells, how)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(cells), pa.int64()), *([] if until == depth else [pa.array([g] * len(cells), pa.binary())]), pa.array(cells)], ["key", "cell"] if until == depth else ["key", "wkb", "cell"])
 
         return run

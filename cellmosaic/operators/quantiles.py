@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.operators.pixels import finite
@@ -16,13 +16,17 @@ LN_GAMMA = math.log(GAMMA)
 TINY = 2.2250738585072014e-308
 
 
+def bucket_of(value: Column) -> dict[str, Column]:
+    """sign and key of a value's bucket; null if it isn't finite."""
+    x = F.when(finite(value), value)
+    return {"sign": F.when(F.abs(x) < TINY, 0).when(x > 0, 1).when(x < 0, -1), "key": F.when(F.abs(x) < TINY, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs(x)) / LN_GAMMA))}
+
+
 def buckets(samples: DataFrame, by: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
     """Sketch rows: sign, key and weight of each bucket, with the least and greatest value in it."""
-    x = F.col(value)
-    sign = F.when(F.abs(x) < TINY, 0).when(x > 0, 1).otherwise(-1)
-    key = F.when(F.abs(x) < TINY, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs(x)) / LN_GAMMA))
+    x, at = F.col(value), bucket_of(F.col(value))
     kept = samples.filter(finite(x))
-    return kept.groupBy(*by, sign.alias("sign"), key.alias("key")).agg((F.sum(weight) if weight else F.count("*").cast("double")).alias("w"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return kept.groupBy(*by, at["sign"].alias("sign"), at["key"].alias("key")).agg((F.sum(weight) if weight else F.count("*").cast("double")).alias("w"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
 def merged(sketches: DataFrame, by: list[str]) -> DataFrame:

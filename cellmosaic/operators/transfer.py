@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import healpix
+from cellmosaic.functions import grids, healpix
 
 
 def _cubic(t: Column) -> list[Column]:
@@ -101,25 +101,25 @@ def pixel_areas(x: np.ndarray, y: np.ndarray, columns: np.ndarray, rows: np.ndar
 COARSE_KM = 500.0
 
 
-def cell_overlaps(cells: DataFrame, depth: int, width: int, height: int, origin: tuple[float, float], size: tuple[float, float]) -> DataFrame:
-    """(cell, col, row, area) of the pixels that each HEALPix cell's outline touches; area as a share of the pixel, over 1e-12.
+def cell_overlaps(cells: DataFrame, depth: int, width: int, height: int, origin: tuple[float, float], size: tuple[float, float], grid: str = "healpix") -> DataFrame:
+    """(cell, col, row, area) of the pixels that each cell's outline touches; area as a share of the pixel, over 1e-12.
 
     Outlines are straight between a cell's corners in degrees, so neighbours share their edges and areas add up to whole pixels.
     Cells across the antimeridian are taken on the raster's side. At depths whose cells may be over 500 km wide a pixel belongs
     whole to the cell of its centre.
     """
-    if 2 * healpix.radius_deg(depth) * 111.2 > COARSE_KM:
+    own = grids.grid(grid)
+    if 2 * own.reach(depth) * 111.2 > COARSE_KM:
         pixels = cells.sparkSession.range(width * height).select((F.col("id") % width).alias("col"), F.floor(F.col("id") / width).alias("row"))
         at = pixels.withColumns({"lon": (F.col("col") + 0.5) * size[0] + origin[0], "lat": F.lit(origin[1]) - (F.col("row") + 0.5) * size[1]})
-        return healpix.with_cell(at, depth).join(cells.select("cell"), "cell").select("cell", "col", "row", F.lit(1.0).alias("area"))
+        at = healpix.with_cell(at, depth) if grid == "healpix" else at.withColumn("cell", own.lonlat_to_cell(F.col("lon"), F.col("lat"), depth))
+        return at.join(cells.select("cell"), "cell").select("cell", "col", "row", F.lit(1.0).alias("area"))
     middle = origin[0] + width * size[0] / 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            lon, lat = healpix.corners(ids, depth)
-            centre, _ = healpix.centers(ids, depth)
-            lon = lon + 360 * np.round((centre[:, None] - lon) / 360)
+            lon, lat = grids.grid(grid).planar(ids)
             lon = lon + 360 * np.round((middle - lon.mean(axis=1, keepdims=True)) / 360)
             x, y = (lon - origin[0]) / size[0], (origin[1] - lat) / size[1]
             c0, c1 = np.maximum(np.floor(x.min(axis=1)), 0).astype(int), np.minimum(np.ceil(x.max(axis=1)), width).astype(int)

@@ -62,6 +62,20 @@ def parse_quantiles(text: str) -> list[tuple[str, float | None]]:
     return list(out.items())
 
 
+def parse_bands(spec: str, formula: str | None = None) -> dict[str, int]:
+    """Bands by name: 'nir=4,red=3' names those of a formula; '1,3' are several bands, named by their numbers."""
+    out: dict[str, int] = {}
+    for part in re.split(r"[,\s]+", spec.strip("[]() \t")):
+        name, _, number = part.rpartition("=")
+        band = int(number)
+        if band < 1:
+            raise ValueError(f"bands count from 1: {spec!r}")
+        out[name.lower() or str(band)] = band
+    if formula is not None and any(name.isdecimal() for name in out):
+        raise ValueError("a formula's bands need names, as in nir=4,red=3")
+    return out
+
+
 def parse_edges(spec: str) -> list[float]:
     """Ascending bin edges: 'count:low:high' of equal width, or the edges themselves."""
     if ":" in spec:
@@ -80,6 +94,7 @@ class ScanOptions:
     grid: str = "h3"
     resolutions: tuple[int, ...] = (8,)
     band: int = 1
+    bands: str | None = None
     nodata: float | None = None
     scale_offset: bool = True
     bbox: tuple[float, float, float, float] | None = None
@@ -124,6 +139,12 @@ class ScanOptions:
         need(not (emit and (self.min_count or 0) > 0), "emitted empty cells can't have a minimum count")
         need(not (emit and self.compact), "compaction can't emit empty cells")
         need(emit or self.emit_nodata_value is None, "a substitute value needs the emit policy")
+        need(not self.formula or self.bands is not None, "a formula needs named bands")
+        if self.bands is not None:
+            parse_bands(self.bands, self.formula)
+        if self.partition is not None:
+            k, _, n = self.partition.partition("/")
+            need(k.isdecimal() and n.isdecimal() and int(k) < int(n), "a partition is k/n with k from 0 to n - 1")
         need(not (self.partition and self.compact), "a partitioned scan can't be compacted")
         need(not self.compact or all(b - a > 1 for a, b in zip(self.resolutions, self.resolutions[1:], strict=False)), "compaction needs resolutions that aren't adjacent")
         if self.transfer != "assign":

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from cellmosaic.functions import bounds
 from cellmosaic.sources.scratch import filesystem
 
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -430,6 +431,7 @@ class PixelReader(DataSourceReader):
             # a box whose west is over its east lies across the antimeridian
             self.boxes = [(west, south, east, north)] if west <= east else [(west, south, np.inf, north), (-np.inf, south, east, north)]
         self.bands = [int(b) for b in options.get("bands", options.get("band", "1")).split(",")]
+        self.globe = tuple(float(v) for v in options["lonlat_bbox"].split(",")) if "lonlat_bbox" in options else None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -446,17 +448,23 @@ class PixelReader(DataSourceReader):
     def partitions(self):
         paths = resolve(self.options["path"])
         if len(paths) > MOST_OPENED:
-            return [FileShare(tile, path, part, parts) for tile, (path, parts) in enumerate(zip(paths, self._shares(paths), strict=True)) for part in range(parts)]
+            out = [FileShare(tile, path, part, parts) for tile, (path, parts) in enumerate(zip(paths, self._shares(paths), strict=True)) for part in range(parts)]
+            return self._own_run(out)
         target = int(self.options.get("target_chunks", "16"))
         out = []
         with ThreadPoolExecutor(16) as pool:
             for tile, info in enumerate(pool.map(self._opened, paths)):
-                kept = [k for k in range(info.chunks) if self._meets(info, k)]
+                kept = self._kept(info, range(info.chunks))
                 for at in range(0, len(kept), target):
                     run = kept[at : at + target]
                     cuts = [0, *(k for k in range(1, len(run)) if run[k] != run[k - 1] + 1), len(run)]
                     out += [ChunkRun(tile, info.only(run[a:b], self._wanted(info)), run[a], run[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out or [InputPartition(None)]
+        return self._own_run(out)
+
+    def _own_run(self, out: list) -> list:
+        """All partitions, or with the option `partition` (k/n) the k-th of n runs of them."""
+        k, n = (int(v) for v in self.options.get("partition", "0/1").split("/"))
+        return out[len(out) * k // n : len(out) * (k + 1) // n] or [InputPartition(None)]
 
     def _shares(self, paths: list[str]) -> Iterator[int]:
         """Into how many parts each file is cut, by its size."""
@@ -473,18 +481,25 @@ class PixelReader(DataSourceReader):
     def _wanted(self, info: TiffInfo) -> list[int]:
         return self.bands + ([info.alpha] if info.alpha and info.alpha not in self.bands else [])
 
-    def _meets(self, info: TiffInfo, chunk: int) -> bool:
-        col, row, w, h = info.box(chunk)
+    def _kept(self, info: TiffInfo, chunks: range) -> list[int]:
+        """Chunks that may hold wanted pixels: of a box in degrees, those whose certified bounds meet it."""
+        col, row, w, h = np.array([info.box(k) for k in chunks], dtype=np.float64).reshape(-1, 4).T
         x0, y1 = info.origin[0] + col * info.pixel[0], info.origin[1] - row * info.pixel[1]
         x1, y0 = x0 + w * info.pixel[0], y1 - h * info.pixel[1]
+        meets = lambda west, south, east, north: (x0 <= east) & (x1 >= west) & (y1 >= south) & (y0 <= north)
         (west, east), (south, north) = self.window["x"], self.window["y"]
-        meets = lambda west, south, east, north: x0 <= east and x1 >= west and y1 >= south and y0 <= north
-        return meets(west, south, east, north) and (self.boxes is None or any(meets(*box) for box in self.boxes))
+        kept = meets(west, south, east, north)
+        if self.boxes is not None:
+            kept &= np.logical_or.reduce([meets(*box) for box in self.boxes])
+        code = int(self.options["source_crs"]) if "source_crs" in self.options else info.epsg
+        if self.globe is not None and code is not None:
+            kept &= bounds.meets(code, (x0, y0, x1, y1), self.globe)
+        return np.asarray(chunks)[kept].tolist() if len(chunks) else []
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
         if isinstance(part, FileShare):
             info = self._opened(part.path)
-            chunks = [k for k in range(info.chunks * part.part // part.parts, info.chunks * (part.part + 1) // part.parts) if self._meets(info, k)]
+            chunks = self._kept(info, range(info.chunks * part.part // part.parts, info.chunks * (part.part + 1) // part.parts))
         elif isinstance(part, ChunkRun):
             info, chunks = part.info, range(part.first, part.last + 1)
         else:
@@ -529,8 +544,9 @@ class PixelSource(DataSource):
     """format("raster_pixels"): a row per pixel with tile, col, row, x, y of its centre, and value or band_N; NoData is null.
 
     Pixels that an alpha band or an internal mask hides are null too. Options: path, band or bands, nodata, scale_offset, bbox (of
-    pixel centres in the file's CRS, edges included; west over east: across the antimeridian), pixel_size (adds px, py),
-    target_chunks, split_bytes.
+    pixel centres in the file's CRS, edges included; west over east: across the antimeridian), lonlat_bbox (in degrees, whatever the file's
+    CRS: chunks that can't hold a point of it are not read, the others whole), source_crs (in place of the file's), pixel_size (adds
+    px, py), target_chunks, split_bytes, partition (k/n: the k-th of n runs of chunks).
     """
 
     @classmethod

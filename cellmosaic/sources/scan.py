@@ -1,66 +1,88 @@
 """From raster files to cells in one call: the options are checked, the source reads, projects, assigns and aggregates.
 
-The result is an ordinary DataFrame, so filters on `cell` and `resolution` reach the aggregation's input by Catalyst's own rules,
-and those on finished statistics stay above it.
+Every option is honoured or refused. Whatever is asked for, files are read once: levels, quantiles and empty cells all come from one
+aggregation of the samples by cell and, for quantiles, by bucket. The result is an ordinary DataFrame, so filters on `cell` and
+`resolution` reach the aggregation's input by Catalyst's own rules, and those on finished statistics stay above it.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import crs, h3, h3bits, healpix, s2
-from cellmosaic.operators import categorical, continuous, mosaic, pixels, quantiles
-from cellmosaic.plans.options import ScanOptions, parse_edges, parse_quantiles
+from cellmosaic.functions import crs, grids, healpix, wkb
+from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
+from cellmosaic.plans.options import ScanOptions, parse_bands, parse_edges, parse_quantiles
 from cellmosaic.sources import formats, geotiff
+from cellmosaic.sources.scratch import scratch_path
 
+#: Levels that states are rolled up by in one step, so that no group of states is large.
+STEP = 3
 
-def _cell(grid: str, resolution: int) -> Column:
-    make = {"healpix": healpix.lonlat_to_cell, "s2": s2.lonlat_to_cell, "h3": h3.lonlat_to_cell}.get(grid)
-    if make is None:
-        raise ValueError(f"no indexing for grid {grid!r}")
-    return make(F.col("lon"), F.col("lat"), resolution)
 
-
-def _parent(grid: str, cell: Column, fine: int, coarse: int) -> Column:
-    return healpix.cell_to_parent(cell, fine, coarse) if grid == "healpix" else s2.cell_to_parent(cell, coarse)
+def _refuse(options: ScanOptions, what: str, **given) -> None:
+    for name, value in given.items():
+        if getattr(options, name) != value:
+            raise ValueError(f"{what} has no use for {name}")
 
 
 def file_boxes(spark: SparkSession, paths: list[str]) -> list[dict]:
-    """west, south, east, north and epsg of each file in its own CRS; headers are read in tasks."""
+    """west, south, east, north, width, height, pixel and epsg of each file in its own CRS; headers are read in tasks."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k, path in zip(pdf["k"], pdf["path"], strict=True):
                 i = geotiff.read_info(path)
-                rows.append((k, i.origin[0], i.origin[1] - i.height * i.pixel[1], i.origin[0] + i.width * i.pixel[0], i.origin[1], i.epsg))
-            yield pd.DataFrame(rows, columns=["k", "west", "south", "east", "north", "epsg"]).astype({"epsg": "Int64"})
+                rows.append((k, i.origin[0], i.origin[1] - i.height * i.pixel[1], i.origin[0] + i.width * i.pixel[0], i.origin[1], i.epsg, i.width, i.height, *i.pixel))
+            yield pd.DataFrame(rows, columns=["k", "west", "south", "east", "north", "epsg", "width", "height", "px", "py"]).astype({"epsg": "Int64"})
 
     rows = spark.createDataFrame(list(enumerate(paths)), "k long, path string").repartition(min(len(paths), 1000))
-    return [r.asDict() for r in rows.mapInPandas(run, "k long, west double, south double, east double, north double, epsg long").orderBy("k").collect()]
+    return [r.asDict() for r in rows.mapInPandas(run, "k long, west double, south double, east double, north double, epsg long, width long, height long, px double, py double").orderBy("k").collect()]
 
 
-def samples(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
-    """Samples (tile, col, row, lon, lat, value, weight) of the files' pixels; NoData is null."""
-    if options.transfer != "assign" or options.partition or options.formula:
-        raise ValueError("a scan assigns pixels of one band; operators.transfer and pixels.spectral_index do the rest")
-    paths = geotiff.resolve(path)
-    boxes = file_boxes(spark, paths)
+def _code(boxes: list[dict], options: ScanOptions) -> int:
     codes = {options.source_crs or b["epsg"] for b in boxes}
     if len(codes) != 1 or None in codes:
         raise ValueError(f"files need one CRS, or source_crs: {sorted(map(str, codes))}")
-    code = codes.pop()
+    return codes.pop()
+
+
+def _valued(at: DataFrame, options: ScanOptions) -> DataFrame:
+    """value in place of bands: of a formula, or a row for each of several bands, which `band` tells."""
+    if options.formula:
+        return at.withColumn("value", pixels.spectral_index(options.formula, {name: F.col(f"band_{b}") for name, b in parse_bands(options.bands, options.formula).items()}))
+    if options.bands:
+        bands = sorted(set(parse_bands(options.bands).values()))
+        if len(bands) == 1:
+            return at.withColumn("band", F.lit(bands[0]))
+        return at.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"band_{b}").alias("value")) for b in bands]))).withColumns({"band": F.col("_b.band"), "value": F.col("_b.value")}).drop("_b", *[f"band_{b}" for b in bands])
+    return at
+
+
+def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Observation | None = None) -> DataFrame:
+    """Samples (tile, col, row, lon, lat, value, weight, and band if several are asked for) of the files' pixels; NoData is null.
+
+    Pixels that the projection has no point for are left out, counted in `failures` as `failed`, and with strict_transforms an error.
+    """
+    paths = geotiff.resolve(path)
+    boxes = file_boxes(spark, paths)
+    code = _code(boxes, options)
     flat = code in (4326, 4269)
     formats.register(spark)
-    reader = spark.read.format("raster_pixels").option("band", options.band).option("scale_offset", str(options.scale_offset).lower()).option("pixel_size", "true")
+    reader = spark.read.format("raster_pixels").option("scale_offset", str(options.scale_offset).lower()).option("pixel_size", "true").option("source_crs", code)
+    names = parse_bands(options.bands, options.formula) if options.bands else {}
+    reader = reader.option("bands", ",".join(str(b) for b in sorted(set(names.values())))) if names else reader.option("band", options.band)
     if options.nodata is not None:
         reader = reader.option("nodata", options.nodata)
+    if options.partition:
+        reader = reader.option("partition", options.partition)
     centred = options.sampling == "center"
-    if options.bbox and flat and centred:
-        reader = reader.option("bbox", ",".join(map(repr, options.bbox)))
-    at = reader.load(path)
+    if options.bbox:
+        # rows outside are left out by the source where it can tell them, chunks in any case
+        reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
+    at = _valued(reader.load(path), options)
     points = pixels.pattern(options.sampling)
     spread = F.explode(F.array(*[F.struct(F.lit(dx - 0.5).alias("dx"), F.lit(dy - 0.5).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in points]))
     if centred:
@@ -71,77 +93,143 @@ def samples(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
         if not flat and options.overlap_rule == "cutline":
             raise ValueError("cutline ownership needs files in degrees")
         at = mosaic.owned(at.withColumnsRenamed({"x": "lon", "y": "lat"}), boxes, options.overlap_rule).withColumnsRenamed({"lon": "x", "lat": "y"})
-    at = crs.with_lonlat(at, code, strict=options.strict_transforms).filter("lat is not null")
+    at = crs.with_lonlat(at, code, strict=options.strict_transforms, failures=failures).filter("lat is not null")
     if options.bbox:
         at = at.filter(pixels.in_bbox(F.col("lon"), F.col("lat"), options.bbox))
-    return at.select("tile", "col", "row", "lon", "lat", "value", "weight")
+    return at.select("tile", "col", "row", "lon", "lat", "value", "weight", *(["band"] if names and not options.formula else []))
+
+
+def _assigned(spark: SparkSession, path: str, options: ScanOptions, resolutions: list[int], failures: Observation | None) -> DataFrame:
+    """Samples under their cell of each resolution, from one projection; those of a pixel that share a cell are one."""
+    at, own = samples(spark, path, options, failures), grids.grid(options.grid)
+    keys = ["band"] if "band" in at.columns else []
+    at = at.withColumns({f"_c{r}": own.lonlat_to_cell(F.col("lon"), F.col("lat"), r) for r in resolutions})
+    cells = F.array(*[F.struct(F.lit(r).alias("resolution"), F.col(f"_c{r}").alias("cell")) for r in resolutions])
+    at = at.withColumn("_c", F.explode(cells)).select("tile", "col", "row", "value", "weight", *keys, "_c.resolution", "_c.cell").filter("cell IS NOT NULL")
+    return at if options.sampling == "center" else pixels.combined(at, ["tile", "col", "row", "resolution", *keys], value=["value"])
+
+
+def _transferred(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
+    """Samples by interpolation at cell centres, or by the areas that cells have in common with pixels."""
+    paths = geotiff.resolve(path)
+    boxes = file_boxes(spark, paths)
+    if len(paths) != 1 or _code(boxes, options) not in (4326, 4269):
+        raise ValueError(f"{options.transfer} needs one file in degrees")
+    box, out = boxes[0], None
+    origin, size = (box["west"], box["north"]), (box["px"], box["py"])
+    at = samples(spark, path, options).select("col", "row", "value").filter(continuous.finite(F.col("value")) | F.col("value").isNull())
+    west, south, east, north = (box[k] for k in ("west", "south", "east", "north"))
+    if options.bbox:
+        w, s, e, n = options.bbox
+        if w > e:
+            raise ValueError(f"{options.transfer} takes no box across the antimeridian")
+        west, south, east, north = max(west, w), max(south, s), min(east, e), min(north, n)
+    frame = spark.createDataFrame([(0, bytearray(wkb.polygon([(west, south), (east, south), (east, north), (west, north)])))], "key long, wkb binary")
+    for r in options.resolutions:
+        mode = "contains_centroid" if options.transfer == "interpolate" else "covers"
+        cells = polyfill.polygons_to_cells(frame, r, mode, grid=options.grid).select("cell")
+        if options.transfer == "interpolate":
+            lon, lat = grids.center(F.col("cell"), options.grid)
+            found = transfer.interpolated(cells.withColumns({"lon": lon, "lat": lat}), at, box["width"], box["height"], origin, size, options.interpolation)
+            one = found.select("cell", "value", F.lit(1.0).alias("weight"))
+        else:
+            weighed = transfer.overlay_weights(transfer.cell_overlaps(cells, r, box["width"], box["height"], origin, size, options.grid), options.overlay_weighted, options.mass_preserve)
+            one = weighed.join(at, ["col", "row"]).select("cell", "value", "weight")
+            if options.valid_coverage_threshold is not None:
+                enough = transfer.coverage(weighed, at).filter(F.col("coverage") >= options.valid_coverage_threshold)
+                one = one.join(enough.select("cell"), "cell", "left_semi")
+        one = one.withColumn("resolution", F.lit(r))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def _assigned(spark: SparkSession, path: str, options: ScanOptions, resolution: int) -> DataFrame:
-    """Samples with their cell; those of a pixel that share a cell are one."""
-    at = samples(spark, path, options).withColumn("cell", _cell(options.grid, resolution)).filter("cell is not null")
-    return at if options.sampling == "center" else pixels.combined(at, ["tile", "col", "row"], value=["value"])
+def _rolled(rows: DataFrame, options: ScanOptions, fine: int, coarse: int, merge) -> DataFrame:
+    """Rows of a level merged to a coarser one, a few levels at a time."""
+    own = grids.grid(options.grid)
+    while fine > coarse:
+        step = max(coarse, fine - STEP)
+        rows, fine = merge(rows.withColumn("cell", own.to_parent(F.col("cell"), fine, step))), step
+    return rows
 
 
 def _levels(options: ScanOptions, finest: DataFrame, merge) -> DataFrame:
-    """The finest level and, where the grid nests, all coarser ones merged from the level before."""
+    """The finest level and, where the grid nests, all coarser ones, each merged from the level before."""
     order = sorted(options.resolutions, reverse=True)
     out, level = finest.withColumn("resolution", F.lit(order[0])), finest
     for fine, coarse in zip(order, order[1:], strict=False):
-        level = merge(level.withColumn("cell", _parent(options.grid, F.col("cell"), fine, coarse)))
+        level = _rolled(level, options, fine, coarse, merge)
         out = out.unionByName(level.withColumn("resolution", F.lit(coarse)))
     return out
 
 
-def scan_cells(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
-    """Statistics of each cell that pixels fall in: resolution, cell, count, sum, mean, stddev, min, max, and quantiles if asked for."""
-    weight = None if options.sampling == "center" else "weight"
-    state = lambda s: continuous.partial_states(s, ["cell"], weight=weight)
-    if options.grid == "h3":  # its cells don't nest exactly, so each resolution is assigned on its own
-        each = {r: _assigned(spark, path, options, r) for r in options.resolutions}
-        states = None
-        for r, s in each.items():
-            one = state(s).withColumn("resolution", F.lit(r))
-            states = one if states is None else states.unionByName(one)
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows by way of the shared folder, so that what is made of them several times reads no file again."""
+    path = scratch_path(spark, "scan")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def scan_cells(spark: SparkSession, path: str, options: ScanOptions, failures: Observation | None = None) -> DataFrame:
+    """Statistics of each cell that pixels fall in: resolution, (band,) cell, count, sum, mean, stddev, min, max, and quantiles if asked for.
+
+    With `partition` (k/n: the k-th of n runs of chunks) mergeable states come in place of mean and stddev. Classes, remapping and
+    histograms are scan_classes' and are refused. H3's cells don't nest, so each of its levels is assigned to; of other grids the
+    finest is, and the rest merged from it. Work before the first result: where several things are made of the samples' states,
+    these are written to the shared folder first.
+    """
+    _refuse(options, "a scan of statistics", remap=None, histogram=None, min_majority_fraction=None, extra={})
+    if options.partition:
+        _refuse(options, "a partitioned scan", min_count=None, min_mean=None, max_mean=None, quantiles=None, nodata_policy="omit", decimals=None)
+    if options.transfer == "overlay" or options.transfer == "interpolate":
+        _refuse(options, f"a scan by {options.transfer}", bands=None, nodata_policy="omit")
+    if options.transfer != "overlay":
+        _refuse(options, "a scan without overlay", overlay_weighted=True, mass_preserve=False, valid_coverage_threshold=None)
+    if options.transfer != "interpolate":
+        _refuse(options, "a scan without interpolation", interpolation="bilinear")
+    nests = options.grid != "h3" and options.transfer == "assign"
+    order = sorted(options.resolutions, reverse=True)
+    at = _assigned(spark, path, options, order[:1] if nests else order, failures) if options.transfer == "assign" else _transferred(spark, path, options)
+    weight = None if options.sampling == "center" and options.transfer != "overlay" else "weight"
+    bands = ["band"] if "band" in at.columns else []
+    by = [*bands, "cell"] if nests else ["resolution", *bands, "cell"]
+    emit = options.nodata_policy == "emit"
+    if options.quantiles or emit:
+        # one aggregation by cell and bucket, NoData in a bucket of its own, has all that is asked for
+        at = at.withColumns(quantiles.bucket_of(F.col("value")))
+        keys = [*by, "sign", "key"]
+        valid = continuous.partial_states(at.filter("sign IS NOT NULL"), keys, weight=weight)
+        seen = at.filter("sign IS NULL").select(*keys).distinct() if emit else None
+        base = _written(spark, valid.unionByName(seen, allowMissingColumns=True) if emit else valid)
+        sketch = base.filter("count > 0").select(*keys, F.col("count").alias("w"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+        states = continuous.merge_states(base.filter("count > 0").drop("sign", "key"), by)
     else:
-        each = {max(options.resolutions): _assigned(spark, path, options, max(options.resolutions))}
-        states = _levels(options, state(next(iter(each.values()))), lambda x: continuous.merge_states(x, ["cell"]))
+        states = continuous.partial_states(at, by, weight=weight)
+        if nests and len(order) > 1:
+            states = _written(spark, states)
+    merge = lambda x: continuous.merge_states(x, by)
+    states = _levels(options, states, merge) if nests else states
+    keys = ["resolution", *bands, "cell"]
+    if options.partition:
+        return states.select(*keys, *continuous.STATE)
     cells = continuous.finished(_compacted(continuous.having(states, min_count=options.min_count), options))
     cells = continuous.having(cells, None, options.min_mean, options.max_mean)
     if options.quantiles:
-        targets = parse_quantiles(options.quantiles)
-        sketch = lambda s: quantiles.buckets(s, ["cell"], weight=weight)
-        if options.grid == "h3":
-            parts = [quantiles.quantiles(sketch(s), ["cell"], targets).withColumn("resolution", F.lit(r)) for r, s in each.items()]
-        else:
-            parts = []
-            for r in options.resolutions:
-                fine = max(options.resolutions)
-                own = sketch(each[fine])
-                own = own if r == fine else quantiles.merged(own.withColumn("cell", _parent(options.grid, F.col("cell"), fine, r)), ["cell"])
-                parts.append(quantiles.quantiles(own, ["cell"], targets).withColumn("resolution", F.lit(r)))
-        found = parts[0]
-        for one in parts[1:]:
-            found = found.unionByName(one)
-        cells = cells.join(found, ["resolution", "cell"], "left")
-    if options.nodata_policy == "emit":
-        touched = None
-        for r in options.resolutions:
-            fine = max(each)
-            own = each[r].select("cell") if r in each else each[fine].select(_parent(options.grid, F.col("cell"), fine, r).alias("cell"))
-            own = own.distinct().withColumn("resolution", F.lit(r))
-            touched = own if touched is None else touched.unionByName(own)
-        cells = continuous.emit_empty(cells, touched, ["resolution", "cell"], options.emit_nodata_value)
+        sketches = _levels(options, sketch, lambda x: quantiles.merged(x, by)) if nests else sketch
+        cells = cells.join(quantiles.quantiles(sketches, keys, parse_quantiles(options.quantiles)), keys, "left")
+    if emit:
+        every = base.select(*by).distinct()
+        touched = _levels(options, every, lambda x: x.select(*by).distinct()) if nests else every
+        cells = continuous.emit_empty(cells, touched, keys, options.emit_nodata_value)
     if options.decimals is not None:
         cells = cells.withColumns({c: continuous.rounded(F.col(c), options.decimals) for c, t in cells.dtypes if t == "double" and c != "count"})
-    return cells
+    return cells.select(*keys, *[c for c in cells.columns if c not in keys])
 
 
 def _compacted(states: DataFrame, options: ScanOptions) -> DataFrame:
     if not options.compact:
         return states
-    if options.grid != "healpix":
-        raise ValueError("compaction is for HEALPix cells")
+    if options.grid != "healpix" or "band" in states.columns:
+        raise ValueError("compaction is for HEALPix cells of one band")
     out = None
     for r in options.resolutions:
         own = states.filter(F.col("resolution") == r)
@@ -150,19 +238,33 @@ def _compacted(states: DataFrame, options: ScanOptions) -> DataFrame:
     return out
 
 
-def scan_classes(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
-    """Classes of each cell: the wide summary, or with a histogram specification the weight of each bin."""
-    out = None
+def scan_classes(spark: SparkSession, path: str, options: ScanOptions, failures: Observation | None = None) -> DataFrame:
+    """Classes of each cell: the wide summary, or with a histogram specification the weight of each bin.
+
+    min_count is of a cell's total weight. Statistics' options, compaction and empty cells are refused. Files are read once: weights of
+    the finest level's classes are written, and coarser levels that nest are summed from them.
+    """
+    _refuse(options, "a scan of classes", transfer="assign", compact=False, quantiles=None, min_mean=None, max_mean=None, nodata_policy="omit", emit_nodata_value=None, partition=None, formula=None, extra={}, interpolation="bilinear", overlay_weighted=True, mass_preserve=False, valid_coverage_threshold=None)
+    if options.histogram:
+        _refuse(options, "a histogram", min_majority_fraction=None)
     edges = parse_edges(options.histogram) if options.histogram else None
-    for r in options.resolutions:
-        s = _assigned(spark, path, options, r)
-        cls = categorical.bin_of(F.col("value"), edges) if edges else F.col("value").cast("long")
-        if options.remap:
-            cls = F.when(F.col("value").isNotNull(), categorical.remapped(cls, options.remap))
-        weights = categorical.class_weights(s.withColumn("cls", cls), ["cell"], weight=None if options.sampling == "center" else "weight")
-        one = categorical.dense_bins(weights, ["cell"], edges) if edges else categorical.summary(weights, ["cell"])
-        if options.min_majority_fraction is not None and not edges:
-            one = one.filter(F.col("majority_fraction") >= options.min_majority_fraction)
-        one = one.withColumn("resolution", F.lit(r))
-        out = one if out is None else out.unionByName(one)
+    nests, order = options.grid != "h3", sorted(options.resolutions, reverse=True)
+    at = _assigned(spark, path, options, order[:1] if nests else order, failures)
+    bands = ["band"] if "band" in at.columns else []
+    cls = categorical.bin_of(F.col("value"), edges) if edges else F.col("value").cast("long")
+    if options.remap:
+        cls = F.when(F.col("value").isNotNull(), categorical.remapped(cls, options.remap))
+    by = [*bands, "cell"] if nests else ["resolution", *bands, "cell"]
+    weights = categorical.class_weights(at.withColumn("cls", cls), by, weight=None if options.sampling == "center" else "weight")
+    if nests:
+        summed = lambda x: x.groupBy(*by, "category").agg(F.sum("weight").alias("weight"))
+        weights = _levels(options, _written(spark, weights) if len(order) > 1 else weights, summed)
+    keys = ["resolution", *bands, "cell"]
+    if options.min_count is not None:
+        weights = weights.join(weights.groupBy(*keys).agg(F.sum("weight").alias("_total")).filter(F.col("_total") >= options.min_count), keys).drop("_total")
+    out = categorical.dense_bins(weights, keys, edges) if edges else categorical.summary(weights, keys)
+    if options.min_majority_fraction is not None:
+        out = out.filter(F.col("majority_fraction") >= options.min_majority_fraction)
+    if options.decimals is not None:
+        out = out.withColumns({c: continuous.rounded(F.col(c), options.decimals) for c, t in out.dtypes if t == "double" and c not in ("lower", "upper", "total_count", "majority_count")})
     return out
