@@ -266,11 +266,12 @@ def with_lonlat(rows: DataFrame, code: int, x: str = "x", y: str = "y", strict:
             out = _shifted(out, a, f, SHIFTS[shift])
     good = F.col("_lat").between(-90, 90) & ~F.isnan("_lon") & (F.abs("_lon") < F.lit(float("inf")))
     failed = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.coalesce(good, F.lit(False))
-    lon = F.when(good, F.pmod(F.col("_lon") + 180, F.lit(360.0)) - 180)
-    if strict:
-        lon = F.when(failed, F.raise_error(F.concat(F.lit(f"EPSG:{code} has no point at "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))).cast("double")).otherwise(lon)
+    lon, lat = F.when(good, F.pmod(F.col("_lon") + 180, F.lit(360.0)) - 180), F.when(good, F.col("_lat"))
+    if strict:  # in both, so that no filter on one of them goes before the error
+        wrong = F.raise_error(F.concat(F.lit(f"EPSG:{code} has no point at "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))).cast("double")
+        lon, lat = (F.when(failed, wrong).otherwise(v) for v in (lon, lat))
     if failures is not None or staged:
         # counted in any case where stages follow one another: a filter on the result would otherwise be put before the first stage, and
         # with it an expression that doubles with each
         out = out.withColumn("_failed", failed).observe(failures or f"failed-{uuid.uuid4().hex}", F.count_if("_failed").alias("failed"))
-    return out.withColumns({"lon": lon, "lat": F.when(good, F.col("_lat"))}).select(*[c for c in rows.columns if c not in ("lon", "lat")], "lon", "lat")
+    return out.withColumns({"lon": lon, "lat": lat}).select(*[c for c in rows.columns if c not in ("lon", "lat")], "lon", "lat")

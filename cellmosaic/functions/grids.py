@@ -156,3 +156,22 @@ def to_wkb(cell: Column, name: str) -> Column:
         return pd.Series(out)
 
     return outline(F.when(own.valid(cell), cell))
+
+
+def to_boundary(cell: Column, name: str) -> Column:
+    """Vertices of valid cells against the clock, as structs of lat and lng in degrees; null for null and invalid ids."""
+    own = grid(name)
+
+    @F.pandas_udf("array<struct<lat double, lng double>>")
+    def vertices(cell: pd.Series) -> pd.Series:
+        known, ids = _known(cell)
+        out = np.full(len(cell), None, dtype=object)
+        if len(ids):
+            lon, lat, count = grid(name).outlines(ids)
+            made = np.empty(len(ids), dtype=object)
+            for k, (x, y, n) in enumerate(zip(lon.tolist(), lat.tolist(), count.tolist(), strict=True)):
+                made[k] = [{"lat": b, "lng": a} for a, b in zip(x[:n], y[:n], strict=True)]
+            out[known] = made
+        return pd.Series(out)
+
+    return vertices(F.when(own.valid(cell), cell))

@@ -921,7 +921,7 @@ def _write_tiles(spark, sf_dir, fill: float = -9999.0, hidden: str | None = None
     """
     path = scratch_path(spark, "tiles")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         first = int(key[0]) * 50
         at = pdf["row"].to_numpy() - first, pdf["col"].to_numpy()
         values = np.full((int(pdf["row"].max()) - first + 1, WIDTH), fill)

@@ -1,8 +1,8 @@
 """format("cells"): statistics of cells straight from raster files, with filters that reach the files.
 
 A partition is a band of chunk rows. What it makes of a cell that lies wholly within the band is final; of a cell that goes over the band's edge
-it is a part, told by its `partial_state`. Filters on `resolution` and on `partial_state` are done by the source; a filter on `cell` tells
-which chunks can hold pixels of those cells, and the others aren't read.
+it is a part, told by its `partial_state`. Resolutions and kinds of rows that filters exclude aren't made; a filter on `cell` tells which
+chunks can hold pixels of those cells, and the others aren't read.
 """
 
 from __future__ import annotations
@@ -104,11 +104,9 @@ class CellReader(DataSourceReader):
                 value = getattr(f, "value", None)
                 test = {EqualTo: lambda r, v=value: r == v, In: lambda r, v=value: r in v, GreaterThan: lambda r, v=value: r > v, GreaterThanOrEqual: lambda r, v=value: r >= v, LessThan: lambda r, v=value: r < v, LessThanOrEqual: lambda r, v=value: r <= v, IsNotNull: lambda r: True}
                 self.resolutions = [r for r in self.resolutions if test[type(f)](r)]
-                continue
-            if f.attribute == state and isinstance(f, (IsNull, IsNotNull)):
+            elif f.attribute == state and isinstance(f, (IsNull, IsNotNull)):
                 self.rows &= {"final" if isinstance(f, IsNull) else "partial"}
-                continue
-            if f.attribute == ("cell",):
+            elif f.attribute == ("cell",):
                 if isinstance(f, (EqualTo, In)):
                     wanted = np.array([f.value] if isinstance(f, EqualTo) else [v for v in f.value if v is not None], dtype=np.int64)
                     self.ids = wanted if self.ids is None else np.intersect1d(self.ids, wanted)
@@ -116,9 +114,10 @@ class CellReader(DataSourceReader):
                     self.low = max(self.low, f.value + isinstance(f, GreaterThan))
                 elif isinstance(f, (LessThan, LessThanOrEqual)):
                     self.high = min(self.high, f.value - isinstance(f, LessThan))
-            if f.attribute == ("count",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            elif f.attribute == ("count",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                 self.least = max(self.least or 0.0, float(f.value))
-            yield f  # chunks are left out here, rows by Spark
+            # Spark tests rows again: of a plan that scans twice it tells scans apart by the filters that are left on them
+            yield f
 
     def _wanted(self) -> list[tuple[float, float, float, float]] | None:
         """Boxes of the cells that filters leave; None if they don't say."""

@@ -109,15 +109,26 @@ def _assigned(spark: SparkSession, path: str, options: ScanOptions, resolutions:
     return at if options.sampling == "center" else pixels.combined(at, ["tile", "col", "row", "resolution", *keys], value=["value"])
 
 
+def _lattice(boxes: list[dict], what: str) -> dict:
+    """The one raster that files make whose pixels are on one lattice: west, south, east, north, width, height and pixel."""
+    px, py, west, north = boxes[0]["px"], boxes[0]["py"], min(b["west"] for b in boxes), max(b["north"] for b in boxes)
+    for b in boxes:
+        steps = (b["west"] - west) / px, (north - b["north"]) / py
+        if abs(b["px"] / px - 1) > 1e-9 or abs(b["py"] / py - 1) > 1e-9 or any(abs(s - round(s)) > 1e-6 for s in steps):
+            raise ValueError(f"{what} needs files whose pixels are on one lattice")
+    width, height = (round((max(b["east"] for b in boxes) - west) / px), round((north - min(b["south"] for b in boxes)) / py))
+    return {"west": west, "south": north - height * py, "east": west + width * px, "north": north, "width": width, "height": height, "px": px, "py": py}
+
+
 def _transferred(spark: SparkSession, path: str, options: ScanOptions) -> DataFrame:
     """Samples by interpolation at cell centres, or by the areas that cells have in common with pixels."""
-    paths = geotiff.resolve(path)
-    boxes = file_boxes(spark, paths)
-    if len(paths) != 1 or _code(boxes, options) not in (4326, 4269):
-        raise ValueError(f"{options.transfer} needs one file in degrees")
-    box, out = boxes[0], None
-    origin, size = (box["west"], box["north"]), (box["px"], box["py"])
-    at = samples(spark, path, options).select("col", "row", "value").filter(continuous.finite(F.col("value")) | F.col("value").isNull())
+    boxes = file_boxes(spark, geotiff.resolve(path))
+    if _code(boxes, options) not in (4326, 4269):
+        raise ValueError(f"{options.transfer} needs files in degrees")
+    box = _lattice(boxes, options.transfer)
+    origin, size, out = (box["west"], box["north"]), (box["px"], box["py"]), None
+    place = {"col": F.floor((F.col("lon") - origin[0]) / size[0]), "row": F.floor((F.lit(origin[1]) - F.col("lat")) / size[1])}
+    at = samples(spark, path, options).select("lon", "lat", "value").withColumns(place).filter(continuous.finite(F.col("value")) | F.col("value").isNull())
     west, south, east, north = (box[k] for k in ("west", "south", "east", "north"))
     if options.bbox:
         w, s, e, n = options.bbox
