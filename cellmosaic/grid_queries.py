@@ -17,6 +17,7 @@ from cellmosaic.queries import DEPTH, EV, FIVE, HP, ORIGIN, SIZE, STATS, WIDTH,
 from cellmosaic.sources import cells, scan
 from cellmosaic.sources.geotiff import write_geotiff
 from cellmosaic.sources.scratch import filesystem, scratch_path
+from cellmosaic.streaming import horizon
 
 # --- S2 in SQL -------------------------------------------------------------------------------------------------------
 
@@ -301,3 +302,23 @@ def cells_source_pushdown(spark, sf_dir):
     path = core._write_tiles(spark, sf_dir, tile=16)
     rows = _cells(spark, path).filter(F.col("cell").between(low, high) & (F.col("resolution") == DEPTH))
     return rounded(cells.finished(rows).filter("count >= 3").drop("resolution"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------
+
+_BANDS = 6
+
+
+@query("stream_horizon", core._assign_sql())
+def stream_horizon(spark, sf_dir):
+    """The raster as a stream from north to south; each cell is given out once, when the horizon has passed it."""
+    folder, out = scratch_path(spark, "north-to-south"), scratch_path(spark, "horizon")
+    at = pixels.located(events(spark, sf_dir), ORIGIN, SIZE).select("lon", "lat", "value", "row")
+    height = at.agg(F.max("row") + 1).first()[0]
+    for k in range(_BANDS):  # one after the other, as files are taken by their time
+        at.filter(F.col("row").between(height * k // _BANDS, height * (k + 1) // _BANDS - 1)).drop("row").write.mode("append").parquet(folder)
+    high = 2.0 * height / _BANDS * SIZE[1]
+    horizon.end_of_raster(spark, high).write.mode("append").parquet(folder)
+    source = spark.readStream.schema("lon double, lat double, value double").option("maxFilesPerTrigger", 64).parquet(folder)
+    horizon.run(source, "healpix", DEPTH, out, f"{out}-checkpoint", disorder=high)
+    return rounded(spark.read.schema(horizon._OUT).parquet(out).filter("late = 0").drop("late"))
