@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cellmosaic.functions import crs_text
+
 WGS84_A = 6378137.0
 GRS80_F = 1 / 298.257222101
 #: Standard parallels, origin latitude and central meridian, fixed values.
@@ -150,6 +152,8 @@ def _authalic(flattening: float):
     """q of a latitude in radians, q at the pole, and the series from authalic to geodetic latitude."""
     e2 = 2 * flattening - flattening**2
     e = math.sqrt(e2)
+    if not e:
+        return lambda phi: 2 * math.sin(phi), 2.0, (0.0, 0.0, 0.0)
     q = lambda phi: (1 - e2) * (math.sin(phi) / (1 - e2 * math.sin(phi) ** 2) + math.atanh(e * math.sin(phi)) / e)
     return q, q(math.pi / 2), (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
 
@@ -171,7 +175,10 @@ def _unprojected(rows: DataFrame, method: str, p: dict[str, float], a: float, f:
     e2 = 2 * f - f * f
     e = math.sqrt(e2)
     east, north = F.col("_e"), F.col("_n")
+    if method == "lonlat":
+        return rows.withColumns({"_lam": F.radians("_e"), "_phi": F.radians("_n")})
     if method == "lcc":
+        east, north = (v / p.get("k", 1.0) for v in (east, north))
         t = lambda phi: math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
         m = lambda phi: math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
         one, two, origin = (math.radians(p[k]) for k in ("one", "two", "lat"))
@@ -216,6 +223,34 @@ def _unprojected(rows: DataFrame, method: str, p: dict[str, float], a: float, f:
         isometric = lambda phi: F.log(F.tan(phi / 2 + math.pi / 4)) + F.log((1 - F.sin(phi) * e) / (1 + F.sin(phi) * e)) * (e / 2)
         out = _steps(out, 5, lambda phi: phi - (isometric(phi) - F.col("_psi")) * F.cos(phi) * (1 - F.sin(phi) * F.sin(phi) * e2) / (1 - e2))
         return out.withColumn("_lam", (F.col("_j") + F.col("_i") * 2) / n)
+    if method == "aea":
+        q, qp, series = _authalic(f)
+        m = lambda phi: math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        one, two, origin = (math.radians(p[k]) for k in ("one", "two", "lat"))
+        n = math.sin(one) if one == two else (m(one) ** 2 - m(two) ** 2) / (q(two) - q(one))
+        c = m(one) ** 2 + n * q(one)
+        rho0, sign = a * math.sqrt(c - n * q(origin)) / n, 1.0 if n > 0 else -1.0
+        down = F.lit(rho0) - north
+        s = (F.lit(c) - (east * east + down * down) * (n / a) ** 2) / (n * qp)
+        out = rows.withColumn("_beta", F.when(F.abs(s) <= 1 + 1e-12, F.asin(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0)))))
+        return out.withColumns({"_lam": F.atan2(east * sign, down * sign) / n, "_phi": _geodetic("_beta", series)})
+    if method in ("stere", "merc"):
+        if method == "merc":
+            true = math.radians(p.get("true", 0.0))
+            k0 = p["k"] * math.cos(true) / math.sqrt(1 - e2 * math.sin(true) ** 2)
+            out, sign = rows.withColumns({"_lam": east / (a * k0), "_psi": north / (a * k0)}), 1.0
+        else:
+            sign = math.copysign(1.0, p["lat"])
+            if "true" in p and abs(abs(p["true"]) - 90) > 1e-9:
+                phi = math.radians(abs(p["true"]))
+                t = math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
+                scale = t / (a * math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2))
+            else:
+                scale = math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e)) / (2 * a * p["k"])
+            out = rows.withColumns({"_lam": F.atan2(east, -north * sign), "_psi": -F.log(F.greatest(F.sqrt(east * east + north * north) * scale, F.lit(1e-300)))})
+        out = out.withColumn("_phi", F.atan(F.sinh("_psi")))
+        out = _steps(out, 6, lambda phi: F.atan(F.sinh(F.col("_psi") + F.log((1 + F.sin(phi) * e) / (1 - F.sin(phi) * e)) * (e / 2))))
+        return out.withColumn("_phi", F.col("_phi") * sign)
     third = f / (2 - f)
     big = a * (1 + third**2 / 4 + third**4 / 64) / (1 + third)
     beta = (third / 2 - 2 * third**2 / 3 + 37 * third**3 / 96 - third**4 / 360, third**2 / 48 + third**3 / 15 - 437 * third**4 / 1440, 17 * third**3 / 480 - 37 * third**4 / 840, 4397 * third**4 / 161280)
@@ -246,29 +281,35 @@ def _shifted(rows: DataFrame, a: float, f: float, shift: tuple[float, ...]) -> D
     return out.withColumns({"_lon": F.degrees(F.atan2(F.col("_y"), F.col("_x"))), "_lat": F.degrees("_phi")})
 
 
-def with_lonlat(rows: DataFrame, code: int, x: str = "x", y: str = "y", strict: bool = False, failures: Observation | None = None) -> DataFrame:
-    """Adds lon and lat (WGS84 degrees) of projected coordinates, by EPSG code.
+def with_lonlat(rows: DataFrame, code: int | str, x: str = "x", y: str = "y", strict: bool = False, failures: Observation | None = None) -> DataFrame:
+    """Adds lon and lat (WGS84 degrees) of projected coordinates, by EPSG code, PROJ string or well-known text.
 
     Where the inverse is not finite or off the globe both are null; such rows are counted in `failures` (as `failed`), if given,
     and with strict they are an error. Missing coordinates are no failure.
     """
-    staged = False
+    staged, said = False, crs_text.parse(code) if isinstance(code, str) else code
+    code, name = said, f"EPSG:{said}" if isinstance(said, int) else str(code)
     try:
+        if not isinstance(code, int):
+            raise ValueError(name)
         lon, lat = inverse(code, F.col(x), F.col(y))
         out = rows.withColumns({"_lon": lon, "_lat": lat})
     except ValueError:
-        staged = True
-        method, p, ellipsoid, shift = definition(code)
-        a, f = ELLIPSOIDS[ellipsoid]
-        out = _unprojected(rows.withColumns({"_e": F.col(x) - p["x"], "_n": F.col(y) - p["y"]}), method, p, a, f)
+        staged, unit = True, 1.0
+        if isinstance(code, int):
+            method, p, ellipsoid, shift = definition(code)
+            (a, f), shift = ELLIPSOIDS[ellipsoid], SHIFTS[shift] if shift else None
+        else:
+            method, p, a, f, shift, unit = code.method, code.p, code.a, code.f, code.shift, code.unit
+        out = _unprojected(rows.withColumns({"_e": F.col(x) * unit - p["x"], "_n": F.col(y) * unit - p["y"]}), method, p, a, f)
         out = out.withColumns({"_lon": F.degrees("_lam") + p["lon"], "_lat": F.degrees("_phi")})
         if shift:
-            out = _shifted(out, a, f, SHIFTS[shift])
+            out = _shifted(out, a, f, shift)
     good = F.col("_lat").between(-90, 90) & ~F.isnan("_lon") & (F.abs("_lon") < F.lit(float("inf")))
     failed = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.coalesce(good, F.lit(False))
     lon, lat = F.when(good, F.pmod(F.col("_lon") + 180, F.lit(360.0)) - 180), F.when(good, F.col("_lat"))
     if strict:  # in both, so that no filter on one of them goes before the error
-        wrong = F.raise_error(F.concat(F.lit(f"EPSG:{code} has no point at "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))).cast("double")
+        wrong = F.raise_error(F.concat(F.lit(f"{name} has no point at "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))).cast("double")
         lon, lat = (F.when(failed, wrong).otherwise(v) for v in (lon, lat))
     if failures is not None or staged:
         # counted in any case where stages follow one another: a filter on the result would otherwise be put before the first stage, and

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.functions import crs, grids, healpix, wkb
+from cellmosaic.functions import crs, crs_text, grids, healpix, wkb
 from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
 from cellmosaic.plans.options import ScanOptions, parse_bands, parse_edges, parse_quantiles
 from cellmosaic.sources import formats, geotiff
@@ -42,11 +42,16 @@ def file_boxes(spark: SparkSession, paths: list[str]) -> list[dict]:
     return [r.asDict() for r in rows.mapInPandas(run, "k long, west double, south double, east double, north double, epsg long, width long, height long, px double, py double").orderBy("k").collect()]
 
 
-def _code(boxes: list[dict], options: ScanOptions) -> int:
+def _code(boxes: list[dict], options: ScanOptions) -> int | str:
+    """The CRS of all files: a code, or a PROJ string or well-known text."""
     codes = {options.source_crs or b["epsg"] for b in boxes}
     if len(codes) != 1 or None in codes:
         raise ValueError(f"files need one CRS, or source_crs: {sorted(map(str, codes))}")
-    return codes.pop()
+    code = codes.pop()
+    if isinstance(code, str):
+        said = crs_text.parse(code)
+        code = said if isinstance(said, int) else 4326 if said.method == "lonlat" and not said.shift else code
+    return code
 
 
 def _valued(at: DataFrame, options: ScanOptions) -> DataFrame:
@@ -71,7 +76,9 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     code = _code(boxes, options)
     flat = code in (4326, 4269)
     formats.register(spark)
-    reader = spark.read.format("raster_pixels").option("scale_offset", str(options.scale_offset).lower()).option("pixel_size", "true").option("source_crs", code)
+    reader = spark.read.format("raster_pixels").option("scale_offset", str(options.scale_offset).lower()).option("pixel_size", "true")
+    if isinstance(code, int):
+        reader = reader.option("source_crs", code)
     names = parse_bands(options.bands, options.formula) if options.bands else {}
     reader = reader.option("bands", ",".join(str(b) for b in sorted(set(names.values())))) if names else reader.option("band", options.band)
     if options.nodata is not None:
@@ -81,7 +88,8 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     centred = options.sampling == "center"
     if options.bbox:
         # rows outside are left out by the source where it can tell them, chunks in any case
-        reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
+        if isinstance(code, int):
+            reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
     at = _valued(reader.load(path), options)
     points = pixels.pattern(options.sampling)
     spread = F.explode(F.array(*[F.struct(F.lit(dx - 0.5).alias("dx"), F.lit(dy - 0.5).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in points]))
