@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic import queries as core
-from cellmosaic.functions import grids, h3, s2
-from cellmosaic.operators import pixels, polyfill, states
+from cellmosaic.functions import crs, grids, ground, h3, healpix, s2
+from cellmosaic.operators import continuous, pixels, polyfill, states
 from cellmosaic.plans.options import ScanOptions
 from cellmosaic.queries import DEPTH, EV, FIVE, HP, ORIGIN, SIZE, STATS, WIDTH, R, events, hp, query, r6, rounded, rsel, table
 from cellmosaic.sources import cells, scan
@@ -270,6 +270,51 @@ def overlay_cells_each(spark, sf_dir):
     return rounded(found.select("cell", "count", "sum", "mean", "min", "max"))
 
 
+_E2 = ground.E2
+_ZONE = lambda phi: f"(sin(radians({phi})) / (1 - {_E2!r}e0 * sin(radians({phi})) * sin(radians({phi}))) + ln((1 + {math.sqrt(_E2)!r}e0 * sin(radians({phi}))) / (1 - {math.sqrt(_E2)!r}e0 * sin(radians({phi})))) / {2 * math.sqrt(_E2)!r}e0)"
+_KM2 = f"radians(0.05e0) * {ground.A**2 * (1 - _E2) / 2e6!r}e0 * ({_ZONE('37.8e0 - row * 0.05e0')} - {_ZONE('37.8e0 - (row + 1) * 0.05e0')})"
+
+
+@query("ground_area", f"WITH {HP} SELECT cell, {R(f'sum({_KM2})')} AS km2, {R(f'sum(value * ({_KM2})) / sum({_KM2})')} AS mean FROM c GROUP BY cell")
+def ground_area(spark, sf_dir):
+    """Ellipsoidal area of each cell's pixels, and their mean by area."""
+    at = core.samples(spark, sf_dir).withColumn("weight", ground.pixel_area(F.col("row"), ORIGIN[1], SIZE) / 1e6)
+    return rounded(continuous.weighted_statistics(at, ["cell"]).select("cell", F.col("count").alias("km2"), "mean"))
+
+
+_EDGES = "4:0:200"
+
+
+def _area_bins_sql(shown: str) -> str:
+    return f"""WITH {EV}, {_clipped_sql()}, z AS (SELECT q.cell, least(3, CAST(floor(px.value / 50e0) AS BIGINT)) AS bin, q.weight FROM qq q JOIN px USING (col, row) WHERE q.weight > 1e-12 AND px.k % 17 <> 0 AND px.value BETWEEN 0 AND 200),
+s AS (SELECT cell, bin, sum(weight) AS weight FROM z GROUP BY cell, bin), b AS (SELECT cell, bin, bin * 50e0 AS lower, bin * 50e0 + 50e0 AS upper FROM (SELECT DISTINCT cell FROM s), range(4) r(bin)), f AS (SELECT b.*, coalesce(s.weight, 0e0) AS weight, sum(coalesce(s.weight, 0e0)) OVER (PARTITION BY b.cell) AS total FROM b LEFT JOIN s USING (cell, bin))
+SELECT {shown}"""
+
+
+@query("area_histogram", _area_bins_sql(f"cell, CAST(bin AS BIGINT) AS bin, {R('lower')} AS lower, {R('upper')} AS upper, {R('weight / total / 50')} AS weight FROM f"))
+def area_histogram(spark, sf_dir):
+    """Density of values over each cell's outline: areas in common with pixels by bin."""
+    options = ScanOptions(grid="healpix", resolutions=(_WIDE,), histogram=_EDGES, histogram_weight="area", histogram_normalize="density")
+    return rounded(scan.scan_classes(spark, _with_gaps(spark, sf_dir), options).drop("resolution"))
+
+
+@query("value_histogram_json", f"WITH {HP}, z AS (SELECT cell, CAST(cls AS BIGINT) AS v, count(*) AS n FROM c GROUP BY ALL) SELECT cell, '{{' || string_agg('\"' || v || '\":' || n, ',' ORDER BY v) || '}}' AS histogram FROM z GROUP BY cell")
+def value_histogram_json(spark, sf_dir):
+    """Histograms of exact values as text."""
+    path = _write_raster(spark, events(spark, sf_dir).withColumn("value", F.col("cls").cast("double")), ["value"], ORIGIN, SIZE, tile=32)
+    return scan.scan_classes(spark, path, ScanOptions(grid="healpix", resolutions=(DEPTH,), histogram="values", histogram_json=True, overlap_rule="average")).drop("resolution")
+
+
+_TEXT = "+proj=lcc +lat_1=49 +lat_2=44 +lat_0=46.5 +lon_0=3 +x_0=700000 +y_0=6600000 +ellps=GRS80 +towgs84=0,0,0 +units=m"
+
+
+@query("crs_from_text", core.SQL["lcc_inverse"])
+def crs_from_text(spark, sf_dir):
+    """A conic from the parameters of a PROJ string."""
+    at = core._metres(spark, sf_dir).withColumns({"x": F.col("x") + 700000, "y": F.col("y") + 6600000})
+    return rounded(continuous.unit_statistics(healpix.with_cell(crs.with_lonlat(at, _TEXT).filter("lat is not null"), 5), ["cell"]))
+
+
 # --- parts and states ----------------------------------------------------------------------------------------------------
 
 

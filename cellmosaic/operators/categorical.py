@@ -103,3 +103,26 @@ def dense_bins(classes: DataFrame, by: list[str], edges: list[float], normalize:
     elif normalize != "none":
         raise ValueError(f"unknown normalization {normalize!r}")
     return rows.drop("total")
+
+
+def values_json(classes: DataFrame, by: list[str], normalize: str = "none") -> DataFrame:
+    """A text per group of the classes seen, ascending: {"value":weight,...}."""
+    total = F.sum("weight")
+    found = classes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("category", "weight"))).alias("e"), total.alias("t"))
+    if normalize not in ("none", "fraction"):
+        raise ValueError(f"classes have no {normalize}")
+    own = (lambda x: x["weight"] / F.col("t")) if normalize == "fraction" else (lambda x: x["weight"])
+    text = F.transform("e", lambda x: F.concat(F.lit('"'), x["category"].cast("string"), F.lit('":'), number(own(x))))
+    return found.select(*by, F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("histogram"))
+
+
+def bins_json(bins: DataFrame, by: list[str]) -> DataFrame:
+    """A text per group of dense_bins' rows: [[lower,upper,weight],...]."""
+    found = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "lower", "upper", "weight"))).alias("e"))
+    text = F.transform("e", lambda x: F.concat(F.lit("["), number(x["lower"]), F.lit(","), number(x["upper"]), F.lit(","), number(x["weight"]), F.lit("]")))
+    return found.select(*by, F.concat(F.lit("["), F.array_join(text, ","), F.lit("]")).alias("histogram"))
+
+
+def number(x: Column) -> Column:
+    """Shortest text of a number; whole ones without a fraction."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).otherwise(x.cast("string"))

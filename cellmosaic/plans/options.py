@@ -118,6 +118,9 @@ class ScanOptions:
     mass_preserve: bool = False
     valid_coverage_threshold: float | None = None
     histogram: str | None = None
+    histogram_weight: str = "count"
+    histogram_normalize: str = "none"
+    histogram_json: bool = False
     partition: str | None = None
     formula: str | None = None
     extra: dict = field(default_factory=dict, compare=False)
@@ -139,6 +142,11 @@ class ScanOptions:
         need(not (emit and (self.min_count or 0) > 0), "emitted empty cells can't have a minimum count")
         need(not (emit and self.compact), "compaction can't emit empty cells")
         need(emit or self.emit_nodata_value is None, "a substitute value needs the emit policy")
+        need(self.histogram_weight in ("count", "area"), f"unknown histogram weight {self.histogram_weight!r}")
+        need(self.histogram_normalize in ("none", "fraction", "density"), f"unknown normalization {self.histogram_normalize!r}")
+        need(self.histogram is not None or (self.histogram_weight, self.histogram_normalize, self.histogram_json) == ("count", "none", False), "a histogram's weight, normalization and text need a histogram")
+        need(not (self.histogram == "values" and self.histogram_normalize == "density"), "density needs bins")
+        need(self.histogram_weight == "count" or (self.transfer in ("assign", "overlay") and self.overlay_weighted), "areas need a weighted overlay")
         need(not self.formula or self.bands is not None, "a formula needs named bands")
         if self.bands is not None:
             parse_bands(self.bands, self.formula)

@@ -7,8 +7,10 @@ aggregation of the samples by cell and, for quantiles, by bucket. The result is
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import crs, crs_text, grids, healpix, wkb
@@ -196,7 +198,7 @@ def scan_cells(spark: SparkSession, path: str, options: ScanOptions, failures: O
     finest is, and the rest merged from it. Work before the first result: where several things are made of the samples' states,
     these are written to the shared folder first.
     """
-    _refuse(options, "a scan of statistics", remap=None, histogram=None, min_majority_fraction=None, extra={})
+    _refuse(options, "a scan of statistics", remap=None, histogram=None, histogram_weight="count", histogram_normalize="none", histogram_json=False, min_majority_fraction=None, extra={})
     if options.partition:
         _refuse(options, "a partitioned scan", min_count=None, min_mean=None, max_mean=None, quantiles=None, nodata_policy="omit", decimals=None)
     if options.transfer == "overlay" or options.transfer == "interpolate":
@@ -258,32 +260,44 @@ def _compacted(states: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 def scan_classes(spark: SparkSession, path: str, options: ScanOptions, failures: Observation | None = None) -> DataFrame:
-    """Classes of each cell: the wide summary, or with a histogram specification the weight of each bin.
+    """Classes of each cell: the wide summary, or with a histogram specification the weight of each bin, or of each value ('values').
 
-    min_count is of a cell's total weight. Statistics' options, compaction and empty cells are refused. Files are read once: weights of
+    A histogram counts pixels, or with the weight `area` takes the area (in pixels) that the cell's outline has in common with each, by an
+    overlay. It can be a text (histogram_json). min_count is of a cell's total weight. Statistics' options, compaction and empty cells are refused. Files are read once: weights of
     the finest level's classes are written, and coarser levels that nest are summed from them.
     """
-    _refuse(options, "a scan of classes", transfer="assign", compact=False, quantiles=None, min_mean=None, max_mean=None, nodata_policy="omit", emit_nodata_value=None, partition=None, formula=None, extra={}, interpolation="bilinear", overlay_weighted=True, mass_preserve=False, valid_coverage_threshold=None)
+    area = options.histogram_weight == "area"
+    if not area:
+        _refuse(options, "a scan of classes", transfer="assign", overlay_weighted=True, mass_preserve=False, valid_coverage_threshold=None)
+    _refuse(options, "a scan of classes", compact=False, quantiles=None, min_mean=None, max_mean=None, nodata_policy="omit", emit_nodata_value=None, partition=None, formula=None, extra={}, interpolation="bilinear")
     if options.histogram:
         _refuse(options, "a histogram", min_majority_fraction=None)
-    edges = parse_edges(options.histogram) if options.histogram else None
-    nests, order = options.grid != "h3", sorted(options.resolutions, reverse=True)
-    at = _assigned(spark, path, options, order[:1] if nests else order, failures)
+    edges = parse_edges(options.histogram) if options.histogram and options.histogram != "values" else None
+    nests, order = options.grid != "h3" and not area, sorted(options.resolutions, reverse=True)
+    at = _transferred(spark, path, replace(options, transfer="overlay")) if area else _assigned(spark, path, options, order[:1] if nests else order, failures)
     bands = ["band"] if "band" in at.columns else []
     cls = categorical.bin_of(F.col("value"), edges) if edges else F.col("value").cast("long")
     if options.remap:
         cls = F.when(F.col("value").isNotNull(), categorical.remapped(cls, options.remap))
     by = [*bands, "cell"] if nests else ["resolution", *bands, "cell"]
-    weights = categorical.class_weights(at.withColumn("cls", cls), by, weight=None if options.sampling == "center" else "weight")
+    weights = categorical.class_weights(at.withColumn("cls", cls), by, weight=None if options.sampling == "center" and not area else "weight")
     if nests:
         summed = lambda x: x.groupBy(*by, "category").agg(F.sum("weight").alias("weight"))
         weights = _levels(options, _written(spark, weights) if len(order) > 1 else weights, summed)
     keys = ["resolution", *bands, "cell"]
     if options.min_count is not None:
         weights = weights.join(weights.groupBy(*keys).agg(F.sum("weight").alias("_total")).filter(F.col("_total") >= options.min_count), keys).drop("_total")
-    out = categorical.dense_bins(weights, keys, edges) if edges else categorical.summary(weights, keys)
+    if options.histogram == "values" and options.histogram_json:
+        return categorical.values_json(weights, keys, options.histogram_normalize)
+    if options.histogram == "values":
+        total = weights.groupBy(*keys).agg(F.sum("weight").alias("_t"))
+        out = weights.join(total, keys).withColumn("weight", F.col("weight") / F.col("_t")).drop("_t") if options.histogram_normalize == "fraction" else weights
+    else:
+        out = categorical.dense_bins(weights, keys, edges, options.histogram_normalize) if edges else categorical.summary(weights, keys)
+    if options.histogram_json:
+        return categorical.bins_json(out, keys)
     if options.min_majority_fraction is not None:
         out = out.filter(F.col("majority_fraction") >= options.min_majority_fraction)
     if options.decimals is not None:
-        out = out.withColumns({c: continuous.rounded(F.col(c), options.decimals) for c, t in out.dtypes if t == "double" and c not in ("lower", "upper", "total_count", "majority_count")})
+        out = out.withColumns({c: continuous.rounded(F.col(c), options.decimals) for c, t in out.dtypes if t == "double" and c not in ("lower", "upper", "total_count", "majority_count", "weight")})
     return out

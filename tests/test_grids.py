@@ -158,3 +158,15 @@ def test_h3_column(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "lon double, lat double").select(h3.lonlat_to_cell(F.col("lon"), F.col("lat"), 9)).collect()]
     assert got[0] == 0x8928308280FFFFF and got[1:4] == [None, None, None] and got[4] == got[5]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in got], "c long").select(h3bits.is_valid(F.col("c"))).collect()][0]
+
+
+def test_ground_areas(spark):
+    """Areas that are public to many digits."""
+    from cellmosaic.functions import ground
+
+    cases = [(0.0, 0.0, 1.0, 1.0, 12_308_463_893.975353), (0.0, 59.0, 1.0, 60.0, 6_309_805_669.030524), (0.0, 89.0, 1.0, 90.0, 108_866_681.63620767), (179.5, -1.0, -179.5, 1.0, 24_616_927_787.950706), (-180.0, -90.0, 180.0, 90.0, 510_065_621_724_088.5), (0.0, 89.999999, 0.000001, 90.0, 1.0886966872408339e-10)]
+    rows = spark.createDataFrame([c[:4] for c in cases] + [(0.0, 5.0, 1.0, 5.0), (0.0, -91.0, 1.0, 0.0), (200.0, 0.0, 1.0, 1.0), (5.0, 0.0, 5.0, 1.0), (None, 0.0, 1.0, 1.0)], "w double, s double, e double, n double")
+    got = [r[0] for r in rows.select(ground.rectangle_area(*[F.col(c) for c in "wsen"])).collect()]
+    assert got[:6] == [pytest.approx(c[4], rel=1e-8) for c in cases] and got[6:] == [None] * 5
+    total = spark.range(180).select(F.sum(ground.pixel_area(F.col("id"), 90.0, (360.0, 1.0)))).first()[0]
+    assert total == pytest.approx(cases[4][4], rel=1e-12)

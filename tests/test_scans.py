@@ -214,3 +214,19 @@ def test_ranges_of_ids_as_few_cells(grid, level):
             deep = own.levels(below) == level
             below = np.r_[below[deep], own.children(below[~deep])]
         assert sorted(below.tolist()) == ids[(ids >= low) & (ids <= high)].tolist() and len(few) <= 12 * level + 12
+
+
+def test_histogram_options(spark, raster):
+    run = lambda **o: scan.scan_classes(spark, raster, ScanOptions(**{"grid": "healpix", "resolutions": (5,), "histogram": "5:0:50"} | o))
+    cells_ = {r["cell"]: r[1] for r in run(histogram_weight="area", histogram_normalize="fraction").groupBy("cell").agg(F.sum("weight")).collect()}
+    assert cells_ and all(v == pytest.approx(1) for v in cells_.values())
+    areas = run(histogram_weight="area").groupBy().agg(F.sum("weight")).first()[0]
+    assert areas == pytest.approx((VALUES >= 0).sum(), rel=1e-6)
+    text = run(histogram_json=True).first()["histogram"]
+    assert text.startswith("[[0,10,") and text.count("[") == 6
+    values = {r["category"]: r["weight"] for r in run(histogram="values").groupBy("category").agg(F.sum("weight").alias("weight")).collect()}
+    assert values == {v: float((VALUES == v).sum()) for v in np.unique(VALUES) if v >= 0}
+    assert run(histogram="values", histogram_json=True).first()["histogram"].startswith('{"0":')
+    for bad in ({"histogram_weight": "mass"}, {"histogram": None, "histogram_weight": "area"}, {"histogram": "values", "histogram_normalize": "density"}, {"histogram_weight": "area", "overlay_weighted": False, "transfer": "overlay"}, {"histogram_weight": "area", "transfer": "interpolate"}):
+        with pytest.raises(ValueError):
+            run(**bad)
