@@ -157,6 +157,7 @@ class TiffInfo:
     alpha: int | None = None
     bits: int = 0  # 1 for masks of one bit a pixel
     mask: TiffInfo | None = None
+    version: str | None = None  # of a file that can change while it is read
 
     @property
     def across(self) -> int:
@@ -213,6 +214,7 @@ def read_info(path: str) -> TiffInfo:
         at = struct.unpack(order + "Q", head[8:16])[0] if big else struct.unpack(order + "I", head[4:8])[0]
         tags, at = _directory(f, order, big, at)
         info, seen = _image(path, order, tags), set()
+        info.version = getattr(f, "version", None)
         while at and at not in seen:
             seen.add(at)
             more, at = _directory(f, order, big, at)
@@ -509,6 +511,11 @@ class PixelReader(DataSourceReader):
         calibrate = self.options.get("scale_offset", "true").lower() != "false"
         wanted = self._wanted(info)
         with store.open_input_file(name) as f:
+            if getattr(f, "version", None) != info.version:
+                raise ValueError(f"{info.path} has changed since it was planned")
+            if hasattr(f, "prefetch"):
+                places = [c + (b - 1) * info.chunks for c in chunks for b in wanted] if info.planar else list(chunks)
+                f.prefetch([(info.offsets[k], info.sizes[k]) for k in places])
             for chunk in chunks:
                 got = read_chunk(f, info, chunk, wanted)
                 if got is None:

@@ -20,4 +20,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and its name there; URLs of http and https are read by ranges."""
+    if path.startswith(("http://", "https://")):
+        from cellmosaic.sources.http import HttpStore
+
+        return HttpStore(), path
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
