@@ -5,6 +5,9 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def polygon(ring: list[tuple[float, float]]) -> bytes:
@@ -124,3 +127,32 @@ def crosses(rings: list[list[np.ndarray]], cx: np.ndarray, cy: np.ndarray) -> np
                 c, d = side(cx, cy, nx, ny, x0, y0), side(cx, cy, nx, ny, x1, y1)
                 hit |= ((a * b <= 0) & (c * d <= 0) & ((a != 0) | (b != 0))).any(axis=1)
     return hit
+
+
+def envelope(data: bytes) -> tuple[float, float, float, float] | None:
+    """west, south, east, north of all rings, west from -180 to 180; west over east where it goes over the antimeridian, None without a ring."""
+    points = [r for poly in read_rings(data) for r in poly if len(r)]
+    if not points:
+        return None
+    points = np.concatenate(points)
+    west, east = float(points[:, 0].min()), float(points[:, 0].max())
+    south, north = float(points[:, 1].min()), float(points[:, 1].max())
+    if east - west >= 360:
+        return -180.0, south, 180.0, north
+    turn = 360.0 * float(np.floor((west + 180) / 360))
+    west, east = west - turn, east - turn
+    return west, south, east - 360 if east > 180 else east, north
+
+
+def holds_point(lon: Column, lat: Column, data: bytes) -> Column:
+    """Whether a constant geometry holds points, on whatever turn of the globe its longitudes are; null for missing coordinates."""
+
+    @F.pandas_udf("boolean")
+    def held(x: pd.Series, y: pd.Series) -> pd.Series:
+        rings, a, b = read_rings(data), x.to_numpy(dtype=np.float64, na_value=np.nan), y.to_numpy(dtype=np.float64, na_value=np.nan)
+        found = np.zeros(len(a), dtype=bool)
+        for turn in (-360, 0, 360):
+            found |= contains(rings, a + turn, b)
+        return pd.Series(found).where(np.isfinite(a) & np.isfinite(b), None)
+
+    return held(lon.cast("double"), lat.cast("double"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic import queries as core
-from cellmosaic.functions import crs, grids, ground, h3, healpix, s2
+from cellmosaic.functions import crs, grids, ground, h3, healpix, ntv2, s2, wkb
 from cellmosaic.operators import continuous, pixels, polyfill, states
 from cellmosaic.plans.options import ScanOptions
 from cellmosaic.queries import DEPTH, EV, FIVE, HP, ORIGIN, SIZE, STATS, WIDTH, R, events, hp, query, r6, rounded, rsel, table
@@ -211,6 +211,22 @@ def scan_projected_bbox(spark, sf_dir):
     return rounded(scan.scan_cells(spark, path, ScanOptions(grid="healpix", resolutions=(5, 7), bbox=_GLOBE, overlap_rule="average")))
 
 
+_SHAPE = ((-121.5003, 33.0007), (-118.0001, 36.0002), (-120.0009, 37.5004), (-122.2007, 35.5001))
+
+
+def _within_sql() -> str:
+    sides = [f"((lat < {y0!r}e0) <> (lat < {y1!r}e0) AND lon < {x0!r}e0 + (lat - {y0!r}e0) * {(x1 - x0) / (y1 - y0)!r}e0)" for (x0, y0), (x1, y1) in zip(_SHAPE, (*_SHAPE[1:], _SHAPE[0]), strict=True)]
+    return f"({' + '.join(f'CAST({s} AS INTEGER)' for s in sides)}) % 2 = 1"
+
+
+@query("scan_within_geometry", f"WITH {HP} {rsel(f'SELECT cell, {STATS} FROM c WHERE {_within_sql()} GROUP BY cell', ['cell'], FIVE)}")
+def scan_within_geometry(spark, sf_dir):
+    """A polygon: its envelope leaves out chunks, the polygon tells points."""
+    path = core._write_tiles(spark, sf_dir, tile=16)
+    options = ScanOptions(grid="healpix", resolutions=(DEPTH,), within=wkb.polygon(list(_SHAPE)), overlap_rule="average")
+    return rounded(scan.scan_cells(spark, path, options).drop("resolution"))
+
+
 @query("scan_formula", f"WITH {HP}, v AS (SELECT cell, CASE WHEN abs(value + k + 1) > 1e-12 THEN (value - (k + 1)) / (value + k + 1) END AS value FROM c), w AS (SELECT * FROM v WHERE value IS NOT NULL) {rsel(f'SELECT cell, {STATS} FROM w GROUP BY cell', ['cell'], FIVE)}")
 def scan_formula(spark, sf_dir):
     """An index of two named bands, in one scan."""
@@ -367,3 +383,21 @@ def stream_horizon(spark, sf_dir):
     source = spark.readStream.schema("lon double, lat double, value double").option("maxFilesPerTrigger", 64).parquet(folder)
     horizon.run(source, "healpix", DEPTH, out, f"{out}-checkpoint", disorder=high)
     return rounded(spark.read.schema(horizon._OUT).parquet(out).filter("late = 0").drop("late"))
+
+
+# --- shift grids -----------------------------------------------------------------------------------------------------------
+
+
+@query("ntv2_shift", f"WITH {EV}, s AS (SELECT * EXCLUDE (lon, lat), lon - 0.00123e0 + (lat + 90e0) * 0.00002e0 AS lon, lat + 0.0021e0 + (lon + 180e0) * 0.00001e0 AS lat FROM ev), {hp('s', 'c', DEPTH)} {rsel(f'SELECT cell, {STATS} FROM c GROUP BY cell', ['cell'], FIVE)}")
+def ntv2_shift(spark, sf_dir):
+    """The raster moved by a grid of shifts, which are even functions of the place, so that SQL can say them."""
+    south, north, west, east = -90.0, 45.0, -125.0, -110.0
+    lat, lon = np.meshgrid(np.arange(south, north + 0.1, 2.5), np.arange(west, east + 0.1, 2.5), indexing="ij")
+    shift = np.dstack([0.0021 + (lon + 180) * 0.00001, -0.00123 + (lat + 90) * 0.00002])
+    path = f"{scratch_path(spark, 'shifts')}.gsb"
+    store, name = filesystem(path)
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(name, compression=None) as f:
+        f.write(ntv2.write([ntv2.ShiftGrid("ALL", "NONE", south, north, west, east, 2.5, 2.5, shift)]))
+    moved = ntv2.with_shift(pixels.located(events(spark, sf_dir), ORIGIN, SIZE), path)
+    return rounded(continuous.unit_statistics(healpix.with_cell(moved, DEPTH), ["cell"]))

@@ -98,6 +98,7 @@ class ScanOptions:
     nodata: float | None = None
     scale_offset: bool = True
     bbox: tuple[float, float, float, float] | None = None
+    within: bytes | None = None
     source_crs: int | str | None = None
     sampling: str = "center"
     min_count: float | None = None

@@ -88,10 +88,12 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     if options.partition:
         reader = reader.option("partition", options.partition)
     centred = options.sampling == "center"
-    if options.bbox:
+    if options.bbox and isinstance(code, int):
         # rows outside are left out by the source where it can tell them, chunks in any case
-        if isinstance(code, int):
-            reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
+        reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
+    if options.within is not None and isinstance(code, int) and not (options.bbox and not (flat and centred)):
+        # a geometry's envelope tells chunks that can't meet it; what is left is tested point by point
+        reader = reader.option("lonlat_bbox", ",".join(map(repr, wkb.envelope(options.within) or (0.0, 91.0, 0.0, 91.0))))
     at = _valued(reader.load(path), options)
     points = pixels.pattern(options.sampling)
     spread = F.explode(F.array(*[F.struct(F.lit(dx - 0.5).alias("dx"), F.lit(dy - 0.5).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in points]))
@@ -106,6 +108,8 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     at = crs.with_lonlat(at, code, strict=options.strict_transforms, failures=failures).filter("lat is not null")
     if options.bbox:
         at = at.filter(pixels.in_bbox(F.col("lon"), F.col("lat"), options.bbox))
+    if options.within is not None:
+        at = at.filter(wkb.holds_point(F.col("lon"), F.col("lat"), options.within))
     return at.select("tile", "col", "row", "lon", "lat", "value", "weight", *(["band"] if names and not options.formula else []))
 
 

@@ -230,3 +230,28 @@ def test_histogram_options(spark, raster):
     for bad in ({"histogram_weight": "mass"}, {"histogram": None, "histogram_weight": "area"}, {"histogram": "values", "histogram_normalize": "density"}, {"histogram_weight": "area", "overlay_weighted": False, "transfer": "overlay"}, {"histogram_weight": "area", "transfer": "interpolate"}):
         with pytest.raises(ValueError):
             run(**bad)
+
+
+@pytest.mark.parametrize("code, origin, pixel", [(4326, (-179.0, 60.0), 1.0), (3857, (-2.0e7, 9.0e6), 100_000.0)])
+def test_points_within_a_geometry(spark, tmp_path, code, origin, pixel):
+    """An envelope over the antimeridian leaves chunks out; the geometry itself tells points."""
+    import struct
+
+    from cellmosaic.functions import wkb
+
+    (tmp_path / "w.tif").write_bytes(geotiff.write_geotiff(np.arange(128 * 358, dtype="f4").reshape(128, 358), origin, (pixel, pixel), tile=16, epsg=code))
+    shape = wkb.polygon([(165.0, 10.0), (190.0, 5.0), (200.0, 40.0), (172.0, 30.0)])
+    holed = struct.pack("<BII", 1, 6, 2) + wkb.polygon([(10.0, 10.0), (20.0, 10.0), (15.0, 25.0)]) + wkb.polygon([(12.0, 11.0), (16.0, 11.0), (14.0, 15.0)])
+    every = scan.samples(spark, str(tmp_path / "w.tif"), ScanOptions(grid="healpix")).collect()
+    for data in (shape, holed):
+        rings = wkb.read_rings(data)
+        inside = lambda r, rings=rings: any(wkb.contains(rings, np.array([r["lon"] + t]), np.array([r["lat"]]))[0] for t in (-360, 0, 360))
+        want = {(r["col"], r["row"]) for r in every if r["lat"] > 0 and inside(r)}
+        got = scan.samples(spark, str(tmp_path / "w.tif"), ScanOptions(grid="healpix", within=data)).collect()
+        assert {(r["col"], r["row"]) for r in got} == want and want
+        reader = geotiff.PixelReader({"path": str(tmp_path / "w.tif"), "lonlat_bbox": ",".join(map(repr, wkb.envelope(data))), "target_chunks": "1"})
+        assert sum(p.last - p.first + 1 for p in reader.partitions()) < 40
+        both = scan.samples(spark, str(tmp_path / "w.tif"), ScanOptions(grid="healpix", within=data, bbox=(160.0, 0.0, -155.0, 90.0))).count()
+        assert (both == len(want)) == (data is shape) and (both == 0) == (data is holed)
+    assert wkb.envelope(shape) == (165.0, 5.0, -160.0, 40.0) and wkb.envelope(struct.pack("<BII", 1, 6, 0)) is None
+    assert scan.samples(spark, str(tmp_path / "w.tif"), ScanOptions(grid="healpix", within=struct.pack("<BII", 1, 6, 0))).count() == 0
