@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ class Grid:
 
 
 def _healpix_levels(ids: np.ndarray) -> np.ndarray:
-    return (np.frexp(ids.astype(np.float64))[1] - 3) // 2 if len(ids) else np.zeros(0, np.int64)
+    return np.searchsorted(4 << 2 * np.arange(30, dtype=np.int64), ids.astype(np.int64), "right") - 1
 
 
 def _by_level(run: Callable[[np.ndarray, int], tuple[np.ndarray, ...]]):
@@ -116,9 +116,54 @@ def grid(name: str) -> Grid:
     return GRIDS[name]
 
 
-def _known(cell: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    known = cell.notna().to_numpy()
-    return known, cell[known].to_numpy(dtype=np.int64)
+def valid_ids(ids: np.ndarray, name: str) -> np.ndarray:
+    """Which of an array's ids are cells of a grid."""
+    u = ids.astype(np.int64)
+    if name == "healpix":
+        # an id of depth d lies from 4^(d+1) on and under 16 of 4^d
+        return np.logical_or.reduce([(u >= 4 << 2 * d) & (u <= (16 << 2 * d) - 1) for d in range(30)])
+    if name == "s2":
+        v = u.view(np.uint64)
+        low = v & (~v + np.uint64(1))
+        return (v >> np.uint64(61) < 6) & (low & np.uint64(0x1555555555555555) != 0)
+    level, digits = u >> 52 & 15, np.stack([u >> 3 * (14 - k) & 7 for k in range(15)])
+    used = np.arange(15)[:, None] < level
+    first = np.where(used & (digits > 0), digits, 0)
+    lead = np.take_along_axis(first, np.argmax(first > 0, axis=0)[None, :], axis=0)[0]
+    return (u >> 59 == 1) & (u >> 56 & 7 == 0) & (u >> 45 & 127 < 122) & np.where(used, digits < 7, digits == 7).all(axis=0) & ~(np.isin(u >> 45 & 127, h3.pentagons()) & (lead == 1))
+
+
+def parents(ids: np.ndarray, level: np.ndarray, name: str) -> np.ndarray:
+    """Ancestors of valid ids at levels that aren't finer than theirs."""
+    u = ids.astype(np.int64)
+    if name == "healpix":
+        return u >> 2 * (_healpix_levels(u) - level)
+    if name == "s2":
+        low = np.uint64(1) << (np.uint64(60) - np.uint64(2) * level.astype(np.uint64))
+        return (u.view(np.uint64) & ~(low - np.uint64(1)) & ~low | low).view(np.int64)
+    return u & ~np.int64(15 << 52) | level.astype(np.int64) << 52 | (np.int64(1) << 3 * (15 - level.astype(np.int64))) - 1
+
+
+def mean_area_m2(name: str, level: int) -> float:
+    return {"h3": lambda r: h3bits.MEAN_AREA_M2[r], "s2": s2.mean_area_m2, "healpix": healpix.mean_area_m2}[name](level)
+
+
+def matched_resolution(name: str, area: float, offset: int = 0) -> int:
+    """The resolution whose mean cell is nearest to an area in square metres, by ratio, so many steps finer, within the grid's range."""
+    most = grid(name).most
+    near = min(range(most + 1), key=lambda r: abs(math.log(mean_area_m2(name, r) / area)))
+    return min(max(near + offset, 0), most)
+
+
+def known(cell: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are not null, and those. Ids go by Arrow: pandas makes whole numbers beside nulls floating, which lose digits."""
+    return np.asarray(cell.is_valid()), cell.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spread(where: np.ndarray, values, kind: pa.DataType) -> pa.Array:
+    """Values where they belong, nulls elsewhere."""
+    at = np.cumsum(where) - 1
+    return pa.array(values, kind).take(pa.array(np.where(where, at, 0), mask=~where))
 
 
 def center(cell: Column, name: str) -> tuple[Column, Column]:
@@ -126,19 +171,21 @@ def center(cell: Column, name: str) -> tuple[Column, Column]:
     own = grid(name)
 
     def part(k: int) -> Column:
-        @F.pandas_udf("double")
-        def degrees(cell: pd.Series) -> pd.Series:
-            known, ids = _known(cell)
-            out = np.full(len(cell), np.nan)
-            if len(ids):
-                out[known] = grid(name).centers(ids)[k]
-            return pd.Series(out).where(known, None)
+        @F.arrow_udf("double")
+        def degrees(cell: pa.Array) -> pa.Array:
+            where, ids = known(cell)
+            return spread(where, grid(name).centers(ids)[k] if len(ids) else [], pa.float64())
 
         return degrees(F.when(own.valid(cell), cell))
 
     return part(0), part(1)
 
 
+def shapes(ids: np.ndarray, name: str) -> list[bytes]:
+    """Outlines of valid ids as WKB."""
+    return [wkb.cell_outline(x[:n], y[:n]) for x, y, n in zip(*grid(name).outlines(ids), strict=True)] if len(ids) else []
+
+
 def to_wkb(cell: Column, name: str) -> Column:
     """Outlines of valid cells as WKB polygons against the clock, cut at the antimeridian; null for null and invalid ids.
 
@@ -146,14 +193,10 @@ def to_wkb(cell: Column, name: str) -> Column:
     """
     own = grid(name)
 
-    @F.pandas_udf("binary")
-    def outline(cell: pd.Series) -> pd.Series:
-        known, ids = _known(cell)
-        out = np.full(len(cell), None, dtype=object)
-        if len(ids):
-            lon, lat, count = grid(name).outlines(ids)
-            out[known] = [wkb.cell_outline(x[:n], y[:n]) for x, y, n in zip(lon, lat, count, strict=True)]
-        return pd.Series(out)
+    @F.arrow_udf("binary")
+    def outline(cell: pa.Array) -> pa.Array:
+        where, ids = known(cell)
+        return spread(where, shapes(ids, name), pa.binary())
 
     return outline(F.when(own.valid(cell), cell))
 
@@ -162,16 +205,11 @@ def to_boundary(cell: Column, name: str) -> Column:
     """Vertices of valid cells against the clock, as structs of lat and lng in degrees; null for null and invalid ids."""
     own = grid(name)
 
-    @F.pandas_udf("array<struct<lat double, lng double>>")
-    def vertices(cell: pd.Series) -> pd.Series:
-        known, ids = _known(cell)
-        out = np.full(len(cell), None, dtype=object)
-        if len(ids):
-            lon, lat, count = grid(name).outlines(ids)
-            made = np.empty(len(ids), dtype=object)
-            for k, (x, y, n) in enumerate(zip(lon.tolist(), lat.tolist(), count.tolist(), strict=True)):
-                made[k] = [{"lat": b, "lng": a} for a, b in zip(x[:n], y[:n], strict=True)]
-            out[known] = made
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<lat double, lng double>>")
+    def vertices(cell: pa.Array) -> pa.Array:
+        where, ids = known(cell)
+        lon, lat, count = grid(name).outlines(ids) if len(ids) else (np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, np.int64))
+        made = [[{"lat": b, "lng": a} for a, b in zip(x[:n], y[:n], strict=True)] for x, y, n in zip(lon.tolist(), lat.tolist(), count.tolist(), strict=True)]
+        return spread(where, made, pa.list_(pa.struct([("lat", pa.float64()), ("lng", pa.float64())])))
 
     return vertices(F.when(own.valid(cell), cell))

@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -343,14 +344,15 @@ def lonlat_to_cell(lon: Column, lat: Column, resolution: int) -> Column:
 
 
 def _centre(part: int):
-    @F.pandas_udf("double")
-    def degrees(cell: pd.Series) -> pd.Series:
-        known = cell.notna().to_numpy()
+    @F.arrow_udf("double")
+    def degrees(cell: pa.Array) -> pa.Array:
+        # by Arrow: pandas makes whole numbers beside nulls floating, which lose an id's last digits
+        known = np.asarray(cell.is_valid())
         out = np.full(len(cell), np.nan)
         if known.any():
-            got = np.degrees(centres(cell[known].to_numpy(dtype=np.int64))[part])
+            got = np.degrees(centres(cell.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))[part])
             out[known] = (got + 180) % 360 - 180 if part else got
-        return pd.Series(out).where(known, None)
+        return pa.array(out, mask=~known)
 
     return degrees
 

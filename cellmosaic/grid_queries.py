@@ -14,7 +14,7 @@ from cellmosaic.functions import crs, grids, ground, h3, healpix, ntv2, s2, wkb
 from cellmosaic.operators import continuous, pixels, polyfill, states
 from cellmosaic.plans.options import ScanOptions
 from cellmosaic.queries import DEPTH, EV, FIVE, HP, ORIGIN, SIZE, STATS, WIDTH, R, events, hp, query, r6, rounded, rsel, table
-from cellmosaic.sources import cells, scan
+from cellmosaic.sources import cells, formats, scan
 from cellmosaic.sources.geotiff import write_geotiff
 from cellmosaic.sources.scratch import filesystem, scratch_path
 from cellmosaic.streaming import horizon
@@ -401,3 +401,23 @@ def ntv2_shift(spark, sf_dir):
         f.write(ntv2.write([ntv2.ShiftGrid("ALL", "NONE", south, north, west, east, 2.5, 2.5, shift)]))
     moved = ntv2.with_shift(pixels.located(events(spark, sf_dir), ORIGIN, SIZE), path)
     return rounded(continuous.unit_statistics(healpix.with_cell(moved, DEPTH), ["cell"]))
+
+
+# --- SQL functions ---------------------------------------------------------------------------------------------------------
+
+
+def _as_sql(spark, sf_dir, statement: str) -> DataFrame:
+    formats.register_sql(spark)
+    pixels.located(events(spark, sf_dir), ORIGIN, SIZE).select("lon", "lat").createOrReplaceTempView("sql_points")
+    return spark.sql(statement)
+
+
+@query("sql_s2_functions", core.SQL["s2_rollup"])
+def sql_s2_functions(spark, sf_dir):
+    """As a user of SQL indexes points and rolls them up."""
+    return _as_sql(spark, sf_dir, "WITH c AS (SELECT s2_cell_to_parent(s2_lonlat_to_cell(lon, lat, 12), 7) AS cell FROM sql_points) SELECT cell, count(*) AS n, s2_get_resolution(cell) AS level, s2_is_valid(cell) AS valid FROM c GROUP BY cell")
+
+
+@query("sql_h3_functions", core.SQL["h3_rollup"])
+def sql_h3_functions(spark, sf_dir):
+    return _as_sql(spark, sf_dir, "WITH c AS (SELECT h3_cell_to_parent(string_to_h3(h3_to_string(h3_lonlat_to_cell(lon, lat, 7))), 5) AS cell FROM sql_points) SELECT cell, count(*) AS n, h3_is_valid(cell) AS valid, h3_get_resolution(cell) AS resolution FROM c GROUP BY cell")

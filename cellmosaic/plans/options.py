@@ -28,6 +28,16 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return tuple(parts)
 
 
+def parse_auto(text: str) -> int | None:
+    """Steps that 'auto', 'auto+N' or 'auto-N' is finer; None for other texts. A malformed one is an error."""
+    if not re.match(r"(?i)\s*auto", text):
+        return None
+    m = re.fullmatch(r"(?i)\s*auto\s*(?:([+-])\s*(\d{1,2}))?\s*", text)
+    if not m or int(m[2] or 0) > 64:
+        raise ValueError(f"expected 'auto', 'auto+N' or 'auto-N' with N up to 64: {text!r}")
+    return int(f"{m[1]}{m[2]}") if m[1] else 0
+
+
 def parse_resolutions(text: str | int | list[int], grid: str = "h3") -> list[int]:
     """One resolution, a list '6,8', or a range '6-8'; sorted and distinct."""
     if isinstance(text, int):
@@ -92,7 +102,7 @@ def parse_edges(spec: str) -> list[float]:
 @dataclass(frozen=True)
 class ScanOptions:
     grid: str = "h3"
-    resolutions: tuple[int, ...] = (8,)
+    resolutions: tuple[int, ...] | str = (8,)
     band: int = 1
     bands: str | None = None
     nodata: float | None = None
@@ -132,6 +142,8 @@ class ScanOptions:
                 raise ValueError(message)
 
         need(self.grid in GRIDS, f"unknown grid {self.grid!r}")
+        if isinstance(self.resolutions, str) and parse_auto(self.resolutions) is None:
+            object.__setattr__(self, "resolutions", tuple(parse_resolutions(self.resolutions, self.grid)))
         need(self.overlap_rule in OVERLAPS, f"unknown overlap rule {self.overlap_rule!r}")
         need(self.transfer in TRANSFERS, f"unknown transfer {self.transfer!r}")
         need(self.interpolation in INTERPOLATIONS, f"unknown interpolation {self.interpolation!r}")
@@ -155,7 +167,7 @@ class ScanOptions:
             k, _, n = self.partition.partition("/")
             need(k.isdecimal() and n.isdecimal() and int(k) < int(n), "a partition is k/n with k from 0 to n - 1")
         need(not (self.partition and self.compact), "a partitioned scan can't be compacted")
-        need(not self.compact or all(b - a > 1 for a, b in zip(self.resolutions, self.resolutions[1:], strict=False)), "compaction needs resolutions that aren't adjacent")
+        need(not self.compact or isinstance(self.resolutions, str) or all(b - a > 1 for a, b in zip(self.resolutions, self.resolutions[1:], strict=False)), "compaction needs resolutions that aren't adjacent")
         if self.transfer != "assign":
             need(not self.partition and not self.compact and not self.formula and self.sampling == "center", f"{self.transfer} can't be partitioned, compacted, sampled or given a formula")
         need(not self.mass_preserve or (self.transfer == "overlay" and self.overlay_weighted), "mass preservation needs a weighted overlay")

@@ -7,6 +7,7 @@ aggregation of the samples by cell and, for quantiles, by bucket. The result is
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.functions import crs, crs_text, grids, healpix, wkb
 from cellmosaic.operators import categorical, continuous, mosaic, pixels, polyfill, quantiles, transfer
-from cellmosaic.plans.options import ScanOptions, parse_bands, parse_edges, parse_quantiles
+from cellmosaic.plans.options import ScanOptions, parse_auto, parse_bands, parse_edges, parse_quantiles
 from cellmosaic.sources import formats, geotiff
 from cellmosaic.sources.scratch import scratch_path
 
@@ -56,6 +57,30 @@ def _code(boxes: list[dict], options: ScanOptions) -> int | str:
     return code
 
 
+def auto_resolution(spark: SparkSession, path: str, grid: str = "h3", offset: int = 0, source_crs: int | str | None = None) -> int:
+    """The resolution whose mean cell is nearest in area to a pixel on the ground, measured at the middle of the raster with the finest pixels."""
+    boxes = file_boxes(spark, geotiff.resolve(path))
+    finest = min(boxes, key=lambda b: b["px"] * b["py"])
+    x, y = (finest["west"] + finest["east"]) / 2, (finest["south"] + finest["north"]) / 2
+    corners = [(x - finest["px"] / 2, y - finest["py"] / 2), (x + finest["px"] / 2, y - finest["py"] / 2), (x - finest["px"] / 2, y + finest["py"] / 2)]
+    rows = crs.with_lonlat(spark.createDataFrame([(k, *p) for k, p in enumerate(corners)], "k int, x double, y double"), _code([finest], ScanOptions(source_crs=source_crs))).orderBy("k").collect()
+    if any(r["lat"] is None for r in rows):
+        raise ValueError(f"the middle of {path} is off the globe")
+    (lon0, lat0), (lon1, lat1), (lon2, lat2) = ((r["lon"], r["lat"]) for r in rows)
+    # two sides as seen on a sphere of the earth's area
+    shrunk, metres = math.cos(math.radians((lat0 + lat2) / 2)), math.radians(1) * 6371007.2
+    turn = lambda a: (a + 180) % 360 - 180
+    area = abs(turn(lon1 - lon0) * shrunk * (lat2 - lat0) - turn(lon2 - lon0) * shrunk * (lat1 - lat0)) * metres**2
+    return grids.matched_resolution(grid, area, offset)
+
+
+def resolved(spark: SparkSession, path: str, options: ScanOptions) -> ScanOptions:
+    """Options with resolutions as numbers, where they say auto."""
+    if not isinstance(options.resolutions, str):
+        return options
+    return replace(options, resolutions=(auto_resolution(spark, path, options.grid, parse_auto(options.resolutions), options.source_crs),))
+
+
 def _valued(at: DataFrame, options: ScanOptions) -> DataFrame:
     """value in place of bands: of a formula, or a row for each of several bands, which `band` tells."""
     if options.formula:
@@ -202,6 +227,7 @@ def scan_cells(spark: SparkSession, path: str, options: ScanOptions, failures: O
     finest is, and the rest merged from it. Work before the first result: where several things are made of the samples' states,
     these are written to the shared folder first.
     """
+    options = resolved(spark, path, options)
     _refuse(options, "a scan of statistics", remap=None, histogram=None, histogram_weight="count", histogram_normalize="none", histogram_json=False, min_majority_fraction=None, extra={})
     if options.partition:
         _refuse(options, "a partitioned scan", min_count=None, min_mean=None, max_mean=None, quantiles=None, nodata_policy="omit", decimals=None)
@@ -270,6 +296,7 @@ def scan_classes(spark: SparkSession, path: str, options: ScanOptions, failures:
     overlay. It can be a text (histogram_json). min_count is of a cell's total weight. Statistics' options, compaction and empty cells are refused. Files are read once: weights of
     the finest level's classes are written, and coarser levels that nest are summed from them.
     """
+    options = resolved(spark, path, options)
     area = options.histogram_weight == "area"
     if not area:
         _refuse(options, "a scan of classes", transfer="assign", overlay_weighted=True, mass_preserve=False, valid_coverage_threshold=None)

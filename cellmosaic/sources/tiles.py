@@ -303,25 +303,42 @@ def with_outline(cells: DataFrame, depth: int) -> DataFrame:
     return cells.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in cells.dtypes) + ", wkb binary")
 
 
+# Fixed values of the format: longitude and latitude on WGS84, in this order.
+_CRS84 = {
+    "type": "GeographicCRS", "name": "WGS 84 (CRS84)", "datum": {"type": "GeodeticReferenceFrame", "name": "World Geodetic System 1984", "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563}},
+    "coordinate_system": {"subtype": "ellipsoidal", "axis": [{"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"}, {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"}]}, "id": {"authority": "OGC", "code": "CRS84"},
+}
+
+
 def write_geoparquet(cells: DataFrame, path: str, files: int | None = None) -> DataFrame:
     """Write cells with a wkb column as GeoParquet 1.1 files sorted by cell; returns (file, rows) of each file.
 
-    Spark's writer can't set the footer key `geo`, so tasks write their files with pyarrow.
+    Each file says the box and the kinds of its own outlines, and that coordinates are longitude and latitude (OGC:CRS84, the format's
+    default). Spark's writer can't set the footer key `geo`, so tasks write their files with pyarrow.
     """
-    geo = json.dumps({"version": "1.1.0", "primary_column": "wkb", "columns": {"wkb": {"encoding": "WKB", "geometry_types": ["Polygon", "MultiPolygon"], "edges": "planar"}}})
+
+    def described(box: list[float], kinds: set[str]) -> str:
+        return json.dumps({"version": "1.1.0", "primary_column": "wkb", "columns": {"wkb": {"encoding": "WKB", "geometry_types": sorted(kinds), "edges": "planar", "orientation": "counterclockwise", "bbox": box, "crs": _CRS84}}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import parquet
 
         store, folder = filesystem(path)
         store.create_dir(folder, recursive=True)
-        name, writer, rows = f"{folder}/part-{uuid.uuid4().hex}.parquet", None, 0
+        name, writer, rows, box, kinds = f"{folder}/part-{uuid.uuid4().hex}.parquet", None, 0, [180.0, 90.0, -180.0, -90.0], set()
         for batch in batches:
             if writer is None:
-                writer = parquet.ParquetWriter(name, batch.schema.with_metadata({"geo": geo}), filesystem=store, compression="zstd")
+                writer = parquet.ParquetWriter(name, batch.schema, filesystem=store, compression="zstd")
             writer.write_batch(batch)
             rows += batch.num_rows
+            for shape in batch.column(batch.schema.get_field_index("wkb")):
+                if shape.is_valid:
+                    rings = [ring for poly in wkb.read_rings(shape.as_py()) for ring in poly]
+                    low, high = np.min([r.min(axis=0) for r in rings], axis=0), np.max([r.max(axis=0) for r in rings], axis=0)
+                    box = [min(box[0], float(low[0])), min(box[1], float(low[1])), max(box[2], float(high[0])), max(box[3], float(high[1]))]
+                    kinds.add("MultiPolygon" if shape.as_py()[1] == 6 else "Polygon")
         if writer:
+            writer.add_key_value_metadata({"geo": described(box, kinds)})
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], ["file", "rows"])
 

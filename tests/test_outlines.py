@@ -84,9 +84,14 @@ def test_array_and_column_forms_agree(spark):
 
 def test_columns_of_outlines(spark):
     ids = [0x85283473FFFFFFF, 0, None, int(s2.faces()[2]), 0x8009FFFFFFFFFFF]
-    rows = spark.createDataFrame([(x,) for x in ids], "c long")
+    rows = spark.createDataFrame([(x,) for x in ids], "c long").coalesce(1)
     shapes = [r[0] for r in rows.select(grids.to_wkb(F.col("c"), "h3")).collect()]
     assert [s is None for s in shapes] == [False, True, True, True, False] and struct.unpack_from("<BII", shapes[0]) == (1, 3, 1)
+    # beside nulls and ids of other grids, each id keeps all its digits
+    got = rows.select(*[c.alias(n) for c, n in zip(grids.center(F.col("c"), "h3"), ("lng", "lat"), strict=True)], h3.cell_to_lat(F.col("c")).alias("again")).coalesce(1).first()
+    want = [float(np.degrees(v[0])) for v in h3.centres(np.array(ids[:1]))]
+    assert (got["lat"], got["lng"]) == (pytest.approx(want[0], abs=1e-12), pytest.approx(want[1], abs=1e-12)) and got["again"] == got["lat"]
+    assert wkb.read_rings(bytes(shapes[0]))[0][0][0] == pytest.approx([-121.91508032705622, 37.271355866731895], abs=1e-9)
     assert len(rows.select(grids.to_boundary(F.col("c"), "h3")).first()[0]) == 6
     top = wkb.read_rings(bytes([r[0] for r in rows.select(grids.to_wkb(F.col("c"), "s2")).collect()][3]))[0][0]
     assert top[:, 1].max() == 90 and top[:, 0].min() == -180 and top[:, 0].max() == 180  # closed along the pole
@@ -162,3 +167,37 @@ def test_polygons_past_the_antimeridian_and_around_a_pole(name, level):
     assert set(own.cells(lon, lat, level).tolist()) - got == set()
     with pytest.raises(ValueError):
         polyfill.polygon_cells(cap, level, "near", name)
+
+
+def test_sql_functions_of_every_grid(spark):
+    from cellmosaic.sources import formats
+
+    formats.register_sql(spark)
+    rng = np.random.default_rng(3)
+    lon, lat = rng.uniform(-180, 180, 50), rng.uniform(-80, 80, 50)
+    spark.createDataFrame([(float(a), float(b), int(r)) for a, b, r in zip(lon, lat, rng.integers(0, 12, 50), strict=True)] + [(None, 1.0, 3), (0.0, 91.0, 3), (0.0, 0.0, 99), (0.0, 0.0, -1)], "lon double, lat double, r int").createOrReplaceTempView("sql_points")
+    for g in grids.GRIDS:
+        rows = spark.sql(f"WITH c AS (SELECT *, {g}_lonlat_to_cell(lon, lat, r) AS c FROM sql_points) SELECT *, {g}_is_valid(c) AS ok, {g}_get_resolution(c) AS res, {g}_from_string({g}_to_string(c)) AS again, {g}_lonlat_to_cell({g}_to_lng(c), {g}_to_lat(c), r) AS back, {g}_cell_to_parent(c, r - 1) AS up, {g}_to_wkb(c) AS wkb FROM c").collect()
+        own = grids.grid(g)
+        for r in rows[:50]:
+            assert r["ok"] and r["res"] == r["r"] and r["again"] == r["back"] == r["c"] == own.cells(np.array([r["lon"]]), np.array([r["lat"]]), r["r"])[0] and len(r["wkb"]) > 80
+            assert (r["up"] is None) == (r["r"] == 0) and (r["up"] is None or own.levels(np.array([r["up"]]))[0] == r["r"] - 1)
+        assert all(r["c"] is None and not r["ok"] and r["res"] == -1 and r["wkb"] is None for r in rows[50:])
+        shape = wkb.polygon([(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]).hex()
+        got = spark.sql(f"SELECT {g}_polygon_to_cells(unhex('{shape}'), 3, 'covers') AS c, {g}_polygon_to_cells(NULL, 3, 'covers') AS n, string_to_{g}('zz') AS z").first()
+        assert got["c"] == polyfill.polygon_cells(bytes.fromhex(shape), 3, "covers", g).tolist() and got["n"] is None and got["z"] == 0
+    assert spark.sql("SELECT cellmosaic_version()").first()[0]
+
+
+def test_valid_ids(spark):
+    rng = np.random.default_rng(8)
+    ids = np.r_[rng.integers(-(1 << 62), 1 << 62, 500) * 2 + 1, rng.integers(0, 1 << 59, 500) | 1 << 59, [0, 1, 3, 4, 15, 16, 64, 255, (1 << 62) - 1, 1 << 62, 4 << 58, (16 << 58) - 1, (1 << 63) - 1], h3.base_cells()]
+    for k in range(0, 16, 3):
+        ids = np.r_[ids, h3.cells(np.arcsin(rng.uniform(-1, 1, 40)), rng.uniform(-3, 3, 40), k), (4 << 2 * k) + rng.integers(0, 12 << 2 * k, 20)]
+    rows = spark.createDataFrame([(int(x),) for x in ids], "c long")
+    for g in grids.GRIDS:
+        want = [bool(r[0]) for r in rows.select(F.coalesce(grids.grid(g).valid(F.col("c")), F.lit(False))).collect()]
+        got = grids.valid_ids(ids, g)
+        if g == "healpix":
+            want = [any(4 << 2 * d <= x < 16 << 2 * d for d in range(30)) for x in ids.tolist()]
+        assert got.tolist() == want, g

@@ -255,3 +255,40 @@ def test_points_within_a_geometry(spark, tmp_path, code, origin, pixel):
         assert (both == len(want)) == (data is shape) and (both == 0) == (data is holed)
     assert wkb.envelope(shape) == (165.0, 5.0, -160.0, 40.0) and wkb.envelope(struct.pack("<BII", 1, 6, 0)) is None
     assert scan.samples(spark, str(tmp_path / "w.tif"), ScanOptions(grid="healpix", within=struct.pack("<BII", 1, 6, 0))).count() == 0
+
+
+def test_automatic_resolutions(spark, tmp_path):
+    from cellmosaic.plans.options import parse_auto
+
+    assert [parse_auto(t) for t in ("auto", " AUTO ", "auto+1", "Auto - 2", "auto+64", "7")] == [0, 0, 1, -2, 64, None]
+    for bad in ("auto+", "auto1", "auto+1.5", "auto+-1", "auto+65", "automatic", "auto+x"):
+        with pytest.raises(ValueError, match="auto"):
+            parse_auto(bad)
+    (tmp_path / "d.tif").write_bytes(geotiff.write_geotiff(np.ones((20, 20), "f4"), (10, 50), (0.05, 0.05)))
+    (tmp_path / "u.tif").write_bytes(geotiff.write_geotiff(np.ones((20, 20), "f4"), (500_000, 5_540_000), (30, 30), epsg=32632))
+    for grid, wide, fine in (("h3", 6, 11), ("s2", 11, 18), ("healpix", 11, 18)):
+        got = [scan.auto_resolution(spark, str(tmp_path / f), grid) for f in ("d.tif", "u.tif")]
+        areas = [3.5e3 * 5.55e3, 900.0]
+        assert got == [grids.matched_resolution(grid, a) for a in areas] and abs(got[0] - wide) <= 1 and abs(got[1] - fine) <= 1
+    assert scan.auto_resolution(spark, str(tmp_path / "d.tif"), "h3", 64) == 15 and scan.auto_resolution(spark, str(tmp_path / "d.tif"), "h3", -64) == 0
+    found = scan.scan_cells(spark, str(tmp_path / "d.tif"), ScanOptions(grid="healpix", resolutions="auto-1"))
+    assert {r["resolution"] for r in found.collect()} == {scan.auto_resolution(spark, str(tmp_path / "d.tif"), "healpix") - 1}
+    assert ScanOptions(resolutions="3-5").resolutions == (3, 4, 5)
+
+
+def test_geoparquet_footers(spark, tmp_path):
+    import json
+
+    from pyarrow import parquet
+
+    from cellmosaic.sources import tiles
+
+    every = np.arange(4 << 8, 16 << 8)
+    x, y = grids.grid("healpix").planar(every)
+    over = every[(np.abs(x).max(axis=1) > 181) & (np.abs(y) < 30).all(axis=1)]
+    ids = np.r_[over[:1], grids.grid("healpix").cells(np.array([0.1, 20.0]), np.array([10.0, 60.0]), 4)]
+    tiles.write_geoparquet(tiles.with_outline(spark.createDataFrame([(int(c),) for c in ids], "cell long"), 4), str(tmp_path / "g"), 1).count()
+    (file,) = (tmp_path / "g").glob("*.parquet")
+    geo = json.loads(parquet.read_metadata(file).metadata[b"geo"])["columns"]["wkb"]
+    west, south, east, north = geo["bbox"]
+    assert (west, east) == (-180, 180) and -30 < south < 30 and 60 < north < 66 and geo["crs"]["id"]["code"] == "CRS84" and set(geo["geometry_types"]) == {"Polygon", "MultiPolygon"}
