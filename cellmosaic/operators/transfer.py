@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import grids, healpix
@@ -28,6 +28,18 @@ def _lanczos(t: Column) -> list[Column]:
     return [kernel(t - k) for k in range(-2, 4)]
 
 
+#: Columns of a run of pixels.
+_RUN = 16
+
+
+def on_pixels(parts: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Areas (col, row) with their pixels, by a join that is always shuffled.
+
+    Spark's estimate of what a row of cells becomes leaves out how many rows it is exploded into, so that it would broadcast them.
+    """
+    return parts.hint("merge").join(pixels, ["col", "row"])
+
+
 _REACH = {"nearest": (0, 0), "bilinear": (0, 1), "bicubic": (-1, 2), "lanczos": (-2, 3)}
 
 
@@ -35,26 +47,30 @@ def interpolated(centres: DataFrame, pixels: DataFrame, width: int, height: int,
     """value at each centre (key, lon, lat) from pixels (col, row, value); rows of null value are NoData.
 
     Taps beyond the raster repeat its edge. NoData taps are left out and the rest renormalised if their weights sum to over
-    1e-12 in size. Centres off the raster give no row. Taps meet pixels by an equi-join on (col, row).
+    1e-12 in size. Centres off the raster give no row. Taps of a row meet runs of pixels by an equi-join on (row, run), so that a
+    centre is exploded into little more rows than it has rows of taps.
     """
     if kind not in _REACH:
         raise ValueError(f"unknown interpolation {kind!r}")
     low, high = _REACH[kind]
     px, py = (F.col("lon") - origin[0]) / size[0], (F.lit(origin[1]) - F.col("lat")) / size[1]
     inside = centres.withColumns({"px": px, "py": py}).filter(F.col("px").between(0, width) & F.col("py").between(0, height))
-    if kind == "nearest":
-        at = inside.withColumns({"c0": F.floor("px"), "r0": F.floor("py")})
-        wx, wy = [F.lit(1.0)], [F.lit(1.0)]
-    else:
-        at = inside.withColumns({"c0": F.floor(F.col("px") - 0.5), "r0": F.floor(F.col("py") - 0.5)})
-        tx, ty = F.col("px") - 0.5 - F.col("c0"), F.col("py") - 0.5 - F.col("r0")
-        make = {"bilinear": lambda t: [1 - t, t], "bicubic": _cubic, "lanczos": _lanczos}[kind]
-        wx, wy = make(tx), make(ty)
+    half = 0.0 if kind == "nearest" else 0.5
+    at = inside.select(key, (F.col("px") - half).alias("x"), (F.col("py") - half).alias("y")).withColumns({"c0": F.floor("x"), "r0": F.floor("y")})
+    make = {"nearest": lambda t: [F.lit(1.0)], "bilinear": lambda t: [1 - t, t], "bicubic": _cubic, "lanczos": _lanczos}[kind]
     clamp = lambda v, top: F.greatest(F.least(v, F.lit(top - 1)), F.lit(0)).cast("long")
     steps = range(low, high + 1)
-    taps = F.array(*[F.struct(clamp(F.col("c0") + dc, width).alias("col"), clamp(F.col("r0") + dr, height).alias("row"), (a * b).alias("w")) for dr, b in zip(steps, wy, strict=True) for dc, a in zip(steps, wx, strict=True)])
-    rows = at.select(key, F.explode(taps).alias("t")).select(key, "t.*").join(pixels.filter(F.col("value").isNotNull()).select("col", "row", "value"), ["col", "row"])
-    sums = rows.groupBy(key).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("wv"))
+    run = lambda dc: F.floor(clamp(F.col("c0") + dc, width) / _RUN)
+    rows = at.select(key, "x", "c0", F.posexplode(F.array(*make(F.col("y") - F.col("r0")))).alias("dr", "b"), "r0")
+    taps = rows.select(key, "x", "c0", "b", clamp(F.col("r0") + F.col("dr") + low, height).alias("row"), F.explode(F.sequence(run(low), run(high))).alias("run"))
+    place = F.pmod("col", F.lit(_RUN))
+    some = lambda k: F.when(place == k, F.col("value"))
+    runs = pixels.filter(F.col("value").isNotNull()).groupBy("row", F.floor(F.col("col") / _RUN).alias("run"))
+    runs = runs.agg(F.array(*[F.count(some(k)) for k in range(_RUN)]).alias("n"), F.array(*[F.sum(some(k)) for k in range(_RUN)]).alias("s"))
+    met = taps.hint("merge").join(runs, ["row", "run"]).withColumns({f"c{k}": clamp(F.col("c0") + dc, width) for k, dc in enumerate(steps)} | {f"a{k}": a for k, a in enumerate(make(F.col("x") - F.col("c0")))})
+    here = lambda k, v: F.when(F.floor(F.col(f"c{k}") / _RUN) == F.col("run"), F.col(f"a{k}") * F.get(v, F.pmod(f"c{k}", F.lit(_RUN)).cast("int")))
+    along = lambda v: sum((F.coalesce(here(k, v), F.lit(0.0)) for k in range(len(steps))), F.lit(0.0))
+    sums = met.groupBy(key).agg(F.sum(F.col("b") * along("n")).alias("w"), F.sum(F.col("b") * along("s")).alias("wv"))
     return sums.filter(F.abs(F.col("w")) > 1e-12).select(key, (F.col("wv") / F.col("w")).alias("value"))
 
 
@@ -141,12 +157,11 @@ def overlay_weights(overlaps: DataFrame, weighted: bool = True, mass_preserve: b
     if not weighted:
         return overlaps.withColumn("weight", F.lit(1.0))
     if mass_preserve:
-        totals = overlaps.groupBy("col", "row").agg(F.sum("area").alias("covered"))
-        return overlaps.join(totals, ["col", "row"]).withColumn("weight", F.col("area") / F.col("covered")).drop("covered")
+        return overlaps.withColumn("weight", F.col("area") / F.sum("area").over(Window.partitionBy("col", "row")))
     return overlaps.withColumn("weight", F.col("area"))
 
 
 def coverage(weighed: DataFrame, pixels: DataFrame, key: str = "cell") -> DataFrame:
     """(key, coverage): the share of a cell's weight that lies on valid pixels."""
-    joined = weighed.join(pixels.select("col", "row", "value"), ["col", "row"])
+    joined = on_pixels(weighed, pixels.select("col", "row", "value"))
     return joined.groupBy(key).agg((F.sum(F.when(F.col("value").isNotNull(), F.col("weight")).otherwise(F.lit(0.0))) / F.sum("weight")).alias("coverage"))
