@@ -184,7 +184,7 @@ def _transferred(spark: SparkSession, path: str, options: ScanOptions) -> DataFr
             one = found.select("cell", "value", F.lit(1.0).alias("weight"))
         else:
             weighed = transfer.overlay_weights(transfer.cell_overlaps(cells, r, box["width"], box["height"], origin, size, options.grid), options.overlay_weighted, options.mass_preserve)
-            one = weighed.join(at, ["col", "row"]).select("cell", "value", "weight")
+            one = transfer.on_pixels(weighed, at).select("cell", "value", "weight")
             if options.valid_coverage_threshold is not None:
                 enough = transfer.coverage(weighed, at).filter(F.col("coverage") >= options.valid_coverage_threshold)
                 one = one.join(enough.select("cell"), "cell", "left_semi")
