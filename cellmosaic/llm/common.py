@@ -112,6 +112,17 @@ def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return splitmix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def gram_hashes(hashed: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of each n consecutive of the given ones, from one running polynomial sum."""
+    many = len(hashed)
+    if many < n:
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(many + 1)
+    total = np.zeros(many + 1, dtype=np.uint64)
+    np.cumsum(hashed * up[:many], out=total[1:])
+    return splitmix((total[n:] - total[:-n]) * down[: many - n + 1])
+
+
 def code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Code points of each row."""
     heads = np.zeros(len(raw) + 1, dtype=np.int64)

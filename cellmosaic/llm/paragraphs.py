@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import shingles
+from cellmosaic.llm import runs, shingles
 from cellmosaic.llm.common import code_points, cut, join_unique, row_blocks, seeded, splitmix, text_buffer, words
 from cellmosaic.llm.ngram_join import PERCENT, bitmap, linked_classes
 
 #: Shorter paragraphs are common phrases rather than repeated passages: op2 reports them, but they are not to be removed.
 LEAST_WORDS = 20
+#: Runs of so many words that occur again are found wherever lines begin and end.
+RUN_WORDS = 45
 #: Wanted recall at the threshold, and most chance that a pair of similarity UNLIKE collides.
 RECALL, UNLIKE, CHANCE = 0.999, 0.2, 0.15
 #: Band entries that one task of a fragment should hold about.
@@ -87,11 +89,11 @@ def _list(least: int, passage: int, removed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, number, joined, size, begin, end, hashes, own in _sets(batch.column(2), least, passage):
-                a, b = shingles.set_digests(hashes, own)
+                a, _ = shingles.set_digests(hashes, own)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(take) for k in (0, 1, 3)), pa.array(number), pa.array(joined), pa.array(begin), pa.array(end - begin), pa.array(size >= removed), pa.array(np.diff(own)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    ["doc_id", "text_key", "document", "paragraph", "lines", "start", "length", "removable", "n", "node", "check"],
+                    [*(batch.column(k).take(take) for k in (0, 1, 3)), pa.array(number), pa.array(joined), pa.array(begin), pa.array(end - begin), pa.array(size >= removed), pa.array(np.diff(own)), pa.array(a.view(np.int64))],
+                    ["doc_id", "text_key", "document", "paragraph", "lines", "start", "length", "removable", "n", "node"],
                 )
 
     return run
@@ -143,30 +145,34 @@ def _collisions(table: pa.Table) -> pa.Table:
 
 
 def _tokens(least: int, passage: int):
+    """The sets of the classes that are asked for beside each text, and no others, since a text may have many more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for *_, hashes, own in _sets(batch.column(0), least, passage):
+            asked = batch.column(1)
+            left = set(zip(np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False)).tolist(), asked.flatten().to_pylist(), strict=True))
+            for row, *_, hashes, own in _sets(batch.column(0), least, passage):
                 nodes = shingles.set_digests(hashes, own)[0].view(np.int64)
-                new = [k for k, x in enumerate(nodes.tolist()) if not (x in seen or seen.add(x))]
+                new = [k for k, x in enumerate(zip(row.tolist(), nodes.tolist(), strict=True)) if x in left and not left.discard(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(np.diff(own)[new]), pa.array([hashes[own[k] : own[k + 1]].view(np.int64) for k in new], pa.list_(pa.int64())), pa.array([bitmap(hashes[own[k] : own[k + 1]]) for k in new], pa.binary())], ["node", "n", "tokens", "bits"])
 
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS, passage_words: int = 0, removed_words: int = 0) -> DataFrame:
-    """One row per paragraph that occurs more than once: doc_id, paragraph, lines, start, length, cluster_id, copies, keep_doc_id, removed.
+def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS, passage_words: int = 0, removed_words: int = 0, run_words: int = 0) -> DataFrame:
+    """One row per paragraph that occurs more than once: doc_id, paragraph, lines, start, length, cluster_id, copies, keep_doc_id, removed, run, text_key.
 
     Paragraphs are lines of at least least_words words, start and length their place in code points; near copies have a
     Jaccard similarity of 5-word shingles of percent / 100 or more. cluster_id is shared by all paragraphs reachable through
     near copies, copies is their number; the one of smallest doc_id, then paragraph stays. With passage_words, each line of
     fewer words also begins a paragraph of several lines, as few as have so many words together. Such paragraphs overlap:
     each counts in copies, but a cluster has two that don't overlap, and none is removed that shares a line with the one that
-    stays. Paragraphs of under removed_words words are not removed. Null and empty texts have no
+    stays. Paragraphs of under removed_words words are not removed. With run_words, runs of words that occur again wherever lines
+    begin and end have rows of their own, in which run is true (see runs.repeated_runs). Null and empty texts have no
     paragraphs; null ids come last; of rows alike in id and text one keeps its paragraphs. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = cut(rows.select("doc_id", "text_key", "text", F.monotonically_increasing_id()).mapInArrow(_list(least_words, passage_words, removed_words), "doc_id long, text_key long, document long, paragraph long, lines long, start long, length long, removable boolean, n long, node long, check long").withColumn("row", F.monotonically_increasing_id()))
+    found = cut(rows.select("doc_id", "text_key", "text", F.monotonically_increasing_id()).mapInArrow(_list(least_words, passage_words, removed_words), "doc_id long, text_key long, document long, paragraph long, lines long, start long, length long, removable boolean, n long, node long").withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph", "row", "text_key", "document", "lines")).alias("first")
     # paragraphs of several documents, or of several places in one, are apart
     extent = {"d0": F.min("document"), "d1": F.max("document"), "ends": F.min(F.col("paragraph") + F.col("lines")), "begins": F.max("paragraph")}
@@ -176,10 +182,10 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     entries = rows.select("text").mapInArrow(_banded(fragments, least_words, passage_words, bands, per_band), "fragment long, bands binary, nodes binary").groupBy("fragment").applyInArrow(_collisions, "token long, node long")
     entries = cut(entries.join(classes.select("node", "n"), "node"))
     nodes = entries.select("node").distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_key")).distinct()
+    wanted = classes.join(nodes, "node", "left_semi").groupBy(F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_key")).agg(F.collect_list("node").alias("asked"))
     same = F.col("d.doc_id").eqNullSafe(F.col("m.rep_id")) & (F.col("d.text_key") == F.col("m.rep_key"))
-    sets = rows.alias("d").join(wanted.alias("m"), same, "left_semi").select("text").mapInArrow(_tokens(least_words, passage_words), "node long, n long, tokens array<long>, bits binary")
-    sets = cut(sets.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("have", F.transform("tokens", lambda x: F.lit(0))).withColumn("alone", F.lit(0).cast("long")))
+    sets = rows.alias("d").join(wanted.alias("m"), same).select("text", "asked").mapInArrow(_tokens(least_words, passage_words), "node long, n long, tokens array<long>, bits binary")
+    sets = cut(sets.groupBy("node", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).withColumn("have", F.transform("tokens", lambda x: F.lit(0))).withColumn("alone", F.lit(0).cast("long")))
     labels = linked_classes(sets, percent, entries)
     named = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("all_copies"), F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.min("ends").alias("ends"), F.max("begins").alias("begins"))
@@ -187,18 +193,40 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     placed = cut(named.select("node", "n", "copies", "component").join(clusters, "component"))
     full = join_unique(found, placed, ["node", "n"], "copies", found.count())
     beside = (F.col("document") != F.col("first.document")) | (F.col("paragraph") >= F.col("first.paragraph") + F.col("first.lines"))
-    return full.select("doc_id", "paragraph", "lines", "start", "length", F.col("component").alias("cluster_id"), F.col("all_copies").alias("copies"), F.col("first.doc_id").alias("keep_doc_id"), (F.col("removable") & beside & (F.col("row") != F.col("first.row"))).alias("removed"), "text_key")
+    out = full.select("doc_id", "paragraph", "lines", "start", "length", F.col("component").alias("cluster_id"), F.col("all_copies").alias("copies"), F.col("first.doc_id").alias("keep_doc_id"), (F.col("removable") & beside & (F.col("row") != F.col("first.row"))).alias("removed"), F.lit(False).alias("run"), "text_key")
+    if not run_words:
+        return out
+    characters = found.filter("lines = 1").agg(F.sum("length")).first()[0] or 0
+    again = runs.repeated_runs(rows.withColumn("document", F.monotonically_increasing_id()), run_words, max(removed_words, LEAST_WORDS), characters)
+    return out.unionByName(again.withColumn("run", F.lit(True)))
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Documents less their removed paragraphs, other lines as they are; n_chars is made anew if there is such a column."""
-    gone = repeats.filter("removed").withColumn("paragraph", F.explode(F.sequence("paragraph", F.expr("paragraph + lines - 1")))).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("paragraph").alias("_gone"))
+    """Documents less their removed paragraphs and runs, other lines as they are; n_chars is made anew if there is such a column.
+
+    Removed paragraphs go with their lines. Of a removed run the words go, and lines of which nothing is left.
+    """
+    key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    numbers = F.when(~F.col("run"), F.sequence("paragraph", F.expr("paragraph + lines - 1")))
+    span = F.when(F.col("run"), F.struct("start", "length"))
+    gone = repeats.filter("removed").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list(numbers))).alias("_gone"), F.array_sort(F.collect_set(span)).alias("_runs"))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    # the text between runs, and of runs their line breaks, so that lines keep their numbers
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def past(done, one):
+        end = F.greatest(done["at"], one["start"] + one["length"])
+        piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        here = F.greatest(done["at"], one["start"])
+        return F.struct(end.alias("at"), F.concat(done["text"], piece(done["at"], here), F.regexp_replace(piece(here, end), "[^\n]+", "")).alias("text"))
+
+    rest = F.aggregate("_runs", start, past, lambda done: F.concat(done["text"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
+    lines_ = F.arrays_zip(F.split("text", "\n").alias("was"), F.split(rest, "\n").alias("now"))
+    left = F.filter(lines_, lambda x, i: ~F.array_contains("_gone", i.cast("long")) & ((x["was"] == x["now"]) | (F.trim(x["now"]) != "")))
+    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["now"]), "\n"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repeated_paragraphs(docs, least_words=1, passage_words=LEAST_WORDS, removed_words=LEAST_WORDS).drop("text_key")
+    return repeated_paragraphs(docs, least_words=1, passage_words=LEAST_WORDS, removed_words=LEAST_WORDS, run_words=RUN_WORDS).drop("text_key")
