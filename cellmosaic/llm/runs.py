@@ -1,8 +1,8 @@
 """Runs of words that occur again anywhere in the documents, wherever lines begin and end.
 
 Winnowing: of each window of consecutive word n-grams those of least hash are anchors, so two runs that hold the same window of words
-have an anchor in common. Anchors meet by hash in fragments; those of one document that repeat the same place in steps of
-a window at most are put together again.
+have an anchor in common. Anchors meet by hash in fragments; those of one document that touch, or
+repeat the same place in steps of a window at most, are put together again.
 """
 
 from __future__ import annotations
@@ -117,14 +117,14 @@ def repeated_runs(docs: DataFrame, run_words: int, gram: int, characters: int) -
     fragments = max(8, characters // 3 // (window + 1) // FRAGMENT)
     dealt = docs.select("doc_id", "text_key", "document", "text").mapInArrow(_dealt(fragments, gram, window), "fragment long, anchors binary, ids array<long>, keys array<long>, documents array<long>")
     placed = dealt.groupBy("fragment").applyInArrow(_again(gram), _PLACED).withColumn("ahead", F.col("word") - F.col("keep_word"))
-    same = ["document", "keep_document", "ahead"]
-    inside = Window.partitionBy(*same).orderBy("word")
-    steps = placed.withColumn("fresh", (F.col("word") - F.lag("word").over(inside) > window).cast("int")).withColumn("step", F.coalesce(F.sum("fresh").over(inside), F.lit(0)))
-    least, words_ = F.min("start"), F.max("word") + gram - F.min("word")
-    runs = steps.groupBy(*same, "step").agg(
-        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min("keep_doc_id").alias("keep_doc_id"), F.min("paragraph").alias("paragraph"), (F.max(F.col("paragraph") + F.col("lines")) - F.min("paragraph")).alias("lines"),
-        least.alias("start"), (F.max(F.col("start") + F.col("length")) - least).alias("length"), F.min_by("h", "word").alias("cluster_id"), F.min_by("copies", "word").alias("copies"), words_.alias("words"),
+    # an anchor that overlaps the one that stays is left; others of a document are put together where they touch or go on alike
+    placed = placed.withColumn("removed", (F.col("document") != F.col("keep_document")) | (F.col("ahead") >= gram))
+    inside = Window.partitionBy("document", "removed").orderBy("word")
+    gap, alike = F.col("word") - F.lag("word").over(inside), (F.lag("keep_document").over(inside) == F.col("keep_document")) & (F.lag("ahead").over(inside) == F.col("ahead"))
+    steps = placed.withColumn("step", F.coalesce(F.sum((gap > F.when(alike, max(gram, window)).otherwise(gram)).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    least = F.min("start")
+    runs = steps.groupBy("document", "removed", "step").agg(
+        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min_by("keep_doc_id", "word").alias("keep_doc_id"), F.min("paragraph").alias("paragraph"), (F.max(F.col("paragraph") + F.col("lines")) - F.min("paragraph")).alias("lines"),
+        least.alias("start"), (F.max(F.col("start") + F.col("length")) - least).alias("length"), F.min_by("h", "word").alias("cluster_id"), F.min_by("copies", "word").alias("copies"),
     )
-    # a run that overlaps the one that stays is left whole
-    removed = (F.col("document") != F.col("keep_document")) | (F.col("ahead") >= F.col("words"))
-    return runs.select("doc_id", "paragraph", "lines", "start", "length", "cluster_id", "copies", "keep_doc_id", removed.alias("removed"), "text_key")
+    return runs.select("doc_id", "paragraph", "lines", "start", "length", "cluster_id", "copies", "keep_doc_id", "removed", "text_key")

@@ -88,3 +88,10 @@ def test_null_ids_copies_and_no_rows(table, empty):
     assert paragraphs.repeated_paragraphs(empty, **OP2).count() == 0
     once = paragraphs.repeated_paragraphs(table([(1, " ".join(["again and again"] * 40), "a")]), **OP2)
     assert once.filter(F.col("removed") & (F.col("length") < 10)).count() == 0
+
+
+def test_text_of_one_word_is_few_rows(table):
+    """In periodic text nearly each word begins an anchor."""
+    got = paragraphs.repeated_paragraphs(table([(k, "x%d " % k + "the " * 400 + "y", "a") for k in range(3)]), **OP2).filter("run").collect()
+    assert sorted((r["doc_id"], r["removed"]) for r in got) == [(0, False), (0, True), (1, True), (2, True)]
+    assert all(r["length"] > 1500 for r in got if r["removed"])
