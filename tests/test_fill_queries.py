@@ -9,7 +9,7 @@ from test_queries import rows
 
 import __spark_entry__
 
-NAMES = ["polyfill_covers"]
+NAMES = ["polyfill_covers", "polyfill_s2_overlapping"]
 
 
 @pytest.fixture(scope="module")
