@@ -9,7 +9,7 @@ from test_queries import rows
 
 import __spark_entry__
 
-NAMES = ["polyfill_covers", "polyfill_s2_overlapping"]
+NAMES = ["polyfill_covers", "polyfill_s2_overlapping", "polyfill_s2_contains_boundary"]
 
 
 @pytest.fixture(scope="module")
