@@ -9,7 +9,7 @@ from test_queries import rows
 
 import __spark_entry__
 
-NAMES = ["polyfill_covers", "polyfill_s2_overlapping", "polyfill_s2_contains_boundary"]
+NAMES = ["polyfill_covers", "polyfill_s2_overlapping", "polyfill_s2_contains_boundary", "polyfill_s2_centroid"]
 
 
 @pytest.fixture(scope="module")
