@@ -20,17 +20,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def face_uv(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
-    """Cube face and the point's place on it, each from -1 to 1."""
+def _then(rows: Column, step) -> Column:
+    """An array of one struct with the fields that step gives of it: each is worked out once, however often later ones name it."""
+    return F.transform(rows, lambda r: F.struct(*[c.alias(name) for name, c in step(r).items()]))
+
+
+def face_uv(lon: Column, lat: Column) -> Column:
+    """Array of one struct of the cube face and u and v, the point's place on it, each from -1 to 1."""
     phi, theta = F.radians(lat), F.radians(lon)
-    x, y, z = F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
-    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-    axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
-    lead = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-    face = F.when(lead < 0, axis + 3).otherwise(axis)
-    u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
-    v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
-    return face, u, v
+    at = F.array(F.struct((F.cos(phi) * F.cos(theta)).alias("x"), (F.cos(phi) * F.sin(theta)).alias("y"), F.sin(phi).alias("z")))
+
+    def led(r: Column) -> dict[str, Column]:
+        ax, ay, az = F.abs(r["x"]), F.abs(r["y"]), F.abs(r["z"])
+        return {"x": r["x"], "y": r["y"], "z": r["z"], "axis": F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)}
+
+    def faced(r: Column) -> dict[str, Column]:
+        lead = F.when(r["axis"] == 0, r["x"]).when(r["axis"] == 1, r["y"]).otherwise(r["z"])
+        return {"x": r["x"], "y": r["y"], "z": r["z"], "face": F.when(lead < 0, r["axis"] + 3).otherwise(r["axis"])}
+
+    def placed(r: Column) -> dict[str, Column]:
+        x, y, z, face = r["x"], r["y"], r["z"], r["face"]
+        u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
+        v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
+        return {"face": face, "u": u, "v": v}
+
+    return _then(_then(_then(at, led), faced), placed)
 
 
 def _st(u: Column) -> Column:
@@ -41,10 +55,8 @@ def lonlat_to_cell(lon: Column, lat: Column, level: int) -> Column:
     """Id of the cell at this level that holds the point; null outside the globe."""
     if not 0 <= level <= MAX_LEVEL:
         return F.lit(None).cast("long")
-    face, u, v = face_uv(lon, lat)
     side = 1 << 30
     ij = lambda w: F.least(F.greatest(F.floor(_st(w) * side), _long(0)), _long(side - 1))
-    start = F.struct(face.cast("int").alias("face"), ij(u).alias("i"), ij(v).alias("j"))
     table = F.array(*[F.lit(p) for row in IJ_TO_POS for p in row])
     turns = F.array(*[F.lit(t) for t in POS_TO_ORIENTATION])
 
@@ -56,12 +68,13 @@ def lonlat_to_cell(lon: Column, lat: Column, level: int) -> Column:
         mask = _long(side - 1)
         return F.struct(at["face"].alias("face"), F.shiftleft(i, 1).bitwiseAND(mask).alias("i"), F.shiftleft(j, 1).bitwiseAND(mask).alias("j"), turned.alias("o"), (at["p"] * 4 + place).alias("p"))
 
-    first = F.transform(F.array(start), lambda s: F.struct(s["face"].alias("face"), s["i"].alias("i"), s["j"].alias("j"), s["face"].bitwiseAND(F.lit(1)).alias("o"), _long(0).alias("p")))
+    start = _then(face_uv(lon, lat), lambda r: {"face": r["face"].cast("int"), "i": ij(r["u"]), "j": ij(r["v"])})
+    first = _then(start, lambda r: {"face": r["face"], "i": r["i"], "j": r["j"], "o": r["face"].bitwiseAND(F.lit(1)), "p": _long(0)})
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(level)) if level else F.array().cast("array<int>"), first[0], down)
     low = _signed(1 << (60 - 2 * level))
     ok = lat.between(-90, 90) & ~F.isnan(lon) & (F.abs(lon) < F.lit(float("inf")))
-    out = F.shiftleft(walked["face"].cast("long"), 61).bitwiseOR(F.shiftleft(walked["p"], 61 - 2 * level)).bitwiseOR(_long(low))
-    return F.when(ok, out)
+    out = F.transform(F.array(walked), lambda w: F.shiftleft(w["face"].cast("long"), 61).bitwiseOR(F.shiftleft(w["p"], 61 - 2 * level)).bitwiseOR(_long(low)))
+    return F.when(ok, out[0])
 
 
 def lowest_bit(cell: Column) -> Column:
