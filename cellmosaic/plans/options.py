@@ -120,6 +120,7 @@ class ScanOptions:
     quantiles: str | None = None
     remap: str | None = None
     strict_transforms: bool = False
+    over_poles: bool = False
     nodata_policy: str = "omit"
     emit_nodata_value: float | None = None
     decimals: int | None = None
@@ -170,4 +171,5 @@ class ScanOptions:
         need(not self.compact or isinstance(self.resolutions, str) or all(b - a > 1 for a, b in zip(self.resolutions, self.resolutions[1:], strict=False)), "compaction needs resolutions that aren't adjacent")
         if self.transfer != "assign":
             need(not self.partition and not self.compact and not self.formula and self.sampling == "center", f"{self.transfer} can't be partitioned, compacted, sampled or given a formula")
+        need(not self.over_poles or (self.transfer == "assign" and self.histogram_weight == "count"), "rasters that go on over a pole are taken by their samples")
         need(not self.mass_preserve or (self.transfer == "overlay" and self.overlay_weighted), "mass preservation needs a weighted overlay")

@@ -97,11 +97,14 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     """Samples (tile, col, row, lon, lat, value, weight, and band if several are asked for) of the files' pixels; NoData is null.
 
     Pixels that the projection has no point for are left out, counted in `failures` as `failed`, and with strict_transforms an error.
+    over_poles keeps those that files in degrees have beyond a pole, at the latitude of the same sine; files own pixels before that.
     """
     paths = geotiff.resolve(path)
     boxes = file_boxes(spark, paths)
     code = _code(boxes, options)
     flat = code in (4326, 4269)
+    if options.over_poles and not flat:
+        raise ValueError("over_poles needs files in degrees")
     formats.register(spark)
     reader = spark.read.format("raster_pixels").option("scale_offset", str(options.scale_offset).lower()).option("pixel_size", "true")
     if isinstance(code, int):
@@ -113,10 +116,12 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
     if options.partition:
         reader = reader.option("partition", options.partition)
     centred = options.sampling == "center"
-    if options.bbox and isinstance(code, int):
+    # what lies beyond a pole meets a box where the files' own coordinates don't
+    pruned = isinstance(code, int) and not options.over_poles
+    if options.bbox and pruned:
         # rows outside are left out by the source where it can tell them, chunks in any case
         reader = reader.option("bbox" if flat and centred else "lonlat_bbox", ",".join(map(repr, options.bbox)))
-    if options.within is not None and isinstance(code, int) and not (options.bbox and not (flat and centred)):
+    if options.within is not None and pruned and not (options.bbox and not (flat and centred)):
         # a geometry's envelope tells chunks that can't meet it; what is left is tested point by point
         reader = reader.option("lonlat_bbox", ",".join(map(repr, wkb.envelope(options.within) or (0.0, 91.0, 0.0, 91.0))))
     at = _valued(reader.load(path), options)
@@ -130,6 +135,8 @@ def samples(spark: SparkSession, path: str, options: ScanOptions, failures: Obse
         if not flat and options.overlap_rule == "cutline":
             raise ValueError("cutline ownership needs files in degrees")
         at = mosaic.owned(at.withColumnsRenamed({"x": "lon", "y": "lat"}), boxes, options.overlap_rule).withColumnsRenamed({"lon": "x", "lat": "y"})
+    if options.over_poles:
+        at = at.withColumn("y", pixels.over_pole(F.col("y")))
     at = crs.with_lonlat(at, code, strict=options.strict_transforms, failures=failures).filter("lat is not null")
     if options.bbox:
         at = at.filter(pixels.in_bbox(F.col("lon"), F.col("lat"), options.bbox))
