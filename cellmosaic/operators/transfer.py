@@ -96,21 +96,23 @@ def _under(lo: np.ndarray, hi: np.ndarray, y: np.ndarray) -> np.ndarray:
 def pixel_areas(x: np.ndarray, y: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Area of a polygon (x, y in pixels, its last corner joined to the first) in each pixel of the given consecutive columns and rows.
 
-    By Green's theorem the area left of one line and below another is an integral along the outline of its height, cut off at
-    both; a pixel's area is a difference of four such.
+    By Green's theorem the area of a column below a line is an integral along the outline of its height, cut off at the line; a
+    pixel's area is a difference of two such. Places are taken from the first pixel and column by column, since differences of
+    large areas leave some to pixels that the polygon doesn't touch.
     """
-    right, below = np.r_[columns, columns[-1] + 1].astype(float), np.r_[rows, rows[-1] + 1].astype(float)
-    total = np.zeros((len(below), len(right)))
+    x, y = x - columns[0], y - rows[0]
+    left, below = np.arange(len(columns), dtype=float), np.arange(len(rows) + 1, dtype=float)
+    total = np.zeros((len(rows), len(columns)))
     for x0, y0, x1, y1 in zip(x, y, np.roll(x, -1), np.roll(y, -1), strict=True):
         if x0 == x1:
             continue
         sign = 1.0 if x1 > x0 else -1.0
         (a, ya), (b, yb) = ((x0, y0), (x1, y1)) if x1 > x0 else ((x1, y1), (x0, y0))
-        until = np.clip(right, a, b)
-        y_until = ya + (yb - ya) * (until - a) / (b - a)
-        lo, hi = np.minimum(ya, y_until), np.maximum(ya, y_until)
-        total += sign * (until - a) * _under(lo[None, :], hi[None, :], below[:, None])
-    return np.abs(np.diff(np.diff(total, axis=0), axis=1))
+        since, until = np.clip(left, a, b), np.clip(left + 1, a, b)
+        y_since, y_until = (ya + (yb - ya) * (v - a) / (b - a) for v in (since, until))
+        lo, hi = np.minimum(y_since, y_until), np.maximum(y_since, y_until)
+        total += sign * (until - since) * np.diff(_under(lo[None, :], hi[None, :], below[:, None]), axis=0)
+    return np.abs(total)
 
 
 #: Cells that may be wider than this take whole pixels by their centres.
