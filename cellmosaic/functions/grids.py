@@ -18,10 +18,9 @@ def _around(lat: np.ndarray, lng: np.ndarray, count: np.ndarray) -> tuple[np.nda
     return (np.degrees(lng) + 180) % 360 - 180, np.degrees(lat), count
 
 
-def _s2_outlines(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Four vertices; one on a pole, which has no longitude, becomes two at those of its neighbours."""
-    lon, lat = s2.corners(ids)
-    lon, lat, count = np.c_[lon, lon[:, 3]], np.c_[lat, lat[:, 3]], np.full(len(ids), 4)
+def _unpoled(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outlines of four vertices; one on a pole, which has no longitude, becomes two at those of its neighbours."""
+    lon, lat, count = np.c_[lon, lon[:, 3]], np.c_[lat, lat[:, 3]], np.full(len(lon), 4)
     for row, k in np.argwhere(np.abs(lat[:, :4]) > 90 - 1e-9):
         x, y = lon[row, :4], lat[row, :4]
         lon[row], lat[row] = np.r_[x[:k], x[k - 1], x[(k + 1) % 4], x[k + 1 :]], np.r_[y[:k], y[k], y[k], y[k + 1 :]]
@@ -29,10 +28,6 @@ def _s2_outlines(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lon, lat, count
 
 
-def _four(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return lon, lat, np.full(len(lon), 4)
-
-
 @dataclass(frozen=True)
 class Grid:
     """centers(ids) gives longitudes and latitudes in degrees; outlines(ids) rows of vertices against the clock, filled up with the last, and their numbers.
@@ -102,9 +97,9 @@ GRIDS = {
         lambda ids: _around(*h3.outlines(ids)), _h3_reach, h3bits.is_valid, h3.lonlat_to_cell, lambda c, _, r: h3bits.cell_to_parent(c, r), lambda lon, lat, r: h3.cells(np.radians(lat), np.radians(lon), r),
     ),
     # half the longest diagonal of a cell is 1.22 of its level's unit
-    "s2": Grid("s2", 30, s2.faces, lambda ids: s2.children(ids).ravel(), s2.levels, s2.centers, _s2_outlines, lambda at: min(90.0, math.degrees(1.4 / 2**at)), s2.is_valid, s2.lonlat_to_cell, lambda c, _, r: s2.cell_to_parent(c, r), s2.cells),
+    "s2": Grid("s2", 30, s2.faces, lambda ids: s2.children(ids).ravel(), s2.levels, s2.centers, lambda ids: _unpoled(*s2.corners(ids)), lambda at: min(90.0, math.degrees(1.4 / 2**at)), s2.is_valid, s2.lonlat_to_cell, lambda c, _, r: s2.cell_to_parent(c, r), s2.cells),
     "healpix": Grid(
-        "healpix", 29, lambda: np.arange(4, 16, dtype=np.int64), lambda ids: (ids[:, None] * 4 + np.arange(4)).ravel(), _healpix_levels, _by_level(healpix.centers), lambda ids: _four(*_by_level(healpix.corners)(ids)),
+        "healpix", 29, lambda: np.arange(4, 16, dtype=np.int64), lambda ids: (ids[:, None] * 4 + np.arange(4)).ravel(), _healpix_levels, _by_level(healpix.centers), lambda ids: _unpoled(*_by_level(healpix.corners)(ids)),
         healpix.radius_deg, lambda c: (c >= 4) & (F.length(F.bin(c)) <= 62) & (F.length(F.bin(c)) > 2), healpix.lonlat_to_cell, healpix.cell_to_parent, healpix.cells,
     ),
 }

@@ -7,7 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from cellmosaic.functions import grids
+from cellmosaic.functions import grids, wkb
 from cellmosaic.operators import transfer
 
 ORIGIN, SIZE = (-122.45, 37.80), (0.05, 0.05)
@@ -44,3 +44,14 @@ def test_pixels_that_an_outline_does_not_touch_are_none(spark):
     for c in ids:
         ring = outline(c)
         assert all(exact_area(ring, *at) == pytest.approx(a, abs=1e-9) and exact_area(ring, *at) > 1e-13 for at, a in got[c].items())
+
+
+def test_cells_meet_at_the_pole(spark):
+    """A corner on the pole is two, so that cells fill the last rows before it, and once when written."""
+    cells = spark.range(4 << 12, 16 << 12).toDF("cell")
+    last = transfer.cell_overlaps(cells, 6, 100, 2556, ORIGIN, SIZE).filter("row >= 2554").groupBy("col", "row").sum("area").collect()
+    assert len(last) == 200 and all(r[2] == pytest.approx(1, abs=1e-9) for r in last)
+    assert [r[0] for r in transfer.cell_overlaps(cells, 6, 100, 2556, ORIGIN, SIZE).filter("row = 2555").select("cell").distinct().collect()] == [57344]
+    for name, cell in (("healpix", 57344), ("s2", -6533223325454303232)):
+        (ring,), = wkb.read_rings(grids.shapes(np.array([cell]), name)[0])
+        assert len(ring) == 6 and (ring[:-1, 1] == -90).sum() == 2
