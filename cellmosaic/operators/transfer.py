@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import grids, healpix
+from cellmosaic.operators.pixels import over_pole
 
 
 def _cubic(t: Column) -> list[Column]:
@@ -115,39 +116,58 @@ def pixel_areas(x: np.ndarray, y: np.ndarray, columns: np.ndarray, rows: np.ndar
     return np.abs(total)
 
 
+def _blocks(first: np.ndarray, last: np.ndarray, step: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Blocks of up to so many rows, and which of the spans of rows (first to last) they are of; spans that share rows go together."""
+    spans = []
+    for a, b, k in sorted(zip(first.tolist(), last.tolist(), range(len(first)), strict=True)):
+        if a >= b:
+            continue
+        if spans and a < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b), [*spans[-1][2], k])
+        else:
+            spans.append((a, b, [k]))
+    for a, b, those in spans:
+        for start in range(a, b, step):
+            yield start, min(start + step, b), those
+
+
 #: Cells that may be wider than this take whole pixels by their centres.
 COARSE_KM = 500.0
 
 
-def cell_overlaps(cells: DataFrame, depth: int, width: int, height: int, origin: tuple[float, float], size: tuple[float, float], grid: str = "healpix") -> DataFrame:
+def cell_overlaps(cells: DataFrame, depth: int, width: int, height: int, origin: tuple[float, float], size: tuple[float, float], grid: str = "healpix", over_poles: bool = False) -> DataFrame:
     """(cell, col, row, area) of the pixels that each cell's outline touches; area as a share of the pixel, over 1e-12.
 
     Outlines are straight between a cell's corners in degrees, so neighbours share their edges and areas add up to whole pixels.
     Cells across the antimeridian are taken on the raster's side. At depths whose cells may be over 500 km wide a pixel belongs
-    whole to the cell of its centre.
+    whole to the cell of its centre. over_poles: a raster goes on over a pole at latitudes of the same sine, where outlines are mirrored.
     """
     own = grids.grid(grid)
     if 2 * own.reach(depth) * 111.2 > COARSE_KM:
         pixels = cells.sparkSession.range(width * height).select((F.col("id") % width).alias("col"), F.floor(F.col("id") / width).alias("row"))
         at = pixels.withColumns({"lon": (F.col("col") + 0.5) * size[0] + origin[0], "lat": F.lit(origin[1]) - (F.col("row") + 0.5) * size[1]})
+        if over_poles:
+            at = at.withColumn("lat", over_pole(F.col("lat")))
         at = healpix.with_cell(at, depth) if grid == "healpix" else at.withColumn("cell", own.lonlat_to_cell(F.col("lon"), F.col("lat"), depth))
         return at.join(cells.select("cell"), "cell").select("cell", "col", "row", F.lit(1.0).alias("area"))
     middle = origin[0] + width * size[0] / 2
+    # from pole to pole and back
+    legs = range(math.floor((origin[1] - height * size[1] + 90) / 180), math.floor((origin[1] + 90) / 180) + 1) if over_poles else range(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             lon, lat = grids.grid(grid).planar(ids)
             lon = lon + 360 * np.round((middle - lon.mean(axis=1, keepdims=True)) / 360)
-            x, y = (lon - origin[0]) / size[0], (origin[1] - lat) / size[1]
+            x, y = (lon - origin[0]) / size[0], np.array([(origin[1] - (180 * leg + (-lat if leg % 2 else lat))) / size[1] for leg in legs])
             c0, c1 = np.maximum(np.floor(x.min(axis=1)), 0).astype(int), np.minimum(np.ceil(x.max(axis=1)), width).astype(int)
-            r0, r1 = np.maximum(np.floor(y.min(axis=1)), 0).astype(int), np.minimum(np.ceil(y.max(axis=1)), height).astype(int)
-            for k in np.flatnonzero((c0 < c1) & (r0 < r1)):
+            r0, r1 = np.maximum(np.floor(y.min(axis=2)), 0).astype(int), np.minimum(np.ceil(y.max(axis=2)), height).astype(int)
+            for k in np.flatnonzero((c0 < c1) & (r0 < r1).any(axis=0)):
                 columns = np.arange(c0[k], c1[k])
                 step = max(1, 200_000 // len(columns))
-                for first in range(r0[k], r1[k], step):
-                    rows = np.arange(first, min(first + step, r1[k]))
-                    area = pixel_areas(x[k], y[k], columns, rows)
+                for first, last, those in _blocks(r0[:, k], r1[:, k], step):
+                    rows = np.arange(first, last)
+                    area = sum(pixel_areas(x[k], y[leg, k], columns, rows) for leg in those)
                     at = np.nonzero(area > 1e-12)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[0]), ids[k])), pa.array(columns[at[1]]), pa.array(rows[at[0]]), pa.array(area[at])], ["cell", "col", "row", "area"])
 

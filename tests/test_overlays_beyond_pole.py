@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
+from test_beyond_pole import far  # noqa: F401
+from test_queries import rows
 
+import __spark_entry__
 from cellmosaic.functions import grids, wkb
 from cellmosaic.operators import transfer
 
@@ -55,3 +59,21 @@ def test_cells_meet_at_the_pole(spark):
     for name, cell in (("healpix", 57344), ("s2", -6533223325454303232)):
         (ring,), = wkb.read_rings(grids.shapes(np.array([cell]), name)[0])
         assert len(ring) == 6 and (ring[:-1, 1] == -90).sum() == 2
+
+
+def test_pixels_across_a_pole(spark):
+    """Of a pixel that a cell and its image share there is one row, and pixels are whole on both sides."""
+    cells = spark.range(4 << 6, 16 << 6).toDF("cell")
+    found = transfer.cell_overlaps(cells, 3, 6, 5, (10.0, -89.3), (0.4, 0.4), over_poles=True).collect()
+    assert len({(r["cell"], r["col"], r["row"]) for r in found}) == len(found)
+    area = np.zeros((5, 6))
+    for r in found:
+        area[r["row"], r["col"]] += r["area"]
+    assert area == pytest.approx(np.ones((5, 6)), abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["overlay_cells_cover"])
+def test_same_as_sql_beyond_the_pole(spark, far, name):  # noqa: F811
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{far}/events.parquet/*.parquet'")
+    assert rows(__spark_entry__.core.QUERIES[name](spark, far).toPandas()) == rows(con.execute(__spark_entry__.core.SQL[name]).df())
